@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, sharding, token_counts
+from . import chat, decontamination, line_dedup, quality, sharding, token_counts
 from .tables import table
 
 N_SHARDS = 40
@@ -19,6 +19,31 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS m, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS s
+  FROM b, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
+dw AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS s
+  FROM d, (SELECT DISTINCT m FROM bw) AS ms, unnest(range(1, len(w) - m + 2)) AS t(i)),
+hit AS (SELECT doc_id, i, m, item_id FROM dw JOIN bw USING (m, s)),
+n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM hit, unnest(range(i, i + m)) AS u(j) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
@@ -53,6 +78,29 @@ FROM formed GROUP BY conv_id
 """
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    clean = F.coalesce("clean_text", F.lit(""))
+    return out.select("doc_id", "n_lines", "n_removed", F.char_length(clean).cast("long").alias("clean_chars"), F.sha2(clean, 256).alias("clean_sha256"))
+
+
+OP4_SQL = r"""
+WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
+l AS (SELECT doc_id, i, p[i] AS line, list_filter(regexp_split_to_array(p[i], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM parts, unnest(range(1, len(p) + 1)) AS t(i)),
+c AS (SELECT doc_id, i, array_to_string(w, ' ') AS s, len(w) AS n, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l),
+win AS (SELECT a.doc_id, a.i AS i, b.i AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND a.n > 0
+  AND b.upto - a.upto + a.n >= 50 AND b.upto - b.n - a.upto + a.n < 50),
+content AS (SELECT w.doc_id, w.i, w.j, string_agg(c.s, chr(10) ORDER BY c.i) AS s
+  FROM win w JOIN c ON c.doc_id = w.doc_id AND c.i BETWEEN w.i AND w.j AND c.n > 0 GROUP BY ALL),
+later AS (SELECT doc_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM content) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, u.x AS i FROM later, unnest(range(i, j + 1)) AS u(x)),
+made AS (SELECT doc_id, count(*) AS n_lines, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN line END, chr(10) ORDER BY l.i) AS clean
+  FROM l LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, length(coalesce(clean, '')) AS clean_chars, sha256(coalesce(clean, '')) AS clean_sha256
+FROM documents LEFT JOIN made USING (doc_id)
+"""
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json"))
@@ -70,9 +118,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
+    "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op9_sharding": op9_sharding,
 }
-SQL = {"op2_chat_formatting": OP2_SQL}
+SQL = {"op1_decontamination": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_line_dedup": OP4_SQL}
