@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, line_dedup, quality, sharding, token_counts
+from . import chat, decontamination, line_dedup, ngram_join, quality, sharding, token_counts
 from .tables import table
 
 N_SHARDS = 40
@@ -117,6 +117,24 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_SOLID = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+
+OP10_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SOLID} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.b) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = doc_id GROUP BY doc_id
+"""
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
@@ -124,5 +142,6 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op9_sharding": op9_sharding,
+    "op10_ngram_join": op10_ngram_join,
 }
-SQL = {"op1_decontamination": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_line_dedup": OP4_SQL}
+SQL = {"op1_decontamination": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_line_dedup": OP4_SQL, "op10_ngram_join": OP10_SQL}
