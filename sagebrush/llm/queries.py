@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language, line_dedup, ngram_join, pieces, quality, sharding, token_counts
+from . import chat, decontamination, language, licenses, line_dedup, ngram_join, pieces, quality, sharding, token_counts
 from .tables import table
 
 N_SHARDS = 40
@@ -78,6 +78,49 @@ FROM formed GROUP BY conv_id
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/thousand/id.txt."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    out = licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+    return out.select("doc_id", "license", F.round("cosine", 6).alias("cosine"), "how", "license_dir", "n_header_lines")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TEMPLATE_ROWS = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licenses.TEMPLATES.items())
+_TERMS = "list_filter(list_transform(regexp_split_to_array(lower({}), '[^a-z0-9.+-]+'), lambda w: regexp_replace(w, '^[.+-]+|[.-]+$', '', 'g')), lambda w: w <> '')"
+OP3_SQL = f"""
+WITH templates(license, template) AS (VALUES {_TEMPLATE_ROWS}),
+files AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, 'unknown') || '/' || CAST(floor(doc_id / 1000) AS BIGINT) AS dir,
+  array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {_quoted(licenses.CUES)})), chr(10)) AS header FROM documents),
+h AS (SELECT header, count(*) AS n FROM files WHERE header <> '' GROUP BY header),
+seen AS (SELECT header, term, 1 + ln(count(*)) AS tf FROM (SELECT header, unnest({_TERMS.format("header")}) AS term FROM h) GROUP BY ALL),
+known AS (SELECT license, term, 1 + ln(count(*)) AS tf FROM (SELECT license, unnest({_TERMS.format("template")}) AS term FROM templates) GROUP BY ALL),
+df AS (SELECT term, sum(n) AS df FROM (SELECT term, n FROM seen JOIN h USING (header) UNION ALL SELECT term, 1 FROM known) GROUP BY term),
+total AS (SELECT coalesce(sum(n), 0) + {len(licenses.TEMPLATES)} AS total FROM h),
+idf AS (SELECT term, ln((1.0 + total) / (1.0 + df)) + 1 AS idf FROM df, total),
+l AS (SELECT header, term, tf * idf AS w FROM seen JOIN idf USING (term)),
+r AS (SELECT license, term, tf * idf AS w FROM known JOIN idf USING (term)),
+ln_ AS (SELECT header, sqrt(sum(w * w)) AS n FROM l GROUP BY header),
+rn_ AS (SELECT license, sqrt(sum(w * w)) AS n FROM r GROUP BY license),
+s AS (SELECT header, license, round(sum(l.w * r.w) / any_value(ln_.n) / any_value(rn_.n), 9) AS cosine
+  FROM l JOIN r USING (term) JOIN ln_ USING (header) JOIN rn_ USING (license) GROUP BY header, license),
+best AS (SELECT header, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY header ORDER BY cosine DESC, license DESC) AS k FROM s) WHERE k = 1 AND cosine >= {licenses.THRESHOLD}),
+own AS (SELECT f.*, license, cosine, 2 * length(regexp_replace(f.header, '\\s', '', 'g')) >= length(regexp_replace(f.text, '\\s', '', 'g')) AS is_file FROM files f LEFT JOIN best USING (header)),
+holders AS (SELECT dir, license, cosine FROM (SELECT dir, license, cosine, row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, license DESC) AS k FROM own WHERE is_file AND license IS NOT NULL) WHERE k = 1),
+above AS (SELECT dir, dir AS at, 2 AS depth FROM own UNION SELECT dir, string_split(dir, '/')[1], 1 FROM own UNION SELECT dir, '', 0 FROM own),
+nearest AS (SELECT a.dir, a.at, hd.license, hd.cosine FROM (SELECT a.*, row_number() OVER (PARTITION BY a.dir ORDER BY depth DESC) AS k FROM above a JOIN holders hd ON hd.dir = a.at) a JOIN holders hd ON hd.dir = a.at WHERE k = 1)
+SELECT doc_id, coalesce(o.license, n.license) AS license, round(coalesce(o.cosine, n.cosine), 6) AS cosine,
+  CASE WHEN o.license IS NOT NULL THEN 'header' WHEN n.license IS NOT NULL THEN 'inherited' END AS how,
+  CASE WHEN o.license IS NULL THEN n.at END AS license_dir,
+  CASE WHEN header = '' THEN 0 ELSE CAST(len(string_split(header, chr(10))) AS BIGINT) END AS n_header_lines
+FROM own o LEFT JOIN nearest n USING (dir)
+"""
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     clean = F.coalesce("clean_text", F.lit(""))
@@ -150,6 +193,7 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = doc_id GR
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_language_id": op6_language_id,
@@ -158,4 +202,4 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_ngram_join": op10_ngram_join,
 }
-SQL = {"op1_decontamination": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_line_dedup": OP4_SQL, "op10_ngram_join": OP10_SQL}
+SQL = {"op1_decontamination": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op3_license_scan": OP3_SQL, "op4_line_dedup": OP4_SQL, "op10_ngram_join": OP10_SQL}
