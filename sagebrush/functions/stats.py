@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def finite(value: Column) -> Column:
@@ -19,12 +20,17 @@ def finite(value: Column) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
 
 
+def _clamped(r: Column) -> Column:
+    """Within [-1, 1]; NULL stays NULL, which least and greatest would skip."""
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
 def correlation(a: str, b: str) -> Column:
     """Pearson r over the rows with both, clamped to [-1, 1]; NULL without variance."""
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
     r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), finite(r)))
+    return _clamped(finite(r))
 
 
 def pairs(a: str, b: str) -> Column:
@@ -34,7 +40,7 @@ def pairs(a: str, b: str) -> Column:
 def partial(rxy: Column, rxz: Column, ryz: Column) -> Column:
     """Correlation of x and y with z held fixed."""
     r = F.try_divide(rxy - rxz * ryz, F.sqrt((1 - rxz * rxz) * (1 - ryz * ryz)))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), finite(r)))
+    return _clamped(finite(r))
 
 
 def p_value(r: Column, n: Column, covariates: int = 0) -> Column:
@@ -110,7 +116,7 @@ def bh_adjust(df: DataFrame, p: str, tie: str, keys: list[str] | None = None, ou
     return placed.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rn")).over(up)))).drop("_rn", "_m")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     """Two-sided normal p; one value per group, after aggregation."""
     return z.map(lambda v: None if pd.isna(v) else min(1.0, math.erfc(v / math.sqrt(2))))

@@ -65,10 +65,11 @@ def j8_u3_unseen(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT l_orderkey AS o_orderkey, count(DISTINCT l_suppkey) AS n, min(l_suppkey) AS s FROM lineitem GROUP BY 1)
-SELECT orders.o_orderkey, coalesce(n, 0) AS n_offers, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'ok' END AS status, CASE WHEN n = 1 THEN s END AS l_suppkey FROM orders LEFT JOIN o USING (o_orderkey)""")
+SELECT orders.o_orderkey, coalesce(n, 0) AS n_offers, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'ok' END AS status, CASE WHEN n = 1 THEN s ELSE -1 END AS l_suppkey FROM orders LEFT JOIN o USING (o_orderkey)""")
 def j9_assignment(spark, sf_dir):
     offers = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
-    return relational.assigned(_t(spark, sf_dir, "orders").select("o_orderkey"), offers, ["o_orderkey"], ["l_suppkey"])
+    out = relational.assigned(_t(spark, sf_dir, "orders").select("o_orderkey"), offers, ["o_orderkey"], ["l_suppkey"])
+    return out.withColumn("l_suppkey", F.coalesce("l_suppkey", F.lit(-1)))
 
 
 @query("""SELECT user_id, count(DISTINCT event_type) AS n_items FROM events WHERE ts < TIMESTAMP '2024-01-04' AND event_type IN ('view', 'click', 'purchase')

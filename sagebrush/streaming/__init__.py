@@ -1,0 +1,27 @@
+"""Incremental runs.  The evidence queries are batch queries; what comes in
+pieces (records of fetches, requests against a cache) is taken up by a stream
+that appends each unseen key once."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def append_unseen(arriving: DataFrame, store: str, keys: list[str], checkpoint: str):
+    """Start a stream that appends rows whose keys the Parquet store lacks.  A
+    batch that runs again after a failure finds its keys there, so nothing is
+    stored twice."""
+
+    def one(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        new = batch.dropDuplicates(keys)
+        try:
+            have = spark.read.parquet(store).select(*keys)
+        except Exception as e:  # the store does not exist before the first batch
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        else:
+            new = new.join(have, keys, "left_anti")
+        new.write.mode("append").parquet(store)
+
+    return arriving.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
