@@ -1,6 +1,6 @@
 """All registered queries of the evidence engine and their SQL."""
 
-from . import evidence, statistics, tables
+from . import evidence, more, statistics, tables
 
-QUERIES = {**statistics.QUERIES, **tables.QUERIES, **evidence.QUERIES}
-SQL = {**statistics.SQL, **tables.SQL, **evidence.SQL}
+QUERIES = {**statistics.QUERIES, **tables.QUERIES, **evidence.QUERIES, **more.QUERIES}
+SQL = {**statistics.SQL, **tables.SQL, **evidence.SQL, **more.SQL}
