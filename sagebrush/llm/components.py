@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import stored, stored_and_counted
 
 
 def roots(parents: DataFrame) -> DataFrame:
-    """(node, root) of a forest given as (node, parent) with parent < node, by
-    pointer doubling.  Roots themselves have no row."""
-    at = stored(parents.select("node", F.col("parent").alias("root"), F.lit(True).alias("moved")))
-    while not at.filter("moved").isEmpty():
-        up = at.select(F.col("node").alias("n"), F.col("root").alias("r"))
-        at = stored(at.join(up, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root"), F.col("r").isNotNull().alias("moved")))
+    """(node, root) of a forest given as (node, parent), by pointer doubling, two
+    hops a round.  Roots themselves have no row."""
+    at = stored(parents.select("node", F.col("parent").alias("root")))
+
+    def hop(df: DataFrame) -> DataFrame:
+        up = df.select(F.col("node").alias("n"), F.col("root").alias("r"))
+        return df.join(up, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root"), F.col("r").isNotNull().alias("moved"))
+
+    moved = 1
+    while moved:
+        at, moved = stored_and_counted(hop(hop(at)), F.col("moved"))
     return at.select("node", "root")
 
 
@@ -23,10 +28,12 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours, then the label's own
     label; rows per round are the edges and the nodes."""
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"), F.lit(True).alias("moved")))
-    while not labels.filter("moved").isEmpty():
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
+    moved = 1
+    while moved:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "m").alias("new"))
         up = step.select(F.col("node").alias("n"), F.col("new").alias("r"))
-        labels = stored(step.join(up, F.col("new") == F.col("n"), "left").select("node", F.least("new", "r").alias("l2"), "label").select("node", F.col("l2").alias("label"), (F.col("l2") < F.col("label")).alias("moved")))
+        changed = step.join(up, F.col("new") == F.col("n"), "left").select("node", F.least("new", "r").alias("l2"), "label")
+        labels, moved = stored_and_counted(changed.select("node", F.col("l2").alias("label"), (F.col("l2") < F.col("label")).alias("moved")), F.col("moved"))
     return labels.select("node", "label")

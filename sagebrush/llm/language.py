@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from . import words as wd
 
 SLOTS = 1 << 16
-STEP = 1 << 22
+STEP = 1 << 20
 PENALTY = 15.0
 UND = "und"
 #: Least share of a language's training words for a script to be one of its own.

@@ -94,7 +94,9 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
     )
     headers = stored(base.filter("_header <> ''").groupBy(F.col("_header").alias("header")).agg(F.count("*").alias("n")))
     matched = match_headers(headers, threshold).withColumnRenamed("header", "_h")
-    own = base.join(matched, F.col("_header") == F.col("_h"), "left").drop("_h")
+    # files without a header skip the join, where they would all share one key
+    silent = base.filter("_header = ''").withColumns({"license": F.lit(None).cast("string"), "cosine": F.lit(None).cast("double")})
+    own = base.filter("_header <> ''").join(matched, F.col("_header") == F.col("_h"), "left").drop("_h").unionByName(silent)
     holders = own.filter("_file AND license IS NOT NULL").groupBy(F.col("_dir").alias("_at")).agg(F.max(F.struct("cosine", "license")).alias("_given"))
     parts = F.split("_dir", "/")
     # every directory with each of its ancestors and itself; the root is the empty path

@@ -15,19 +15,27 @@ share one of the n - ceil(0.8 n) + 1 rarest shingles of each, whatever the order
 of rarity; so each class sends those to the cells of its shingles.
 
 1. A count sketch of all shingles (fixed size) gives the order of rarity.
-2. Members of a cell get an edge to the cell's smallest member: m members give
-   m - 1 edges, never pairs.  Hot cells are dealt out and joined in a second level.
-3. Each class verifies the edge with the most common cells exactly; verified
-   edges are a forest and give first components.
-4. Edges between different first components are unresolved.  Components joined
-   by them form blocks, and only inside blocks of several components are the
-   points put into leaves and compared by the bound; pairs that survive are
-   verified exactly.  Links lie inside a block, so none is lost.
+2. A cell is streamed in the order of sizes.  A member meets the members of
+   compatible size before it, if there are at most WINDOW; pairs are counted over
+   cells, and as two sets that link share many of their rarest shingles, not just
+   one, pairs with too few common cells go.  A member with more of them before it
+   (a cluster, or a common passage) is deferred: it sends one edge to a pivot,
+   and an edge to its neighbour.  So m members send at most WINDOW * m pairs.
+3. Each class verifies the pair with the most common cells exactly; the verified
+   edges are a forest and give first components.  Other pairs are verified only
+   between different components.
+4. Deferred members: components joined by edges of neighbours form blocks, and
+   only inside blocks of several components are the points put into leaves and
+   compared by the bound; pairs that survive are verified exactly.  A link that
+   was not met as a pair lies inside a block, so none is lost.
+
+A cell is never held: a task keeps the last WINDOW + 1 members of it.
 
 Null, empty or wordless texts have no shingles and are their own components.
 A text of fewer than five words is one shingle.  Repeated rows and ids are
 fine; null ids take part and get the smallest id that they reach, null if none.
-Sets are compared by 64-bit hashes of shingles, classes by a 64-bit hash.
+Shingles are told apart by 64-bit hashes within a text and by 40 bits of them
+between two texts (the group and 32 more), classes by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -37,23 +45,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as wd
 from .components import components, roots
-from .tables import stored
+from .tables import stored, stored_and_counted
 
 SHINGLE = 5
 PERCENT = 80
 GROUPS = 256
 LEAF = 32
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 _COUNT_BITS = 20
-#: A cell whose shingle has a sketch count above this, and above 8 times the mean, is dealt out.
-HOT = 4096
+WINDOW = 32
 _BITMAP_BITS = 25
 _NO_ID = (1 << 63) - 1
 
@@ -97,7 +104,7 @@ def _slots(sets: np.ndarray) -> np.ndarray:
 
 def _sketch(docs: DataFrame) -> np.ndarray:
     """Occurrences of shingles by slot, over all documents.  Each task sums its
-    own, tasks are summed by part of the sketch, and the driver gets 2**18 counts."""
+    own, tasks are summed by part of the sketch, and the driver gets 2**20 counts."""
     part = 1 << 12
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +131,7 @@ def _sketch(docs: DataFrame) -> np.ndarray:
 
 
 def _tokens(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(cls, token): the rarest shingles of each document; a token starts with
+    """(cls, n, token): the rarest shingles of each document; a token starts with
     the sketch count, so its order is the order of rarity."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, (1 << _COUNT_BITS) - 1).astype(np.uint64))
 
@@ -136,7 +143,7 @@ def _tokens(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 cls = class_ids(sets, at)
                 tokens = (counts[_slots(sets)] << np.uint64(63 - _COUNT_BITS)) | (sets >> np.uint64(_COUNT_BITS + 1))
                 n = np.diff(at)
-                keep = np.where(n > 0, n + (-PERCENT * n) // 100 + 1, 0)
+                keep = np.where(n > 0, prefix(n), 0)
                 # copies inside a batch would send the same rows
                 first = np.zeros(len(cls), bool)
                 first[np.unique(cls, return_index=True)[1]] = True
@@ -148,92 +155,200 @@ def _tokens(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                         own.sort()
                         out.append(own[:k])
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cls, keep)), pa.array(np.concatenate(out).view(np.int64))], ["cls", "token"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cls, keep)), pa.array(np.repeat(n, keep).astype(np.int32)), pa.array(np.concatenate(out).view(np.int64))], ["cls", "n", "token"])
 
-    return docs.mapInArrow(run, "cls long, token long")
+    return docs.mapInArrow(run, "cls long, n int, token long")
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, bucket, cls): an edge of each member of a cell to
-    its first, and a row of each cell that was dealt out."""
-    last = None  # (token, bucket), first member, last member
-    for batch in batches:
-        token, bucket, cls = (np.asarray(batch.column(i)) for i in (0, 1, 2))
-        dealt = np.asarray(batch.column(3))
-        if not len(token):
-            continue
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (bucket[1:] != bucket[:-1])
-        first = cls[np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))]
-        if last is not None and last[0] == (token[0], bucket[0]):
-            until = int(np.argmax(new[1:])) + 1 if new[1:].any() else len(token)
-            first[:until] = last[1]
-            new[0] = False
-        last = ((token[-1], bucket[-1]), first[-1])
-        edge = cls != first
-        edge[1:] &= ~((cls[1:] == cls[:-1]) & (first[1:] == first[:-1]) & (token[1:] == token[:-1]))
-        level = new & dealt
-        keep = edge | level
-        yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array(first[keep]), pa.array(token[keep], mask=edge[keep])], ["a", "b", "token"])
-
-
-def _edges(tokens: DataFrame, mean: float) -> DataFrame:
-    """(a, b, n): edges to a smaller class, with the number of common cells."""
-    hot = max(HOT, int(8 * mean))
-    count = F.shiftright("token", 63 - _COUNT_BITS)
-    buckets = F.ceil(count / F.lit(hot))
-    dealt = tokens.select("token", F.when(buckets > 1, F.pmod("cls", buckets)).otherwise(F.lit(0)).cast("int").alias("bucket"), "cls", (buckets > 1).alias("dealt"))
-    rows = stored(dealt.repartition("token", "bucket").sortWithinPartitions("token", "bucket", "cls").mapInArrow(_stars, "a long, b long, token long").groupBy("a", "b", "token").count())
-    cells = rows.filter("token IS NOT NULL")
-    second = cells.select(F.col("b").alias("a"), F.min("b").over(W.partitionBy("token")).alias("b")).filter("a <> b").withColumn("count", F.lit(1))
-    return stored(rows.filter("token IS NULL").select("a", "b", "count").unionByName(second).groupBy("a", "b").agg(F.sum("count").alias("n")))
+def prefix(n):
+    """How many of its rarest shingles a set of n sends."""
+    return n + (-PERCENT * n) // 100 + 1
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, n, shingles, point) of the classes in ``wanted`` (cls, d), each from
-    the document d.  A bitmap of the ids, of fixed size, spares the others."""
-    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << _BITMAP_BITS) - 1))
+def _meet(window: int):
+    """Rows sorted by (token, n, cls): kind 0, a pair; kind 1, an edge of a
+    deferred member to its pivot; kind 2, an edge of neighbours around deferred
+    members.  a is behind b in the order of (n, cls)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64) for _ in range(3)]  # the last rows of the cell that is open
+        pivot = None  # (token, n, cls)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            old = len(held[0])
+            token, n, cls = (np.concatenate((h, np.asarray(batch.column(i)).astype(np.int64))) for i, h in enumerate(held))
+            again = np.zeros(len(token), bool)  # copies met in different batches
+            again[1:] = (token[1:] == token[:-1]) & (cls[1:] == cls[:-1])
+            old -= int(again[:old].sum())
+            token, n, cls = token[~again], n[~again], cls[~again]
+            rows = np.arange(len(token))
+            fits = lambda s: (token[s:] == token[: len(token) - s]) & (100 * n[: len(token) - s] >= PERCENT * n[s:])
+            deferred = np.zeros(len(token), bool)
+            if len(token) > window + 1:
+                deferred[window + 1 :] = fits(window + 1)
+            a, b = [], []
+            for s in range(1, min(window, len(token) - 1) + 1):
+                met = rows[s:][fits(s) & ~deferred[s:]]
+                met = met[met >= old]
+                if s > 1 and not len(met):
+                    break
+                a.append(met)
+                b.append(met - s)
+            kind = [np.zeros(len(x), np.int8) for x in a]
+            late = rows[deferred]
+            late = late[late >= old]
+            if len(late):
+                first = np.empty(len(late), np.int64)
+                names, sizes = np.empty(len(late), np.int64), np.empty(len(late), np.int64)
+                for k, i in enumerate(late.tolist()):
+                    if pivot is None or pivot[0] != token[i] or 100 * pivot[1] < PERCENT * n[i]:
+                        pivot = (token[i], n[i - window - 1], cls[i - window - 1])
+                    sizes[k], names[k], first[k] = pivot[1], pivot[2], i
+                chain = np.zeros(len(token) + window + 2, bool)
+                for s in range(window + 1):
+                    chain[late - s] = True
+                chain = np.flatnonzero(chain[: len(token)])
+                a.append(chain)
+                b.append(chain - 1)
+                kind.append(np.full(len(chain), 2, np.int8))
+            i, j, kind = np.concatenate(a) if a else rows[:0], np.concatenate(b) if b else rows[:0], np.concatenate(kind) if kind else np.zeros(0, np.int8)
+            out = [cls[i], cls[j], n[i], n[j], kind]
+            if len(late):
+                out = [np.concatenate(x) for x in zip(out, (cls[first], names, n[first], sizes, np.ones(len(late), np.int8)), strict=True)]
+            keep = max(0, len(token) - window - 1)
+            tail = token[keep:] == token[-1]
+            held = [x[keep:][tail] for x in (token, n, cls)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b", "na", "nb", "kind"])
+
+    return run
+
+
+def _needed(na: Column, nb: Column) -> Column:
+    """Least number of common cells of two sets that link: of their common
+    shingles in the order of rarity, the i-th has a rank of at most i plus the
+    number of shingles that the other set lacks.  One less, as two shingles may
+    have one token."""
+    least = F.ceil(F.lit(PERCENT) * (na + nb) / F.lit(100 + PERCENT))
+    sent = lambda n: n - F.ceil(F.lit(PERCENT) * n / F.lit(100)) + 1
+    return F.greatest(F.lit(1), F.least(sent(na) - (na - least), sent(nb) - (nb - least)) - 1)
+
+
+def candidates(tokens: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(a, b, n): pairs and edges to pivots to verify, with their common cells;
+    and (a, b): edges of neighbours that make the blocks."""
+    met = tokens.select("token", F.col("n").cast("long").alias("n"), "cls").repartition("token").sortWithinPartitions("token", "n", "cls")
+    rows = stored(met.mapInArrow(_meet(window), "a long, b long, na long, nb long, kind byte").groupBy("a", "b", "na", "nb", "kind").agg(F.count("*").alias("c")))
+    late = rows.filter("kind = 1").groupBy("a").agg(F.sum("c").alias("late"))
+    enough_ = (F.col("c") + F.coalesce("late", F.lit(0))) >= _needed(F.col("na"), F.col("nb"))
+    pairs = rows.filter("kind = 0").join(late, "a", "left").filter(enough_)
+    to_verify = pairs.select("a", "b", "c").unionByName(rows.filter("kind = 1").select("a", "b", "c")).groupBy("a", "b").agg(F.sum("c").alias("n"))
+    return stored(to_verify), rows.filter("kind = 2").select("a", "b").distinct()
+
+
+def _slot(c: str) -> Column:
+    return F.xxhash64(c).bitwiseAND(F.lit((1 << _BITMAP_BITS) - 1))
+
+
+def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """2**25 flags of the values of a column: at most 1024 rows of 4 KB reach
+    the driver, whatever the input.  A fuller bitmap only lets more rows pass."""
+    slot = (_slot(column) + 1).alias("s")
+    rows = keys.select(slot).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
     bits = np.zeros((1 << _BITMAP_BITS) // 8, np.uint8)
-    rows = wanted.select((slot("d") + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-    for r in rows.collect():  # 1024 rows of 4 KB at most
+    for r in rows:
         bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    return bits
+
+
+def _flagged(bits: np.ndarray, slots: pa.Array) -> np.ndarray:
+    s = np.asarray(slots)
+    return ((bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _near(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows of df whose value of ``column`` is among the keys, and few others,
+    without a shuffle of df."""
+    shared, names = df.sparkSession.sparkContext.broadcast(_bitmap(keys, column)), df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_flagged(shared.value, batch.column(batch.num_columns - 1)))).select(names)
+
+    return df.withColumn("_slot", _slot(column).cast("int")).mapInArrow(run, df.schema)
+
+
+def _blobs(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Binary values that lie one after the other."""
+    width = data.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def packed(sets: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The points of the sets, and the rest of their shingles.  A shingle's group
+    is the first 8 bits of its hash; in the order of hashes the counts of groups
+    and the next 32 bits of each make up the set, in 4 bytes a shingle."""
+    n = len(at) - 1
+    owner = np.repeat(np.arange(n), np.diff(at))
+    points = np.bincount(owner * GROUPS + (sets >> np.uint64(56)).astype(np.int64), minlength=n * GROUPS)
+    wide = points.max(initial=0) > 65535
+    points = points.astype(np.uint32 if wide else np.uint16)
+    return _blobs(points, np.arange(n + 1) * GROUPS), _blobs(((sets >> np.uint64(24)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), at)
+
+
+def unpacked(point: np.ndarray, rest: bytes) -> np.ndarray:
+    return np.repeat(np.arange(GROUPS, dtype=np.uint64) << np.uint64(32), point) | np.frombuffer(rest, np.uint32)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (cls, d and more) with n, point and rest, each from the document d."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "d"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = shared.value
         for batch in batches:
-            s = np.asarray(batch.column(1))
-            near = np.flatnonzero((flags[s >> 3] >> (s & 7).astype(np.uint8)) & 1)
-            texts, ids = batch.column(0).take(pa.array(near)), batch.column(2).take(pa.array(near))
+            near = pa.array(np.flatnonzero(_flagged(shared.value, batch.column(1))))
+            texts, ids = batch.column(0).take(near), batch.column(2).take(near)
             for i, j, words in wd.doc_steps(texts, wd.SOLID):
                 sets, at = shingle_sets(words)
-                n = np.diff(at)
-                owner = np.repeat(np.arange(j - i), n)
-                group = (wd.mix(sets ^ np.uint64(77)) & np.uint64(GROUPS - 1)).astype(np.int64)
-                points = np.bincount(owner * GROUPS + group, minlength=(j - i) * GROUPS).reshape(-1, GROUPS).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(class_ids(sets, at)), pa.array(n), wd.lists(sets.view(np.int64), at, pa.int64()), pa.array([p.tobytes() for p in points], pa.binary())], ["d", "cls", "n", "shingles", "point"]
-                )
+                out = pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(class_ids(sets, at)), pa.array(np.diff(at)), *packed(sets, at)], ["d", "cls", "n", "point", "rest"])
+                yield out.take(pa.array(np.sort(np.unique(np.column_stack((np.asarray(out.column(0)), np.asarray(out.column(1)))), axis=0, return_index=True)[1])))
 
-    made = docs.select("text", slot("d").cast("int").alias("s"), "d").mapInArrow(run, "d long, cls long, n long, shingles array<long>, point binary")
-    return made.join(wanted.select("d", "cls"), ["d", "cls"], "left_semi").drop("d").dropDuplicates(["cls"])
+    made = docs.select("text", _slot("d").cast("int").alias("s"), "d").mapInArrow(run, "d long, cls long, n long, point binary, rest binary")
+    # equal rows of docs give equal rows here; they have met by (d, cls) already
+    return made.join(wanted, ["d", "cls"]).dropDuplicates(["d", "cls"]).drop("d")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) pairs whose sets reach the threshold."""
-    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    fits = (F.lit(100) * F.col("nb") >= F.lit(PERCENT) * F.col("na")) & (F.lit(100) * F.col("na") >= F.lit(PERCENT) * F.col("nb"))
-    met = pairs.select("a", "b").join(left, "a").join(right, "b").filter(fits).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return met.filter(F.lit(100) * F.col("both") >= F.lit(PERCENT) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+def _points(column: pa.Array) -> np.ndarray:
+    found = column.to_pylist()
+    if all(len(x) == 2 * GROUPS for x in found):
+        return np.frombuffer(b"".join(found), np.uint16).reshape(-1, GROUPS)
+    return np.array([np.frombuffer(x, np.uint16 if len(x) == 2 * GROUPS else np.uint32) for x in found], np.uint32)
 
 
-def _points(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, GROUPS)
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with both sets: the bound first, then the sets themselves."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1024):
+            part = batch.slice(i, 1024)
+            left, right = _points(part.column("pa")), _points(part.column("pb"))
+            size = np.asarray(part.column("na")) + np.asarray(part.column("nb"))
+            keep = enough(np.minimum(left, right).sum(axis=1, dtype=np.int64), size)
+            for k in np.flatnonzero(keep):
+                one, two = unpacked(left[k], part.column("ra")[int(k)].as_py()), unpacked(right[k], part.column("rb")[int(k)].as_py())
+                keep[k] = enough(len(np.intersect1d(one, two, assume_unique=True)), size[k])
+            yield part.select(["a", "b"]).filter(pa.array(keep))
+
+
+def _linked(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The (a, b) whose sets reach the threshold; ``left`` has a and b."""
+    one = left.select("a", "b", F.col("n").alias("na"), F.col("point").alias("pa"), F.col("rest").alias("ra"))
+    two = right.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"), F.col("rest").alias("rb"))
+    fits = (F.lit(100) * F.col("nb") >= F.lit(PERCENT) * F.col("na")) & (F.lit(100) * F.col("na") >= F.lit(PERCENT) * F.col("nb"))
+    return one.join(two, "b").filter(fits).select("a", "b", "na", "nb", "pa", "pb", "ra", "rb").mapInArrow(_verify, "a long, b long")
 
 
-def enough(minima: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Whether an overlap of ``minima`` can reach the threshold for two sets of
+def enough(minima, sizes):
+    """Whether an overlap of ``minima`` reaches the threshold for two sets of
     ``sizes`` in all."""
     return (100 + PERCENT) * minima >= PERCENT * sizes
 
@@ -251,7 +366,7 @@ def _rectangle(rows: pa.Table) -> pa.Table:
     """A leaf: the largest count of its points in each group."""
     top = _points(rows.column("point").combine_chunks()).max(axis=0)
     n, comp = np.asarray(rows.column("n")), np.asarray(rows.column("comp"))
-    return pa.table([rows.column("block").slice(0, 1), rows.column("leaf").slice(0, 1), pa.array([n.min()]), pa.array([n.max()]), pa.array([comp.min()]), pa.array([comp.max()]), pa.array([top.tobytes()], pa.binary())], ["block", "leaf", "lo", "hi", "c_lo", "c_hi", "point"])
+    return pa.table([rows.column("block").slice(0, 1), rows.column("leaf").slice(0, 1), pa.array([n.min()]), pa.array([n.max()]), pa.array([comp.min()]), pa.array([comp.max()]), pa.array([top.astype(np.uint32).tobytes()], pa.binary())], ["block", "leaf", "lo", "hi", "c_lo", "c_hi", "point"])
 
 
 def tree_pairs(points: DataFrame) -> DataFrame:
@@ -297,22 +412,29 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = stored(rows.filter("n > 0").groupBy("cls").agg(F.min(F.coalesce(F.col("id").cast("long"), F.lit(_NO_ID))).alias("d")))
     texts = base.select("text")
     sketch = _sketch(texts)
-    edges = _edges(_tokens(texts, sketch), float(sketch.sum()) / len(sketch))
-    ends = edges.select(F.col("a").alias("cls")).union(edges.select(F.col("b").alias("cls"))).distinct()
-    sets = stored(_sets(base, stored(classes.join(ends, "cls", "left_semi"))))
-    best = edges.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-    forest = roots(_linked(best, sets).select(F.col("a").alias("node"), F.col("b").alias("parent")))
+    pairs, chain = candidates(_tokens(texts, _sketch(texts)))
+    best = stored(pairs.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
+    pivots = best.select(F.col("b").alias("cls"), F.lit(True).alias("pivot")).distinct()
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).union(chain.select(F.col("a").alias("cls"))).union(chain.select(F.col("b").alias("cls"))).distinct()
+    wanted = stored(classes.join(ends, "cls", "left_semi").join(best.withColumnRenamed("a", "cls"), "cls", "left").join(pivots, "cls", "left"))
+    sets = stored(_sets(base, wanted))
+    forest = roots(_linked(sets.filter("b IS NOT NULL").withColumnRenamed("cls", "a"), sets.filter("pivot")).select(F.col("a").alias("node"), F.col("b").alias("parent")))
     comp = lambda df, c, to: df.join(forest.select(F.col("node").alias(c), F.col("root").alias("_r")), c, "left").withColumn(to, F.coalesce("_r", F.col(c))).drop("_r")
-    apart = stored(comp(comp(edges.select("a", "b"), "a", "ca"), "b", "cb").filter("ca <> cb").select("ca", "cb").distinct())
     label = classes.join(forest.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "d", F.coalesce("root", "cls").alias("comp"))
-    if not apart.isEmpty():
-        blocks = stored(components(apart.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("node", "comp").withColumnRenamed("label", "block"))
-        points = comp(sets.select("cls", "n", "point"), "cls", "comp").join(blocks, "comp")
-        links = stored(_linked(tree_pairs(points), sets))
-        if not links.isEmpty():
-            joined = comp(comp(links, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            merged = components(joined).withColumnRenamed("node", "comp")
-            label = label.join(merged, "comp", "left").select("cls", "d", F.coalesce("label", "comp").alias("comp"))
+    met = pairs.join(best, ["a", "b"], "left_anti").select("a", "b", F.lit(False).alias("chained")).unionByName(chain.select("a", "b", F.lit(True).alias("chained")))
+    open_, n_chained = stored_and_counted(comp(comp(met, "a", "ca"), "b", "cb").filter("ca <> cb"), F.col("chained"))
+    more = open_.filter("NOT chained").select("a", "b")
+    if n_chained:
+        blocks = components(open_.filter("chained").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("node", "comp").withColumnRenamed("label", "block")
+        members = stored(label.join(blocks, "comp").select("cls", "comp", "block"))
+        points = _near(sets.select("cls", "n", "point"), members, "cls").join(members, "cls")
+        more = more.unionByName(tree_pairs(points)).distinct()
+    more, n_more = stored_and_counted(more, F.lit(True))
+    if n_more:
+        rest = _near(sets.select("cls", "n", "point", "rest"), more.select(F.col("a").alias("cls")).union(more.select(F.col("b").alias("cls"))), "cls")
+        links = comp(comp(_linked(more.join(rest.withColumnRenamed("cls", "a"), "a"), rest), "a", "ca"), "b", "cb")
+        merged = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("node", "comp")
+        label = label.join(merged, "comp", "left").select("cls", "d", F.coalesce("label", "comp").alias("comp"))
     label = stored(label)
     smallest = label.groupBy("comp").agg(F.min("d").alias("component"))
     final = label.join(smallest, "comp").select("cls", "component")

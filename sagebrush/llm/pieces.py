@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "▁"
-BATCH = 1 << 21
-INDEX = 1 << 19
-MEMO = 1 << 19
+BATCH = 1 << 20
+INDEX = 1 << 18
+MEMO = 1 << 18
 LONG = 48
 _NONE = np.iinfo(np.int32).max
 

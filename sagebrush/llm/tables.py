@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,3 +20,12 @@ def stored(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix=f"checkpoints-{os.getpid()}-"))
     return df.checkpoint(eager=True)
+
+
+def stored_and_counted(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """stored(), and how many rows meet a condition, in one job."""
+    from pyspark.sql import functions as F
+
+    seen = Observation()
+    out = stored(df.observe(seen, F.count_if(condition).alias("n")))
+    return out, seen.get["n"]

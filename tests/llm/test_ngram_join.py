@@ -68,17 +68,14 @@ def test_equals_all_pairs(spark):
     assert got == want, {k: (got[k], want[k]) for k in want if got[k] != want[k]}
 
 
-def test_hot_cells_are_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(nj, "HOT", 3)
-    docs = fixture()[:150]
+def test_deferred_members(spark, monkeypatch):
+    """With a small window most members are deferred and met through the tree."""
+    monkeypatch.setattr(nj.candidates, "__defaults__", (2,))
+    docs = fixture()
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    sketch = nj._sketch(frame.select("text"))
-    edges = nj._edges(nj._tokens(frame.select("text"), sketch), 0.0)
-    plain = nj._edges(nj._tokens(frame.select("text"), np.minimum(sketch, 3)), 0.0)
-    from sagebrush.llm.components import components
-
-    label = lambda e: {(r["node"], r["label"]) for r in components(e.select("a", "b")).collect()}
-    assert edges.filter("a <= b").isEmpty() and label(edges) == label(plain)
+    assert not nj.candidates(nj._tokens(frame.select("text"), nj._sketch(frame.select("text"))))[1].isEmpty()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.similar_groups(frame).collect()}
+    assert got == brute(docs)
 
 
 def test_edge_cases(spark):
