@@ -411,7 +411,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = stored(profiles(docs, id_col, text_col))
     classes = stored(rows.filter("n > 0").groupBy("cls").agg(F.min(F.coalesce(F.col("id").cast("long"), F.lit(_NO_ID))).alias("d")))
     texts = base.select("text")
-    sketch = _sketch(texts)
     pairs, chain = candidates(_tokens(texts, _sketch(texts)))
     best = stored(pairs.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
     pivots = best.select(F.col("b").alias("cls"), F.lit(True).alias("pivot")).distinct()
