@@ -20,14 +20,16 @@ of rarity; so each class sends those to the cells of its shingles.
    cells, and as two sets that link share many of their rarest shingles, not just
    one, pairs with too few common cells go.  A member with more of them before it
    (a cluster, or a common passage) is deferred: it sends one edge to a pivot,
-   and an edge to its neighbour.  So m members send at most WINDOW * m pairs.
+   and one to the first of its run in the cell, so that blocks are flat.  So m members send at most WINDOW * m pairs.
 3. Each class verifies the pair with the most common cells exactly; the verified
    edges are a forest and give first components.  Other pairs are verified only
    between different components.
-4. Deferred members: components joined by edges of neighbours form blocks, and
-   only inside blocks of several components are the points put into leaves and
-   compared by the bound; pairs that survive are verified exactly.  A link that
-   was not met as a pair lies inside a block, so none is lost.
+4. Deferred members: components joined by the edges of runs form blocks.  Members
+   are first verified against PIVOTS members of their block, which joins most near
+   copies.  In blocks that still have several components the points are put into
+   leaves, pairs of leaves compared by the bound, and inside the surviving pairs
+   points by the bound and then exactly.  A link that was not met as a pair lies
+   inside a block, so none is lost.
 
 A cell is never held: a task keeps the last WINDOW + 1 members of it.
 
@@ -41,6 +43,7 @@ between two texts (the group and 32 more), classes by a 64-bit hash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +61,8 @@ SHINGLE = 5
 PERCENT = 80
 GROUPS = 256
 LEAF = 32
+LEAF_BYTES = 1 << 20
+PIVOTS = 4
 SKETCH_BITS = 20
 _COUNT_BITS = 20
 WINDOW = 32
@@ -167,8 +172,8 @@ def prefix(n):
 
 def _meet(window: int):
     """Rows sorted by (token, n, cls): kind 0, a pair; kind 1, an edge of a
-    deferred member to its pivot; kind 2, an edge of neighbours around deferred
-    members.  a is behind b in the order of (n, cls)."""
+    deferred member to its pivot; kind 2, an edge of a run around deferred members
+    to its first.  a is behind b in the order of (n, cls)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64) for _ in range(3)]  # the last rows of the cell that is open
@@ -209,8 +214,10 @@ def _meet(window: int):
                 for s in range(window + 1):
                     chain[late - s] = True
                 chain = np.flatnonzero(chain[: len(token)])
+                # the member before the first of each run of them stands for the run
+                begins = np.append(True, np.diff(chain) > 1)
                 a.append(chain)
-                b.append(chain - 1)
+                b.append((chain[begins] - 1)[np.cumsum(begins) - 1])
                 kind.append(np.full(len(chain), 2, np.int8))
             i, j, kind = np.concatenate(a) if a else rows[:0], np.concatenate(b) if b else rows[:0], np.concatenate(kind) if kind else np.zeros(0, np.int8)
             out = [cls[i], cls[j], n[i], n[j], kind]
@@ -236,7 +243,7 @@ def _needed(na: Column, nb: Column) -> Column:
 
 def candidates(tokens: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(a, b, n): pairs and edges to pivots to verify, with their common cells;
-    and (a, b): edges of neighbours that make the blocks."""
+    and (a, b): edges of runs that make the blocks."""
     met = tokens.select("token", F.col("n").cast("long").alias("n"), "cls").repartition("token").sortWithinPartitions("token", "n", "cls")
     rows = stored(met.mapInArrow(_meet(window), "a long, b long, na long, nb long, kind byte").groupBy("a", "b", "na", "nb", "kind").agg(F.count("*").alias("c")))
     late = rows.filter("kind = 1").groupBy("a").agg(F.sum("c").alias("late"))
@@ -339,12 +346,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _fits() -> Column:
+    """Whether the sizes alone let two sets reach the threshold."""
+    return (F.lit(100) * F.col("nb") >= F.lit(PERCENT) * F.col("na")) & (F.lit(100) * F.col("na") >= F.lit(PERCENT) * F.col("nb"))
+
+
 def _linked(left: DataFrame, right: DataFrame) -> DataFrame:
     """The (a, b) whose sets reach the threshold; ``left`` has a and b."""
     one = left.select("a", "b", F.col("n").alias("na"), F.col("point").alias("pa"), F.col("rest").alias("ra"))
     two = right.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"), F.col("rest").alias("rb"))
-    fits = (F.lit(100) * F.col("nb") >= F.lit(PERCENT) * F.col("na")) & (F.lit(100) * F.col("na") >= F.lit(PERCENT) * F.col("nb"))
-    return one.join(two, "b").filter(fits).select("a", "b", "na", "nb", "pa", "pb", "ra", "rb").mapInArrow(_verify, "a long, b long")
+    return one.join(two, "b").filter(_fits()).select("a", "b", "na", "nb", "pa", "pb", "ra", "rb").mapInArrow(_verify, "a long, b long")
 
 
 def enough(minima, sizes):
@@ -358,38 +369,89 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, batch.num_rows, 2048):
             part = batch.slice(i, 2048)
             low = np.minimum(_points(part.column("pa")), _points(part.column("pb"))).sum(axis=1, dtype=np.int64)
-            keep = pa.array(enough(low, np.asarray(part.column("na")) + np.asarray(part.column("nb"))))
-            yield part.select(["a", "b"]).filter(keep) if part.num_rows else part.select(["a", "b"])
-
+            yield part.select(["l1", "l2"]).filter(pa.array(enough(low, np.asarray(part.column("na")) + np.asarray(part.column("nb")))))
 
-def _rectangle(rows: pa.Table) -> pa.Table:
-    """A leaf: the largest count of its points in each group."""
-    top = _points(rows.column("point").combine_chunks()).max(axis=0)
-    n, comp = np.asarray(rows.column("n")), np.asarray(rows.column("comp"))
-    return pa.table([rows.column("block").slice(0, 1), rows.column("leaf").slice(0, 1), pa.array([n.min()]), pa.array([n.max()]), pa.array([comp.min()]), pa.array([comp.max()]), pa.array([top.astype(np.uint32).tobytes()], pa.binary())], ["block", "leaf", "lo", "hi", "c_lo", "c_hi", "point"])
 
-
-def tree_pairs(points: DataFrame) -> DataFrame:
-    """(a, b): pairs of points (cls, n, point, comp, block) of one block and
-    different components that the bound lets through, by a two-level R-tree of
-    each block: points sorted by component and size, in leaves of LEAF."""
-    order = W.partitionBy("block").orderBy("comp", "n", "cls")
-    placed = stored(points.withColumn("leaf", F.floor((F.row_number().over(order) - 1) / LEAF)))
-    leaves = stored(placed.select("block", "leaf", "n", "comp", "point").groupBy("block", "leaf").applyInArrow(_rectangle, "block long, leaf long, lo long, hi long, c_lo long, c_hi long, point binary"))
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (block, comp, n, cls) as leaves: runs of one block of at
+    most LEAF members and LEAF_BYTES of sets (a larger set alone), with the
+    largest count of the members' points in each group."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        block = np.asarray(batch.column("block"))
+        size = np.cumsum(4 * np.asarray(batch.column("n")) + 2 * GROUPS)
+        i = 0
+        while i < batch.num_rows:
+            j = min(i + LEAF, int(np.searchsorted(size, size[i] + LEAF_BYTES, "right")))
+            j = max(i + 1, min(j, i + int((block[i:j] == block[i]).sum())))
+            part = batch.slice(i, j - i)
+            n, comp = np.asarray(part.column("n")), np.asarray(part.column("comp"))
+            top = _points(part.column("point")).max(axis=0).astype(np.uint32)
+            one = [[int(block[i])], [number], [int(n.min())], [int(n.max())], [int(comp.min())], [int(comp.max())], [top.tobytes()], *([part.column(c).to_pylist()] for c in ("n", "comp", "point", "rest"))]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(one, _LEAF_TYPES, strict=True)], _LEAF_NAMES)
+            number += 1
+            i = j
+
+
+_LEAF_NAMES = ["block", "leaf", "lo", "hi", "c_lo", "c_hi", "top", "ns", "comps", "points", "rests"]
+_LEAF_TYPES = [*[pa.int64()] * 6, pa.binary(), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.binary())] * 2]
+_LEAF_SCHEMA = "block long, leaf long, lo long, hi long, c_lo long, c_hi long, top binary, ns array<long>, comps array<long>, points array<binary>, rests array<binary>"
+
+
+def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links between the components of two leaves, as a forest: points first,
+    then the sets of pairs whose components are not joined yet."""
+    for batch in batches:
+        out = []
+        for row in range(batch.num_rows):
+            x, y = ({c: batch.column(f"{c}{k}")[row].values for c in ("ns", "comps", "points", "rests")} for k in (1, 2))
+            n1, n2, c1, c2 = (np.asarray(t[c]) for c in ("ns", "comps") for t in (x, y))
+            p1, p2 = _points(x["points"]), _points(y["points"])
+            parent: dict[int, int] = {}
+
+            def root(c: int, parent=parent) -> int:
+                while parent.get(c, c) != c:
+                    c = parent[c]
+                return c
+
+            for i in range(len(n1)):
+                low = np.minimum(p1[i], p2).sum(axis=1, dtype=np.int64)
+                near = np.flatnonzero(enough(low, n1[i] + n2) & (c1[i] != c2))
+                one = unpacked(p1[i], x["rests"][i].as_py()) if len(near) else None
+                for j in near.tolist():
+                    a, b = root(int(c1[i])), root(int(c2[j]))
+                    if a != b and enough(len(np.intersect1d(one, unpacked(p2[j], y["rests"][j].as_py()), assume_unique=True)), n1[i] + n2[j]):
+                        parent[max(a, b)] = min(a, b)
+                        out.append((int(c1[i]), int(c2[j])))
+        ends = np.array(out, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+
+def tree_links(points: DataFrame) -> DataFrame:
+    """(a, b): components of points (cls, n, point, rest, comp, block) that a link
+    inside a block joins, by a two-level R-tree of each block: points sorted by
+    component and size in leaves, pairs of leaves that the bound lets through.
+    Pairs of points stay inside a task; it sends a forest of components."""
+    order = ("block", "comp", "n", "cls")
+    leaves = stored(points.repartitionByRange(*order).sortWithinPartitions(*order).select("block", "comp", "n", "point", "rest").mapInArrow(_leaves, _LEAF_SCHEMA))
     x, y = leaves.alias("x"), leaves.alias("y")
     fits = lambda lo, hi: F.lit(100) * F.col(hi) >= F.lit(PERCENT) * F.col(lo)
     several = (F.col("x.c_lo") != F.col("x.c_hi")) | (F.col("y.c_lo") != F.col("y.c_hi")) | (F.col("x.c_lo") != F.col("y.c_lo"))
     near = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.leaf") <= F.col("y.leaf")) & several & fits("x.lo", "y.hi") & fits("y.lo", "x.hi"))
-    # (block, leaf, leaf) stands for a and b; the smallest sizes ask for the least overlap
-    code = lambda t: F.struct(F.col(f"{t}.block").alias("block"), F.col(f"{t}.leaf").alias("leaf"))
-    kept = near.select(code("x").alias("a"), code("y").alias("b"), F.col("x.lo").alias("na"), F.col("y.lo").alias("nb"), F.col("x.point").alias("pa"), F.col("y.point").alias("pb")).mapInArrow(
-        _bounded, "a struct<block:long,leaf:long>, b struct<block:long,leaf:long>"
-    )
-    kept = kept.select(F.col("a.block").alias("block"), F.col("a.leaf").alias("l1"), F.col("b.leaf").alias("l2"))
-    left = placed.select("block", F.col("leaf").alias("l1"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("point").alias("pa"))
-    right = placed.select("block", F.col("leaf").alias("l2"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("point").alias("pb"))
-    pairs = kept.join(left, ["block", "l1"]).join(right, ["block", "l2"]).filter((F.col("ca") != F.col("cb")) & ((F.col("l1") < F.col("l2")) | (F.col("a") < F.col("b"))) & fits("na", "nb") & fits("nb", "na"))
-    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_bounded, "a long, b long")
+    # the smallest sizes ask for the least overlap
+    near = near.select(F.col("x.leaf").alias("l1"), F.col("y.leaf").alias("l2"), F.col("x.lo").alias("na"), F.col("y.lo").alias("nb"), F.col("x.top").alias("pa"), F.col("y.top").alias("pb"))
+    side = lambda k: leaves.select(F.col("leaf").alias(f"l{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("ns", "comps", "points", "rests")])
+    return near.mapInArrow(_bounded, "l1 long, l2 long").join(side(1), "l1").join(side(2), "l2").drop("l1", "l2").mapInArrow(_inside, "a long, b long").distinct()
+
+
+def pivot_links(points: DataFrame) -> DataFrame:
+    """(a, b): links between members of a block and PIVOTS of them; they join
+    most of a block of near copies by PIVOTS rows a member."""
+    some = W.partitionBy("block").orderBy(F.xxhash64("cls"), "cls")
+    keys = points.select("block", "cls").withColumn("_k", F.row_number().over(some)).filter(F.col("_k") <= PIVOTS).select("cls")
+    pivots = points.join(keys, "cls", "left_semi").select("block", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("point").alias("pb"), F.col("rest").alias("rb"))
+    left = points.select("block", F.col("cls").alias("a"), "comp", F.col("n").alias("na"), F.col("point").alias("pa"), F.col("rest").alias("ra"))
+    return left.join(pivots, "block").filter((F.col("comp") != F.col("cb")) & _fits()).select("a", "b", "na", "nb", "pa", "pb", "ra", "rb").mapInArrow(_verify, "a long, b long")
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -422,17 +484,23 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     label = classes.join(forest.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "d", F.coalesce("root", "cls").alias("comp"))
     met = pairs.join(best, ["a", "b"], "left_anti").select("a", "b", F.lit(False).alias("chained")).unionByName(chain.select("a", "b", F.lit(True).alias("chained")))
     open_, n_chained = stored_and_counted(comp(comp(met, "a", "ca"), "b", "cb").filter("ca <> cb"), F.col("chained"))
-    more = open_.filter("NOT chained").select("a", "b")
+    ends_of = lambda links: comp(comp(links, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    found = []  # edges of components
     if n_chained:
         blocks = components(open_.filter("chained").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("node", "comp").withColumnRenamed("label", "block")
         members = stored(label.join(blocks, "comp").select("cls", "comp", "block"))
-        points = _near(sets.select("cls", "n", "point"), members, "cls").join(members, "cls")
-        more = more.unionByName(tree_pairs(points)).distinct()
-    more, n_more = stored_and_counted(more, F.lit(True))
+        points = stored(_near(sets.select("cls", "n", "point", "rest"), members, "cls").join(members, "cls"))
+        found.append(stored(ends_of(pivot_links(points))))
+        joined = components(found[0]).withColumnRenamed("node", "comp").withColumnRenamed("label", "_joined")
+        points = points.join(joined, "comp", "left").withColumn("comp", F.coalesce("_joined", "comp")).drop("_joined")
+        split = points.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("block")
+        found.append(stored(tree_links(points.join(split, "block", "left_semi"))))
+    more, n_more = stored_and_counted(open_.filter("NOT chained").select("a", "b"), F.lit(True))
     if n_more:
         rest = _near(sets.select("cls", "n", "point", "rest"), more.select(F.col("a").alias("cls")).union(more.select(F.col("b").alias("cls"))), "cls")
-        links = comp(comp(_linked(more.join(rest.withColumnRenamed("cls", "a"), "a"), rest), "a", "ca"), "b", "cb")
-        merged = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("node", "comp")
+        found.append(ends_of(_linked(more.join(rest.withColumnRenamed("cls", "a"), "a"), rest)))
+    if found:
+        merged = components(reduce(DataFrame.union, found)).withColumnRenamed("node", "comp")
         label = label.join(merged, "comp", "left").select("cls", "d", F.coalesce("label", "comp").alias("comp"))
     label = stored(label)
     smallest = label.groupBy("comp").agg(F.min("d").alias("component"))

@@ -86,15 +86,27 @@ def test_edge_cases(spark):
     assert nj.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
 
 
-def test_tree_keeps_every_close_pair(spark):
+def test_tree_joins_what_links_join(spark):
     rng = np.random.default_rng(4)
-    base = rng.poisson(2, nj.GROUPS)
-    points = [np.maximum(0, base + rng.integers(-1, 2, nj.GROUPS) * (rng.random(nj.GROUPS) < p)).astype(np.uint32) for p in rng.random(120)]
-    rows = [(i, int(p.sum()), bytearray(p.tobytes()), i, 0) for i, p in enumerate(points)]
-    frame = spark.createDataFrame(rows, "cls long, n long, point binary, comp long, block long").repartition(3)
-    got = {tuple(sorted((r["a"], r["b"]))) for r in nj.tree_pairs(frame).collect()}
-    want = {(a, b) for b in range(120) for a in range(b) if 180 * np.minimum(points[a], points[b]).sum() >= 80 * (points[a].sum() + points[b].sum())}
-    assert got == want
+    base = rng.choice(1 << 40, 150, replace=False)
+    sets = [np.unique(np.concatenate((base[rng.random(150) > p], rng.integers(1 << 40, size=int(150 * p))))) for p in rng.random(120) * 0.3]
+    rows = []
+    for i, x in enumerate(sets):
+        point, rest = np.bincount(x >> 32, minlength=nj.GROUPS), (x & 0xFFFFFFFF)
+        rows.append((i, len(x), bytearray(point.astype(np.uint16 if i % 2 else np.uint32).tobytes()), bytearray(rest.astype(np.uint32).tobytes()), i, i % 2))
+    frame = spark.createDataFrame(rows, "cls long, n long, point binary, rest binary, comp long, block long").repartition(3)
+
+    def reached(edges):
+        label = list(range(120))
+        for _ in label:
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    linked = [(a, b) for b in range(120) for a in range(b % 2, b, 2) if 180 * len(np.intersect1d(sets[a], sets[b])) >= 80 * (len(sets[a]) + len(sets[b]))]
+    assert 10 < len(set(reached(linked))) < 110
+    assert reached([(r["a"], r["b"]) for r in nj.tree_links(frame).collect()]) == reached(linked)
+    assert {tuple(sorted((r["a"], r["b"]))) for r in nj.pivot_links(frame).collect()} <= set(linked)
 
 
 def test_components_of_paths_and_stars(spark):
