@@ -38,9 +38,10 @@ def pairs(a: str, b: str) -> Column:
 
 
 def partial(rxy: Column, rxz: Column, ryz: Column) -> Column:
-    """Correlation of x and y with z held fixed."""
-    r = F.try_divide(rxy - rxz * ryz, F.sqrt((1 - rxz * rxz) * (1 - ryz * ryz)))
-    return _clamped(finite(r))
+    """Correlation of x and y with z held fixed; null where z leaves nothing of x
+    or y but rounding errors (as in groups of two)."""
+    left = (1 - rxz * rxz) * (1 - ryz * ryz)
+    return _clamped(finite(F.when(left > 1e-12, (rxy - rxz * ryz) / F.sqrt(left))))
 
 
 def p_value(r: Column, n: Column, covariates: int = 0) -> Column:
