@@ -1,7 +1,7 @@
 """Line dedup by winnowing over line hashes.
 
 A document is a sequence of lines, each hashed by its words (white space does
-not count).  A window starts at each line with a word and reaches to the first
+not count, letter case does).  A window starts at each line with a word and reaches to the first
 line by which it has ``min_words`` words.  The smallest line hash of each window
 is a fingerprint, so every run of lines with that many words that occurs twice
 leaves a common fingerprint at both places.  Positions are joined by
@@ -42,7 +42,7 @@ def line_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     """Hashes and word counts of the lines of a run of texts, and the index of
     the first line of each text."""
     words = wd.Words(data, offsets, wd.SOLID)
-    h = words.hashes()
+    h = words.hashes(wd.EXACT_VALUES)
     breaks = np.flatnonzero(data == 10)
     # each text begins a line, and each line end does
     starts = np.sort(np.concatenate((offsets[:-1], breaks + 1)), kind="stable")

@@ -17,8 +17,10 @@ STEP_BYTES = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _rng = np.random.Generator(np.random.PCG64(20240607))
-#: One random 64-bit value for each byte; A-Z share the values of a-z.
-BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
+#: One random 64-bit value for each byte.
+EXACT_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+#: The same, but A-Z share the values of a-z.
+BYTE_VALUES = EXACT_VALUES[_LOWER]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -109,12 +111,13 @@ class Words:
         self.ends = np.flatnonzero(inside & ~after[1:]) + 1
         self.at = np.searchsorted(self.starts, offsets)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
+        """Hash of each word; ``values`` are those of the bytes."""
         n = len(self.data)
         if not len(self.starts):
             return np.zeros(0, np.uint64)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[self.data] * powers(_BASE, n), out=sums[1:])
+        np.cumsum(values[self.data] * powers(_BASE, n), out=sums[1:])
         return mix((sums[self.ends] - sums[self.starts]) * powers(_INVERSE, n)[self.starts])
 
     def owner(self) -> np.ndarray:

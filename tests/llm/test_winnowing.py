@@ -100,3 +100,11 @@ def test_dedup_edge_cases(spark):
     out = sorted(((r["doc_id"], r["clean_text"]) for r in ld.dedup_lines(docs).collect()), key=str)
     assert out == sorted([(1, None), (2, ""), (2, ""), (None, run), (3, "intro\nend"), (4, "short")], key=str)
     assert ld.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_dedup_tells_letter_case(spark):
+    run = "\n".join(f"line {i} of the passage with several words" for i in range(9))
+    docs = [(1, run), (2, run.upper()), (3, run.title() + "\nend"), (4, "intro\n" + run.upper())]
+    out = {r["doc_id"]: (r["clean_text"], r["n_removed"]) for r in ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {i: (t, n) for i, t, n in brute_dedup([(i, 0, t) for i, t in docs], 50)}
+    assert out[2] == (docs[1][1], 0) and out[3] == (docs[2][1], 0) and out[4] == ("intro", 9)
