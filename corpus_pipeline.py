@@ -39,10 +39,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones, that with the smallest id."""
-    groups = ngram_join.similar_groups(docs.select("doc_id", "text"))
-    others = groups.filter("n_shingles > 0 AND NOT component_id <=> doc_id").select(F.col("doc_id").alias("_other")).distinct()
-    kept = docs.select(*COLUMNS).join(others.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_other")), "left_anti")
+    """One document of each group of similar ones, that with the smallest id, null
+    last; of rows with that id, that with the smallest hash of the text."""
+    groups = ngram_join.similar_groups(docs.select("doc_id", "text"), keyed=True)
+    first = groups.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "key")).alias("f")).select("f.doc_id", "f.key")
+    stay = first.unionByName(groups.filter("n_shingles = 0").select("doc_id", "key")).toDF("_id", "_text")
+    kept = docs.select(*COLUMNS).join(stay.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")), "left_semi")
     # rows with one id and text are one document
     return kept.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).select(*COLUMNS)
 

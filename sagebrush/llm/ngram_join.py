@@ -454,23 +454,24 @@ def pivot_links(points: DataFrame) -> DataFrame:
     return left.join(pivots, "block").filter((F.col("comp") != F.col("cb")) & _fits()).select("a", "b", "na", "nb", "pa", "pb", "ra", "rb").mapInArrow(_verify, "a long, b long")
 
 
-def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, cls, n) of each row."""
+def profiles(docs: DataFrame, id_col: str, text_col: str, keyed: bool = False) -> DataFrame:
+    """(id, cls, n) of each row, with the hash of its text as key if wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, words in wd.doc_steps(batch.column(1), wd.SOLID):
                 sets, at = shingle_sets(words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(class_ids(sets, at)), pa.array(np.diff(at))], ["id", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(class_ids(sets, at)), pa.array(np.diff(at)), *(c.slice(i, j - i) for c in batch.columns[2:])], schema.fieldNames())
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("cls", T.LongType()), T.StructField("n", T.LongType())])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("cls", T.LongType()), T.StructField("n", T.LongType()), *([T.StructField("key", T.LongType())] if keyed else [])])
+    return docs.select(id_col, text_col, *([F.xxhash64(text_col)] if keyed else [])).mapInArrow(run, schema)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of each row of docs."""
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id) of each row of docs; if keyed, also key, the
+    hash of the text, and group, which tells components apart where ids don't."""
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("d"), F.col(text_col).alias("text"))
-    rows = stored(profiles(docs, id_col, text_col))
+    rows = stored(profiles(docs, id_col, text_col, keyed))
     classes = stored(rows.filter("n > 0").groupBy("cls").agg(F.min(F.coalesce(F.col("id").cast("long"), F.lit(_NO_ID))).alias("d")))
     texts = base.select("text")
     pairs, chain = candidates(_tokens(texts, _sketch(texts)))
@@ -504,7 +505,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         label = label.join(merged, "comp", "left").select("cls", "d", F.coalesce("label", "comp").alias("comp"))
     label = stored(label)
     smallest = label.groupBy("comp").agg(F.min("d").alias("component"))
-    final = label.join(smallest, "comp").select("cls", "component")
+    final = label.join(smallest, "comp").select("cls", "component", F.col("comp").alias("group"))
     return rows.join(final, "cls", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.nullif(F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id").cast("long")), F.lit(_NO_ID)).alias("component_id")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.nullif(F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id").cast("long")), F.lit(_NO_ID)).alias("component_id"), *(["key", "group"] if keyed else [])
     )

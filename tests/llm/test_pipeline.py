@@ -62,3 +62,15 @@ def test_empty_documents(spark):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_near_duplicates_by_row(spark):
+    """Null and repeated ids: a row goes only for a similar one that stays."""
+    a, b = "one two three four five six seven", "a text of its own with nothing else like it"
+    long_ = " ".join(f"w{i}" for i in range(99))
+    rows = [(None, a), (3, a), (5, a), (5, b), (None, "alone and without any id at all"), (None, long_), (None, long_ + " end"), (None, long_), (7, None), (None, ""), (8, "in"), (5, "in")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, docs, SF).collect()]
+    of_long = [x for x in got if x[1] and x[1].startswith(long_)]
+    assert len(of_long) == 1 and of_long[0] in rows
+    assert sorted(set(got) - set(of_long), key=str) == sorted([(3, a), (5, b), (None, rows[4][1]), (7, None), (None, ""), (5, "in")], key=str) and len(got) == 7
