@@ -108,3 +108,33 @@ def test_dedup_tells_letter_case(spark):
     out = {r["doc_id"]: (r["clean_text"], r["n_removed"]) for r in ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert out == {i: (t, n) for i, t, n in brute_dedup([(i, 0, t) for i, t in docs], 50)}
     assert out[2] == (docs[1][1], 0) and out[3] == (docs[2][1], 0) and out[4] == ("intro", 9)
+
+
+def brute_runs(docs, least):
+    """docs: (id, text), in order; every span of lines with the words counts."""
+    first, spans = {}, []
+    for i, text in docs:
+        words = [tuple(x.split()) for x in text.split("\n")]
+        for s in range(len(words)):
+            for e in range(s, len(words)):
+                if words[s] and words[e] and sum(map(len, words[s : e + 1])) >= least:
+                    content = tuple(w for w in words[s : e + 1] if w)
+                    first.setdefault(content, (i, s))
+                    spans.append((i, s, e, content))
+    gone = {i: set() for i, _ in docs}
+    for i, s, e, content in spans:
+        if first[content] != (i, s):
+            gone[i].update(range(s, e + 1))
+    return {i: ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), len(gone[i])) for i, t in docs}
+
+
+def test_whole_runs_leave_no_stub(spark):
+    rnd = random.Random(12)
+    pool = [" ".join(rnd.choice("alpha beta gamma delta é".split()) for _ in range(rnd.choice([0, 1, 3, 7, 12]))) for _ in range(14)]
+    docs = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 12)))) for i in range(120)]
+    run = "\n".join(f"t{i} u{i} v{i} w{i} x{i}" for i in range(7)) + "\nlast line"
+    docs += [(200, run), (201, "intro\n" + run + "\nend"), (202, run), (203, "\n".join(["same words here now"] * 40)), (204, "")]
+    rows = ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_words=9, whole_runs=True).collect()
+    got = {r["doc_id"]: (r["clean_text"], r["n_removed"]) for r in rows}
+    assert got == brute_runs(docs, 9) and got[201] == ("intro\nend", 8) and got[202] == ("", 8)
+    assert brute_dedup([(i, 0, t) for i, t in docs], 9)[122] == (202, "last line", 1 + 6)
