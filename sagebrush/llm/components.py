@@ -2,38 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored, stored_and_counted
+from .tables import shuffled, stored, stored_and_counted
 
 
-def roots(parents: DataFrame) -> DataFrame:
-    """(node, root) of a forest given as (node, parent), by pointer doubling, two
-    hops a round.  Roots themselves have no row."""
-    at = stored(parents.select("node", F.col("parent").alias("root")))
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of each batch as edges of its nodes to their smallest, so that what
+    is joined later is flat and holds an edge for each node at most."""
+    for batch in batches:
+        up: dict[int, int] = {}
 
-    def hop(df: DataFrame) -> DataFrame:
-        up = df.select(F.col("node").alias("n"), F.col("root").alias("r"))
-        return df.join(up, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root"), F.col("r").isNotNull().alias("moved"))
+        def root(x: int, up=up) -> int:
+            while (above := up.get(x, x)) != x:
+                up[x] = up.get(above, above)
+                x = above
+            return x
 
-    moved = 1
-    while moved:
-        at, moved = stored_and_counted(hop(hop(at)), F.col("moved"))
-    return at.select("node", "root")
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            up.setdefault(a, x)
+            up.setdefault(b, y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        ends = np.array([(x, root(x)) for x in list(up) if root(x) != x], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each component of (a, b) edges.
     Each round takes the smallest label among neighbours, then the label's own
-    label; rows per round are the edges and the nodes."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
+    label; rows per round are the edges and the nodes.  A node with many
+    neighbours sends and gets minima that are combined before the shuffle."""
+    made = edges.select("a", "b").mapInArrow(_forest, "a long, b long")
+    both = stored(made.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b"))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
     moved = 1
     while moved:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "m").alias("new"))
-        up = step.select(F.col("node").alias("n"), F.col("new").alias("r"))
-        changed = step.join(up, F.col("new") == F.col("n"), "left").select("node", F.least("new", "r").alias("l2"), "label")
+        near = shuffled(both, labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
+        step = shuffled(labels, near, "node").select("node", "label", F.least("label", "m").alias("new"))
+        up = step.select(F.col("node").alias("new"), F.col("new").alias("r"))
+        changed = shuffled(step, up, "new", "left").select("node", F.least("new", "r").alias("l2"), "label")
         labels, moved = stored_and_counted(changed.select("node", F.col("l2").alias("label"), (F.col("l2") < F.col("label")).alias("moved")), F.col("moved"))
     return labels.select("node", "label")

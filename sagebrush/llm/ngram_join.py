@@ -20,30 +20,34 @@ of rarity; so each class sends those to the cells of its shingles.
    cells, and as two sets that link share many of their rarest shingles, not just
    one, pairs with too few common cells go.  A member with more of them before it
    (a cluster, or a common passage) is deferred: it sends one edge to a pivot,
-   and one to the first of its run in the cell, so that blocks are flat.  So m members send at most WINDOW * m pairs.
+   and one to the first of its run in the cell, so that blocks are flat.  So m
+   members send at most WINDOW * m pairs.  A cell of more than CELL_ROWS shingles
+   is dealt over several tasks: there every member is deferred, with an edge to a
+   node that stands for the cell.
 3. Each class verifies the pair with the most common cells exactly; the verified
    edges are a forest and give first components.  Other pairs are verified only
    between different components.
-4. Deferred members: components joined by the edges of runs form blocks.  Members
-   are first verified against PIVOTS members of their block, which joins most near
-   copies.  In blocks that still have several components the points are put into
-   leaves, pairs of leaves compared by the bound, and inside the surviving pairs
-   points by the bound and then exactly.  A link that was not met as a pair lies
-   inside a block, so none is lost.
+4. Deferred members: components joined by the edges of runs form blocks.  In
+   blocks that hold several components the points go into an R-tree: runs of LEAF
+   points are leaves, runs of FAN leaves are parents, both with the largest count
+   in each group.  Pairs of parents, of leaves and of points are let through by
+   the bound, level by level, and the surviving pairs of points are compared
+   exactly.  Of a block's largest component, no two nodes are paired.  A link that
+   was not met as a pair lies inside a block, so none is lost.
 
-A cell is never held: a task keeps the last WINDOW + 1 members of it.
+A cell is never held: a task keeps the last WINDOW + 1 members of it.  All joins
+are shuffled, so nothing that grows with the input passes through the driver.
 
 Null, empty or wordless texts have no shingles and are their own components.
 A text of fewer than five words is one shingle.  Repeated rows and ids are
 fine; null ids take part and get the smallest id that they reach, null if none.
-Shingles are told apart by 64-bit hashes within a text and by 40 bits of them
-between two texts (the group and 32 more), classes by a 64-bit hash.
+Ids may be of any type that can be ordered.  Shingles are told apart by 64-bit
+hashes, classes by a 64-bit hash of their shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,20 +58,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as wd
-from .components import components, roots
-from .tables import stored, stored_and_counted
+from .components import components
+from .tables import shuffled, stored, stored_and_counted
 
 SHINGLE = 5
 PERCENT = 80
 GROUPS = 256
 LEAF = 32
 LEAF_BYTES = 1 << 20
-PIVOTS = 4
+FAN = 32
+#: Over how many keys the pairs of a block's nodes are dealt.
+SPREAD = 16
 SKETCH_BITS = 20
 _COUNT_BITS = 20
 WINDOW = 32
 _BITMAP_BITS = 25
-_NO_ID = (1 << 63) - 1
+#: Rows of a cell that one task streams.
+CELL_ROWS = 1 << 18
+_BLOCK = "block"  # marks the nodes of the graph of runs
 
 
 def shingle_sets(words: wd.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -135,10 +143,12 @@ def _sketch(docs: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(found.get(p, empty) for p in range((1 << SKETCH_BITS) // part)), np.uint32)
 
 
-def _tokens(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(cls, n, token): the rarest shingles of each document; a token starts with
-    the sketch count, so its order is the order of rarity."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, (1 << _COUNT_BITS) - 1).astype(np.uint64))
+def _tokens(docs: DataFrame, sketch: np.ndarray, cell_rows: int | None = None) -> DataFrame:
+    """(cls, n, token, part): the rarest shingles of each document; a token starts
+    with the sketch count, so its order is the order of rarity.  part is 0, or
+    one of the parts over which a cell of more than ``cell_rows`` is dealt, from 1."""
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    most = np.uint64(cell_rows or CELL_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -146,23 +156,35 @@ def _tokens(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
             for _, _, words in wd.doc_steps(batch.column(0), wd.SOLID):
                 sets, at = shingle_sets(words)
                 cls = class_ids(sets, at)
-                tokens = (counts[_slots(sets)] << np.uint64(63 - _COUNT_BITS)) | (sets >> np.uint64(_COUNT_BITS + 1))
+                seen = counts[_slots(sets)].astype(np.uint64)
+                tokens = np.minimum(seen, np.uint64((1 << _COUNT_BITS) - 1)) << np.uint64(63 - _COUNT_BITS)
+                tokens |= sets >> np.uint64(_COUNT_BITS + 1)
                 n = np.diff(at)
                 keep = np.where(n > 0, prefix(n), 0)
                 # copies inside a batch would send the same rows
                 first = np.zeros(len(cls), bool)
                 first[np.unique(cls, return_index=True)[1]] = True
                 keep[~first] = 0
-                out = []
+                out, rows = [], []
                 for a, b, k in zip(at, at[1:], keep, strict=False):
                     if k:
-                        own = tokens[a:b]
-                        own.sort()
-                        out.append(own[:k])
+                        order = np.argsort(tokens[a:b], kind="stable")[:k]
+                        out.append(tokens[a:b][order])
+                        rows.append(seen[a:b][order])
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cls, keep)), pa.array(np.repeat(n, keep).astype(np.int32)), pa.array(np.concatenate(out).view(np.int64))], ["cls", "n", "token"])
+                    owner, seen = np.repeat(cls, keep), np.concatenate(rows)
+                    parts = np.where(seen > most, 1 + owner.view(np.uint64) % (seen // most + np.uint64(1)), 0)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(owner),
+                            pa.array(np.repeat(n, keep).astype(np.int32)),
+                            pa.array(np.concatenate(out).view(np.int64)),
+                            pa.array(parts.astype(np.int32)),
+                        ],
+                        ["cls", "n", "token", "part"],
+                    )
 
-    return docs.mapInArrow(run, "cls long, n int, token long")
+    return docs.mapInArrow(run, "cls long, n int, token long, part int")
 
 
 def prefix(n):
@@ -170,28 +192,36 @@ def prefix(n):
     return n + (-PERCENT * n) // 100 + 1
 
 
+def _cell_node(token: np.ndarray) -> np.ndarray:
+    """The nodes that stand for whole cells in the graph of runs."""
+    return wd.mix(token.view(np.uint64) ^ np.uint64(0x51ED270B0B5E5A2D)).view(np.int64)
+
+
 def _meet(window: int):
-    """Rows sorted by (token, n, cls): kind 0, a pair; kind 1, an edge of a
+    """Rows sorted by (token, part, n, cls): kind 0, a pair; kind 1, an edge of a
     deferred member to its pivot; kind 2, an edge of a run around deferred members
-    to its first.  a is behind b in the order of (n, cls)."""
+    to its first.  a is behind b in the order of (n, cls).  In cells that are dealt
+    over parts, kind 1 for all members of a part and kind 2 to the cell's node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64) for _ in range(3)]  # the last rows of the cell that is open
-        pivot = None  # (token, n, cls)
+        held = [np.zeros(0, np.int64) for _ in range(4)]  # the last rows of the cell that is open
+        pivot = None  # (token, part, n, cls)
         for batch in batches:
             if not batch.num_rows:
                 continue
             old = len(held[0])
-            token, n, cls = (np.concatenate((h, np.asarray(batch.column(i)).astype(np.int64))) for i, h in enumerate(held))
+            token, part, n, cls = (np.concatenate((h, np.asarray(batch.column(i)).astype(np.int64))) for i, h in enumerate(held))
             again = np.zeros(len(token), bool)  # copies met in different batches
             again[1:] = (token[1:] == token[:-1]) & (cls[1:] == cls[:-1])
             old -= int(again[:old].sum())
-            token, n, cls = token[~again], n[~again], cls[~again]
+            token, part, n, cls = (x[~again] for x in (token, part, n, cls))
             rows = np.arange(len(token))
-            fits = lambda s: (token[s:] == token[: len(token) - s]) & (100 * n[: len(token) - s] >= PERCENT * n[s:])
-            deferred = np.zeros(len(token), bool)
+            same = lambda s: (token[s:] == token[: len(token) - s]) & (part[s:] == part[: len(token) - s])
+            fits = lambda s: same(s) & (100 * n[: len(token) - s] >= PERCENT * n[s:])
+            dealt = part > 0
+            deferred = dealt.copy()
             if len(token) > window + 1:
-                deferred[window + 1 :] = fits(window + 1)
+                deferred[window + 1 :] |= fits(window + 1)
             a, b = [], []
             for s in range(1, min(window, len(token) - 1) + 1):
                 met = rows[s:][fits(s) & ~deferred[s:]]
@@ -204,28 +234,33 @@ def _meet(window: int):
             late = rows[deferred]
             late = late[late >= old]
             if len(late):
-                first = np.empty(len(late), np.int64)
                 names, sizes = np.empty(len(late), np.int64), np.empty(len(late), np.int64)
                 for k, i in enumerate(late.tolist()):
-                    if pivot is None or pivot[0] != token[i] or 100 * pivot[1] < PERCENT * n[i]:
-                        pivot = (token[i], n[i - window - 1], cls[i - window - 1])
-                    sizes[k], names[k], first[k] = pivot[1], pivot[2], i
+                    if pivot is None or pivot[:2] != (token[i], part[i]) or 100 * pivot[2] < PERCENT * n[i]:
+                        at = i if dealt[i] else i - window - 1
+                        pivot = (token[i], part[i], n[at], cls[at])
+                    sizes[k], names[k] = pivot[2:]
                 chain = np.zeros(len(token) + window + 2, bool)
                 for s in range(window + 1):
-                    chain[late - s] = True
+                    chain[late[~dealt[late]] - s] = True
                 chain = np.flatnonzero(chain[: len(token)])
                 # the member before the first of each run of them stands for the run
-                begins = np.append(True, np.diff(chain) > 1)
+                begins = np.append(True, np.diff(chain) > 1)[: len(chain)]
                 a.append(chain)
                 b.append((chain[begins] - 1)[np.cumsum(begins) - 1])
                 kind.append(np.full(len(chain), 2, np.int8))
-            i, j, kind = np.concatenate(a) if a else rows[:0], np.concatenate(b) if b else rows[:0], np.concatenate(kind) if kind else np.zeros(0, np.int8)
+            i, j = np.concatenate(a) if a else rows[:0], np.concatenate(b) if b else rows[:0]
+            kind = np.concatenate(kind) if kind else np.zeros(0, np.int8)
             out = [cls[i], cls[j], n[i], n[j], kind]
             if len(late):
-                out = [np.concatenate(x) for x in zip(out, (cls[first], names, n[first], sizes, np.ones(len(late), np.int8)), strict=True)]
+                pivots = (cls[late], names, n[late], sizes, np.ones(len(late), np.int8))
+                far = late[dealt[late]]
+                nodes = (cls[far], _cell_node(token[far]), n[far], n[far], np.full(len(far), 2, np.int8))
+                out = [np.concatenate(x) for x in zip(out, pivots, nodes, strict=True)]
+            out = [x[out[0] != out[1]] for x in out]
             keep = max(0, len(token) - window - 1)
-            tail = token[keep:] == token[-1]
-            held = [x[keep:][tail] for x in (token, n, cls)]
+            tail = (token[keep:] == token[-1]) & (part[keep:] == part[-1])
+            held = [x[keep:][tail] for x in (token, part, n, cls)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b", "na", "nb", "kind"])
 
     return run
@@ -241,50 +276,37 @@ def _needed(na: Column, nb: Column) -> Column:
     return F.greatest(F.lit(1), F.least(sent(na) - (na - least), sent(nb) - (nb - least)) - 1)
 
 
-def candidates(tokens: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(a, b, n): pairs and edges to pivots to verify, with their common cells;
-    and (a, b): edges of runs that make the blocks."""
-    met = tokens.select("token", F.col("n").cast("long").alias("n"), "cls").repartition("token").sortWithinPartitions("token", "n", "cls")
-    rows = stored(met.mapInArrow(_meet(window), "a long, b long, na long, nb long, kind byte").groupBy("a", "b", "na", "nb", "kind").agg(F.count("*").alias("c")))
-    late = rows.filter("kind = 1").groupBy("a").agg(F.sum("c").alias("late"))
-    enough_ = (F.col("c") + F.coalesce("late", F.lit(0))) >= _needed(F.col("na"), F.col("nb"))
-    pairs = rows.filter("kind = 0").join(late, "a", "left").filter(enough_)
-    to_verify = pairs.select("a", "b", "c").unionByName(rows.filter("kind = 1").select("a", "b", "c")).groupBy("a", "b").agg(F.sum("c").alias("n"))
-    return stored(to_verify), rows.filter("kind = 2").select("a", "b").distinct()
-
-
-def _slot(c: str) -> Column:
-    return F.xxhash64(c).bitwiseAND(F.lit((1 << _BITMAP_BITS) - 1))
+def candidates(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(a, b, n, chain, best): pairs and edges to pivots to verify, with their
+    common cells, the best of each a marked; and edges of runs (chain), which make
+    the blocks."""
+    order = ("token", "part", "n", "cls")
+    met = tokens.select("token", "part", F.col("n").cast("long").alias("n"), "cls").repartition("token", "part").sortWithinPartitions(*order)
+    rows = met.mapInArrow(_meet(window), "a long, b long, na long, nb long, kind byte").groupBy("a", "b", "na", "nb", "kind").agg(F.count("*").alias("c"))
+    own = W.partitionBy("a")
+    rows = rows.withColumn("late", F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("c"))).over(own), F.lit(0)))
+    rows = rows.filter((F.col("kind") > 0) | (F.col("c") + F.col("late") >= _needed(F.col("na"), F.col("nb"))))
+    pairs = rows.groupBy("a", "b", (F.col("kind") == 2).alias("chain")).agg(F.sum("c").alias("n"))
+    rank = F.row_number().over(own.orderBy("chain", F.desc("n"), "b"))
+    return stored(pairs.withColumn("best", (rank == 1) & ~F.col("chain")))
 
 
 def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """2**25 flags of the values of a column: at most 1024 rows of 4 KB reach
-    the driver, whatever the input.  A fuller bitmap only lets more rows pass."""
-    slot = (_slot(column) + 1).alias("s")
-    rows = keys.select(slot).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
+    """2**25 flags of the values of a column of hashes: at most 1024 rows of 4 KB
+    reach the driver, whatever the input.  A fuller bitmap only lets more rows pass."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << _BITMAP_BITS) - 1)) + 1
+    rows = keys.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
     bits = np.zeros((1 << _BITMAP_BITS) // 8, np.uint8)
-    for r in rows:
+    for r in rows.toLocalIterator():
         bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return bits
 
 
-def _flagged(bits: np.ndarray, slots: pa.Array) -> np.ndarray:
-    s = np.asarray(slots)
+def _flagged(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    s = keys & ((1 << _BITMAP_BITS) - 1)
     return ((bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def _near(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """The rows of df whose value of ``column`` is among the keys, and few others,
-    without a shuffle of df."""
-    shared, names = df.sparkSession.sparkContext.broadcast(_bitmap(keys, column)), df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_flagged(shared.value, batch.column(batch.num_columns - 1)))).select(names)
-
-    return df.withColumn("_slot", _slot(column).cast("int")).mapInArrow(run, df.schema)
-
-
 def _blobs(data: np.ndarray, at: np.ndarray) -> pa.Array:
     """Binary values that lie one after the other."""
     width = data.dtype.itemsize
@@ -294,35 +316,41 @@ def _blobs(data: np.ndarray, at: np.ndarray) -> pa.Array:
 def packed(sets: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """The points of the sets, and the rest of their shingles.  A shingle's group
     is the first 8 bits of its hash; in the order of hashes the counts of groups
-    and the next 32 bits of each make up the set, in 4 bytes a shingle."""
+    and the other 56 bits of each make up the set, in 7 bytes a shingle."""
     n = len(at) - 1
     owner = np.repeat(np.arange(n), np.diff(at))
     points = np.bincount(owner * GROUPS + (sets >> np.uint64(56)).astype(np.int64), minlength=n * GROUPS)
     wide = points.max(initial=0) > 65535
     points = points.astype(np.uint32 if wide else np.uint16)
-    return _blobs(points, np.arange(n + 1) * GROUPS), _blobs(((sets >> np.uint64(24)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), at)
+    rest = np.ascontiguousarray(sets.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).ravel()
+    return _blobs(points, np.arange(n + 1) * GROUPS), _blobs(rest, at * 7)
 
 
 def unpacked(point: np.ndarray, rest: bytes) -> np.ndarray:
-    return np.repeat(np.arange(GROUPS, dtype=np.uint64) << np.uint64(32), point) | np.frombuffer(rest, np.uint32)
+    out = np.zeros((len(rest) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(rest, np.uint8).reshape(-1, 7)
+    return out.view("<u8").ravel() | np.repeat(np.arange(GROUPS, dtype=np.uint64) << np.uint64(56), point)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (cls, d and more) with n, point and rest, each from the document d."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "d"))
+def _sets(texts: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(cls, n, point, rest) of the classes that the bitmap lets through."""
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            near = pa.array(np.flatnonzero(_flagged(shared.value, batch.column(1))))
-            texts, ids = batch.column(0).take(near), batch.column(2).take(near)
-            for i, j, words in wd.doc_steps(texts, wd.SOLID):
+            for _, _, words in wd.doc_steps(batch.column(0), wd.SOLID):
                 sets, at = shingle_sets(words)
-                out = pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(class_ids(sets, at)), pa.array(np.diff(at)), *packed(sets, at)], ["d", "cls", "n", "point", "rest"])
-                yield out.take(pa.array(np.sort(np.unique(np.column_stack((np.asarray(out.column(0)), np.asarray(out.column(1)))), axis=0, return_index=True)[1])))
+                cls, n = class_ids(sets, at), np.diff(at)
+                near = np.flatnonzero(_flagged(shared.value, cls) & (n > 0))
+                new = [k for k, c in zip(near.tolist(), cls[near].tolist(), strict=True) if not (c in seen or seen.add(c))]
+                if len(seen) > 1 << 20:  # bounds memory; the rest of the copies meet by key
+                    seen.clear()
+                if new:
+                    point, rest = packed(sets, at)
+                    yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(n), point, rest], ["cls", "n", "point", "rest"]).take(pa.array(new))
 
-    made = docs.select("text", _slot("d").cast("int").alias("s"), "d").mapInArrow(run, "d long, cls long, n long, point binary, rest binary")
-    # equal rows of docs give equal rows here; they have met by (d, cls) already
-    return made.join(wanted, ["d", "cls"]).dropDuplicates(["d", "cls"]).drop("d")
+    return texts.mapInArrow(run, "cls long, n long, point binary, rest binary").dropDuplicates(["cls"])
 
 
 def _points(column: pa.Array) -> np.ndarray:
@@ -343,19 +371,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in np.flatnonzero(keep):
                 one, two = unpacked(left[k], part.column("ra")[int(k)].as_py()), unpacked(right[k], part.column("rb")[int(k)].as_py())
                 keep[k] = enough(len(np.intersect1d(one, two, assume_unique=True)), size[k])
-            yield part.select(["a", "b"]).filter(pa.array(keep))
-
-
-def _fits() -> Column:
-    """Whether the sizes alone let two sets reach the threshold."""
-    return (F.lit(100) * F.col("nb") >= F.lit(PERCENT) * F.col("na")) & (F.lit(100) * F.col("na") >= F.lit(PERCENT) * F.col("nb"))
+            yield part.select(["x", "y"]).filter(pa.array(keep))
 
 
-def _linked(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The (a, b) whose sets reach the threshold; ``left`` has a and b."""
-    one = left.select("a", "b", F.col("n").alias("na"), F.col("point").alias("pa"), F.col("rest").alias("ra"))
-    two = right.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"), F.col("rest").alias("rb"))
-    return one.join(two, "b").filter(_fits()).select("a", "b", "na", "nb", "pa", "pb", "ra", "rb").mapInArrow(_verify, "a long, b long")
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): the x and y of the pairs (a, b, x, y) whose sets reach the threshold."""
+    side = lambda k: sets.select(F.col("cls").alias(k), *[F.col(c).alias(c[0] + k) for c in ("n", "point", "rest")])
+    sizes = (F.lit(100) * F.col("nb") >= F.lit(PERCENT) * F.col("na")) & (F.lit(100) * F.col("na") >= F.lit(PERCENT) * F.col("nb"))
+    both = shuffled(shuffled(pairs, side("a"), "a"), side("b"), "b").filter(sizes)
+    return both.select("x", "y", "na", "nb", "pa", "pb", "ra", "rb").mapInArrow(_verify, "x long, y long").toDF("a", "b")
 
 
 def enough(minima, sizes):
@@ -372,30 +396,53 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["l1", "l2"]).filter(pa.array(enough(low, np.asarray(part.column("na")) + np.asarray(part.column("nb")))))
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _leaves(leaf: int, fan: int):
     """Rows sorted by (block, comp, n, cls) as leaves: runs of one block of at
-    most LEAF members and LEAF_BYTES of sets (a larger set alone), with the
-    largest count of the members' points in each group."""
-    number = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        block = np.asarray(batch.column("block"))
-        size = np.cumsum(4 * np.asarray(batch.column("n")) + 2 * GROUPS)
-        i = 0
-        while i < batch.num_rows:
-            j = min(i + LEAF, int(np.searchsorted(size, size[i] + LEAF_BYTES, "right")))
-            j = max(i + 1, min(j, i + int((block[i:j] == block[i]).sum())))
-            part = batch.slice(i, j - i)
-            n, comp = np.asarray(part.column("n")), np.asarray(part.column("comp"))
-            top = _points(part.column("point")).max(axis=0).astype(np.uint32)
-            one = [[int(block[i])], [number], [int(n.min())], [int(n.max())], [int(comp.min())], [int(comp.max())], [top.tobytes()], *([part.column(c).to_pylist()] for c in ("n", "comp", "point", "rest"))]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(one, _LEAF_TYPES, strict=True)], _LEAF_NAMES)
-            number += 1
-            i = j
-
-
-_LEAF_NAMES = ["block", "leaf", "lo", "hi", "c_lo", "c_hi", "top", "ns", "comps", "points", "rests"]
-_LEAF_TYPES = [*[pa.int64()] * 6, pa.binary(), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.binary())] * 2]
-_LEAF_SCHEMA = "block long, leaf long, lo long, hi long, c_lo long, c_hi long, top binary, ns array<long>, comps array<long>, points array<binary>, rests array<binary>"
+    most ``leaf`` members and LEAF_BYTES of sets (a larger set alone), with the
+    largest count of the members' points in each group.  ``fan`` leaves have one
+    number of a parent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            block = np.asarray(batch.column("block"))
+            size = np.cumsum(7 * np.asarray(batch.column("n")) + 2 * GROUPS)
+            i = 0
+            while i < batch.num_rows:
+                j = min(i + leaf, int(np.searchsorted(size, size[i] + LEAF_BYTES, "right")))
+                j = max(i + 1, min(j, i + int((block[i:j] == block[i]).sum())))
+                part = batch.slice(i, j - i)
+                n, comp = np.asarray(part.column("n")), np.asarray(part.column("comp"))
+                top = _points(part.column("point")).max(axis=0).astype(np.uint32)
+                alone = bool((comp == np.asarray(part.column("main"))).all())
+                one = [[int(block[i])], [number], [number // fan], [alone], [int(n.min())], [int(n.max())], [top.tobytes()]]
+                one += [[part.column(c).to_pylist()] for c in ("n", "comp", "point", "rest")]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(one, _LEAF_TYPES, strict=True)], _LEAF_NAMES)
+                number += 1
+                i = j
+
+    return run
+
+
+_NODE_SCHEMA = "block long, node long, parent long, alone boolean, lo long, hi long, top binary"
+_LEAF_NAMES = ["block", "node", "parent", "alone", "lo", "hi", "top", "ns", "comps", "points", "rests"]
+_LEAF_TYPES = [*[pa.int64()] * 3, pa.bool_(), *[pa.int64()] * 2, pa.binary(), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.binary())] * 2]
+_LEAF_SCHEMA = f"{_NODE_SCHEMA}, ns array<long>, comps array<long>, points array<binary>, rests array<binary>"
+
+
+def _parents(rows: pa.Table) -> pa.Table:
+    """The parent of the few leaves of a block that have its number."""
+    top = np.max([np.frombuffer(x, np.uint32) for x in rows.column("top").to_pylist()], axis=0)
+    one = {
+        "block": rows.column("block")[0].as_py(),
+        "node": rows.column("parent")[0].as_py(),
+        "parent": -1,
+        "alone": all(rows.column("alone").to_pylist()),
+        "lo": min(rows.column("lo").to_pylist()),
+        "hi": max(rows.column("hi").to_pylist()),
+        "top": top.tobytes(),
+    }
+    return pa.Table.from_pylist([one], pa.schema(list(zip(_LEAF_NAMES, _LEAF_TYPES, strict=False))[:7]))
 
 
 def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,31 +474,39 @@ def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
 
-def tree_links(points: DataFrame) -> DataFrame:
-    """(a, b): components of points (cls, n, point, rest, comp, block) that a link
-    inside a block joins, by a two-level R-tree of each block: points sorted by
-    component and size in leaves, pairs of leaves that the bound lets through.
-    Pairs of points stay inside a task; it sends a forest of components."""
+def _fitting(x: str, y: str) -> Column:
+    """Whether the sizes of two nodes let some of their points link."""
+    return (F.lit(100) * F.col(f"hi{y}") >= F.lit(PERCENT) * F.col(f"lo{x}")) & (F.lit(100) * F.col(f"hi{x}") >= F.lit(PERCENT) * F.col(f"lo{y}"))
+
+
+def _let_through(pairs: DataFrame) -> DataFrame:
+    """(l1, l2) of pairs of nodes that the bound lets through; the smallest sizes
+    ask for the least overlap."""
+    pairs = pairs.filter(_fitting("1", "2") & ~(F.col("alone1") & F.col("alone2")))
+    return pairs.select(F.col("node1").alias("l1"), F.col("node2").alias("l2"), F.col("lo1").alias("na"), F.col("lo2").alias("nb"), F.col("top1").alias("pa"), F.col("top2").alias("pb")).mapInArrow(_bounded, "l1 long, l2 long")
+
+
+def tree_links(points: DataFrame, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
+    """(a, b): components of points (cls, n, point, rest, comp, block, main) that a
+    link inside a block joins, by an R-tree of each block, of points, leaves and
+    parents.  ``main`` is the component of most members of the block: two nodes
+    that hold nothing else are not paired.  Pairs of points stay inside a task; it
+    sends a forest of components."""
     order = ("block", "comp", "n", "cls")
-    leaves = stored(points.repartitionByRange(*order).sortWithinPartitions(*order).select("block", "comp", "n", "point", "rest").mapInArrow(_leaves, _LEAF_SCHEMA))
-    x, y = leaves.alias("x"), leaves.alias("y")
-    fits = lambda lo, hi: F.lit(100) * F.col(hi) >= F.lit(PERCENT) * F.col(lo)
-    several = (F.col("x.c_lo") != F.col("x.c_hi")) | (F.col("y.c_lo") != F.col("y.c_hi")) | (F.col("x.c_lo") != F.col("y.c_lo"))
-    near = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.leaf") <= F.col("y.leaf")) & several & fits("x.lo", "y.hi") & fits("y.lo", "x.hi"))
-    # the smallest sizes ask for the least overlap
-    near = near.select(F.col("x.leaf").alias("l1"), F.col("y.leaf").alias("l2"), F.col("x.lo").alias("na"), F.col("y.lo").alias("nb"), F.col("x.top").alias("pa"), F.col("y.top").alias("pb"))
-    side = lambda k: leaves.select(F.col("leaf").alias(f"l{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("ns", "comps", "points", "rests")])
-    return near.mapInArrow(_bounded, "l1 long, l2 long").join(side(1), "l1").join(side(2), "l2").drop("l1", "l2").mapInArrow(_inside, "a long, b long").distinct()
-
-
-def pivot_links(points: DataFrame) -> DataFrame:
-    """(a, b): links between members of a block and PIVOTS of them; they join
-    most of a block of near copies by PIVOTS rows a member."""
-    some = W.partitionBy("block").orderBy(F.xxhash64("cls"), "cls")
-    keys = points.select("block", "cls").withColumn("_k", F.row_number().over(some)).filter(F.col("_k") <= PIVOTS).select("cls")
-    pivots = points.join(keys, "cls", "left_semi").select("block", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("point").alias("pb"), F.col("rest").alias("rb"))
-    left = points.select("block", F.col("cls").alias("a"), "comp", F.col("n").alias("na"), F.col("point").alias("pa"), F.col("rest").alias("ra"))
-    return left.join(pivots, "block").filter((F.col("comp") != F.col("cb")) & _fits()).select("a", "b", "na", "nb", "pa", "pb", "ra", "rb").mapInArrow(_verify, "a long, b long")
+    made = points.repartitionByRange(*order).sortWithinPartitions(*order).select("block", "comp", "main", "n", "point", "rest")
+    leaves = stored(made.mapInArrow(_leaves(leaf, fan), _LEAF_SCHEMA))
+    nodes = leaves.select("block", "node", "parent", "alone", "lo", "hi", "top")
+    parents = stored(nodes.groupBy("block", "parent").applyInArrow(_parents, _NODE_SCHEMA))
+    side = lambda df, k, *more: df.select(*[F.col(c).alias(f"{c}{k}") for c in ("node", "parent", "alone", "lo", "hi", "top", *more)], "block")
+    # the rows of a block meet under SPREAD keys; of two nodes the pair is taken once
+    dealt = side(parents, "1").withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    met = shuffled(dealt, side(parents, "2").withColumn("key", F.pmod("node2", F.lit(SPREAD)).cast("int")), ["block", "key"])
+    above = _let_through(met.filter("node1 <= node2")).toDF("parent1", "parent2")
+    # a parent's number may stand in two blocks, so the block counts too
+    below = shuffled(shuffled(above, side(nodes, "1"), "parent1"), side(nodes, "2").withColumnRenamed("block", "block2"), "parent2").filter("block = block2 AND node1 <= node2")
+    whole = lambda k: leaves.select(F.col("node").alias(f"l{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("ns", "comps", "points", "rests")])
+    near = shuffled(shuffled(_let_through(below), whole("1"), "l1"), whole("2"), "l2").drop("l1", "l2")
+    return near.mapInArrow(_inside, "a long, b long")
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, keyed: bool = False) -> DataFrame:
@@ -467,45 +522,48 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, keyed: bool = False) -
     return docs.select(id_col, text_col, *([F.xxhash64(text_col)] if keyed else [])).mapInArrow(run, schema)
 
 
+def _labelled(df: DataFrame, labels: DataFrame, node: str | Column, to: str) -> DataFrame:
+    """df with the label of a node, null where it has none."""
+    named = labels.select(F.col("node").alias("_n"), F.col("label").alias(to))
+    return df.join(named.hint("merge"), (F.col(node) if isinstance(node, str) else node) == F.col("_n"), "left").drop("_n")
+
+
+def _in_graph_of_runs(c: str) -> Column:
+    return F.xxhash64(F.col(c), F.lit(_BLOCK))
+
+
+def _found_in_blocks(chain: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """(a, b): components that links inside blocks join, by the R-tree."""
+    ends = chain.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    members = _labelled(_labelled(ends, labels, _in_graph_of_runs("cls"), "block"), labels, "cls", "comp").withColumn("comp", F.coalesce("comp", "cls"))
+    members = stored(members)
+    several = members.groupBy("block", "comp").agg(F.count("*").alias("k")).groupBy("block").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("k"))
+    members, n_members = stored_and_counted(shuffled(members, several.filter("k > 1").select("block", "main"), "block"), F.lit(True))
+    return stored(tree_links(shuffled(sets, members, "cls"))) if n_members else None
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
     """(id, n_shingles, component_id) of each row of docs; if keyed, also key, the
     hash of the text, and group, which tells components apart where ids don't."""
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("d"), F.col(text_col).alias("text"))
     rows = stored(profiles(docs, id_col, text_col, keyed))
-    classes = stored(rows.filter("n > 0").groupBy("cls").agg(F.min(F.coalesce(F.col("id").cast("long"), F.lit(_NO_ID))).alias("d")))
-    texts = base.select("text")
-    pairs, chain = candidates(_tokens(texts, _sketch(texts)))
-    best = stored(pairs.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
-    pivots = best.select(F.col("b").alias("cls"), F.lit(True).alias("pivot")).distinct()
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).union(chain.select(F.col("a").alias("cls"))).union(chain.select(F.col("b").alias("cls"))).distinct()
-    wanted = stored(classes.join(ends, "cls", "left_semi").join(best.withColumnRenamed("a", "cls"), "cls", "left").join(pivots, "cls", "left"))
-    sets = stored(_sets(base, wanted))
-    forest = roots(_linked(sets.filter("b IS NOT NULL").withColumnRenamed("cls", "a"), sets.filter("pivot")).select(F.col("a").alias("node"), F.col("b").alias("parent")))
-    comp = lambda df, c, to: df.join(forest.select(F.col("node").alias(c), F.col("root").alias("_r")), c, "left").withColumn(to, F.coalesce("_r", F.col(c))).drop("_r")
-    label = classes.join(forest.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "d", F.coalesce("root", "cls").alias("comp"))
-    met = pairs.join(best, ["a", "b"], "left_anti").select("a", "b", F.lit(False).alias("chained")).unionByName(chain.select("a", "b", F.lit(True).alias("chained")))
-    open_, n_chained = stored_and_counted(comp(comp(met, "a", "ca"), "b", "cb").filter("ca <> cb"), F.col("chained"))
-    ends_of = lambda links: comp(comp(links, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    found = []  # edges of components
-    if n_chained:
-        blocks = components(open_.filter("chained").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("node", "comp").withColumnRenamed("label", "block")
-        members = stored(label.join(blocks, "comp").select("cls", "comp", "block"))
-        points = stored(_near(sets.select("cls", "n", "point", "rest"), members, "cls").join(members, "cls"))
-        found.append(stored(ends_of(pivot_links(points))))
-        joined = components(found[0]).withColumnRenamed("node", "comp").withColumnRenamed("label", "_joined")
-        points = points.join(joined, "comp", "left").withColumn("comp", F.coalesce("_joined", "comp")).drop("_joined")
-        split = points.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("block")
-        found.append(stored(tree_links(points.join(split, "block", "left_semi"))))
-    more, n_more = stored_and_counted(open_.filter("NOT chained").select("a", "b"), F.lit(True))
-    if n_more:
-        rest = _near(sets.select("cls", "n", "point", "rest"), more.select(F.col("a").alias("cls")).union(more.select(F.col("b").alias("cls"))), "cls")
-        found.append(ends_of(_linked(more.join(rest.withColumnRenamed("cls", "a"), "a"), rest)))
-    if found:
-        merged = components(reduce(DataFrame.union, found)).withColumnRenamed("node", "comp")
-        label = label.join(merged, "comp", "left").select("cls", "d", F.coalesce("label", "comp").alias("comp"))
-    label = stored(label)
-    smallest = label.groupBy("comp").agg(F.min("d").alias("component"))
-    final = label.join(smallest, "comp").select("cls", "component", F.col("comp").alias("group"))
-    return rows.join(final, "cls", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.nullif(F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id").cast("long")), F.lit(_NO_ID)).alias("component_id"), *(["key", "group"] if keyed else [])
-    )
+    texts = docs.select(text_col)
+    met = candidates(_tokens(texts, _sketch(texts)))
+    pairs, chain = met.filter("NOT chain"), met.filter("chain").select("a", "b")
+    sets = stored(_sets(texts, _bitmap(met.select(F.explode(F.array("a", "b")).alias("cls")), "cls")))
+    ends = lambda x, y: (F.col(x).alias("x"), F.col(y).alias("y"))
+    forest = _linked(pairs.filter("best").select("a", "b", *ends("a", "b")), sets)
+    # one run finds the components of the forest and those of the graph of runs
+    labels = components(forest.union(chain.select(_in_graph_of_runs("a"), _in_graph_of_runs("b"))))
+    open_ = _labelled(_labelled(pairs.filter("NOT best").select("a", "b"), labels, "a", "x"), labels, "b", "y")
+    open_ = open_.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).filter("x <> y")
+    found = _linked(open_, sets)
+    in_blocks = _found_in_blocks(chain, sets, labels)
+    merged = components(found.union(in_blocks) if in_blocks is not None else found)
+    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("d"))
+    classes = _labelled(classes, labels, "cls", "comp").withColumn("comp", F.coalesce("comp", "cls"))
+    classes = stored(_labelled(classes, merged, "comp", "whole").select("cls", "d", F.coalesce("whole", "comp").alias("group")))
+    smallest = classes.groupBy("group").agg(F.min("d").alias("component"))
+    final = shuffled(classes.select("cls", "group"), smallest, "group")
+    joined = rows.join(final.hint("merge"), "cls", "left")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), *(["key", "group"] if keyed else []))

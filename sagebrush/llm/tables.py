@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shuffled(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that is never turned into a broadcast, as both sides grow with the
+    input."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage through checkpoint(), in the shared folder that the
     cluster names in spark.checkpoint.dir; where it names none (tests), in a
