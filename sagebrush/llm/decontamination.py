@@ -10,14 +10,16 @@ hits.  Items of fewer than 13 words are one window each and get fingerprints of
 their own length.
 
 Cost: one pass over the texts for fingerprints, a join of fingerprints, and a
-join of the hits back to the texts by id.  A bitmap of 512 KB of the benchmark's
+join of the hits back to the texts by the texts' hashes; texts without hits (by a
+bitmap) are not shuffled.  A bitmap of 512 KB of the benchmark's
 fingerprints (fixed size, whatever the benchmark) keeps documents from sending
 fingerprints that cannot join; where it is full everything goes to the join.
 Rows joined are the true matches of fingerprints, so no group is expanded into
 pairs of documents.
 
-Null or wordless texts have no words and no hits.  Null or repeated ids and
-repeated rows are fine: every candidate is verified against the row's own text.
+Null or wordless texts have no words and no hits.  Ids take no part: equal texts
+share their candidates, and each candidate is verified against the row's own
+text.  Items without an id are left out.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as wd
-from .tables import stored
+from .tables import own_names, split_by_keys, stored
 from .winnow import minima
 
 WINDOW, K = 13, 5
@@ -156,22 +158,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """docs with n_words, n_hit, item_ids (sorted as strings), hit_spans (word
     ranges [start, end)) and contaminated.  Columns of these names are replaced."""
     docs = docs.select(*[c for c in docs.columns if c.lower() not in NEW])
+    names = docs.columns
+    key, hits, of = own_names(docs, "_key", "_hits", "_of")
     items = stored(benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("item_text")).filter("item_text IS NOT NULL AND item IS NOT NULL"))
     sizes = items.select(F.size(F.filter(F.split(F.lower("item_text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")).alias("n")).select(F.least("n", F.lit(WINDOW)).alias("m")).filter("m > 0")
     lengths = sorted(r["m"] for r in sizes.distinct().collect())  # at most 13 rows
     item_fps = stored(fingerprints(items, "item", "item_text", lengths).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "fp"))
-    found = fingerprints(docs, id_col, text_col, lengths, _bitmap(item_fps))
+    texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    found = fingerprints(texts, "key", "text", lengths, _bitmap(item_fps))
     diagonals = found.join(item_fps, "fp").select("id", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
-    by_doc = (
+    by_text = stored(
         diagonals.groupBy("id", "item")
         .agg(F.collect_list("diagonal").alias("diagonals"))
         .join(items, "item")
-        .groupBy("id")
-        .agg(F.collect_list(F.struct("item", "item_text", "diagonals")).alias("_hits"))
-        .withColumnRenamed("id", "_id")
+        .groupBy(F.col("id").alias(of))
+        .agg(F.collect_list(F.struct("item", "item_text", "diagonals")).alias(hits))
     )
-    names = docs.columns
-    joined = docs.join(by_doc.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")), "left").select(*names, "_hits")
+    near, rest = split_by_keys(docs.withColumn(key, F.xxhash64(text_col)), key, by_text, of)
+    joined = near.join(by_text.hint("shuffle_hash"), F.col(key) == F.col(of), "left").select(*names, hits)
+    joined = joined.unionByName(rest.select(*names, F.lit(None).cast(by_text.schema[hits].dataType).alias(hits)))
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType(
         [*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("hit_spans", T.ArrayType(span)), T.StructField("contaminated", T.BooleanType())]
@@ -182,10 +187,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             texts = batch.column(text_col)
             n = np.concatenate([np.zeros(0, np.int64), *(np.diff(words.at) for _, _, words in wd.doc_steps(texts, wd.ALNUM))])
             hit, ids, spans = np.zeros(len(n), np.int64), [[] for _ in n], [[] for _ in n]
-            hits = batch.column("_hits")
-            for k in np.flatnonzero(pc.is_valid(hits).to_numpy(zero_copy_only=False)):
+            found = batch.column(hits)
+            for k in np.flatnonzero(pc.is_valid(found).to_numpy(zero_copy_only=False)):
                 doc, runs = split_words(texts[int(k)].as_py()), []
-                for h in hits[int(k)].as_py():
+                for h in found[int(k)].as_py():
                     item = split_words(h["item_text"])
                     own = [r for d in h["diagonals"] for r in extend(doc, item, d)]
                     if own:

@@ -1,17 +1,16 @@
 """Line dedup by winnowing over line hashes.
 
 A document is a sequence of lines, each hashed by its words (white space does
-not count, letter case does).  A window starts at each line with a word and reaches to the first
-line by which it has ``min_words`` words.  The smallest line hash of each window
-is a fingerprint, so every run of lines with that many words that occurs twice
-leaves a common fingerprint at both places.  Positions are joined by
-fingerprint; those whose fingerprint occurs once are done.  The others are
-extended both ways to all the windows around them, and windows are matched by
-their whole content.  A line is deleted if it lies in a window whose content
-occurs earlier, in the order (id, line): the first occurrence of everything
-stays.  The lines of a later run that lie behind its last complete window stay
-too, as in OP4_SQL; with ``whole_runs`` windows that end at each line and reach
-back count as well, so the run goes whole.
+not count, letter case does).  A window starts at each line with a word and
+reaches to the first line by which it has ``min_words`` words.  The smallest line
+hash of each window is a fingerprint, so every run of lines with that many words
+that occurs twice leaves a common fingerprint at both places.  Positions are
+joined by fingerprint; those whose fingerprint occurs once are done.  The others
+are extended both ways: to the windows around them that start at a line and
+reach on, and those that end at a line and reach back, matched by their whole
+content.  A line is deleted if it lies in a window whose content occurs earlier,
+in the order (id, line): the first occurrence of everything stays, and later
+runs go whole, from their first line to their last.
 
 A group of m copies costs m rows in each step, never pairs: positions meet in
 counts and minima by key, which are combined before the shuffle.
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as wd
-from .tables import stored
+from .tables import own_names, split_by_keys, stored
 
 MIN_WORDS = 50
 _Q = 0xA0761D6478BD642F | 1
@@ -70,7 +69,7 @@ def windows(counts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]
     return starts[inside], ends[inside]
 
 
-def whole_windows(counts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+def covering_windows(counts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """The windows, those that end at each line with a word and reach back until
     they have the words, and windows of one line with the next one, as blank lines
     may lie between: together they cover each run of lines with that many words."""
@@ -78,9 +77,10 @@ def whole_windows(counts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.nd
     total, solid = np.cumsum(counts), np.flatnonzero(counts > 0)
     back = np.searchsorted(total - counts, total[solid] - min_words, "right") - 1
     alone = np.isin(solid[:-1], starts[starts == ends])
-    first, last = np.concatenate((starts, back[back >= 0], solid[:-1][alone])), np.concatenate((ends, solid[back >= 0], solid[1:][alone]))
-    order = np.unique(first * len(counts) + last)
-    return order // len(counts), order % len(counts)
+    first = np.concatenate((starts, back[back >= 0], solid[:-1][alone]))
+    last = np.concatenate((ends, solid[back >= 0], solid[1:][alone]))
+    order = np.unique(first.astype(np.int64) * len(counts) + last)
+    return order // max(1, len(counts)), order % max(1, len(counts))
 
 
 def _fingerprints(hashes: np.ndarray, counts: np.ndarray, min_words: int) -> np.ndarray:
@@ -116,7 +116,7 @@ def _scan(min_words: int):
     return run
 
 
-def _around(min_words: int, whole_runs: bool):
+def _around(min_words: int):
     """Windows that hold one of the repeated positions, with their content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +126,7 @@ def _around(min_words: int, whole_runs: bool):
                 hashes = np.array(batch.column("hashes")[k].values, dtype=np.int64).view(np.uint64)
                 counts = np.array(batch.column("counts")[k].values, dtype=np.int32)
                 at = np.sort(np.array(batch.column("at")[k].values, dtype=np.int32))
-                starts, ends = (whole_windows if whole_runs else windows)(counts, min_words)
+                starts, ends = covering_windows(counts, min_words)
                 near = np.searchsorted(at, starts) < np.searchsorted(at, ends, "right")
                 starts, ends = starts[near], ends[near]
                 shown = hashes[counts > 0]  # lines without words don't count
@@ -149,7 +149,7 @@ def _around(min_words: int, whole_runs: bool):
     return run
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, key, spans): the line ranges [first, last] that repeat earlier ones;
     key is the hash of the text."""
     kind = docs.schema[id_col].dataType
@@ -164,7 +164,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.key") == F.col(f"{b}.key"))
     joined = lines.alias("l").join(places.alias("p"), same("l", "p")).select("l.id", "l.key", "l.hashes", "l.counts", "p.at").dropDuplicates(["id", "key"])
     long, int_ = T.LongType(), T.IntegerType()
-    spans = stored(joined.mapInArrow(_around(min_words, whole_runs), T.StructType([*ids, T.StructField("first", int_), T.StructField("last", int_), T.StructField("h1", long), T.StructField("h2", long)])))
+    spans = stored(joined.mapInArrow(_around(min_words), T.StructType([*ids, T.StructField("first", int_), T.StructField("last", int_), T.StructField("h1", long), T.StructField("h2", long)])))
     first = spans.groupBy("h1", "h2").agg(F.min(F.struct("id", "key", "first")).alias("origin"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = spans.join(first, ["h1", "h2"]).filter(~(F.struct("id", "key", "first").eqNullSafe(F.col("origin"))))
     return later.groupBy("id", "key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
@@ -173,23 +173,25 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 NEW = ("clean_text", "n_lines", "n_removed")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with clean_text, n_lines and n_removed.  A text that loses nothing
-    stays as it is.  Columns of these names are replaced."""
+    stays as it is and is not shuffled.  Columns of these names are replaced."""
     docs = docs.select(*[c for c in docs.columns if c.lower() not in NEW])
-    runs = repeated_runs(docs, id_col, text_col, min_words, whole_runs).select(F.col("id").alias("_id"), F.col("key").alias("_key"), _lines(F.col("spans")).alias("_gone"))
-    joined = docs.join(runs.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key")), "left")
-    parts = F.split(text_col, "\n")
-    gone = F.coalesce(F.size("_gone"), F.lit(0))
+    of, key, gone, parts, hash_ = own_names(docs, "_id", "_key", "_gone", "_parts", "_hash")
+    runs = stored(repeated_runs(docs, id_col, text_col, min_words).select(F.col("id").alias(of), F.col("key").alias(key), _lines(F.col("spans")).alias(gone)))
+    hit, rest = split_by_keys(docs.withColumn(hash_, F.xxhash64(text_col)), hash_, runs, key)
+    joined = hit.join(runs.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(of)) & (F.col(hash_) == F.col(key)), "left")
+    joined = joined.withColumn(parts, F.when(F.col(gone).isNotNull(), F.split(text_col, "\n")))
     # both lists are in order, so what stays is what array_except keeps of the numbered lines
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")), lambda i: F.get(F.col("_parts"), i))
-    step = joined.withColumn("_parts", F.when(F.col("_gone").isNotNull(), parts))
-    return step.select(
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone)), lambda i: F.get(F.col(parts), i))
+    n_lines = F.coalesce(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    changed = joined.select(
         *docs.columns,
-        F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")).alias("clean_text"),
-        F.coalesce(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
-        gone.cast("long").alias("n_removed"),
+        F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")).alias("clean_text"),
+        n_lines.alias("n_lines"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
     )
+    return changed.unionByName(rest.select(*docs.columns, F.col(text_col).alias("clean_text"), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed")))
 
 
 def _lines(spans):

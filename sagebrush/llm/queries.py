@@ -131,8 +131,9 @@ OP4_SQL = r"""
 WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
 l AS (SELECT doc_id, i, p[i] AS line, list_filter(regexp_split_to_array(p[i], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM parts, unnest(range(1, len(p) + 1)) AS t(i)),
 c AS (SELECT doc_id, i, array_to_string(w, ' ') AS s, len(w) AS n, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l),
-win AS (SELECT a.doc_id, a.i AS i, b.i AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND a.n > 0
-  AND b.upto - a.upto + a.n >= 50 AND b.upto - b.n - a.upto + a.n < 50),
+solid AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM c WHERE n > 0),
+win AS (SELECT a.doc_id, a.i AS i, b.i AS j FROM solid a JOIN solid b ON a.doc_id = b.doc_id AND b.i >= a.i
+  AND b.upto - a.upto + a.n >= 50 AND (b.upto - b.n - a.upto + a.n < 50 OR b.upto - a.upto < 50 OR (b.r = a.r + 1 AND a.n >= 50))),
 content AS (SELECT w.doc_id, w.i, w.j, string_agg(c.s, chr(10) ORDER BY c.i) AS s
   FROM win w JOIN c ON c.doc_id = w.doc_id AND c.i BETWEEN w.i AND w.j AND c.n > 0 GROUP BY ALL),
 later AS (SELECT doc_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM content) WHERE k > 1),

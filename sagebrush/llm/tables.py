@@ -6,32 +6,72 @@ import os
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+#: Bits of the bitmap by which rows that need no join are passed by.
+FLAG_BITS = 25
+_BUCKET_BITS = 15  # of Spark's bitmaps: 4 KB each
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffled(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """A join that is never turned into a broadcast, as both sides grow with the
     input."""
     return left.join(right.hint("merge"), on, how)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.  Where it is unset, a temporary
+    one, but only if there are no other machines, which could not read it."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return tempfile.mkdtemp(prefix=f"checkpoints-{os.getpid()}-")
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage through checkpoint(), in the shared folder that the
-    cluster names in spark.checkpoint.dir; where it names none (tests), in a
-    temporary folder."""
+    """Cut the lineage through checkpoint(), in shared_folder()."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix=f"checkpoints-{os.getpid()}-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def stored_and_counted(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
     """stored(), and how many rows meet a condition, in one job."""
-    from pyspark.sql import functions as F
-
     seen = Observation()
     out = stored(df.observe(seen, F.count_if(condition).alias("n")))
     return out, seen.get["n"]
+
+
+def split_by_keys(df: DataFrame, key: str, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose hash in ``key`` is among the hashes of ``keys`` (and few
+    others), and the rest, without a shuffle of df.  The keys pass as a bitmap of
+    2**FLAG_BITS flags: at most 1024 rows of 4 KB, whatever the input, so it may be
+    broadcast.  A fuller bitmap only sends more rows to the first part."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << FLAG_BITS) - 1))
+    bucket, bits, flag = own_names(df, "_bucket", "_bits", "_flag")
+    flags = keys.select((slot + 1).alias("s")).groupBy((F.bitmap_bucket_number("s") - 1).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias(bits))
+    flags = F.broadcast(stored(flags))
+    slot = F.col(key).bitwiseAND(F.lit((1 << FLAG_BITS) - 1))
+    position = slot.bitwiseAND(F.lit((1 << _BUCKET_BITS) - 1))
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.shiftright(position, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    set_ = F.call_function("shiftright", byte, position.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    marked = df.withColumn(bucket, F.shiftright(slot, _BUCKET_BITS)).join(flags, bucket, "left").withColumn(flag, F.coalesce(set_, F.lit(False)))
+    return marked.filter(flag).select(*df.columns), marked.filter(~F.col(flag)).select(*df.columns)

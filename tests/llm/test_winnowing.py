@@ -1,5 +1,6 @@
 """Decontamination and line dedup against brute force."""
 
+import functools
 import random
 
 import numpy as np
@@ -56,22 +57,25 @@ def test_minima_guarantee():
 
 
 def brute_dedup(docs, least):
-    """docs: (id, key, text), in order."""
-    seen, out = {}, []
-    placed = []
+    """docs: (id, key, text), in order.  A span of lines counts if it has the
+    words and would not without its first or without its last line with a word, or
+    if it is one line with enough words and the next one."""
+    seen, placed = {}, []
     for i, key, text in docs:
-        lines = text.split("\n")
-        words = [x.split() for x in lines]
-        for s in range(len(lines)):
+        words = [tuple(x.split()) for x in text.split("\n")]
+        solid = [k for k, w in enumerate(words) if w]
+        for a, s in enumerate(solid):
             n = 0
-            for e in range(s, len(lines)):
-                n += len(words[e])
-                if words[s] and n >= least:
-                    content = tuple(tuple(w) for w in words[s : e + 1] if w)
-                    placed.append((i, key, s, e, content))
+            for b in range(a, len(solid)):
+                w = words[solid[b]]
+                n += len(w)
+                one_more = b == a + 1 and len(words[s]) >= least
+                if n >= least and (n - len(w) < least or n - len(words[s]) < least or one_more):
+                    placed.append((i, key, s, solid[b], tuple(words[k] for k in solid[a : b + 1])))
+                elif n - len(words[s]) >= least and b > a + 1:
                     break
-    gone = {}
-    for i, key, s, e, content in placed:
+    gone, out = {}, []
+    for i, key, s, e, content in sorted(placed, key=lambda x: (docs_order(docs)[x[:2]], x[2])):
         if seen.setdefault(content, (i, key, s)) != (i, key, s):
             gone.setdefault((i, key), set()).update(range(s, e + 1))
     for i, key, text in docs:
@@ -80,6 +84,15 @@ def brute_dedup(docs, least):
     return out
 
 
+@functools.cache
+def _order(keys):
+    return {k: n for n, k in enumerate(keys)}
+
+
+def docs_order(docs):
+    return _order(tuple((i, key) for i, key, _ in docs))
+
+
 def test_dedup_equals_brute_force(spark):
     rnd = random.Random(11)
     pool = [" ".join(rnd.choice("alpha beta gamma delta é".split()) for _ in range(rnd.choice([0, 1, 3, 7, 12]))) for _ in range(14)]
@@ -134,7 +147,35 @@ def test_whole_runs_leave_no_stub(spark):
     docs = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 12)))) for i in range(120)]
     run = "\n".join(f"t{i} u{i} v{i} w{i} x{i}" for i in range(7)) + "\nlast line"
     docs += [(200, run), (201, "intro\n" + run + "\nend"), (202, run), (203, "\n".join(["same words here now"] * 40)), (204, "")]
-    rows = ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_words=9, whole_runs=True).collect()
+    rows = ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_words=9).collect()
     got = {r["doc_id"]: (r["clean_text"], r["n_removed"]) for r in rows}
     assert got == brute_runs(docs, 9) and got[201] == ("intro\nend", 8) and got[202] == ("", 8)
-    assert brute_dedup([(i, 0, t) for i, t in docs], 9)[122] == (202, "last line", 1 + 6)
+    assert {i: (t, n) for i, t, n in brute_dedup([(i, 0, t) for i, t in docs], 9)} == got
+
+
+def test_clashing_and_extra_columns(spark):
+    """Columns with the names that the operators use inside stay as they are."""
+    run = "\n".join(f"line {i} of the passage with several words" for i in range(9))
+    names = "_id _key _gone _parts _hash _hits _of _bucket _bits _flag id key fp n_lines item"
+    rows = [(k, t, *range(len(names.split()))) for k, t in ((1, run), (2, "intro\n" + run), (None, None), (3, ""), (3, "x"))]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names.split()])
+    out = ld.dedup_lines(docs)
+    assert sorted(((r["doc_id"], r["clean_text"]) for r in out.collect()), key=str) == sorted([(None, None), (1, run), (2, "intro"), (3, ""), (3, "x")], key=str)
+    kept = [c for c in docs.columns if c != "n_lines"]
+    assert sorted(map(str, out.select(*kept).collect())) == sorted(map(str, docs.select(*kept).collect()))
+    bench = spark.createDataFrame([(1, run)], "item_id long, text string")
+    hit = dc.decontaminate(docs, bench)
+    assert sorted(map(str, hit.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert sorted((r["doc_id"], r["n_hit"]) for r in hit.filter("contaminated").collect()) == [(1, 72), (2, 72)]
+
+
+def test_split_by_keys(spark):
+    from pyspark.sql import functions as F
+
+    from sagebrush.llm.tables import split_by_keys
+
+    docs = spark.range(5000).withColumn("h", F.xxhash64("id"))
+    keys = docs.filter("id % 7 = 0").select(F.col("h").alias("k"))
+    near, rest = split_by_keys(docs, "h", keys, "k")
+    near, rest = {r["id"] for r in near.collect()}, {r["id"] for r in rest.collect()}
+    assert near >= set(range(0, 5000, 7)) and len(near) < 730 and near | rest == set(range(5000)) and not near & rest
