@@ -8,7 +8,6 @@ All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sagebrush.llm import decontamination, language, line_dedup, ngram_join, pieces
 from sagebrush.llm.queries import tokenizer_path
-from sagebrush.llm.tables import table
+from sagebrush.llm.tables import shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Share of a text's words that its language must have.
@@ -73,10 +72,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpus-")
-    folder = f"{shared}/corpus_pipeline_{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/corpus_pipeline_{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+        made = f"{folder}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(made)
+        docs = spark.read.parquet(made)
+        if before:  # its rows are in the next table now
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = made
     return docs
