@@ -2,7 +2,8 @@
 
 The model has, for each language, log probabilities of byte trigrams of words
 (with word edges, hashed into SLOTS slots) and the scripts that its words use.
-A word's script, from the ranges of its first letter, narrows its candidates;
+A word's script, from the range of its first letter that has one, narrows its
+candidates; where no language uses the script, all are open;
 its score for a candidate is the sum of its trigrams' log probabilities.  The
 labels of a text's words are the best path of these scores with a penalty for
 each switch, so mixed texts fall into spans.  The document's language is the
@@ -18,9 +19,9 @@ language, and the driver gets SLOTS counts for each language.  Prediction is one
 pass without a shuffle; a worker holds STEP bytes of text at a time (a longer
 text alone).
 
-Null texts and texts without letters get ``und`` with score 0.  Words of a
-script that no language uses have no vote; a text of only such words is ``und``.
-Ties go to the first language by name.  Without labelled rows all is ``und``.
+Punctuation, symbols, pictures and digits separate words.  Null texts and texts
+without letters get ``und`` with score 0, and only they, unless no row is
+labelled: then all is ``und``.  Ties go to the first language by name.
 """
 
 from __future__ import annotations
@@ -51,9 +52,9 @@ def _scripts() -> np.ndarray:
     out = np.zeros(256, np.int64)
     for script, (first, last) in enumerate([
         (0x41, 0x7A), (0xC3, 0xCA), (0xCD, 0xCF), (0xD0, 0xD4), (0xD5, 0xD6), (0xD7, 0xD7), (0xD8, 0xDB),
-        (0xE0, 0xE0), (0xE1, 0xE1), (0xE3, 0xE3), (0xE4, 0xE9), (0xEA, 0xED), (0xF0, 0xF0),
+        (0xE0, 0xE0), (0xE1, 0xE1), (0xE3, 0xE3), (0xE4, 0xE9), (0xEA, 0xED),
     ]):
-        # Latin, Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, Indic, others of E1, kana, Han, Hangul, above the BMP
+        # Latin, Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, Indic, others of E1, kana, Han, Hangul
         out[first : last + 1] = max(1, script)
     return out
 
@@ -96,6 +97,19 @@ def _trigrams(words: wd.Words) -> tuple[np.ndarray, np.ndarray]:
     return ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64), begin
 
 
+def _word_scripts(words: wd.Words) -> np.ndarray:
+    """Script of each word: that of its first letter that has one, 0 if none has."""
+    by_byte = SCRIPTS[words.data]
+    at = np.flatnonzero(by_byte)
+    first = np.searchsorted(at, words.starts)
+    place = np.append(at, len(words.data))[first]
+    return np.where(place < words.ends, np.append(by_byte, 0)[place], 0)
+
+
+def _words(raw: np.ndarray, cuts: np.ndarray) -> wd.Words:
+    return wd.Words(raw, cuts, wd.LETTER, wd.letters(raw))
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """From all rows with a text and a language."""
     width = SLOTS + _N_SCRIPTS
@@ -104,12 +118,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(1)
-            for i, j, words in wd.doc_steps(batch.column(0), wd.LETTER):
+            data, offsets = wd.flat(batch.column(0))
+            for i, j in wd.steps(offsets):
+                words = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 slots, begin = _trigrams(words)
                 names = np.array(langs.slice(i, j - i).to_pylist(), dtype=object)
                 per_word = np.repeat(np.arange(j - i), np.diff(words.at))
                 per_slot = np.repeat(per_word, words.ends - words.starts + 1)
-                scripts = SCRIPTS[words.data[words.starts]]
+                scripts = _word_scripts(words)
                 for name in set(names):
                     mine = names == name
                     total = totals.setdefault(name, np.zeros(width, np.int64))
@@ -145,9 +161,14 @@ def word_scores(words: wd.Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
         return out, np.zeros(0, bool)
     for k in range(len(model.languages)):
         out[:, k] = np.add.reduceat(model.scores[k][slots], begin)
-    allowed = model.allowed[SCRIPTS[words.data[words.starts]]]
-    voting = allowed.any(axis=1)
+    scripts = _word_scripts(words)
+    allowed = model.allowed[scripts]
+    allowed[~allowed.any(axis=1)] = True
     out[~allowed] = -1e4
+    voting = np.ones(len(out), bool)
+    for k in np.flatnonzero(scripts == 0):  # of no known script: few
+        word = words.data[words.starts[k] : words.ends[k]].tobytes().decode("utf-8", "replace")
+        voting[k] = any(c.isalpha() for c in word)
     out[~voting] = 0
     return out, voting
 
@@ -243,7 +264,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
             data, offsets = wd.flat(batch.column(text_col))
             for i, j in wd.steps(offsets, STEP):
                 raw, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                words = wd.Words(raw, cuts, wd.LETTER)
+                words = _words(raw, cuts)
                 at, n = words.at, j - i
                 owner = words.owner()
                 pred, score = np.full(n, n_lang), np.zeros(n)

@@ -44,6 +44,25 @@ def byte_class(pattern: str) -> np.ndarray:
 ALNUM, SOLID, LETTER = (byte_class(x) for x in ("alnum", "solid", "letter"))
 
 
+def letters(data: np.ndarray) -> np.ndarray:
+    """Flags of the bytes of words of letters: ASCII letters and characters beyond
+    ASCII, but for the blocks of punctuation, symbols and pictures (U+0080 to
+    U+00BF without \u00aa, \u00b5 and \u00ba; U+2000 to U+2BFF; U+3000 to U+303F without
+    U+3005 to U+3007; U+1F000 to U+1FFFF)."""
+    inside = LETTER[data]
+    n = len(data)
+    ahead = lambda k: np.append(data[k:], np.zeros(min(k, n), np.uint8))
+    second, third = ahead(1), ahead(2)
+    two = (data == 0xC2) & ~np.isin(second, (0xAA, 0xB5, 0xBA))
+    three = ((data == 0xE2) & (second < 0xB0)) | ((data == 0xE3) & (second == 0x80) & ((third < 0x85) | (third > 0x87)))
+    four = (data == 0xF0) & (second == 0x9F)
+    for found, size in ((two, 2), (three, 3), (four, 4)):
+        at = np.flatnonzero(found)
+        for k in range(size):
+            inside[np.minimum(at + k, n - 1)] = False
+    return inside
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
@@ -97,9 +116,9 @@ class Words:
     """Word spans of a run of texts: starts, ends, and ``at``, the index of the
     first word of each text (one more entry than texts)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, flags: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, flags: np.ndarray, inside: np.ndarray | None = None):
         self.data, self.offsets = data, offsets
-        inside = flags[data]
+        inside = flags[data] if inside is None else inside
         n = len(data)
         before = np.zeros(n + 1, bool)
         before[1:] = inside

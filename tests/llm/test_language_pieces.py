@@ -3,6 +3,7 @@ the library and by round trip."""
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import sentencepiece
@@ -65,7 +66,9 @@ def test_mixed_and_odd_texts(spark):
     texts = [None, "", "123 ... 🎉", "— “ ”", first + "\n" + second, "русский текст", first + " русский"]
     frame = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, score double")
     out = {r["doc_id"]: r for r in language.identify(frame, model).collect()}
-    assert [out[i]["lang_pred"] for i in (0, 1, 2, 3, 5)] == ["und"] * 5
+    assert [out[i]["lang_pred"] for i in (0, 1, 2, 3)] == ["und"] * 4 and [out[i]["score"] for i in (0, 1, 2, 3)] == [0.0] * 4
+    # whatever has letters gets a learned language
+    assert out[5]["lang_pred"] in model.languages and out[5]["score"] > 0
     assert out[4]["lang_pred"] == "es" and {s["lang"] for s in out[4]["spans"]} == {"de", "es"} and out[4]["score"] < 0.8
     assert out[6]["lang_pred"] == "de"
     none = language.train(docs.withColumn("lang", F.lit(None).cast("string")))
@@ -73,6 +76,53 @@ def test_mixed_and_odd_texts(spark):
     assert language.identify(frame.limit(0), model).count() == 0
 
 
+APART = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u1fff\u2c00-\u2fff\u3005-\u3007\u3040-\U0001efff\U00020000-\U0010ffff]+"
+
+
+def brute_language(text, model, penalty):
+    """Label and score of a text: words, trigram sums and all paths in plain Python."""
+    rows, voting = [], []
+    for word in re.findall(APART, text or ""):
+        raw = [language.wd._LOWER[b] for b in word.encode()]
+        padded = [0, 0, *map(int, raw), 0]
+        codes = [(padded[t] << 16) | (padded[t + 1] << 8) | padded[t + 2] for t in range(len(raw) + 1)]
+        slots = [((c * 2654435761) & 0xFFFFFFFF) >> 16 for c in codes]
+        script = next((int(language.SCRIPTS[b]) for b in word.encode() if language.SCRIPTS[b]), 0)
+        open_ = model.allowed[script] if model.allowed[script].any() else np.ones(len(model.languages), bool)
+        votes = any(c.isalpha() for c in word)
+        score = [float(np.add.reduce(model.scores[k][slots])) if open_[k] else -1e4 for k in range(len(model.languages))]
+        rows.append(score if votes else [0.0] * len(score))
+        voting.append(votes)
+    if not any(voting):
+        return "und", 0.0
+    best, back = list(rows[0]), []
+    for row in rows[1:]:
+        top = max(range(len(best)), key=lambda i: best[i])
+        from_ = [k if best[k] >= best[top] - penalty else top for k in range(len(best))]
+        best = [max(best[k], best[top] - penalty) + row[k] for k in range(len(best))]
+        back.append(from_)
+    at = max(range(len(best)), key=lambda i: best[i])
+    labels = [at]
+    for from_ in reversed(back):
+        labels.append(from_[labels[-1]])
+    labels = [lab for lab, v in zip(reversed(labels), voting, strict=True) if v]
+    counts = [labels.count(k) for k in range(len(best))]
+    return model.languages[counts.index(max(counts))], max(counts) / len(labels)
+
+
+def test_labels_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.train(docs.filter(~language.held_out()))
+    odd = [None, "", "“Bonjour” “tout” “monde”", "русский текст", "中文文本", "— … “ ”", "¿Qué? ¡Sí!", "12 a3b", "🎉🎉 ok 🎉", "naïve—café", "々", "ªº", "Ωmega and the rest", "𐌰𐌱𐌲"]
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] for r in frame.collect()}
+    for r in language.identify(frame, model).collect():
+        want = brute_language(texts[r["doc_id"]], model, language.PENALTY)
+        assert (r["lang_pred"], round(r["score"], 9)) == (want[0], round(want[1], 9)), texts[r["doc_id"]]
+    for i in (2, 3, 4, 6, 7, 9, 10, 11, 12, 13):
+        assert brute_language(odd[i], model, language.PENALTY)[0] in model.languages
+
+
 def test_ids_equal_library(spark):
     path = tokenizer_path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
