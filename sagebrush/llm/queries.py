@@ -163,9 +163,34 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines", "lost_chars")
 
 
+_WORD = r"[\x20\x09-\x0D]+"
+_SYMBOL = f"[{quality.SYMBOLS}]"
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{_WORD}'), lambda w: w <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM d, unnest(range(1, len(w) - 6)) AS u(i) WHERE len(w) >= 8),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS k FROM win) WHERE k > 1),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM twice, unnest(range(i, i + 8)) AS v(j) GROUP BY doc_id),
+line AS (SELECT doc_id, x, len(list_filter(regexp_split_to_array(x, '{_WORD}'), lambda w: w <> '')) AS n,
+  len(regexp_extract_all(x, '{_SYMBOL}')) AS symbols, len(regexp_extract_all(x, '[|>]')) AS bars
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
+judged AS (SELECT doc_id, x, (symbols > 0 AND (4 * symbols >= n OR 4 * bars >= n))
+  OR (NOT regexp_matches(x, {_quoted(quality.END)}) AND (n < {quality.LONG_LINE} OR NOT regexp_matches(x, '[{quality.MARKS}]')))
+  OR 3 * (length(x) - length(regexp_replace(x, {_quoted(quality.PHRASE)}, '', 'g'))) >= length(x) AS failed FROM line),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines, count(*) FILTER (failed) AS n_failed_lines,
+  sum(length(x)) AS chars, coalesce(sum(length(x)) FILTER (failed), 0) AS lost FROM judged GROUP BY doc_id),
+base AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '{_SYMBOL}')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+  coalesce(n_failed_lines, 0) AS n_failed_lines, CAST(coalesce(lost, 0) AS BIGINT) AS lost_chars, coalesce(chars, 0) AS chars
+  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id)),
+said AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 2 * lost_chars <= chars AS kept,
+  n_lines, n_failed_lines, lost_chars FROM said
+"""
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), keep_ids=False)
+    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,4 +228,4 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_ngram_join": op10_ngram_join,
 }
-SQL = {"op1_decontamination": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op3_license_scan": OP3_SQL, "op4_line_dedup": OP4_SQL, "op10_ngram_join": OP10_SQL}
+SQL = {"op1_decontamination": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op3_license_scan": OP3_SQL, "op4_line_dedup": OP4_SQL, "op7_quality_rules": OP7_SQL, "op10_ngram_join": OP10_SQL}
