@@ -1,20 +1,24 @@
 """Licence scans, with DataFrame and SQL functions only.
 
-The header of a file is all of its lines that speak of licences, wherever they
-stand.  Headers and templates become sparse TF-IDF vectors (1 + ln of the count,
-times ln((1 + N) / (1 + documents with the term)) + 1, over all headers and
-templates), and a header takes the template with the highest cosine, if that is
-at least ``threshold``.  Files without a licence of their own inherit that of
-the nearest ancestor directory that has one: a directory has the best licence
-of its licence files, which are those named LICENSE, COPYING and the like, or
-with at least half of their characters in licence lines.
-
-Work per header is done once for each distinct header, and per directory once
-for each distinct directory; rows meet both again by equi-joins, so a header
-that a third of all files share costs one vector.  Joins emit one row per file
-and, for directories, one per ancestor.
-
-Null texts have no header; null paths lie in the root and have no ancestors.
+The notice of a file is all of its lines that speak of licences, wherever they
+stand, with a line before and AFTER behind each.  It is cut into units, so that
+what stands around a licence does not dilute it: its sentences, and windows of
+SPAN terms, one begun at every STEP terms, and SPDX tags; units without a word of licences are
+left out.  Units and the passages of the licences (tags, sentences, standard
+headers and parts of the full texts) become sparse TF-IDF vectors (1 + ln of the
+count, times ln((1 + N) / (1 + documents with the term)) + 1, over all notices and
+passages).  A notice takes the licence of the passage with the highest cosine to
+one of its units, if that is at least ``threshold``.  Files without a licence of
+their own inherit that of the nearest ancestor directory that has one: a directory
+has the best licence of its licence files, which are those named LICENSE, COPYING
+and the like, or with at least half of their characters in sentences that speak of licences.
+
+The texts are read once; work per notice is done once for each distinct unit, and
+per directory once for each distinct directory; rows meet both again by
+equi-joins, so a notice that a third of all files share costs one vector.  Joins
+emit one row per file and, for directories, one per ancestor.
+
+Null texts have no notice; null paths lie in the root and have no ancestors.
 Ties in cosine go to the last licence by name.  Each input row gives one row.
 """
 
@@ -23,92 +27,212 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import own_names, stored
 
 THRESHOLD = 0.5
 CUES = r"(?i)licen[cs]e|copyright|public domain|creative commons|redistribut|without warrant|permission is hereby"
 NAMED = r"(?i)(^|/)(un)?(licen[cs]e|copying|copyright|notice)([.-][^/]*)?$"
 TERM = r"[^a-z0-9.+-]+"
-
-#: Licence notices, as projects put them into headers and licence files.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted. Use of this source code is governed by a BSD-style license.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License. Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal.",
-    "GPL-2.0": "This program is free software, licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
-
-
-def header(text: Column) -> Column:
-    return F.array_join(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_like(x, F.lit(CUES))), "\n")
-
-
-def _terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf): words without the full stops that end sentences."""
-    words = F.transform(F.split(F.lower(text), TERM), lambda w: F.regexp_replace(w, r"^[.+-]+|[.-]+$", ""))
-    return df.select(key, F.explode(words).alias("term")).filter("term <> ''").groupBy(key, "term").agg((F.lit(1.0) + F.log(F.count("*"))).alias("tf"))
-
-
-def match_headers(headers: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(header, license, cosine) for headers (header, n), n the files that have it."""
-    spark = headers.sparkSession
-    templates = spark.createDataFrame(list(TEMPLATES.items()), "license string, template string")
-    known = _terms(templates, "license", "template")
-    seen = _terms(headers.select("header"), "header", "header")
-    total = (headers.agg(F.sum("n")).first()[0] or 0) + len(TEMPLATES)
-    spread = seen.join(headers, "header").groupBy("term").agg(F.sum("n").alias("df")).unionByName(known.groupBy("term").agg(F.count("*").alias("df")))
+TAG = r"SPDX-License-Identifier: *[A-Za-z0-9.+-]+"
+
+BEFORE, AFTER = 1, 4
+SPAN, STEP = 32, 16
+
+#: Tags, sentences and parts of the public texts of the licences.
+PASSAGES = {
+    "Apache-2.0": (
+        "SPDX-License-Identifier: Apache-2.0",
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    ),
+    "BSD-2-Clause": (
+        "SPDX-License-Identifier: BSD-2-Clause",
+        "Licensed under the BSD 2-Clause License.",
+    ),
+    "BSD-3-Clause": (
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    "CC-BY-4.0": (
+        "SPDX-License-Identifier: CC-BY-4.0",
+        "Licensed under CC BY 4.0.",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    ),
+    "CC-BY-NC-4.0": (
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
+        "Licensed under CC BY-NC 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    ),
+    "CC-BY-SA-4.0": (
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ),
+    "CC0-1.0": (
+        "SPDX-License-Identifier: CC0-1.0",
+        "Dedicated to the public domain under CC0 1.0 Universal.",
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide.",
+    ),
+    "GPL-2.0": (
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "This program is free software, licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc.",
+    ),
+    "GPL-3.0": (
+        "SPDX-License-Identifier: GPL-3.0-only",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
+    ),
+    "ISC": (
+        "SPDX-License-Identifier: ISC",
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "LGPL-2.1": (
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc.",
+    ),
+    "LGPL-3.0": (
+        "SPDX-License-Identifier: LGPL-3.0-only",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
+    ),
+    "MIT": (
+        "SPDX-License-Identifier: MIT",
+        "Released under the MIT License.",
+        "The MIT License (MIT)",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
+    "MPL-2.0": (
+        "SPDX-License-Identifier: MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "Mozilla Public License Version 2.0",
+    ),
+    "Unlicense": (
+        "SPDX-License-Identifier: Unlicense",
+        "This is free and unencumbered software released into the public domain.",
+    ),
+}
+
+
+def _cue_lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(CUES)))
+
+
+def notice(text: Column) -> Column:
+    """The lines of licences with those around them; empty without any."""
+    flags = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("x"), F.regexp_like(x, F.lit(CUES)).alias("f")))
+    near = lambda i: F.exists(F.slice(flags, F.greatest(i + 1 - AFTER, F.lit(1)), F.lit(AFTER + BEFORE + 1)), lambda y: y["f"])
+    # slices near the first line begin there, so they may reach too far ahead
+    first = lambda i: F.exists(F.slice(flags, F.lit(1), i + 1 + BEFORE), lambda y: y["f"])
+    kept = F.filter(F.transform(flags, lambda y, i: F.struct(y["x"].alias("x"), F.when(i < AFTER, first(i)).otherwise(near(i)).alias("f"))), lambda y: y["f"])
+    return F.when(F.regexp_like(text, F.lit(CUES)), F.array_join(F.transform(kept, lambda y: y["x"]), "\n")).otherwise(F.lit(""))
+
+
+def _terms(text: Column) -> Column:
+    """Words without the full stops that end sentences."""
+    return F.filter(F.transform(F.split(F.lower(text), TERM), lambda w: F.regexp_replace(w, r"^[.+-]+|[.-]+$", "")), lambda w: w != "")
+
+
+def _sentences(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, r"([.;:!?])[ \t\r\n]+", "$1\n"), "\n")
+
+
+def units(text: Column) -> Column:
+    """The sentences and SPDX tags of a notice, and windows of its terms, that speak
+    of licences."""
+    tags = F.regexp_extract_all(text, F.lit(TAG), F.lit(0))
+    terms = _terms(text)
+    begins = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(terms) - STEP), F.lit(STEP))
+    windows = F.transform(begins, lambda i: F.array_join(F.slice(terms, i, SPAN), " "))
+    both = F.concat(F.transform(F.concat(_sentences(text), tags), lambda x: F.array_join(_terms(x), " ")), windows)
+    return F.array_distinct(F.filter(both, lambda u: F.regexp_like(u, F.lit(CUES))))
+
+
+def _counted(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf)."""
+    return df.select(key, F.explode(F.split(text, " ")).alias("term")).filter("term <> ''").groupBy(key, "term").agg((F.lit(1.0) + F.log(F.count("*"))).alias("tf"))
+
+
+def match_notices(notices: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(notice, license, cosine) for notices (notice, n), n the files that have it."""
+    spark = notices.sparkSession
+    rows = [(f"{name} {k}", name, text) for name, texts in PASSAGES.items() for k, text in enumerate(texts)]
+    passages = spark.createDataFrame(rows, "passage string, license string, text string").withColumn("text", F.array_join(_terms(F.col("text")), " "))
+    known = _counted(passages, "passage", "text")
+    parts = stored(notices.select("notice", "n", F.explode(units(F.col("notice"))).alias("unit")))
+    whole = notices.select("n", F.explode(F.array_distinct(_terms(F.col("notice")))).alias("term"))
+    total = (notices.agg(F.sum("n")).first()[0] or 0) + len(rows)
+    spread = whole.groupBy("term").agg(F.sum("n").alias("df")).unionByName(known.groupBy("term").agg(F.count("*").alias("df")))
     weight = F.log(F.lit(1.0 + total) / (F.lit(1.0) + F.col("df"))) + 1
-    idf = spread.groupBy("term").agg(F.sum("df").alias("df")).select("term", weight.alias("idf"))
+    idf = stored(spread.groupBy("term").agg(F.sum("df").alias("df")).select("term", weight.alias("idf")))
     vector = lambda df: df.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")).select(*[c for c in df.columns if c != "tf"], "w")
     norm = lambda df, key, to: df.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(to))
-    left, right = vector(seen), vector(known)
-    # the templates' vectors are constants of this module: a few dozen terms each
-    right = F.broadcast(right.join(norm(right, "license", "rn"), "license").select("term", "license", (F.col("w") / F.col("rn")).alias("rw")))
-    dots = left.join(right, "term").groupBy("header", "license").agg(F.sum(F.col("w") * F.col("rw")).alias("dot"))
-    scored = dots.join(norm(left, "header", "ln"), "header").select("header", "license", F.round(F.col("dot") / F.col("ln"), 9).alias("cosine"))
-    best = scored.groupBy("header").agg(F.max(F.struct("cosine", "license")).alias("b")).select("header", "b.license", "b.cosine")
-    return best.filter(F.col("cosine") >= threshold)
+    left, right = vector(_counted(parts.select("unit").distinct(), "unit", "unit")), vector(known)
+    # the passages' vectors are constants of this module: some hundred terms
+    right = F.broadcast(right.join(norm(right, "passage", "rn"), "passage").select("term", "passage", (F.col("w") / F.col("rn")).alias("rw")))
+    dots = left.join(right, "term").groupBy("unit", "passage").agg(F.sum(F.col("w") * F.col("rw")).alias("dot"))
+    scored = dots.join(norm(left, "unit", "ln"), "unit").select("unit", "passage", F.round(F.col("dot") / F.col("ln"), 9).alias("cosine"))
+    scored = scored.join(F.broadcast(passages.select("passage", "license")), "passage")
+    best = scored.groupBy("unit").agg(F.max(F.struct("cosine", "license")).alias("b")).filter(F.col("b.cosine") >= threshold)
+    return parts.join(best, "unit").groupBy("notice").agg(F.max("b").alias("b")).select("notice", "b.license", "b.cosine")
+
+
+NEW = ("license", "cosine", "how", "license_dir", "n_header_lines")
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """files without the text, with license, cosine, how (``header``,
-    ``inherited`` or null), license_dir and n_header_lines.  Columns of these
-    names are replaced."""
-    new = ("license", "cosine", "how", "license_dir", "n_header_lines")
-    keep = [c for c in files.columns if c.lower() not in new and c != text_col]
-    chars = lambda c: F.char_length(F.regexp_replace(c, r"\s", ""))
-    base = files.select(*keep, header(F.col(text_col)).alias("_header"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    ``inherited`` or null), license_dir and n_header_lines (lines that speak of
+    licences).  Columns of these names are replaced."""
+    keep = [c for c in files.columns if c.lower() not in NEW and c != text_col]
+    said, cues, file, dir_, at, given, of = own_names(files, "_notice", "_cues", "_file", "_dir", "_at", "_given", "_of")
+    chars = lambda c: F.char_length(F.regexp_replace(c, r"[ \t\r\n]", ""))
+    text = F.coalesce(F.col(text_col), F.lit(""))
     named = F.coalesce(F.regexp_like(F.col(path_col), F.lit(NAMED)), F.lit(False))
-    base = base.select(
-        *keep,
-        "_header",
-        F.when(F.col("_header") != "", F.size(F.split("_header", "\n"))).otherwise(0).cast("long").alias("n_header_lines"),
-        F.when(F.col("_header") == "", F.lit(False)).otherwise(named | (2 * chars("_header") >= chars("_text"))).alias("_file"),
-        F.coalesce(F.regexp_replace(path_col, "/?[^/]*$", ""), F.lit("")).alias("_dir"),
+    lines = F.when(F.regexp_like(text, F.lit(CUES)), _cue_lines(text)).otherwise(F.array().cast("array<string>"))
+    base = files.withColumns({cues: lines, said: notice(text)})
+    spoken_of = F.filter(_sentences(F.array_join(cues, "\n")), lambda x: F.regexp_like(x, F.lit(CUES)))
+    base = stored(
+        base.select(
+            *keep,
+            said,
+            F.size(cues).cast("long").alias("n_header_lines"),
+            F.when(F.size(cues) == 0, F.lit(False)).otherwise(named | (2 * chars(F.array_join(spoken_of, "")) >= chars(text))).alias(file),
+            F.coalesce(F.regexp_replace(path_col, "/?[^/]*$", ""), F.lit("")).alias(dir_),
+        )
     )
-    headers = stored(base.filter("_header <> ''").groupBy(F.col("_header").alias("header")).agg(F.count("*").alias("n")))
-    matched = match_headers(headers, threshold).withColumnRenamed("header", "_h")
-    # files without a header skip the join, where they would all share one key
-    silent = base.filter("_header = ''").withColumns({"license": F.lit(None).cast("string"), "cosine": F.lit(None).cast("double")})
-    own = base.filter("_header <> ''").join(matched, F.col("_header") == F.col("_h"), "left").drop("_h").unionByName(silent)
-    holders = own.filter("_file AND license IS NOT NULL").groupBy(F.col("_dir").alias("_at")).agg(F.max(F.struct("cosine", "license")).alias("_given"))
-    parts = F.split("_dir", "/")
+    # files without a notice skip the join, where they would all share one key
+    silent = base.filter(F.col(said) == "").withColumns({"license": F.lit(None).cast("string"), "cosine": F.lit(None).cast("double")})
+    spoken = base.filter(F.col(said) != "")
+    notices = stored(spoken.groupBy(F.col(said).alias("notice")).agg(F.count("*").alias("n")))
+    matched = match_notices(notices, threshold).withColumnRenamed("notice", of)
+    own = stored(spoken.join(matched, F.col(said) == F.col(of), "left").drop(of).unionByName(silent).drop(said))
+    holders = own.filter(F.col(file) & F.col("license").isNotNull()).groupBy(F.col(dir_).alias(at)).agg(F.max(F.struct("cosine", "license")).alias(given))
+    parts = F.split(dir_, "/")
     # every directory with each of its ancestors and itself; the root is the empty path
-    above = own.filter("license IS NULL").select("_dir").distinct().select("_dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("_depth"))
-    above = above.withColumn("_at", F.array_join(F.slice(parts, F.lit(1), F.col("_depth")), "/")).filter("_depth = 0 OR _at <> ''")
-    nearest = above.join(holders, "_at").groupBy("_dir").agg(F.max_by(F.struct("_given", "_at"), "_depth").alias("_n")).select(F.col("_dir").alias("_d"), "_n._given", "_n._at")
-    given = own.join(nearest, (F.col("_dir") == F.col("_d")) & F.col("license").isNull(), "left")
-    return given.select(
+    above = own.filter("license IS NULL").select(dir_).distinct().select(dir_, F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth"))
+    above = above.withColumn(at, F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/")).filter((F.col("depth") == 0) | (F.col(at) != ""))
+    nearest = above.join(holders, at).groupBy(F.col(dir_).alias(of)).agg(F.max_by(F.struct(given, at), "depth").alias("n")).select(of, F.col(f"n.{given}").alias(given), F.col(f"n.{at}").alias(at))
+    found = own.join(nearest, (F.col(dir_) == F.col(of)) & F.col("license").isNull(), "left")
+    return found.select(
         *keep,
-        F.coalesce("license", "_given.license").alias("license"),
-        F.coalesce("cosine", "_given.cosine").alias("cosine"),
-        F.when(F.col("license").isNotNull(), "header").when(F.col("_given").isNotNull(), "inherited").alias("how"),
-        F.when(F.col("license").isNull(), F.col("_at")).alias("license_dir"),
+        F.coalesce("license", F.col(given)["license"]).alias("license"),
+        F.coalesce("cosine", F.col(given)["cosine"]).alias("cosine"),
+        F.when(F.col("license").isNotNull(), "header").when(F.col(given).isNotNull(), "inherited").alias("how"),
+        F.when(F.col("license").isNull(), F.col(at)).alias("license_dir"),
         "n_header_lines",
     )

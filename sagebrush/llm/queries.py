@@ -90,33 +90,44 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_TEMPLATE_ROWS = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licenses.TEMPLATES.items())
+_PASSAGE_ROWS = ", ".join(f"({_quoted(f'{name} {k}')}, {_quoted(name)}, {_quoted(text)})" for name, texts in licenses.PASSAGES.items() for k, text in enumerate(texts))
+_N_PASSAGES = sum(map(len, licenses.PASSAGES.values()))
 _TERMS = "list_filter(list_transform(regexp_split_to_array(lower({}), '[^a-z0-9.+-]+'), lambda w: regexp_replace(w, '^[.+-]+|[.-]+$', '', 'g')), lambda w: w <> '')"
+_CUES = _quoted(licenses.CUES)
+_SENTENCES = r"string_split(regexp_replace({}, '([.;:!?])[ \t\r\n]+', '\1' || chr(10), 'g'), chr(10))"
 OP3_SQL = f"""
-WITH templates(license, template) AS (VALUES {_TEMPLATE_ROWS}),
-files AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, 'unknown') || '/' || CAST(floor(doc_id / 1000) AS BIGINT) AS dir,
-  array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {_quoted(licenses.CUES)})), chr(10)) AS header FROM documents),
-h AS (SELECT header, count(*) AS n FROM files WHERE header <> '' GROUP BY header),
-seen AS (SELECT header, term, 1 + ln(count(*)) AS tf FROM (SELECT header, unnest({_TERMS.format("header")}) AS term FROM h) GROUP BY ALL),
-known AS (SELECT license, term, 1 + ln(count(*)) AS tf FROM (SELECT license, unnest({_TERMS.format("template")}) AS term FROM templates) GROUP BY ALL),
-df AS (SELECT term, sum(n) AS df FROM (SELECT term, n FROM seen JOIN h USING (header) UNION ALL SELECT term, 1 FROM known) GROUP BY term),
-total AS (SELECT coalesce(sum(n), 0) + {len(licenses.TEMPLATES)} AS total FROM h),
+WITH passages AS (SELECT passage, license, {_TERMS.format("t")} AS w FROM (VALUES {_PASSAGE_ROWS}) AS v(passage, license, t)),
+split AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, 'unknown') || '/' || CAST(floor(doc_id / 1000) AS BIGINT) AS dir,
+  string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+flagged AS (SELECT *, list_transform(lines, lambda x: regexp_matches(x, {_CUES})) AS flags FROM split),
+files AS (SELECT doc_id, text, dir, list_filter(lines, lambda x: regexp_matches(x, {_CUES})) AS cues, array_to_string(list_filter(lines,
+  lambda x, i: coalesce(list_bool_or(flags[greatest(i - {licenses.AFTER}, 1):i + {licenses.BEFORE}]), false)), chr(10)) AS notice FROM flagged),
+h AS (SELECT notice, count(*) AS n, {_TERMS.format("notice")} AS w FROM files WHERE len(cues) > 0 GROUP BY notice),
+pieces AS (
+  SELECT notice, array_to_string(w[i:i + {licenses.SPAN - 1}], ' ') AS unit FROM h, unnest(range(1, greatest(1, len(w) - {licenses.STEP}) + 1, {licenses.STEP})) AS u(i)
+  UNION SELECT notice, array_to_string({_TERMS.format("x")}, ' ') FROM (SELECT notice, unnest(list_concat({_SENTENCES.format("notice")}, regexp_extract_all(notice, '{licenses.TAG}'))) AS x FROM h)),
+units AS (SELECT * FROM pieces WHERE regexp_matches(unit, {_CUES})),
+seen AS (SELECT unit, term, 1 + ln(count(*)) AS tf FROM (SELECT unit, unnest(string_split(unit, ' ')) AS term FROM (SELECT DISTINCT unit FROM units)) GROUP BY ALL),
+known AS (SELECT passage, term, 1 + ln(count(*)) AS tf FROM (SELECT passage, unnest(w) AS term FROM passages) GROUP BY ALL),
+df AS (SELECT term, sum(n) AS df FROM (SELECT n, unnest(list_distinct(w)) AS term FROM h UNION ALL SELECT 1, term FROM known) GROUP BY term),
+total AS (SELECT coalesce(sum(n), 0) + {_N_PASSAGES} AS total FROM h),
 idf AS (SELECT term, ln((1.0 + total) / (1.0 + df)) + 1 AS idf FROM df, total),
-l AS (SELECT header, term, tf * idf AS w FROM seen JOIN idf USING (term)),
-r AS (SELECT license, term, tf * idf AS w FROM known JOIN idf USING (term)),
-ln_ AS (SELECT header, sqrt(sum(w * w)) AS n FROM l GROUP BY header),
-rn_ AS (SELECT license, sqrt(sum(w * w)) AS n FROM r GROUP BY license),
-s AS (SELECT header, license, round(sum(l.w * r.w) / any_value(ln_.n) / any_value(rn_.n), 9) AS cosine
-  FROM l JOIN r USING (term) JOIN ln_ USING (header) JOIN rn_ USING (license) GROUP BY header, license),
-best AS (SELECT header, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY header ORDER BY cosine DESC, license DESC) AS k FROM s) WHERE k = 1 AND cosine >= {licenses.THRESHOLD}),
-own AS (SELECT f.*, license, cosine, 2 * length(regexp_replace(f.header, '\\s', '', 'g')) >= length(regexp_replace(f.text, '\\s', '', 'g')) AS is_file FROM files f LEFT JOIN best USING (header)),
+l AS (SELECT unit, term, tf * idf AS w FROM seen JOIN idf USING (term)),
+r AS (SELECT passage, term, tf * idf AS w FROM known JOIN idf USING (term)),
+ln_ AS (SELECT unit, sqrt(sum(w * w)) AS n FROM l GROUP BY unit),
+rn_ AS (SELECT passage, sqrt(sum(w * w)) AS n FROM r GROUP BY passage),
+s AS (SELECT unit, passage, round(sum(l.w * r.w) / any_value(ln_.n) / any_value(rn_.n), 9) AS cosine
+  FROM l JOIN r USING (term) JOIN ln_ USING (unit) JOIN rn_ USING (passage) GROUP BY unit, passage),
+best AS (SELECT notice, license, cosine FROM (SELECT notice, license, cosine, row_number() OVER (PARTITION BY notice ORDER BY cosine DESC, license DESC) AS k
+  FROM units JOIN s USING (unit) JOIN passages USING (passage)) WHERE k = 1 AND cosine >= {licenses.THRESHOLD}),
+own AS (SELECT f.*, license, cosine, len(cues) > 0 AND 2 * length(regexp_replace(array_to_string(list_filter({_SENTENCES.format("array_to_string(cues, chr(10))")}, lambda x: regexp_matches(x, {_CUES})), ''), '[ \t\r\n]', '', 'g'))
+  >= length(regexp_replace(f.text, '[ \t\r\n]', '', 'g')) AS is_file FROM files f LEFT JOIN best b ON b.notice = f.notice AND len(cues) > 0),
 holders AS (SELECT dir, license, cosine FROM (SELECT dir, license, cosine, row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, license DESC) AS k FROM own WHERE is_file AND license IS NOT NULL) WHERE k = 1),
 above AS (SELECT dir, dir AS at, 2 AS depth FROM own UNION SELECT dir, string_split(dir, '/')[1], 1 FROM own UNION SELECT dir, '', 0 FROM own),
 nearest AS (SELECT a.dir, a.at, hd.license, hd.cosine FROM (SELECT a.*, row_number() OVER (PARTITION BY a.dir ORDER BY depth DESC) AS k FROM above a JOIN holders hd ON hd.dir = a.at) a JOIN holders hd ON hd.dir = a.at WHERE k = 1)
 SELECT doc_id, coalesce(o.license, n.license) AS license, round(coalesce(o.cosine, n.cosine), 6) AS cosine,
   CASE WHEN o.license IS NOT NULL THEN 'header' WHEN n.license IS NOT NULL THEN 'inherited' END AS how,
-  CASE WHEN o.license IS NULL THEN n.at END AS license_dir,
-  CASE WHEN header = '' THEN 0 ELSE CAST(len(string_split(header, chr(10))) AS BIGINT) END AS n_header_lines
+  CASE WHEN o.license IS NULL THEN n.at END AS license_dir, CAST(len(cues) AS BIGINT) AS n_header_lines
 FROM own o LEFT JOIN nearest n USING (dir)
 """
 
