@@ -15,8 +15,10 @@ string that cover the texts of assistants, no control string.
 
 Defined cases: null texts and roles are empty; a parent that is not in its tree
 makes its child a root; nodes in a parent cycle have no root and are left out;
-a tree id may be null; extra columns are ignored.  Rows repeated in a linear
-conversation are turns of their own, in the order (turn, role, text).
+a tree id may be null; extra columns are ignored.  Of rows with one (tree, node)
+the first in the order (parent, role, text, score), nulls first, counts; rows
+without a node are left out.  Rows repeated in a linear conversation are turns of
+their own, in the order (turn, role, text).
 """
 
 from __future__ import annotations
@@ -57,6 +59,12 @@ def linear_trees(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     )
 
 
+def _single(messages: DataFrame) -> DataFrame:
+    """One row for each (tree, node)."""
+    first = messages.filter("node IS NOT NULL").groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m"))
+    return first.select("tree", "node", "m.*")
+
+
 def paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, node, up): each node of each root-to-leaf path with its
     distance from the leaf."""
@@ -87,6 +95,7 @@ def paths(messages: DataFrame) -> DataFrame:
 def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, leaf, rank, score, formatted, loss_spans) of the ``branches`` best
     paths of each tree."""
+    messages = _single(messages)
     at = paths(messages)
     said = messages.select(F.col("tree").alias("mt"), F.col("node").alias("mn"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     same = F.col("tree").eqNullSafe(F.col("mt")) & (F.col("node") == F.col("mn"))

@@ -15,8 +15,11 @@ its segmentations differ from the library's.
 Characters without a piece become byte pieces.  Decoding joins the pieces'
 bytes, turns ▁ into spaces and takes the first space away.
 
-Chunks already encoded are remembered, up to MEMO of them per worker;
-memory is bounded by that and by BATCH characters of text.  No shuffle; each input row
+Chunks of more than LONG characters (Chinese, Base64) are cut further between any
+two characters that stand side by side in no piece, which no merge can cross.
+Chunks already encoded are remembered, up to MEMO of them per worker; memory is
+bounded by that, by BATCH characters of text, and by the longest run of characters
+of which each two neighbours occur in some piece (about 300 bytes a character).  No shuffle; each input row
 gives one output row.  Null text counts as empty: no ids, decoded as empty.
 ``round_trip`` is false where the text cannot come back (it holds a literal ▁).
 """
@@ -80,6 +83,7 @@ class Vocabulary:
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces):
             raise ValueError("a piece crosses the begin of a word")
         self.chunks = re.compile(f"[{apart}]|{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" if apart else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.size = np.array([len(p) for p in self.pieces])
         self.codes = np.zeros((len(self.pieces), self.longest), np.uint32)
         flat = np.frombuffer("".join(self.pieces).encode("utf-32-le"), np.uint32)
@@ -203,6 +207,11 @@ class Vocabulary:
 
     # --- texts
 
+    def cut(self, chunk: str) -> list[str]:
+        """A long chunk, cut where no piece can lie across."""
+        at = [0, *(k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in self.pairs), len(chunk)]
+        return [chunk[a:b] for a, b in zip(at, at[1:], strict=False)]
+
     def learn(self, asked: set[str]) -> None:
         """Number new chunks; when there are too many, only those asked for stay."""
         new = list(asked - self.number.keys())
@@ -230,6 +239,9 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, and their offsets."""
         found = [self.chunks.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        for k, chunks in enumerate(found):
+            if chunks and max(map(len, chunks)) > LONG:
+                found[k] = list(chain.from_iterable(self.cut(c) if len(c) > LONG else (c,) for c in chunks))
         self.learn(set(chain.from_iterable(found)))
         n = np.array([len(f) for f in found])
         numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(found)), np.int64, int(n.sum()))

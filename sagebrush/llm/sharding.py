@@ -14,7 +14,8 @@ the size of the input.
 Law: the sizes of shards differ by about ``tolerance`` of a shard, or by the
 heaviest single (text, id).  Null text has size ``overhead`` and counts as the
 empty text for the hash.  Rows with the same text and id are interchangeable
-and stay in one shard.  An empty table gives an empty result.
+and stay in one shard.  Ids that are no whole numbers are ordered by their hash.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -146,10 +147,12 @@ def _behind(boundary: tuple[int, int | None]) -> Column:
 def shard_documents(docs: DataFrame, n_shards: int = 40, overhead: int = 16, tolerance: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id, size, text_crc32, shard, slot; one row for each row of docs."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    number = F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
     keys = stored(
         docs.select(
             F.col(id_col).alias("id"),
-            F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("d"),
+            F.coalesce(number, F.lit(-(1 << 63))).alias("d"),
             F.xxhash64(text).alias("h"),
             (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("crc"),

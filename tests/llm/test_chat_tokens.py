@@ -26,6 +26,24 @@ def test_round_trip_of_trees(spark):
     assert chat.format_trees(messages.limit(0)).count() == 0
 
 
+def test_repeated_nodes(spark):
+    rows = [(1, 1, None, "user", "root", 0.0)] * 2 + [(1, 2, 1, "assistant", "b", 0.5), (1, 2, 1, "assistant", "a", 0.5), (1, None, 1, "user", "lost", 0.0)]
+    out = chat.read_back(chat.format_trees(spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double"), branches=5)).collect()
+    assert [[(t["role"], t["text"]) for t in r["turns"]] for r in out] == [[("user", "root"), ("assistant", "a")]]
+
+
+def test_branches_are_ranked(spark):
+    """All branches of a wide tree, by the mean score of their nodes."""
+    rows = [("t", 0, None, "user", "q", 0.0)]
+    for k in range(1, 8):
+        rows += [("t", k, 0, "assistant", f"answer {k}", k / 10), ("t", 10 + k, k, "user", f"more {k}", None)]
+    frame = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
+    out = {r["rank"]: r for r in chat.read_back(chat.format_trees(frame, branches=99)).collect()}
+    assert [out[k]["leaf"] for k in range(1, 8)] == [17, 16, 15, 14, 13, 12, 11]
+    assert all(abs(out[k]["score"] - (8 - k) / 30) < 1e-12 for k in out)
+    assert [t["text"] for t in out[1]["turns"]] == ["q", "answer 7", "more 7"] and out[1]["loss_texts"] == ["answer 7"]
+
+
 def test_long_chain(spark):
     rows = [(7, i, i - 1 if i else None, "user", str(i), 0.0) for i in range(70)]
     out = chat.read_back(chat.format_trees(spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double"))).collect()

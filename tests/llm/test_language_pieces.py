@@ -142,6 +142,19 @@ def test_ids_equal_library(spark):
     assert pieces.encode(frame.limit(0), path).count() == 0
 
 
+def test_long_chunks_are_cut():
+    own = pieces.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    rnd = random.Random(8)
+    base64 = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(300_000))
+    chinese = "".join(chr(rnd.randrange(0x4E00, 0x5000)) for _ in range(50_000)) + "我们的中国人民" * 2000
+    letters = "".join(rnd.choice(["the", "ing", "a", "er", "q", "zz", "tion"]) for _ in range(20_000))
+    for text in (base64, chinese, letters, "x" * 3000, "\0" * 100, "é" * 99 + "ab" * 200):
+        ids, at = own.encode([text, "a b"])
+        assert ids[: at[1]].tolist() == sp.encode(text)
+    assert max(map(len, own.cut(base64))) < 200 and max(map(len, own.cut(chinese))) < 200
+
+
 def test_registered_query(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}

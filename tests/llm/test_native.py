@@ -94,3 +94,22 @@ def test_sharding_edge_cases(spark):
     assert sharding.shard_documents(docs.limit(0), 3).count() == 0
     only = spark.createDataFrame([(i, "same", "x", 1) for i in range(100)], schema)
     check_shards(only, sharding.shard_documents(only, 4).collect(), 4, 0.01)
+
+
+def test_splitters_against_sorting(spark):
+    """Shards are ranges of (hash, id), cut where a sort of all rows would cut them."""
+    texts = [f"text {i % 700} " + "x" * (i * 37 % 900) for i in range(3000)] + ["hot"] * 1500
+    docs = spark.createDataFrame([(f"id{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(7)
+    n, overhead, tolerance = 9, 16, 0.002
+    rows = {r["doc_id"]: r for r in sharding.shard_documents(docs, n, overhead, tolerance).collect()}
+    keys = docs.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64("doc_id").alias("d")).collect()
+    order = [rows[r["doc_id"]] for r in sorted(keys, key=lambda r: (r["h"], r["d"]))]
+    shards = [r["shard"] for r in order]
+    assert shards == sorted(shards) and set(shards) == set(range(n))
+    total, below, cut = sum(r["size"] for r in order), 0, {}
+    for r in order:
+        cut.setdefault(r["shard"], below)
+        below += r["size"]
+    heaviest = max(r["size"] for r in order)
+    for k in range(1, n):
+        assert abs(cut[k] - total * k / n) <= tolerance * total / n + heaviest, k
