@@ -551,12 +551,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs, chain = met.filter("NOT chain"), met.filter("chain").select("a", "b")
     sets = stored(_sets(texts, _bitmap(met.select(F.explode(F.array("a", "b")).alias("cls")), "cls")))
     ends = lambda x, y: (F.col(x).alias("x"), F.col(y).alias("y"))
-    forest = _linked(pairs.filter("best").select("a", "b", *ends("a", "b")), sets)
+    # stored, as two Python steps in one stage would hold two workers for each task
+    forest = stored(_linked(pairs.filter("best").select("a", "b", *ends("a", "b")), sets))
     # one run finds the components of the forest and those of the graph of runs
     labels = components(forest.union(chain.select(_in_graph_of_runs("a"), _in_graph_of_runs("b"))))
     open_ = _labelled(_labelled(pairs.filter("NOT best").select("a", "b"), labels, "a", "x"), labels, "b", "y")
     open_ = open_.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).filter("x <> y")
-    found = _linked(open_, sets)
+    found = stored(_linked(open_, sets))
     in_blocks = _found_in_blocks(chain, sets, labels)
     merged = components(found.union(in_blocks) if in_blocks is not None else found)
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("d"))
