@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .relational import ContractError
 
@@ -65,22 +66,49 @@ def bad_accessions(df: DataFrame, column: str, prefix: str) -> DataFrame:
     return df.filter(~F.coalesce(F.regexp_like(F.trim(column), F.lit(rf"(?i)^{prefix}\d+$")), F.lit(False)))
 
 
+#: The kinds of analyses, effects and roles of a result.
+ANALYSES = ("group_contrast", "regression", "correlation")
+CONTRASTS = ("logFC", "cohens_d")
+CORRELATIONS = ("pearson_r", "spearman_rho", "partial_r")
+EFFECTS = (*CORRELATIONS, *CONTRASTS, "beta")
+ROLES = ("primary", "secondary", "sensitivity", "positive_control", "negative_control")
+CONTRAST_KEYS = ("test_group", "reference_group", "test_is_higher_outcome")
+
+
 def result_faults(results: DataFrame) -> DataFrame:
-    """Analysis results that may not enter a synthesis, with all reasons."""
-    p = lambda c: ~F.coalesce(F.col(c).between(0, 1), F.lit(True)) | F.coalesce(F.isnan(c), F.lit(False))
-    contrast = F.col("effect_type").isin("logFC", "cohens_d")
-    reasons = F.array(
-        F.when(F.col("effect").isNull() | F.isnan("effect"), "no effect"),
-        F.when(~F.coalesce(F.col("effect_type").isin("pearson_r", "spearman_rho", "partial_r", "beta", "logFC", "cohens_d"), F.lit(False)), "unknown effect type"),
-        F.when(F.col("effect_type").isin("pearson_r", "spearman_rho", "partial_r") & (F.abs("effect") > 1), "correlation out of range"),
-        F.when(p("p_value"), "p out of range"),
-        F.when(p("fdr"), "fdr out of range"),
-        F.when(F.col("n") < 1, "n below 1"),
-        F.when(contrast & F.col("contrast").isNull(), "contrast missing"),
-        F.when(~contrast & F.col("contrast").isNotNull(), "contrast not allowed"),
-        F.when(~F.coalesce(F.col("role").isin("primary", "sensitivity", "control"), F.lit(False)), "unknown role"),
-    )
-    return results.withColumn("reasons", F.filter(reasons, lambda x: x.isNotNull())).filter("size(reasons) > 0")
+    """Analysis results that may not enter a synthesis, with all reasons.  What
+    asks for analysis_unit_id, analysis_type, covariates, dichotomised,
+    predictor_name and outcome_name is judged where the table has the column; of a
+    contrast that is a map, the keys are."""
+    has, col, no = set(results.columns), F.col, lambda c: F.coalesce(c, F.lit(False))
+    within = lambda c: ~F.coalesce(col(c).between(0, 1), F.lit(True)) | no(F.isnan(c))
+    among = lambda c, values: no(col(c).isin(*values))
+    contrast = among("effect_type", CONTRASTS)
+    reasons = [
+        (col("effect").isNull() | F.isnan("effect"), "no effect"),
+        (~among("effect_type", EFFECTS), "unknown effect type"),
+        (among("effect_type", CORRELATIONS) & (F.abs("effect") > 1), "correlation out of range"),
+        (within("p_value"), "p out of range"),
+        (within("fdr"), "fdr out of range"),
+        (col("p_value").isNull() & col("fdr").isNull(), "neither p nor fdr"),
+        (~no(col("n") >= 1), "n below 1"),
+        (contrast & col("contrast").isNull(), "contrast missing"),
+        (~contrast & col("contrast").isNotNull(), "contrast not allowed"),
+        (~among("role", ROLES), "unknown role"),
+    ]
+    if isinstance(results.schema["contrast"].dataType, MapType):
+        reasons += [(contrast & no(~F.map_contains_key("contrast", k)), f"contrast without {k}") for k in CONTRAST_KEYS]
+        said = F.try_element_at("contrast", F.lit(CONTRAST_KEYS[2]))
+        reasons.append((no(F.map_contains_key("contrast", CONTRAST_KEYS[2])) & ~no(F.lower(said.cast("string")).isin("true", "false")), "contrast direction not boolean"))
+    reasons += [(blank(c), f"{c} blank") for c in ("analysis_unit_id", "predictor_name", "outcome_name") if c in has]
+    if "analysis_type" in has:
+        reasons.append((~among("analysis_type", ANALYSES), "unknown analysis type"))
+        if "dichotomised" in has:
+            reasons.append((no(col("dichotomised")) & ~no(col("analysis_type") == "group_contrast"), "dichotomised outside a group contrast"))
+    if "covariates" in has:
+        reasons.append((no(col("effect_type") == "partial_r") & (F.coalesce(F.size("covariates"), F.lit(0)) <= 0), "partial correlation without covariates"))
+    found = F.array(*[F.when(test, said) for test, said in reasons])
+    return results.withColumn("reasons", F.filter(found, lambda x: x.isNotNull())).filter("size(reasons) > 0")
 
 
 def declared_counts(declared: DataFrame, actual: DataFrame, key: str) -> DataFrame:

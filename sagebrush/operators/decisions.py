@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .relational import ContractError
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -141,7 +143,9 @@ def what_would_change(scored: DataFrame, rule: Rule) -> DataFrame:
 def eligibility(spec: DataFrame, evidence: DataFrame) -> DataFrame:
     """spec (criterion, section scientific or operational) against evidence
     (dataset_id, criterion, value; NULL is unknown).  A criterion without
-    evidence is unknown."""
+    evidence is unknown; a specification without scientific criteria is refused."""
+    if spec.filter("section = 'scientific'").isEmpty():
+        raise ContractError("a specification needs scientific criteria")
     sets = evidence.select("dataset_id").distinct()
     asked = sets.join(F.broadcast(spec))  # the criteria of one test
     whole = asked.join(evidence, ["dataset_id", "criterion"], "left")
@@ -180,13 +184,15 @@ def fuse(evidence: DataFrame) -> DataFrame:
     )
 
 
-def resolve(candidates: DataFrame, stages: int = 3) -> DataFrame:
-    """(query, stage, strength, feature) to one row per query: the first stage
-    with candidates decides; within it the greatest strength; one is a candidate,
-    several are tied."""
-    first = W.partitionBy("query")
-    near = candidates.distinct().withColumn("_s", F.min("stage").over(first)).filter("stage = _s").withColumn("_m", F.max("strength").over(first)).filter("strength = _m")
-    out = near.groupBy("query", "stage").agg(F.array_sort(F.collect_set("feature")).alias("features"))
+def resolve(candidates: DataFrame, exact_stage: int = 1) -> DataFrame:
+    """(query, stage, strength, feature) to one row per query.  Of each stage only
+    the features of the greatest strength count.  The exact stage decides wherever
+    it has any, even tied.  Of the others the first with a single feature does; if
+    all are tied, the narrowest tie stands, the earlier stage's first."""
+    near = candidates.distinct().withColumn("_m", F.max("strength").over(W.partitionBy("query", "stage"))).filter("strength = _m")
+    each = near.groupBy("query", "stage").agg(F.array_sort(F.collect_set("feature")).alias("features"))
+    order = F.struct(F.col("stage") != exact_stage, F.size("features"), F.col("stage"))
+    out = each.groupBy("query").agg(F.min_by(F.struct("stage", "features"), order).alias("_d")).select("query", "_d.stage", "_d.features")
     return out.withColumn("status", F.when(F.size("features") == 1, "candidate").otherwise("tied"))
 
 

@@ -28,6 +28,27 @@ def one_match(left: DataFrame, right: DataFrame, keys: list[str], *, how: str =
     return left.join(right, keys, how)
 
 
+def linked(left: DataFrame, right: DataFrame, keys: list[str], unmatched: str = "strict") -> DataFrame:
+    """A join with unique right keys whose rows without a match are an error
+    (``strict``), left out (``drop``) or kept with NULLs (``left``).  A chain of
+    such joins walks references from table to table."""
+    if unmatched not in ("strict", "drop", "left"):
+        raise ValueError(unmatched)
+    if unmatched == "strict":
+        lost = left.join(right.select(*keys), keys, "left_anti").limit(1).collect()
+        if lost:
+            raise ContractError(f"no match for {keys}: {lost[0].asDict()}")
+    return one_match(left, right, keys, how="left" if unmatched == "left" else "inner")
+
+
+def exploded_with_default(left: DataFrame, items: str, key: str, right: DataFrame, absent: dict[str, Column]) -> DataFrame:
+    """One row for each item of a list (one with an empty key where it has none),
+    with the columns of right by that key, and ``absent`` where right has no row."""
+    each = left.withColumn(key, F.explode(F.when(F.size(items) > 0, F.col(items)).otherwise(F.array(F.lit("")))))
+    found = one_match(each, right.withColumn("_found", F.lit(True)), [key])
+    return found.withColumns({c: F.when(F.col("_found"), F.col(c)).otherwise(v) for c, v in absent.items()}).drop("_found")
+
+
 def first_row(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key, in a total order."""
     return df.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_k = 1").drop("_k")

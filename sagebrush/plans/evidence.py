@@ -124,16 +124,54 @@ def d12_a17_a18_fusion(spark, sf_dir):
     return out.select("dataset_id", "value", "conflict", "confidence", F.array_join("sources", ";").alias("sources"))
 
 
-@query("""WITH c AS (SELECT p_brand AS query, CASE WHEN p_size > 45 THEN 1 WHEN p_size > 30 THEN 2 ELSE 3 END AS stage, p_size AS strength, p_type AS feature FROM part),
-a AS (SELECT query, min(stage) AS stage FROM c GROUP BY 1), b AS (SELECT c.query, c.stage, max(strength) AS strength FROM c JOIN a USING (query, stage) GROUP BY ALL)
-SELECT query, c.stage, string_agg(DISTINCT feature, ';' ORDER BY feature) AS features, CASE WHEN count(DISTINCT feature) = 1 THEN 'candidate' ELSE 'tied' END AS status FROM c JOIN b USING (query, stage, strength) GROUP BY ALL""")
+@query("""WITH c AS (
+  SELECT DISTINCT p_brand AS query, 1 AS stage, 0.0 AS strength, p_type AS feature FROM part WHERE p_size = 50 AND p_brand LIKE '%1'
+  UNION SELECT p_brand, 2, p_size, p_type FROM part WHERE p_brand NOT LIKE '%2'
+  UNION SELECT p_brand, 3, floor(p_retailprice / 40), p_type FROM part WHERE p_brand NOT LIKE '%3'),
+top AS (SELECT query, stage, feature FROM c WHERE strength = (SELECT max(strength) FROM c AS d WHERE d.query = c.query AND d.stage = c.stage)),
+n AS (SELECT query, count(*) FILTER (stage = 1) AS n1, count(*) FILTER (stage = 2) AS n2, count(*) FILTER (stage = 3) AS n3 FROM top GROUP BY query),
+pick AS (SELECT query, CASE WHEN n1 > 0 THEN 1 WHEN n2 = 1 THEN 2 WHEN n3 = 1 THEN 3 WHEN n2 = 0 THEN 3 WHEN n3 = 0 THEN 2 WHEN n3 < n2 THEN 3 ELSE 2 END AS stage FROM n)
+SELECT query, stage, string_agg(feature, ';' ORDER BY feature) AS features, CASE WHEN count(*) = 1 THEN 'candidate' ELSE 'tied' END AS status
+FROM top JOIN pick USING (query, stage) GROUP BY query, stage""")
 def d14_resolution(spark, sf_dir):
-    size = F.col("p_size")
-    rows = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("query"), F.when(size > 45, 1).when(size > 30, 2).otherwise(3).alias("stage"), size.alias("strength"), F.col("p_type").alias("feature"))
+    """An exact stage that decides even tied, and two looser ones of which ties fall through."""
+    part, brand = _t(spark, sf_dir, "part"), F.col("p_brand")
+    stage = lambda k, kept, strength: part.filter(kept).select(brand.alias("query"), F.lit(k).alias("stage"), strength.cast("double").alias("strength"), F.col("p_type").alias("feature"))
+    rows = stage(1, (F.col("p_size") == 50) & brand.endswith("1"), F.lit(0)).unionByName(stage(2, ~brand.endswith("2"), F.col("p_size")))
+    rows = rows.unionByName(stage(3, ~brand.endswith("3"), F.floor(F.col("p_retailprice") / 40)))
     return decisions.resolve(rows).select("query", "stage", F.array_join("features", ";").alias("features"), "status")
 
 
-@query("""WITH s AS (SELECT user_id % 10 AS series, CASE WHEN user_id % 3 <> 0 THEN 'Batch ' || (user_id % 4) END AS cohort, user_id AS subject, event_type AS timepoint, event_id AS gsm FROM events WHERE ts < TIMESTAMP '2024-01-08'),
+@query("""WITH r AS (SELECT p_partkey, p_size AS s, CASE WHEN p_size % 2 = 0 THEN 'partial_r' ELSE 'logFC' END AS kind FROM part),
+f AS (SELECT p_partkey, list_filter([
+  CASE WHEN s % 5 = 0 THEN 'neither p nor fdr' END, CASE WHEN s % 6 = 0 THEN 'n below 1' END, CASE WHEN kind = 'logFC' AND s % 3 = 0 THEN 'contrast missing' END,
+  CASE WHEN kind <> 'logFC' AND s % 4 = 0 THEN 'contrast not allowed' END, CASE WHEN kind = 'logFC' AND s % 3 <> 0 AND s % 7 = 0 THEN 'contrast without reference_group' END,
+  CASE WHEN s % 9 = 0 THEN 'analysis_unit_id blank' END, CASE WHEN s % 11 = 0 THEN 'unknown analysis type' END,
+  CASE WHEN s % 13 = 0 THEN 'dichotomised outside a group contrast' END, CASE WHEN kind = 'partial_r' AND s % 8 = 0 THEN 'partial correlation without covariates' END], lambda x: x IS NOT NULL) AS l FROM r)
+SELECT p_partkey, array_to_string(l, ';') AS faults FROM f WHERE len(l) > 0""")
+def v9_result_validity(spark, sf_dir):
+    s, text = F.col("p_size"), lambda v: F.lit(v).cast("string")
+    group = s % 2 != 0
+    full = F.create_map(F.lit("test_group"), F.lit("a"), F.lit("reference_group"), F.lit("b"), F.lit("test_is_higher_outcome"), F.lit("true"))
+    part = F.create_map(F.lit("test_group"), F.lit("a"), F.lit("test_is_higher_outcome"), F.lit("false"))
+    rows = _t(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.lit(0.5).alias("effect"),
+        F.when(group, "logFC").otherwise("partial_r").alias("effect_type"),
+        F.when(s % 5 != 0, 0.2).alias("p_value"),
+        F.lit(None).cast("double").alias("fdr"),
+        F.when(s % 6 != 0, 12).alias("n"),
+        F.when(group & (s % 3 != 0), F.when(s % 7 == 0, part).otherwise(full)).when(~group & (s % 4 == 0), full).alias("contrast"),
+        F.lit("secondary").alias("role"),
+        F.when(s % 9 == 0, " ").otherwise("u1").alias("analysis_unit_id"),
+        F.when(s % 11 == 0, "guess").otherwise("correlation").alias("analysis_type"),
+        (s % 13 == 0).alias("dichotomised"),
+        F.when(s % 8 == 0, F.array().cast("array<string>")).otherwise(F.array(text("age"))).alias("covariates"),
+    )
+    return contracts.result_faults(rows).select("p_partkey", F.array_join("reasons", ";").alias("faults"))
+
+
+@query("""WITH s AS (SELECT user_id % 10 AS series, CASE WHEN user_id % 3 <> 0 THEN 'Batch ' || (user_id % 4) END AS cohort, user_id AS subject, event_type AS timepoint, event_id AS gsm FROM events),
 ok AS (SELECT series, cohort FROM s WHERE cohort IS NOT NULL GROUP BY ALL HAVING count(DISTINCT subject) >= 3), u AS (SELECT series, count(*) AS k FROM ok GROUP BY 1),
 p AS (SELECT s.*, coalesce(k, 0) >= 2 AS split, ok.cohort IS NOT NULL AS usable FROM s LEFT JOIN u USING (series) LEFT JOIN ok ON ok.series = s.series AND ok.cohort = s.cohort),
 o AS (SELECT series, count(*) AS n_left_out FROM p WHERE split AND NOT usable GROUP BY 1)
@@ -141,7 +179,7 @@ SELECT series, CASE WHEN split THEN cohort END AS unit_cohort, count(DISTINCT su
 FROM p LEFT JOIN o USING (series) WHERE NOT split OR usable GROUP BY series, unit_cohort""")
 def d15_a11_cohort_units(spark, sf_dir):
     u = F.col("user_id")
-    s = _t(spark, sf_dir, "events").filter("ts < TIMESTAMP '2024-01-08'").select((u % 10).alias("series"), F.when(u % 3 != 0, F.concat(F.lit("Batch "), u % 4)).alias("cohort"), u.alias("subject"), F.col("event_type").alias("timepoint"), F.col("event_id").alias("gsm"))
+    s = _t(spark, sf_dir, "events").select((u % 10).alias("series"), F.when(u % 3 != 0, F.concat(F.lit("Batch "), u % 4)).alias("cohort"), u.alias("subject"), F.col("event_type").alias("timepoint"), F.col("event_id").alias("gsm"))
     out = decisions.cohort_units(s, 3)
     return out.select("series", "unit_cohort", *[F.size(c).cast("long").alias(a) for c, a in (("subjects", "n_subjects"), ("timepoints", "n_timepoints"), ("gsms", "n_samples"))], "n_left_out")
 

@@ -86,9 +86,9 @@ def j14_j15_inner_chain(spark, sf_dir):
     return line.join(part, "l_partkey").join(place, "l_suppkey").groupBy("l_suppkey", "n_name").agg(F.round(F.avg("l_quantity"), 6).alias("quantity"), F.count("*").alias("n"))
 
 
-@query("SELECT criterion, string_agg(CAST(c_custkey AS VARCHAR), ';' ORDER BY c_custkey) AS datasets FROM (SELECT c_custkey, unnest(list_filter([CASE WHEN c_acctbal < 0 THEN 'balance' END, CASE WHEN c_nationkey = 3 THEN 'nation' END], lambda x: x IS NOT NULL)) AS criterion FROM customer WHERE c_custkey < 400) GROUP BY criterion")
+@query("SELECT criterion, string_agg(CAST(c_custkey AS VARCHAR), ';' ORDER BY c_custkey) AS datasets FROM (SELECT c_custkey, unnest(list_filter([CASE WHEN c_acctbal < 0 THEN 'balance' END, CASE WHEN c_nationkey = 3 THEN 'nation' END], lambda x: x IS NOT NULL)) AS criterion FROM customer) GROUP BY criterion")
 def a15_criteria_to_datasets(spark, sf_dir):
-    c = _t(spark, sf_dir, "customer").filter("c_custkey < 400")
+    c = _t(spark, sf_dir, "customer")
     failed = F.filter(F.array(F.when(F.col("c_acctbal") < 0, "balance"), F.when(F.col("c_nationkey") == 3, "nation")), lambda x: x.isNotNull())
     rows = c.select("c_custkey", F.explode(failed).alias("criterion"))
     return rows.groupBy("criterion").agg(F.array_join(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda x: x.cast("string")), ";").alias("datasets"))
@@ -194,11 +194,11 @@ def v15_declared_counts(spark, sf_dir):
     return contracts.declared_counts(c.distinct().withColumn("n_declared", F.lit(60)), c, "k")
 
 
-@query("SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey IN (SELECT user_id FROM events) AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 40)")
+@query("SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey IN (SELECT user_id FROM events) AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)")
 def v17_link_coverage(spark, sf_dir):
     users = _t(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey")).distinct()
     linked = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(users, "c_custkey", "left_semi")
-    return contracts.link_coverage(linked, _t(spark, sf_dir, "supplier").filter("s_suppkey < 40").select(F.col("s_nationkey").alias("c_nationkey")), "c_nationkey")
+    return contracts.link_coverage(linked, _t(spark, sf_dir, "supplier").filter("s_acctbal > 8000").select(F.col("s_nationkey").alias("c_nationkey")), "c_nationkey")
 
 
 @query("SELECT study, max(release) AS release, count(*) FILTER (release = m) = 1 AS single FROM (SELECT p_brand AS study, p_size AS release, max(p_size) OVER (PARTITION BY p_brand) AS m FROM part) GROUP BY study")
@@ -230,3 +230,25 @@ def s12_first_wins(spark, sf_dir):
 def p6_required_groups(spark, sf_dir):
     have = F.collect_set(F.when(F.col("c_custkey") % 2 == 0, "geo").otherwise("other"))
     return _t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(have.alias("g")).select("c_nationkey", F.array_join(F.array_intersect(F.array(F.lit("geo"), F.lit("immport")), "g"), ";").alias("required"))
+
+
+@query("""WITH d AS (SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN [] WHEN o_custkey % 3 = 1 THEN [o_orderpriority] ELSE [o_orderpriority, 'none such'] END AS items FROM orders),
+e AS (SELECT o_orderkey, unnest(CASE WHEN len(items) = 0 THEN [''] ELSE items END) AS item FROM d), k AS (SELECT DISTINCT o_orderpriority AS item FROM orders WHERE o_orderpriority <> '5-LOW')
+SELECT o_orderkey, e.item, CASE WHEN k.item IS NOT NULL THEN 'resolved' WHEN e.item = '' THEN 'not_applicable' ELSE 'unresolved' END AS status FROM e LEFT JOIN k USING (item)""")
+def j11_explode_default(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders")
+    one, third = F.col("o_orderpriority"), F.col("o_custkey") % 3
+    items = F.when(third == 0, F.array().cast("array<string>")).when(third == 1, F.array(one)).otherwise(F.array(one, F.lit("none such")))
+    known = orders.select(one.alias("item")).filter("item <> '5-LOW'").distinct().withColumn("status", F.lit("resolved"))
+    absent = {"status": F.when(F.col("item") == "", "not_applicable").otherwise("unresolved")}
+    return relational.exploded_with_default(orders.select("o_orderkey", items.alias("items")), "items", "item", known, absent).select("o_orderkey", "item", "status")
+
+
+@query("SELECT l_orderkey, l_linenumber, o_custkey, c_nationkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey")
+def j6_strict_chain(spark, sf_dir):
+    """Rows to what they refer to, and on; a missing reference is an error."""
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    customers = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    chain = relational.linked(relational.linked(lines, orders, ["l_orderkey"]), customers, ["o_custkey"])
+    return chain.select("l_orderkey", "l_linenumber", "o_custkey", "c_nationkey")

@@ -188,17 +188,17 @@ def m12_w8_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("expected", F.round("expected", 6))
 
 
-_PERM = 200
+_PERM = 2000
 
 
-@query(f"""WITH b AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS v, label = 0 AS f FROM embeddings WHERE vec_id < 100),
+@query(f"""WITH b AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS v, label = 0 AS f FROM embeddings),
 s AS (SELECT count(*) FILTER (f) AS n1, avg(v) FILTER (f) - avg(v) FILTER (NOT f) AS seen FROM b),
 x AS (SELECT perm, v, row_number() OVER (PARTITION BY perm ORDER BY md5('s|' || perm || '|' || vec_id), vec_id) AS k FROM b, range(1, {_PERM} + 1) AS t(perm)),
 d AS (SELECT perm, avg(v) FILTER (k <= n1) - avg(v) FILTER (k > n1) AS d FROM x, s GROUP BY perm)
 SELECT count(*) AS n_perm, count(*) FILTER (round(d, 9) >= round(seen, 9)) AS n_at_least, round(any_value(seen), 6) AS observed, round((count(*) FILTER (round(d, 9) >= round(seen, 9)) + 1) / (count(*) + 1.0), 6) AS p_value FROM d, s""")
 def m13_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cohort of 100 subjects, as permutations are for cohorts."""
-    base = _t(spark, sf_dir, "embeddings").filter("vec_id < 100").select("vec_id", F.col("embedding")[0].cast("double").alias("v"), (F.col("label") == 0).alias("f"))
+    """All vectors as one cohort, 2,000 permutations."""
+    base = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("v"), (F.col("label") == 0).alias("f"))
     out = stats.permutation_p(base, "vec_id", "v", "f", _PERM)
     return out.select("n_perm", "n_at_least", F.round("observed", 6).alias("observed"), F.round("p_value", 6).alias("p_value"))
 

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 
 def write_tsv(df: DataFrame, path: str, columns: list[str], order: list[str], compression: str = "none") -> None:
-    """Fixed columns and row order, blanks for NULL."""
-    out = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
-    out.orderBy(*order).write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", compression=compression, quote="")
+    """Fixed columns and row order (of the values, not of their texts), blanks for NULL."""
+    out = df.orderBy(*order).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
+    out.write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", compression=compression, quote="")
 
 
 def content_hash(df: DataFrame) -> str:

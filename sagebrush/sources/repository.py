@@ -220,6 +220,7 @@ def gene_index(genes: DataFrame) -> DataFrame:
     return first_row(rows.select(F.col("x.name").alias("name"), "symbol", F.col("x.o").alias("o"), "row_no"), ["name"], ["row_no", "o"]).select("name", "symbol")
 
 
+#: The headers of external tools, the preferred first.
 LIMMA = {
     "feature_id": ("probe_id", "GeneID", "ID", "feature_id", "gene"),
     "effect": ("logFC", "log2FoldChange", "coef", "estimate"),
@@ -230,12 +231,13 @@ LIMMA = {
 
 
 def normalize_results(df: DataFrame) -> DataFrame:
-    """A result table under the common names: exact header first, then whatever
-    the case; an unnamed first column may hold the ids."""
+    """A result table under the common names: exact headers first, in the order of
+    preference, then whatever the case; an unnamed first column may hold the ids.
+    Rows without an id are refused."""
     found = {}
     for out, names in LIMMA.items():
-        exact = [c for c in df.columns if c in names]
-        loose = [c for c in df.columns if c.lower() in {n.lower() for n in names}]
+        exact = [n for n in names if n in df.columns]
+        loose = [c for n in names for c in df.columns if c.lower() == n.lower()]
         found[out] = (exact or loose or [None])[0]
     if found["feature_id"] is None and df.columns and df.columns[0].startswith("_c"):
         found["feature_id"] = df.columns[0]
@@ -244,7 +246,10 @@ def normalize_results(df: DataFrame) -> DataFrame:
             raise ContractError(f"no column for {need}")
     col = lambda c: F.col(f"`{c}`")
     number = lambda c: F.lit(None).cast("double") if found[c] is None else F.when(~F.isnan(col(found[c]).try_cast("double")), col(found[c]).try_cast("double"))
-    return df.select(F.trim(col(found["feature_id"])).alias("feature_id"), *[number(c).alias(c) for c in ("effect", "mean_expression", "p_value", "fdr")])
+    out = df.select(F.trim(col(found["feature_id"])).alias("feature_id"), *[number(c).alias(c) for c in ("effect", "mean_expression", "p_value", "fdr")])
+    if not out.filter(F.coalesce("feature_id", F.lit("")) == "").isEmpty():
+        raise ContractError("a row has no id")
+    return out
 
 
 def newest_sources(files: DataFrame) -> DataFrame:

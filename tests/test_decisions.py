@@ -66,6 +66,13 @@ def test_resolution_and_review(spark):
     c = spark.createDataFrame([("q1", 1, 5, "f1"), ("q1", 2, 9, "f2"), ("q2", 2, 5, "f3"), ("q2", 2, 5, "f4"), ("q2", 2, 4, "f5"), ("q3", 3, 1, "f6")], "query string, stage int, strength int, feature string")
     res = decisions.resolve(c)
     assert {r["query"]: (r["features"], r["status"]) for r in res.collect()} == {"q1": (["f1"], "candidate"), "q2": (["f3", "f4"], "tied"), "q3": (["f6"], "candidate")}
+    # a tie of the exact stage stands, other ties fall through, and the narrowest remains
+    more = [("x", 1, 1, "a"), ("x", 1, 1, "b"), ("x", 3, 1, "c"), ("y", 2, 7, "a"), ("y", 2, 7, "b"), ("y", 3, 2, "c")]
+    more += [("z", 2, 7, "a"), ("z", 2, 7, "b"), ("z", 2, 7, "c"), ("z", 3, 2, "d"), ("z", 3, 2, "e"), ("w", 2, 1, "a"), ("w", 2, 1, "b"), ("w", 3, 1, "c"), ("w", 3, 1, "d")]
+    got = decisions.resolve(spark.createDataFrame(more, c.schema)).collect()
+    assert {r["query"]: (r["stage"], r["features"], r["status"]) for r in got} == {
+        "x": (1, ["a", "b"], "tied"), "y": (3, ["c"], "candidate"), "z": (3, ["d", "e"], "tied"), "w": (2, ["a", "b"], "tied"),
+    }
     present = spark.createDataFrame([("f1",), ("f3",), ("f4",)], "feature string")
     verified = decisions.verify_features(res, present)
     assert {r["query"]: r["status"] for r in verified.collect()} == {"q1": "verified", "q2": "verified_multiple", "q3": "needs_review"}
@@ -82,6 +89,12 @@ def test_joins_keep_their_contracts(spark):
         relational.one_match(left, right.union(right), ["k"])
     with pytest.raises(relational.ContractError):
         relational.one_match(left, right, ["k"], one_to_one=True)
+    with pytest.raises(relational.ContractError):
+        relational.linked(left, right, ["k"])
+    assert relational.linked(left, right, ["k"], "drop").count() == 2 and relational.linked(left, right, ["k"], "left").count() == 4
+    with pytest.raises(relational.ContractError):
+        only = spark.createDataFrame([("c", "operational")], "criterion string, section string")
+        decisions.eligibility(only, spark.createDataFrame([("d", "c", True)], "dataset_id string, criterion string, value boolean"))
 
 
 def test_contract_queries(spark):
@@ -91,9 +104,11 @@ def test_contract_queries(spark):
     rows = spark.createDataFrame([("S1", "e1"), ("S2", "e2"), ("S1", " ")], "study string, id string")
     assert contracts.foreign_rows(rows, "study", "S1", ["id"]).count() == 2
     assert contracts.bad_accessions(spark.createDataFrame([("GSM1",), ("gsm2",), ("GSE1",), (None,)], "a string"), "a", "GSM").count() == 2
-    results = [(0.5, "pearson_r", 0.1, None, 12, None, "primary"), (1.5, "pearson_r", 0.1, None, 12, None, "primary"), (1.5, "logFC", 0.1, None, 12, None, "control"), (None, "odd", 2.0, None, 0, "c", "x")]
+    results = [(0.5, "pearson_r", 0.1, None, 12, None, "primary"), (1.5, "pearson_r", 0.1, None, 12, None, "primary"), (1.5, "logFC", 0.1, None, 12, None, "negative_control"), (None, "odd", 2.0, None, 0, "c", "x")]
     bad = contracts.result_faults(spark.createDataFrame(results, "effect double, effect_type string, p_value double, fdr double, n int, contrast string, role string")).collect()
     assert sorted(len(r["reasons"]) for r in bad) == [1, 1, 6]
+    none = spark.createDataFrame([(0.5, "beta", None, None, None, None, "primary")], "effect double, effect_type string, p_value double, fdr double, n int, contrast string, role string")
+    assert contracts.result_faults(none).first()["reasons"] == ["neither p nor fdr", "n below 1"]
     units = spark.createDataFrame([("u", "supportive", 0.5, "GSE1"), (" ", "maybe", 2.0, "X1")], "analysis_unit_id string, verdict string, confidence double, gse_id string")
     assert [len(r["reasons"]) for r in contracts.document_faults(units).collect()] == [4]
     with pytest.raises(relational.ContractError):

@@ -79,6 +79,10 @@ def test_platform_genes_and_results(spark, tmp_path):
     assert (r["feature_id"], r["effect"], r["p_value"], r["fdr"], r["mean_expression"]) == ("a", 1.5, 0.01, None, None)
     with pytest.raises(ContractError):
         repo.normalize_results(spark.createDataFrame([("a", 1.0)], "what string, logFC double"))
+    both = spark.createDataFrame([("sym", "probe", 1.0)], "gene string, probe_id string, logFC double")
+    assert repo.normalize_results(both).first()["feature_id"] == "probe"
+    with pytest.raises(ContractError):
+        repo.normalize_results(spark.createDataFrame([(" ", 1.0)], "ID string, logFC double"))
 
 
 def test_selection_of_sources(spark):
@@ -101,6 +105,8 @@ def test_sinks(spark, tmp_path):
     sinks.write_tsv(frame.coalesce(1), str(tmp_path / "t"), ["k", "v"], ["k"])
     text = "".join(p.read_text() for p in sorted((tmp_path / "t").glob("part-*")))
     assert text.replace("k\tv\n", "") == "1\ta\n2\t\n"
+    sinks.write_tsv(spark.createDataFrame([(10,), (9,), (100,)], "k int").coalesce(1), str(tmp_path / "o"), ["k"], ["k"])
+    assert "".join(p.read_text() for p in sorted((tmp_path / "o").glob("part-*"))).replace("k\n", "") == "9\n10\n100\n"
     assert sinks.content_hash(frame) == sinks.content_hash(frame.orderBy("k").repartition(3)) != sinks.content_hash(frame.limit(1))
     record = sinks.provenance(frame, "t")
     sinks.append_log(spark, record, str(tmp_path / "log"))
