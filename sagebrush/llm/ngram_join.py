@@ -59,7 +59,7 @@ from pyspark.sql import types as T
 
 from . import words as wd
 from .components import components
-from .tables import shuffled, stored, stored_and_counted
+from .tables import dropped, shuffled, stored, written, written_and_counted
 
 SHINGLE = 5
 PERCENT = 80
@@ -288,7 +288,7 @@ def candidates(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = rows.filter((F.col("kind") > 0) | (F.col("c") + F.col("late") >= _needed(F.col("na"), F.col("nb"))))
     pairs = rows.groupBy("a", "b", (F.col("kind") == 2).alias("chain")).agg(F.sum("c").alias("n"))
     rank = F.row_number().over(own.orderBy("chain", F.desc("n"), "b"))
-    return stored(pairs.withColumn("best", (rank == 1) & ~F.col("chain")))
+    return written(pairs.withColumn("best", (rank == 1) & ~F.col("chain")))
 
 
 def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
@@ -536,10 +536,12 @@ def _found_in_blocks(chain: DataFrame, sets: DataFrame, labels: DataFrame) -> Da
     """(a, b): components that links inside blocks join, by the R-tree."""
     ends = chain.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     members = _labelled(_labelled(ends, labels, _in_graph_of_runs("cls"), "block"), labels, "cls", "comp").withColumn("comp", F.coalesce("comp", "cls"))
-    members = stored(members)
+    members = written(members)
     several = members.groupBy("block", "comp").agg(F.count("*").alias("k")).groupBy("block").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("k"))
-    members, n_members = stored_and_counted(shuffled(members, several.filter("k > 1").select("block", "main"), "block"), F.lit(True))
-    return stored(tree_links(shuffled(sets, members, "cls"))) if n_members else None
+    within, n_within = written_and_counted(shuffled(members, several.filter("k > 1").select("block", "main"), "block"), F.lit(True))
+    links = written(tree_links(shuffled(sets, within, "cls"))) if n_within else None
+    dropped(members, within)
+    return links
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
@@ -551,18 +553,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs, chain = met.filter("NOT chain"), met.filter("chain").select("a", "b")
     sets = stored(_sets(texts, _bitmap(met.select(F.explode(F.array("a", "b")).alias("cls")), "cls")))
     ends = lambda x, y: (F.col(x).alias("x"), F.col(y).alias("y"))
-    # stored, as two Python steps in one stage would hold two workers for each task
-    forest = stored(_linked(pairs.filter("best").select("a", "b", *ends("a", "b")), sets))
+    # written, as two Python steps in one stage would hold two workers for each task
+    forest = written(_linked(pairs.filter("best").select("a", "b", *ends("a", "b")), sets))
     # one run finds the components of the forest and those of the graph of runs
     labels = components(forest.union(chain.select(_in_graph_of_runs("a"), _in_graph_of_runs("b"))))
     open_ = _labelled(_labelled(pairs.filter("NOT best").select("a", "b"), labels, "a", "x"), labels, "b", "y")
     open_ = open_.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).filter("x <> y")
-    found = stored(_linked(open_, sets))
+    found = written(_linked(open_, sets))
     in_blocks = _found_in_blocks(chain, sets, labels)
+    dropped(met, forest)
     merged = components(found.union(in_blocks) if in_blocks is not None else found)
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("d"))
     classes = _labelled(classes, labels, "cls", "comp").withColumn("comp", F.coalesce("comp", "cls"))
     classes = stored(_labelled(classes, merged, "comp", "whole").select("cls", "d", F.coalesce("whole", "comp").alias("group")))
+    dropped(found, labels, merged, *([in_blocks] if in_blocks is not None else []))
     smallest = classes.groupBy("group").agg(F.min("d").alias("component"))
     final = shuffled(classes.select("cls", "group"), smallest, "group")
     joined = rows.join(final.hint("merge"), "cls", "left")

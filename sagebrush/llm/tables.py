@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -53,13 +54,30 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored_and_counted(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
-    """stored(), and how many rows meet a condition, in one job."""
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a compressed table in shared_folder().  Small parts are
+    read together, so what follows has as many tasks as its rows need.  For narrow
+    rows: a reader holds some thousand of them at a time."""
+    path = f"{shared_folder(df.sparkSession)}/table_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_and_counted(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """written(), and how many rows meet a condition, in one job."""
     seen = Observation()
-    out = stored(df.observe(seen, F.count_if(condition).alias("n")))
+    out = written(df.observe(seen, F.count_if(condition).alias("n")))
     return out, seen.get["n"]
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of written() tables, once all that reads them is stored."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def split_by_keys(df: DataFrame, key: str, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """The rows of df whose hash in ``key`` is among the hashes of ``keys`` (and few
     others), and the rest, without a shuffle of df.  The keys pass as a bitmap of
