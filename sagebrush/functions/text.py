@@ -185,3 +185,9 @@ def classify(df: DataFrame, rules: list[tuple[str, str, str]], repository: str,
     """The first rule (id, repository, filename pattern) that holds, else unclassified."""
     found = F.coalesce(*[F.when((F.col(repository) == r) & F.regexp_like(F.col(name), F.lit(p)), F.lit(i)) for i, r, p in rules], F.lit("unclassified"))
     return df.withColumn(out, found)
+
+
+def series_type(summary: Column) -> Column:
+    """superseries where the summary says so, in any case and spacing, else series."""
+    plain = F.regexp_replace(F.lower(F.coalesce(summary, F.lit(""))), r"\s+", " ")
+    return F.when(plain.contains("this superseries is composed of"), "superseries").otherwise("series")

@@ -158,3 +158,15 @@ def document_faults(units: DataFrame) -> DataFrame:
         F.when(~F.coalesce(F.regexp_like("gse_id", F.lit(r"^GSE\d+$")), F.lit(False)), "gse_id malformed"),
     )
     return units.withColumn("reasons", F.filter(reasons, lambda x: x.isNotNull())).filter("size(reasons) > 0")
+
+
+def left_out_faults(left_out: DataFrame) -> DataFrame:
+    """Datasets that a report leaves out without saying which, where and why."""
+    reasons = F.array(*[F.when(blank(c), f"{c} blank") for c in ("accession", "stage", "reason")])
+    return left_out.withColumn("reasons", F.filter(reasons, lambda x: x.isNotNull())).filter("size(reasons) > 0")
+
+
+def unconfirmed(identities: DataFrame) -> DataFrame:
+    """Features whose gene no named source confirms; they block a report, whatever
+    weaker evidence there is."""
+    return identities.filter(blank("confirmed_by"))

@@ -133,3 +133,10 @@ def test_page_and_order(spark):
     page = relational.page(frame, ["k"], 200, 500).collect()
     assert len(page) == 50 and page[0]["total"] == 250 and page[0]["next_offset"] is None
     assert {r["k"]: r["position"] for r in relational.in_given_order(frame, "k", [5, 3]).collect()} == {5: 0, 3: 1}
+
+
+def test_gates_of_a_report(spark):
+    left_out = spark.createDataFrame([("GSE1", "match", "no days"), ("GSE2", " ", None)], "accession string, stage string, reason string")
+    assert [(r["accession"], r["reasons"]) for r in contracts.left_out_faults(left_out).collect()] == [("GSE2", ["stage blank", "reason blank"])]
+    probes = spark.createDataFrame([("p1", "GPL table", None), ("p2", "  ", "kinetics"), ("p3", None, None)], "probe_id string, confirmed_by string, evidence string")
+    assert sorted(r["probe_id"] for r in contracts.unconfirmed(probes).collect()) == ["p2", "p3"]

@@ -123,3 +123,8 @@ def test_stream_appends_each_key_once(spark, tmp_path):
         spark.createDataFrame(rows, "k int, v string").write.mode("append").parquet(source)
         append_unseen(spark.readStream.schema("k int, v string").parquet(source), store, ["k"], str(tmp_path / "ck")).awaitTermination()
     assert sorted(r["k"] for r in spark.read.parquet(store).collect()) == [1, 2, 3]
+
+
+def test_series_type(spark):
+    rows = spark.createDataFrame([("This  SuperSeries is\n composed of the SubSeries",), ("A series",), (None,)], "s string")
+    assert [r[0] for r in rows.select(tx.series_type(F.col("s"))).collect()] == ["superseries", "series", "series"]
