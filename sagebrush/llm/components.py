@@ -37,16 +37,17 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each component of (a, b) edges.
     Each round takes the smallest label among neighbours, then the label's own
-    label; rows per round are the edges and the nodes.  A node with many
+    label.  Only labels that the last round changed are sent along edges, as the
+    others are known there.  A node with many
     neighbours sends and gets minima that are combined before the shuffle.  The
     table of a round goes once the next one is written."""
     made = edges.select("a", "b").mapInArrow(_forest, "a long, b long")
     both = written(made.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b"))
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"), (F.col("m") < F.col("node")).alias("moved"))
     moved, before = 1, None
     while moved:
-        near = shuffled(both, labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        step = shuffled(labels, near, "node").select("node", "label", F.least("label", "m").alias("new"))
+        near = shuffled(both, labels.filter("moved").select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
+        step = shuffled(labels.drop("moved"), near, "node", "left").select("node", "label", F.least("label", "m").alias("new"))
         up = step.select(F.col("node").alias("new"), F.col("new").alias("r"))
         changed = shuffled(step, up, "new", "left").select("node", F.least("new", "r").alias("l2"), "label")
         labels, moved = written_and_counted(changed.select("node", F.col("l2").alias("label"), (F.col("l2") < F.col("label")).alias("moved")), F.col("moved"))
