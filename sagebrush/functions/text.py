@@ -191,3 +191,12 @@ def series_type(summary: Column) -> Column:
     """superseries where the summary says so, in any case and spacing, else series."""
     plain = F.regexp_replace(F.lower(F.coalesce(summary, F.lit(""))), r"\s+", " ")
     return F.when(plain.contains("this superseries is composed of"), "superseries").otherwise("series")
+
+
+def below_accession(path: Column, accession: Column) -> Column:
+    """What of a path lies below its first component that is the accession,
+    whatever the case; null if there is none, or nothing below it."""
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    at = F.array_position(F.transform(parts, F.upper), F.upper(accession))
+    rest = F.slice(parts, at.cast("int") + 1, F.greatest(F.size(parts), F.lit(0)))
+    return F.when(at > 0, F.nullif(F.array_join(rest, "/"), F.lit("")))

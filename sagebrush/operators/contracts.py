@@ -170,3 +170,31 @@ def unconfirmed(identities: DataFrame) -> DataFrame:
     """Features whose gene no named source confirms; they block a report, whatever
     weaker evidence there is."""
     return identities.filter(blank("confirmed_by"))
+
+
+#: What a parsed hypothesis may say.
+RELATIONSHIPS = ("association", "causal", "difference")
+DIRECTIONS = ("positive", "negative", "non-directional")
+
+
+def hypothesis_faults(parsed: DataFrame, fields: list[str]) -> DataFrame:
+    """Parsed hypotheses that break their schema, with all reasons.  A field that
+    is no column is missing in each row; relationship_type and directionality may
+    be null, predictor and outcome may not be blank."""
+    has = set(parsed.columns)
+    reasons = [F.lit(f"{f} missing") for f in fields if f not in has]
+    for c, known in (("relationship_type", RELATIONSHIPS), ("directionality", DIRECTIONS)):
+        if c in has:
+            reasons.append(F.when(~F.coalesce(F.col(c).isin(*known), F.lit(True)), f"unknown {c}"))
+    reasons += [F.when(blank(c), f"{c} blank") for c in ("predictor", "outcome") if c in has]
+    return parsed.withColumn("reasons", F.filter(F.array(*reasons), lambda x: x.isNotNull())).filter("size(reasons) > 0")
+
+
+def recommended(plan: DataFrame, keys: list[str]) -> DataFrame:
+    """The units of a plan that are to be downloaded; none, or one listed twice,
+    is an error."""
+    chosen = plan.filter(F.col("download_recommendation") == "download")
+    if chosen.isEmpty():
+        raise ContractError("no unit is marked for download")
+    fail(chosen.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1"), "a unit is listed twice")
+    return chosen

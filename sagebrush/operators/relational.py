@@ -165,3 +165,11 @@ def verified_link(pairs: DataFrame, links: DataFrame) -> DataFrame:
     met = pairs.join(links, pairs["immport_id"] == links["immport_accession"])
     met = met.filter((F.col("geo_id") == F.col("geo_accession")) | F.array_contains(F.coalesce("geo_subseries", F.array().cast("array<string>")), F.col("geo_id")))
     return met.groupBy("immport_id", "geo_id").agg(F.min_by("group_id", "ord").alias("group_id"))
+
+
+def complete_means(values: DataFrame, key: str, item: str, value: str, items: list) -> DataFrame:
+    """(key, one column of each item): the mean of an item's values, of keys that
+    have a value of every item.  One aggregation, combined before its shuffle."""
+    own = lambda i: F.when(F.col(item) == i, F.col(value))
+    means = values.filter(F.col(item).isin(*items)).groupBy(key).agg(*[F.avg(own(i)).alias(str(i)) for i in items])
+    return means.dropna(subset=[str(i) for i in items])

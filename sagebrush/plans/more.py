@@ -252,3 +252,8 @@ def j6_strict_chain(spark, sf_dir):
     customers = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     chain = relational.linked(relational.linked(lines, orders, ["l_orderkey"]), customers, ["o_custkey"])
     return chain.select("l_orderkey", "l_linenumber", "o_custkey", "c_nationkey")
+
+
+@query("SELECT l_orderkey, avg(CASE WHEN l_returnflag = 'A' THEN l_quantity END) AS \"A\", avg(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS \"R\" FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY l_orderkey HAVING count(DISTINCT CASE WHEN l_quantity IS NOT NULL THEN l_returnflag END) = 2")
+def f13_complete_means(spark, sf_dir):
+    return relational.complete_means(_t(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", "l_quantity", ["A", "R"])

@@ -310,3 +310,14 @@ def typed(value: Column) -> Column:
 
 
 SCHEMA_LOG = T.StructType([T.StructField("output", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("columns", T.ArrayType(T.StringType())), T.StructField("sha256", T.StringType()), T.StructField("finished", T.StringType())])
+
+
+def wide_feature(matrix: DataFrame, probe: str) -> DataFrame:
+    """(sample, value) of one probe of a wide matrix whose first column holds the
+    ids; without such a row, or with several, an error."""
+    first, *samples = matrix.columns
+    row = matrix.filter(F.col(f"`{first}`") == probe)
+    n = row.limit(2).count()
+    if n != 1:
+        raise ContractError(f"{'no row' if not n else 'several rows'} of {probe}")
+    return row.select(*[F.col(f"`{s}`").try_cast("double").alias(s) for s in samples]).unpivot([], [f"`{s}`" for s in samples], "sample", "value")
