@@ -200,3 +200,21 @@ def below_accession(path: Column, accession: Column) -> Column:
     at = F.array_position(F.transform(parts, F.upper), F.upper(accession))
     rest = F.slice(parts, at.cast("int") + 1, F.greatest(F.size(parts), F.lit(0)))
     return F.when(at > 0, F.nullif(F.array_join(rest, "/"), F.lit("")))
+
+
+def shown_effect(x: Column) -> Column:
+    """A number with its sign and three decimals; n/a for null."""
+    return F.coalesce(F.when(x.isNotNull(), F.format_string("%+.3f", x)), F.lit("n/a"))
+
+
+def shown_p(p: Column) -> Column:
+    """A p-value of 0 to 1 to three significant digits, without zeros at the end;
+    n/a for null.  A digit 5 that ends the decimal form is rounded up."""
+    digits = F.when(p >= 0.1, F.format_string("%.3f", p)).when(p >= 0.01, F.format_string("%.4f", p)).otherwise(F.format_string("%.5f", p))
+    return F.when(p.isNull(), "n/a").when(p < 0.001, "<0.001").otherwise(F.regexp_replace(digits, r"\.?0+$", ""))
+
+
+def text_of(*columns: str) -> Column:
+    """The trimmed values of several columns as one text to match; nulls and blanks
+    are left out."""
+    return F.concat_ws(" ", *[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in columns])

@@ -251,3 +251,10 @@ def primary_faults(specs: DataFrame) -> DataFrame:
 
 def any_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns)
+
+
+def derived_criteria(specs: DataFrame, criteria: str = "scientific_criteria") -> DataFrame:
+    """Specifications with inclusion_criteria and exclusion_criteria, the trimmed
+    descriptions and exclusions of their criteria in order; what is null is empty."""
+    of = lambda field: F.coalesce(F.transform(F.filter(criteria, lambda c: c.isNotNull()), lambda c: F.coalesce(F.trim(c[field]), F.lit(""))), F.array().cast("array<string>"))
+    return specs.withColumns({"inclusion_criteria": of("description"), "exclusion_criteria": of("exclusion")})
