@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language, licenses, line_dedup, ngram_join, pieces, quality, sharding, token_counts
+from . import chat, decontamination, language, licenses, line_dedup, ngram_join, pieces, quality, sharding, token_counts, whitening
 from .tables import table
 
 N_SHARDS = 40
@@ -227,6 +227,11 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = doc_id GR
 """
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(rows).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
@@ -238,5 +243,6 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_sharding": op9_sharding,
     "op10_ngram_join": op10_ngram_join,
+    "op11_whitening": op11_whitening,
 }
 SQL = {"op1_decontamination": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op3_license_scan": OP3_SQL, "op4_line_dedup": OP4_SQL, "op7_quality_rules": OP7_SQL, "op10_ngram_join": OP10_SQL}
