@@ -128,24 +128,24 @@ def _reducing(mean: np.ndarray):
     return run
 
 
-def _merging(width: int):
+def _merging(width: int, fan: int):
     def run(group: pa.Table) -> pa.Table:
         order = np.argsort(group["node"].to_numpy())  # the same result however rows arrive
         each = group["r"].combine_chunks().take(pa.array(order)).flatten().to_numpy().reshape(-1, width)
-        return pa.Table.from_batches([_triangle_row(int(group["node"][0].as_py()) // FAN, triangle(each))])
+        return pa.Table.from_batches([_triangle_row(int(group["node"][0].as_py()) // fan, triangle(each))])
 
     return run
 
 
-def tsqr(rows: DataFrame, mean: np.ndarray) -> np.ndarray:
+def tsqr(rows: DataFrame, mean: np.ndarray, fan: int = FAN) -> np.ndarray:
     """R of all centred rows: a triangle for each task, merged by a tree."""
     width = len(mean)
     level, left = written_and_counted(rows.mapInArrow(_reducing(mean), "node long, r array<double>"), F.lit(True))
-    while left > FAN:
-        above, count = written_and_counted(level.groupBy(F.floor(F.col("node") / FAN)).applyInArrow(_merging(width), "node long, r array<double>"), F.lit(True))
+    while left > fan:
+        above, count = written_and_counted(level.groupBy(F.floor(F.col("node") / fan)).applyInArrow(_merging(width, fan), "node long, r array<double>"), F.lit(True))
         dropped(level)
         level, left = above, count
-    last = [np.array(r["r"]).reshape(width, width) for r in level.orderBy("node").collect()]  # FAN at most
+    last = [np.array(r["r"]).reshape(width, width) for r in level.orderBy("node").collect()]  # fan at most
     dropped(level)
     return triangle(np.vstack(last)) if last else np.zeros((width, width))
 

@@ -40,15 +40,15 @@ def test_query_against_eigenvectors(spark):
         assert np.allclose(mine, sign * np.array(theirs), atol=1e-6)
 
 
-def test_tree_of_triangles(spark, monkeypatch):
-    monkeypatch.setattr(whitening, "FAN", 2)
-    monkeypatch.setattr(whitening, "BLOCK_CELLS", 30)
+def test_tree_of_triangles(spark):
     rng = np.random.default_rng(5)
     x = (rng.normal(size=(300, 6)) * [90, 50, 20, 9, 4, 1] + 1000).astype(int)
     rows = spark.createDataFrame([(v.tolist(),) for v in x], "x array<long>").repartition(13)
     fitted = whitening.fit(rows, components=6)
     assert fitted.n == len({tuple(v) for v in x.tolist()}) and fitted.identity_error < 1e-9
     _, e, u = brute(x / 256)
+    deep = whitening.tsqr(rows.distinct().repartition(13), fitted.mean, fan=2)
+    assert np.allclose(np.linalg.svd(deep)[1] ** 2 / fitted.n, e) and np.allclose(deep, np.triu(deep))
     assert np.allclose(fitted.eigenvalues, e) and np.allclose(np.abs((fitted.components * u).sum(axis=1)), 1)
 
 
