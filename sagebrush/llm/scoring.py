@@ -57,7 +57,7 @@ from .tables import dropped, written
 #: Weight of the lower order's estimate, in training counts.
 STRENGTH = 2.0
 #: Tokens of a batch, and bytes of text for each shard.
-BATCH = 1 << 21
+BATCH = 3 << 19
 SHARD_BYTES = 1 << 24
 #: Tokens of a text that are traversed in one go beside other texts' tokens.
 LANE = 1024
@@ -168,7 +168,7 @@ def _batches(rows: Iterator[pa.RecordBatch], ids: list, most: int) -> Iterator[B
         pos = np.arange(len(text)) - np.repeat(starts, np.diff(np.append(starts, len(text))))
         if lead:
             pos[: starts[1] if len(starts) > 1 else len(pos)] += n - 1
-        made = Batch(number, tokens, np.minimum(pos, 2), text, train, lead, before)
+        made = Batch(number, tokens, np.minimum(pos, 2).astype(np.int8), text.astype(np.int32), train, lead, before)
         past = (text[-1], tokens[-2] if len(tokens) > 1 else before, tokens[-1], int(pos[-1]) + 1)
         number += 1
         return made
@@ -204,7 +204,7 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new = np.append(True, ordered[1:] != ordered[:-1])
     which = np.empty(len(values), np.int32)
     which[order] = np.cumsum(new, dtype=np.int32) - 1
-    return ordered[new], order[new], which
+    return ordered[new], order[new].astype(np.int32), which
 
 
 def _cuts(keys: np.ndarray, n_shards: int) -> np.ndarray:
@@ -350,9 +350,9 @@ def _scoring(n_shards: int, total: int, distinct: int, n_texts: int, id_type: pa
         lengths = _unpack(row["lengths"], len(ids)).astype(np.int64)
         keys = _unpack_sorted(row["keys"], n_keys)
         starts = np.cumsum(lengths) - lengths
-        pos = np.arange(n) - np.repeat(starts, lengths)
+        pos = (np.arange(n) - np.repeat(starts, lengths)).astype(np.int32)
         pos[: lengths[0]] += pos0
-        batch = Batch(0, keys[_unpack(row["tokens"], n).astype(np.int64)], np.minimum(pos, 2), np.repeat(np.arange(len(ids)), lengths), np.zeros(0, bool), lead, np.int64(row["before"]).view(np.uint64))
+        batch = Batch(0, keys[_unpack(row["tokens"], n).astype(np.int64)], np.minimum(pos, 2).astype(np.int8), np.repeat(np.arange(len(ids), dtype=np.int32), lengths), np.zeros(0, bool), lead, np.int64(row["before"]).view(np.uint64))
         del row
         grams, counts = [_distinct(values) for values in _ngrams(batch)], []
         for _, places, which in grams if lead else []:  # of a lead the context isn't known: take another place if there is one
