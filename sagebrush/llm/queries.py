@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language, licenses, line_dedup, ngram_join, pieces, quality, scoring, sharding, token_counts, whitening
+from . import chat, decontamination, language, licenses, line_dedup, ngram_join, pieces, quality, scoring, sharding, spelling, token_counts, whitening
 from .tables import table
 
 N_SHARDS = 40
@@ -238,6 +238,11 @@ def op12_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(docs, learns).select("doc_id", (~learns).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), drop_every=spelling.DROP_EVERY)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
@@ -251,5 +256,6 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
     "op11_whitening": op11_whitening,
     "op12_scoring": op12_scoring,
+    "op13_spelling": op13_spelling,
 }
 SQL = {"op1_decontamination": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op3_license_scan": OP3_SQL, "op4_line_dedup": OP4_SQL, "op7_quality_rules": OP7_SQL, "op10_ngram_join": OP10_SQL}
