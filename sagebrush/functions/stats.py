@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordering import least_of_later, numbered, pairs_above
+
 
 def finite(value: Column) -> Column:
     """NULL for NaN and infinities."""
@@ -107,14 +109,14 @@ def adjusted_ranks(df: DataFrame, keys: list[str], x: str, y: str, z: str, dof_c
     return adjusted(ranked(df, keys, [x, y, z]), keys, f"r_{x}", f"r_{y}", f"r_{z}", dof_covariates)
 
 
-def bh_adjust(df: DataFrame, p: str, tie: str, keys: list[str] | None = None, out: str = "q_value") -> DataFrame:
-    """Benjamini-Hochberg q within ``keys``; rows without p get none.  The window
-    spans one family of tests (the features of one sweep)."""
+def bh_adjust(df: DataFrame, p: str, tie: str, keys: list[str] | None = None, out: str = "q_value", parts: int | None = None) -> DataFrame:
+    """Benjamini-Hochberg q within ``keys``; rows without p get none.  Windows span
+    ranges of p, of which counts and minima are carried on."""
     keys = keys or []
-    family = W.partitionBy(*keys, F.col(p).isNull())
-    placed = df.withColumn("_rn", F.row_number().over(family.orderBy(p, tie))).withColumn("_m", F.count("*").over(family))
-    up = family.orderBy("_rn").rowsBetween(W.currentRow, W.unboundedFollowing)
-    return placed.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rn")).over(up)))).drop("_rn", "_m")
+    tested = numbered(df.filter(F.col(p).isNotNull()), [p, tie], keys, parts=parts).withColumn("_v", F.col(p) * F.col("_m") / F.col("_rn"))
+    least = least_of_later(tested, "_v", "_rn", keys).withColumn(out, F.least(F.lit(1.0), "_least"))
+    none = df.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double"))
+    return least.select(*none.columns).unionByName(none)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -157,22 +159,40 @@ def composite(scores: DataFrame, members: DataFrame, feature: str, subject: str,
 
 
 def leave_one_out(df: DataFrame, keys: list[str], subject: str, x: str, y: str, alpha: float = 0.05) -> DataFrame:
-    """Spearman without each subject in turn; the worst p, its r, the subject and
-    whether the finding survives.  A group of n rows makes n * (n - 1) rows: for
-    cohorts, not for populations."""
-    base = df.dropna(subset=[x, y]).select(*keys, subject, x, y)
-    dropped = base.select(*keys, F.col(subject).alias("dropped"))
-    without = dropped.join(base, keys).filter(F.col("dropped") != F.col(subject))
-    each = spearman(without, [*keys, "dropped"], x, y).filter("p_value IS NOT NULL")
-    worst = each.groupBy(*keys).agg(F.max(F.struct(F.round("p_value", 9).alias("p"), (-F.col("dropped")).alias("o"), "effect", "n")).alias("w"))
-    return worst.select(*keys, F.col("w.p").alias("worst_p"), F.col("w.effect").alias("worst_r"), (-F.col("w.o")).alias("dropped"), (F.col("w.p") <= alpha).alias("survives"))
+    """Spearman without each subject in turn; the worst p, its r, the subject (the
+    first of equals) and whether the finding survives.  Dropping a subject moves the
+    ranks above it down by one and those of its ties by a half, so what its
+    correlation needs comes from sums over the ranks above; n log n rows in all."""
+    base = df.dropna(subset=[x, y]).select(*keys, F.col(subject).alias("_s"), F.col(x).alias("_x"), F.col(y).alias("_y0"))
+    own = ranked(base, keys, ["_x", "_y0"]).withColumnsRenamed({"r__x": "_rx", "r__y0": "_ry"})
+    own = pairs_above(own, keys, "_rx", "_ry")
+    after = lambda other, by: (F.sum(other).over(W.partitionBy(*keys).orderBy(F.desc(by)).rangeBetween(W.unboundedPreceding, W.currentRow)), F.sum(other).over(W.partitionBy(*keys, by)))
+    moved = lambda other, by: after(other, by)[0] - after(other, by)[1] + (after(other, by)[1] - F.col(other)) / 2
+    ties = lambda r: F.count("*").over(W.partitionBy(*keys, r)).cast("double")
+    cube = lambda t: t * t * t - t
+    rows = own.withColumns({
+        "_n": F.count("*").over(W.partitionBy(*keys)),
+        "_tx": ties("_rx"), "_ty": ties("_ry"),
+        "_xy": F.sum(F.col("_rx") * F.col("_ry")).over(W.partitionBy(*keys)),
+        "_ax": moved("_ry", "_rx"), "_ay": moved("_rx", "_ry"),
+    })
+    # the sum of t**3 - t over groups of ties is that of t**2 - 1 over their rows
+    for c in ("x", "y"):
+        t = F.col(f"_t{c}")
+        rows = rows.withColumn(f"_c{c}", F.sum(t * t - 1).over(W.partitionBy(*keys)) - cube(t) + cube(t - 1))
+    m = (F.col("_n") - 1).cast("double")
+    square = lambda c: (m * m * m - m - F.col(f"_c{c}")) / 12
+    product = F.col("_xy") - F.col("_rx") * F.col("_ry") - F.col("_ax") - F.col("_ay") + F.col("_above") - m * (m + 1) * (m + 1) / 4
+    room = square("x") * square("y")
+    each = rows.withColumn("effect", _clamped(F.when((m >= 2) & (room > 1e-9), product / F.sqrt(room)))).withColumn("_p", F.round(p_value(F.col("effect"), m), 9)).filter("_p IS NOT NULL")
+    worst = each.groupBy(*keys).agg(F.min(F.struct((-F.col("_p")).alias("p"), F.col("_s"), F.col("effect"))).alias("w"))
+    return worst.select(*keys, (-F.col("w.p")).alias("worst_p"), F.col("w.effect").alias("worst_r"), F.col("w._s").alias("dropped"), (-F.col("w.p") <= alpha).alias("survives"))
 
 
 def enrichment(features: DataFrame, members: DataFrame, p: str, feature: str, share: float = 0.05) -> DataFrame:
     """Members of each set among the first share of the features by p, and how
     many to expect."""
-    whole = features.filter(F.col(p).isNotNull())
-    placed = whole.withColumn("_k", F.row_number().over(W.orderBy(p, feature)) - 1).withColumn("_m", F.count("*").over(W.partitionBy()))
+    placed = numbered(features.filter(F.col(p).isNotNull()), [p, feature]).withColumn("_k", F.col("_rn") - 1)
     return placed.join(members, feature).groupBy("set_name").agg(F.count("*").alias("n_set"), F.count_if(F.col("_k") < F.col("_m") * share).alias("in_top"), (F.count("*") * F.lit(share)).alias("expected"))
 
 
@@ -211,8 +231,8 @@ def p_histogram(df: DataFrame, p: str, bins: int = 50) -> DataFrame:
 
 def qq_points(df: DataFrame, p: str, tie: str) -> DataFrame:
     """Observed and expected -log10 p by rank."""
-    whole = df.filter(F.col(p) > 0)
-    i, m = F.row_number().over(W.orderBy(p, tie)), F.count("*").over(W.partitionBy())
+    whole = numbered(df.filter(F.col(p) > 0), [p, tie])
+    i, m = F.col("_rn"), F.col("_m")
     return whole.select(tie, (-F.log10(p)).alias("observed"), (-F.log10((i - 0.5) / m)).alias("expected"))
 
 

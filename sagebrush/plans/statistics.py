@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import permutation, stats
 from ..operators import decisions, relational
 from . import sql
 
@@ -203,6 +203,24 @@ def m13_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_perm", "n_at_least", F.round("observed", 6).alias("observed"), F.round("p_value", 6).alias("p_value"))
 
 
+@query(f"""WITH {_FEATURES}, {_SETS},
+subj AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i, {sql.average_rank("", "label")} AS y FROM embeddings WHERE label IS NOT NULL),
+xr AS (SELECT pos, vec_id, {sql.average_rank("pos", "v")} AS x FROM f WHERE label IS NOT NULL),
+perms AS (SELECT perm, vec_id, row_number() OVER (PARTITION BY perm ORDER BY md5('s|' || perm || '|' || vec_id), vec_id) AS k
+  FROM subj, range(1, {_PERM} + 1) AS t(perm) UNION ALL SELECT 0, vec_id, i FROM subj),
+r AS (SELECT perm, pos, round(abs(corr(x, s.y)), 9) AS r FROM perms p JOIN subj s ON s.i = p.k JOIN xr ON xr.vec_id = p.vec_id GROUP BY perm, pos),
+top AS (SELECT *, row_number() OVER (PARTITION BY perm ORDER BY r DESC, pos) AS k, count(*) OVER (PARTITION BY perm) AS m FROM r WHERE NOT isnan(r)),
+c AS (SELECT perm, set_name, count(*) AS n_set, count(*) FILTER (k - 1 < m * 0.05) AS n FROM top JOIN sets USING (pos) GROUP BY perm, set_name),
+o AS (SELECT set_name, n_set, n AS observed FROM c WHERE perm = 0)
+SELECT set_name, o.n_set, observed, count(*) AS n_perm, count(*) FILTER (n >= observed) AS n_at_least, round((count(*) FILTER (n >= observed) + 1) / (count(*) + 1.0), 6) AS p_value
+FROM c JOIN o USING (set_name) WHERE perm > 0 GROUP BY ALL""")
+def m13_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of vectors as features, the label as outcome, 2,000 permutations."""
+    outcome = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"))
+    out = permutation.permutation_enrichment(_features(spark, sf_dir).drop("label"), outcome, _sets(spark), "pos", "vec_id", "v", "label", n=_PERM)
+    return out.withColumn("p_value", F.round("p_value", 6))
+
+
 @query(f"""WITH {_SUBJECTS}, h AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS half FROM subjects WHERE v IS NOT NULL AND c IS NOT NULL AND p IS NOT NULL),
 k AS (SELECT half, {sql.average_rank("half", "v")} AS x, {sql.average_rank("half", "p")} AS y, {sql.average_rank("half", "c")} AS z FROM h),
 r AS (SELECT half, count(*) AS n, {sql.corr("x", "y")} AS xy, {sql.corr("x", "z")} AS xz, {sql.corr("y", "z")} AS yz FROM k GROUP BY half),
