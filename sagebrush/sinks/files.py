@@ -14,6 +14,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import ContractError
+
 
 def write_tsv(df: DataFrame, path: str, columns: list[str], order: list[str], compression: str = "none") -> None:
     """Fixed columns and row order (of the values, not of their texts), blanks for NULL."""
@@ -60,9 +62,12 @@ def pending(resolved: DataFrame) -> DataFrame:
     return resolved.filter(~F.col("status").isin("verified", "verified_multiple"))
 
 
-def report(verdicts: DataFrame, title: str, limit: int = 1000) -> str:
-    """Markdown of a verdict table of at most ``limit`` rows."""
-    rows = verdicts.orderBy(*verdicts.columns).limit(limit).collect()
+def report(verdicts: DataFrame, title: str, most: int = 1000) -> str:
+    """Markdown of a small verdict table, as one text; one of more than ``most`` rows
+    is an error, as reports.write_report() writes those of any length."""
+    rows = verdicts.orderBy(*verdicts.columns).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ContractError(f"more than {most} rows; write_report() has no bound")
     number = lambda v: "" if v is None else f"{v:.3g}" if isinstance(v, float) else str(v).replace("|", "\\|")
     lines = [f"# {title}", "", "| " + " | ".join(verdicts.columns) + " |", "|" + "-|" * len(verdicts.columns)]
     return "\n".join(lines + ["| " + " | ".join(number(v) for v in r) + " |" for r in rows]) + "\n"
