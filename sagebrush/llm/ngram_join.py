@@ -14,14 +14,14 @@ instead.  Texts with one set of shingles are one class.  Two classes that link
 share one of the n - ceil(0.8 n) + 1 rarest shingles of each, whatever the order
 of rarity; so each class sends those to the cells of its shingles.
 
-1. A count sketch of all shingles (fixed size) gives the order of rarity.
+1. A count sketch of all shingles, sized by their number, gives the order of rarity.
 2. A cell is streamed in the order of sizes.  A member meets the members of
    compatible size before it, if there are at most WINDOW; pairs are counted over
    cells, and as two sets that link share many of their rarest shingles, not just
    one, pairs with too few common cells go.  A member with more of them before it
    (a cluster, or a common passage) is deferred: it sends one edge to a pivot,
    and one to the first of its run in the cell, so that blocks are flat.  So m
-   members send at most WINDOW * m pairs.  A cell of more than CELL_ROWS shingles
+   members send at most WINDOW * m pairs.  A cell of more than CELL_ROWS members
    is dealt over several tasks: there every member is deferred, with an edge to a
    node that stands for the cell.
 3. Each class verifies the pair with the most common cells exactly; the verified
@@ -69,10 +69,12 @@ LEAF_BYTES = 1 << 20
 FAN = 32
 #: Over how many keys the pairs of a block's nodes are dealt.
 SPREAD = 16
-SKETCH_BITS = 20
+#: Bits of the sketch's slots: so many that one has some 2**8 shingles, between these.
+SKETCH_BITS = (20, 24)
 _COUNT_BITS = 20
 WINDOW = 32
-_BITMAP_BITS = 25
+#: Bits of the bitmap of classes: eight flags for each class, between these.
+_BITMAP_BITS = (25, 28)
 #: Rows of a cell that one task streams.
 CELL_ROWS = 1 << 18
 _BLOCK = "block"  # marks the nodes of the graph of runs
@@ -111,20 +113,25 @@ def class_ids(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return wd.mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
-def _slots(sets: np.ndarray) -> np.ndarray:
-    return (sets & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+def _slots(sets: np.ndarray, size: int) -> np.ndarray:
+    return (sets & np.uint64(size - 1)).astype(np.int64)
 
 
-def _sketch(docs: DataFrame) -> np.ndarray:
-    """Occurrences of shingles by slot, over all documents.  Each task sums its
-    own, tasks are summed by part of the sketch, and the driver gets 2**20 counts."""
-    part = 1 << 12
+def _bits(needed: int, bounds: tuple[int, int]) -> int:
+    return min(bounds[1], max(bounds[0], int(needed).bit_length()))
+
+
+def _sketch(docs: DataFrame, shingles: int = 0) -> np.ndarray:
+    """Occurrences of shingles by slot, over all documents that have so many.  Each
+    task sums its own, tasks are summed by part of the sketch, and the driver gets
+    2**20 to 2**24 counts.  It gives an order of rarity, and decides nothing else."""
+    size, part = 1 << _bits(shingles >> 8, SKETCH_BITS), 1 << 12
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
             for _, _, words in wd.doc_steps(batch.column(0), wd.SOLID):
-                total += np.bincount(_slots(shingle_sets(words)[0]), minlength=len(total))
+                total += np.bincount(_slots(shingle_sets(words)[0], size), minlength=size)
         parts = total.reshape(-1, part)
         salt = TaskContext.get().partitionId() % 512
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), salt, np.int32)), pa.array([p.astype(np.uint32).tobytes() for p in parts], pa.binary())], ["part", "salt", "counts"])
@@ -140,7 +147,7 @@ def _sketch(docs: DataFrame) -> np.ndarray:
     sums = docs.mapInArrow(run, schema).groupBy("part", "salt").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
     found = {r["part"]: bytes(r["counts"]) for r in sums.select("part", "counts").collect()}
     empty = bytes(4 * part)
-    return np.frombuffer(b"".join(found.get(p, empty) for p in range((1 << SKETCH_BITS) // part)), np.uint32)
+    return np.frombuffer(b"".join(found.get(p, empty) for p in range(size // part)), np.uint32)
 
 
 def _tokens(docs: DataFrame, sketch: np.ndarray, cell_rows: int | None = None) -> DataFrame:
@@ -156,7 +163,7 @@ def _tokens(docs: DataFrame, sketch: np.ndarray, cell_rows: int | None = None) -
             for _, _, words in wd.doc_steps(batch.column(0), wd.SOLID):
                 sets, at = shingle_sets(words)
                 cls = class_ids(sets, at)
-                seen = counts[_slots(sets)].astype(np.uint64)
+                seen = counts[_slots(sets, len(counts))].astype(np.uint64)
                 tokens = np.minimum(seen, np.uint64((1 << _COUNT_BITS) - 1)) << np.uint64(63 - _COUNT_BITS)
                 tokens |= sets >> np.uint64(_COUNT_BITS + 1)
                 n = np.diff(at)
@@ -184,7 +191,14 @@ def _tokens(docs: DataFrame, sketch: np.ndarray, cell_rows: int | None = None) -
                         ["cls", "n", "token", "part"],
                     )
 
-    return docs.mapInArrow(run, "cls long, n int, token long, part int")
+    made = docs.mapInArrow(run, "cls long, n int, token long, part int")
+    if not (sketch > most).any():  # no cell can be so large
+        return made
+    # a slot counts several shingles, so cells that may be large are counted
+    made = written(made)
+    large = made.filter("part > 0").groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") > int(most))
+    parts = F.when(F.col("k").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("cls"), F.ceil(F.col("k") / int(most))))
+    return shuffled(made, large, "token", "left").select("cls", "n", "token", parts.cast("int").alias("part"))
 
 
 def prefix(n):
@@ -292,18 +306,20 @@ def candidates(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """2**25 flags of the values of a column of hashes: at most 1024 rows of 4 KB
-    reach the driver, whatever the input.  A fuller bitmap only lets more rows pass."""
-    slot = F.col(column).bitwiseAND(F.lit((1 << _BITMAP_BITS) - 1)) + 1
+    """2**25 to 2**28 flags of the values of a column of hashes, by how many there
+    are: at most 8192 rows of 4 KB reach the driver, one by one.  A fuller bitmap only
+    lets more rows pass."""
+    size = 1 << _bits(8 * keys.agg(F.approx_count_distinct(column)).first()[0], _BITMAP_BITS)
+    slot = F.col(column).bitwiseAND(F.lit(size - 1)) + 1
     rows = keys.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-    bits = np.zeros((1 << _BITMAP_BITS) // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     for r in rows.toLocalIterator():
         bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return bits
 
 
 def _flagged(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    s = keys & ((1 << _BITMAP_BITS) - 1)
+    s = keys & (8 * len(bits) - 1)
     return ((bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1).astype(bool)
 
 
@@ -494,7 +510,8 @@ def tree_links(points: DataFrame, leaf: int = LEAF, fan: int = FAN) -> DataFrame
     sends a forest of components."""
     order = ("block", "comp", "n", "cls")
     made = points.repartitionByRange(*order).sortWithinPartitions(*order).select("block", "comp", "main", "n", "point", "rest")
-    leaves = stored(made.mapInArrow(_leaves(leaf, fan), _LEAF_SCHEMA))
+    # a run of leaves may reach over blocks; each block has a parent of its own there
+    leaves = stored(made.mapInArrow(_leaves(leaf, fan), _LEAF_SCHEMA).withColumn("parent", F.xxhash64("block", "parent")))
     nodes = leaves.select("block", "node", "parent", "alone", "lo", "hi", "top")
     parents = stored(nodes.groupBy("block", "parent").applyInArrow(_parents, _NODE_SCHEMA))
     side = lambda df, k, *more: df.select(*[F.col(c).alias(f"{c}{k}") for c in ("node", "parent", "alone", "lo", "hi", "top", *more)], "block")
@@ -502,8 +519,7 @@ def tree_links(points: DataFrame, leaf: int = LEAF, fan: int = FAN) -> DataFrame
     dealt = side(parents, "1").withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     met = shuffled(dealt, side(parents, "2").withColumn("key", F.pmod("node2", F.lit(SPREAD)).cast("int")), ["block", "key"])
     above = _let_through(met.filter("node1 <= node2")).toDF("parent1", "parent2")
-    # a parent's number may stand in two blocks, so the block counts too
-    below = shuffled(shuffled(above, side(nodes, "1"), "parent1"), side(nodes, "2").withColumnRenamed("block", "block2"), "parent2").filter("block = block2 AND node1 <= node2")
+    below = shuffled(shuffled(above, side(nodes, "1"), "parent1"), side(nodes, "2").drop("block"), "parent2").filter("parent1 <> parent2 OR node1 <= node2")
     whole = lambda k: leaves.select(F.col("node").alias(f"l{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("ns", "comps", "points", "rests")])
     near = shuffled(shuffled(_let_through(below), whole("1"), "l1"), whole("2"), "l2").drop("l1", "l2")
     return near.mapInArrow(_inside, "a long, b long")
@@ -549,7 +565,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hash of the text, and group, which tells components apart where ids don't."""
     rows = stored(profiles(docs, id_col, text_col, keyed))
     texts = docs.select(text_col)
-    met = candidates(_tokens(texts, _sketch(texts)))
+    shingles = rows.agg(F.sum("n")).first()[0] or 0
+    met = candidates(_tokens(texts, _sketch(texts, shingles)))
     pairs, chain = met.filter("NOT chain"), met.filter("chain").select("a", "b")
     sets = stored(_sets(texts, _bitmap(met.select(F.explode(F.array("a", "b")).alias("cls")), "cls")))
     ends = lambda x, y: (F.col(x).alias("x"), F.col(y).alias("y"))

@@ -131,7 +131,7 @@ def test_edge_cases(spark):
     assert nj.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
 
 
-def test_tree_joins_what_links_join(spark):
+def test_tree_joins_what_links_join(spark, monkeypatch):
     rng = np.random.default_rng(4)
     fresh = lambda n: rng.integers(1 << 64, size=n, dtype=np.uint64)
     base = fresh(150)
@@ -154,6 +154,11 @@ def test_tree_joins_what_links_join(spark):
     assert 10 < len(set(reached(linked))) < 110
     assert reached([(r["a"], r["b"]) for r in nj.tree_links(frame).collect()]) == reached(linked)
     assert reached([(r["a"], r["b"]) for r in nj.tree_links(frame, leaf=4, fan=2).collect()]) == reached(linked)
+    met, real = [], nj._let_through  # every pair of nodes is met once, though blocks share runs of leaves
+    monkeypatch.setattr(nj, "_let_through", lambda pairs: met.append(pairs.select("node1", "node2").collect()) or real(pairs))
+    small = frame.withColumn("block", F.col("cls") % 11).withColumn("main", F.lit(-1).cast("long"))
+    nj.tree_links(small, leaf=2, fan=4).collect()
+    assert len(met) == 2 and all(len(pairs) == len({frozenset(p) for p in pairs}) > 11 for pairs in met)
 
 
 def test_tree_prunes(spark):
@@ -182,3 +187,17 @@ def test_components_of_paths_and_stars(spark):
         got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(parts)).collect()}
         assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 160))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_full_sketch_deals_no_small_cells(spark):
+    """A sketch whose slots are all over the bound: cells are dealt by exact counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    full = np.full(1 << 20, 1 << 20, np.uint32)
+    assert {r["part"] for r in nj._tokens(docs, full).select("part").distinct().collect()} == {0}
+    few = nj._tokens(docs, full, cell_rows=10)
+    sizes = {r["token"]: (r["k"], r["parts"]) for r in few.groupBy("token").agg(F.count("*").alias("k"), F.max("part").alias("parts")).collect()}
+    assert any(p for _, p in sizes.values()) and all((p > 0) == (k > 10) for k, p in sizes.values())
+
+
+def test_sizes_follow_counts():
+    assert [nj._bits(n >> 8, nj.SKETCH_BITS) for n in (0, 1 << 27, 1 << 30, 1 << 50)] == [20, 20, 23, 24]
