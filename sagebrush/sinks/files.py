@@ -10,8 +10,9 @@ from __future__ import annotations
 import datetime
 import hashlib
 import json
+import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.relational import ContractError
@@ -19,7 +20,11 @@ from ..operators.relational import ContractError
 
 def write_tsv(df: DataFrame, path: str, columns: list[str], order: list[str], compression: str = "none") -> None:
     """Fixed columns and row order (of the values, not of their texts), blanks for NULL."""
-    out = df.orderBy(*order).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
+    _write_sorted(df.orderBy(*order), path, columns, compression)
+
+
+def _write_sorted(df: DataFrame, path: str, columns: list[str], compression: str) -> None:
+    out = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
     out.write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", compression=compression, quote="")
 
 
@@ -41,6 +46,35 @@ def provenance(df: DataFrame, output: str) -> dict:
     return {"output": output, "rows": df.count(), "columns": df.columns, "sha256": content_hash(df), "finished": datetime.datetime.now(datetime.timezone.utc).isoformat()}
 
 
+def write_observed(df: DataFrame, path: str, columns: list[str], order: list[str], inputs: str | None = None, selection: dict | None = None, compression: str = "none") -> dict:
+    """write_tsv(), and the provenance of what it wrote: rows, the columns' blanks,
+    the hash and the duration come from the writing job itself, by an observation of
+    its rows.  ``inputs`` is a path whose files are hashed where they are read."""
+    began = time.monotonic()
+    row = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(columns)])
+    digest = F.sha2(row, 256)
+    parts = [F.sum(F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")).alias(f"h{k}") for k in range(8)]
+    blanks = [F.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")) == "").alias(f"blank_{k}") for k, c in enumerate(columns)]
+    seen = Observation()
+    # observed behind the sort, which reads its input once more to cut ranges
+    _write_sorted(df.orderBy(*order).observe(seen, F.count("*").alias("rows"), *parts, *blanks), path, columns, compression)
+    got = seen.get
+    totals = [str(got["rows"]), *[str(got[f"h{k}"]) for k in range(8)]]
+    record = {"output": path, "rows": got["rows"], "columns": columns, "blank": {c: got[f"blank_{k}"] for k, c in enumerate(columns)}, "sha256": hexdigest(json.dumps(totals + sorted(columns))), "selection": selection or {}}
+    if inputs:
+        record["inputs"] = input_record(df.sparkSession, inputs)
+    return record | {"duration_sec": round(time.monotonic() - began, 3), "finished": datetime.datetime.now(datetime.timezone.utc).isoformat()}
+
+
+def input_record(spark, path: str) -> dict:
+    """Number, bytes and one hash of the files below a path, in any order of reading."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    one = files.select(F.sha2("content", 256).alias("h"), F.col("length"))
+    parts = [F.sum(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")) for k in range(8)]
+    n, size, *sums = one.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), *parts).first()
+    return {"path": path, "files": n, "bytes": size, "sha256": hexdigest(json.dumps([n, *map(str, sums)]))}
+
+
 def append_log(spark, record: dict, path: str) -> None:
     """One record of an append-only JSON log."""
     spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").write.mode("append").text(path)

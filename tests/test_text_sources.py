@@ -10,6 +10,7 @@ from sagebrush.functions import text as tx
 from sagebrush.operators.relational import ContractError
 from sagebrush.sinks import files as sinks
 from sagebrush.sources import repository as repo
+from sagebrush.sinks.store import SnapshotStore
 from sagebrush.streaming import append_unseen
 
 
@@ -122,7 +123,7 @@ def test_stream_appends_each_key_once(spark, tmp_path):
     for rows in ([(1, "a"), (1, "a"), (2, "b")], [(2, "b"), (3, "c")]):
         spark.createDataFrame(rows, "k int, v string").write.mode("append").parquet(source)
         append_unseen(spark.readStream.schema("k int, v string").parquet(source), store, ["k"], str(tmp_path / "ck")).awaitTermination()
-    assert sorted(r["k"] for r in spark.read.parquet(store).collect()) == [1, 2, 3]
+    assert sorted(r["k"] for r in SnapshotStore(spark, store, ["k"]).read().collect()) == [1, 2, 3]
 
 
 def test_series_type(spark):
