@@ -6,6 +6,7 @@ are computed with numpy over the whole buffer, so no Python loop runs per word.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,22 +45,33 @@ def byte_class(pattern: str) -> np.ndarray:
 ALNUM, SOLID, LETTER = (byte_class(x) for x in ("alnum", "solid", "letter"))
 
 
+_of_words: np.ndarray | None = None
+
+
+def _points_of_words() -> np.ndarray:
+    """A flag for each code point: Unicode's letters and the marks that go with them."""
+    global _of_words
+    if _of_words is None:
+        _of_words = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+    return _of_words
+
+
 def letters(data: np.ndarray) -> np.ndarray:
-    """Flags of the bytes of words of letters: ASCII letters and characters beyond
-    ASCII, but for the blocks of punctuation, symbols and pictures (U+0080 to
-    U+00BF without \u00aa, \u00b5 and \u00ba; U+2000 to U+2BFF; U+3000 to U+303F without
-    U+3005 to U+3007; U+1F000 to U+1FFFF)."""
-    inside = LETTER[data]
-    n = len(data)
-    ahead = lambda k: np.append(data[k:], np.zeros(min(k, n), np.uint8))
-    second, third = ahead(1), ahead(2)
-    two = (data == 0xC2) & ~np.isin(second, (0xAA, 0xB5, 0xBA))
-    three = ((data == 0xE2) & (second < 0xB0)) | ((data == 0xE3) & (second == 0x80) & ((third < 0x85) | (third > 0x87)))
-    four = (data == 0xF0) & (second == 0x9F)
-    for found, size in ((two, 2), (three, 3), (four, 4)):
-        at = np.flatnonzero(found)
-        for k in range(size):
-            inside[np.minimum(at + k, n - 1)] = False
+    """Flags of the bytes of letters and marks, by Unicode's categories."""
+    inside = LETTER[data] & (data < 128)
+    at = np.flatnonzero(data >= 0xC2)
+    if not len(at):
+        return inside
+    lead = data[at].astype(np.int64)
+    size = np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4))
+    point = lead & np.where(size == 2, 0x1F, np.where(size == 3, 0x0F, 0x07))
+    behind = np.append(data, np.zeros(4, np.uint8))
+    for k in (1, 2, 3):
+        point = np.where(size > k, point << 6 | (behind[at + k] & 0x3F), point)
+    found = _points_of_words()[np.minimum(point, 0x10FFFF)]
+    for k in range(4):
+        whole = at[found & (size > k)] + k
+        inside[whole[whole < len(data)]] = True
     return inside
 
 

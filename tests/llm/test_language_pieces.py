@@ -3,7 +3,7 @@ the library and by round trip."""
 
 import hashlib
 import random
-import re
+import unicodedata
 
 import numpy as np
 import sentencepiece
@@ -76,13 +76,15 @@ def test_mixed_and_odd_texts(spark):
     assert language.identify(frame.limit(0), model).count() == 0
 
 
-APART = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u1fff\u2c00-\u2fff\u3005-\u3007\u3040-\U0001efff\U00020000-\U0010ffff]+"
+def runs_of_letters(text):
+    """Runs of letters and marks, by each character's category."""
+    return "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text).split(" ")
 
 
 def brute_language(text, model, penalty):
     """Label and score of a text: words, trigram sums and all paths in plain Python."""
     rows, voting = [], []
-    for word in re.findall(APART, text or ""):
+    for word in filter(None, runs_of_letters(text or "")):
         raw = [language.wd._LOWER[b] for b in word.encode()]
         padded = [0, 0, *map(int, raw), 0]
         codes = [(padded[t] << 16) | (padded[t + 1] << 8) | padded[t + 2] for t in range(len(raw) + 1)]
@@ -113,14 +115,16 @@ def brute_language(text, model, penalty):
 def test_labels_equal_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language.train(docs.filter(~language.held_out()))
-    odd = [None, "", "“Bonjour” “tout” “monde”", "русский текст", "中文文本", "— … “ ”", "¿Qué? ¡Sí!", "12 a3b", "🎉🎉 ok 🎉", "naïve—café", "々", "ªº", "Ωmega and the rest", "𐌰𐌱𐌲"]
+    odd = [None, "", "“Bonjour” “tout” “monde”", "русский текст", "中文文本", "— … “ ”", "¿Qué? ¡Sí!", "12 a3b", "🎉🎉 ok 🎉", "naïve—café", "々", "ªº", "Ωmega and the rest", "𐌰𐌱𐌲", "ℝ ℂ ℵ", "ⁿ", "〱〻", "٣٤ ① 12", "\u0301", "क्षत्रिय", "a·b×c÷d"]
     frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
     texts = {r["doc_id"]: r["text"] for r in frame.collect()}
     for r in language.identify(frame, model).collect():
         want = brute_language(texts[r["doc_id"]], model, language.PENALTY)
         assert (r["lang_pred"], round(r["score"], 9)) == (want[0], round(want[1], 9)), texts[r["doc_id"]]
-    for i in (2, 3, 4, 6, 7, 9, 10, 11, 12, 13):
+    for i in (2, 3, 4, 6, 7, 9, 10, 11, 12, 13, 14, 15, 16, 19, 20):
         assert brute_language(odd[i], model, language.PENALTY)[0] in model.languages
+    for i in (17, 18):  # digits and marks alone
+        assert brute_language(odd[i], model, language.PENALTY) == ("und", 0.0)
 
 
 def test_ids_equal_library(spark):
