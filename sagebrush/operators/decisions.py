@@ -75,6 +75,18 @@ def independence_key(accession: str = "accession", lab: str = "lab", platform: s
     return F.coalesce(*shared, by_lab, F.concat(F.lit("accession:"), F.coalesce(_given(accession), F.lit("unknown"))))
 
 
+def independence_fields(df: DataFrame, labs: tuple[str, ...] = ("lab", "contact", "submitter"), platform: str = "platform") -> DataFrame:
+    """df with the lab and platform that independence_key() asks for: the first of
+    lab, contact and submitter that is given, and of a list of platforms one text,
+    sorted."""
+    named = [_given(c) for c in labs if c in df.columns]
+    out = df.withColumn("lab", F.coalesce(*named) if named else F.lit(None).cast("string"))
+    if df.schema[platform].dataType.typeName() == "array":
+        kept = F.array_sort(F.filter(platform, lambda p: p.isNotNull()))
+        out = out.withColumn(platform, F.nullif(F.array_join(kept, ","), F.lit("")))
+    return out
+
+
 def unit_key(explicit: str = "independence_group", gse: str = "gse_id", cohort: str = "cohort") -> Column:
     """At the grain of analysis units: an explicit group, a shared key, or series
     and cohort.  A platform alone makes a shared key, before any cohort."""
@@ -146,18 +158,29 @@ def eligibility(spec: DataFrame, evidence: DataFrame) -> DataFrame:
     evidence is unknown; a specification without scientific criteria is refused."""
     if spec.filter("section = 'scientific'").isEmpty():
         raise ContractError("a specification needs scientific criteria")
-    sets = evidence.select("dataset_id").distinct()
-    asked = sets.join(F.broadcast(spec))  # the criteria of one test
-    whole = asked.join(evidence, ["dataset_id", "criterion"], "left")
     sci, ops = F.col("section") == "scientific", F.col("section") == "operational"
     no, open_ = F.col("value") == F.lit(False), F.col("value").isNull()
-    out = whole.groupBy("dataset_id").agg(
+    # evidence meets its criteria; criteria without any are told from the whole list
+    asked = spec.select("section", F.struct("section", "criterion").alias("c")).agg(F.collect_set("c").alias("_asked"))  # one row
+    met = evidence.select("dataset_id", F.col("criterion").alias("_c"), "value").join(spec, F.col("_c") == F.col("criterion"), "left")
+    known = met.groupBy("dataset_id").agg(
         F.count_if(sci & no).alias("n_failed"),
-        F.count_if(sci & open_).alias("n_unresolved"),
+        F.count_if(sci & open_).alias("_sci_open"),
         F.count_if(ops & no).alias("n_blocked"),
-        F.count_if(ops & open_).alias("n_unchecked"),
+        F.count_if(ops & open_).alias("_ops_open"),
         F.array_sort(F.collect_list(F.when(sci & no, F.col("criterion")))).alias("failed"),
-        F.array_sort(F.collect_list(F.when(open_, F.col("criterion")))).alias("unresolved"),
+        F.collect_list(F.when(open_ & F.col("section").isNotNull(), F.col("criterion"))).alias("_open"),
+        F.collect_set(F.when(F.col("section").isNotNull(), F.struct("section", "criterion"))).alias("_have"),
+    ).crossJoin(asked).withColumn("_none", F.array_except("_asked", "_have"))
+    none = lambda part: F.size(F.filter("_none", lambda x: x["section"] == part))
+    out = known.select(
+        "dataset_id",
+        "n_failed",
+        (F.col("_sci_open") + none("scientific")).alias("n_unresolved"),
+        "n_blocked",
+        (F.col("_ops_open") + none("operational")).alias("n_unchecked"),
+        "failed",
+        F.array_sort(F.concat("_open", F.transform("_none", lambda x: x["criterion"]))).alias("unresolved"),
     )
     verdict = F.when(F.col("n_failed") > 0, "excluded").when(F.col("n_unresolved") > 0, "uncertain").otherwise("eligible")
     execution = F.when(verdict == "excluded", "not_applicable").when(verdict == "uncertain", "needs_scientific_resolution").when(F.col("n_blocked") > 0, "blocked").when(F.col("n_unchecked") > 0, "needs_data_check").otherwise("ready")
@@ -196,6 +219,12 @@ def resolve(candidates: DataFrame, exact_stage: int = 1) -> DataFrame:
     return out.withColumn("status", F.when(F.size("features") == 1, "candidate").otherwise("tied"))
 
 
+def resolve_all(queries: DataFrame, candidates: DataFrame, exact_stage: int = 1) -> DataFrame:
+    """resolve() with a row for each query; one without a candidate needs a review."""
+    out = queries.select("query").distinct().join(resolve(candidates, exact_stage), "query", "left")
+    return out.withColumn("features", F.coalesce("features", F.array().cast("array<string>"))).withColumn("status", F.coalesce("status", F.lit("needs_review")))
+
+
 def verify_features(resolved: DataFrame, present: DataFrame, predictor: bool = True) -> DataFrame:
     """Features that are measured.  Several of a predictor are verified_multiple;
     several of an outcome need a review, as does none."""

@@ -110,7 +110,7 @@ def in_given_order(df: DataFrame, key: str, ids: list) -> DataFrame:
     """Rows of the given ids with their position in the list."""
     spark = df.sparkSession
     wanted = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], f"{key} {df.schema[key].dataType.simpleString()}, position int")
-    return df.join(F.broadcast(wanted), key)
+    return df.join(wanted, key)
 
 
 def ranked_hits(hits: DataFrame, require: list[str], min_groups: int, limit: int) -> DataFrame:

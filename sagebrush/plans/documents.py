@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import decisions, documents
+from ..operators import criteria, decisions, documents
+from ..sources import terms
 from . import statistics as st
 
 QUERIES: dict = {}
@@ -103,3 +104,57 @@ def v12_document_walk(spark, sf_dir):
     docs = c.groupBy("n_name").agg(F.array_sort(F.collect_list(entry)).alias("customers"))
     parsed = docs.select(F.col("n_name").alias("nation"), F.parse_json(F.to_json(F.struct(F.col("n_name").alias("nation"), "customers"))).alias("doc"))
     return documents.document_faults(parsed, _CUSTOMERS).select("nation", F.explode("faults").alias("fault"))
+
+
+_HAS = lambda *terms: "(" + " OR ".join(f"contains(t, '{x}')" for x in terms) + ")"
+_RULES = [
+    criteria.yes_or_unknown("licensed", criteria.Says(("license", "copyright")), "A licence is named.", "No licence is named."),
+    criteria.CriterionRule(
+        "contact",
+        (
+            criteria.Case(criteria.Both((criteria.Says(("@",)), criteria.Matches(r"\+?[0-9][0-9 -]{6,}"))), True, "high", "Mail and number."),
+            criteria.Case(criteria.Says(("@",)), None, "medium", "Mail alone."),
+            criteria.Case(None, None, "low", "No contact."),
+        ),
+    ),
+    criteria.CriterionRule("long", (criteria.Case(criteria.Sql("n_chars > 4000"), True, "high", "Long."), criteria.Case(criteria.Sql("n_chars < 200"), False, "medium", "Short."), criteria.Case(None, None, "low", "Between."))),
+]
+
+
+@query(f"""WITH d AS (SELECT doc_id, n_chars, lower(coalesce(text, '')) AS t FROM documents),
+e AS (SELECT doc_id, 'licensed' AS criterion, CASE WHEN {_HAS("license", "copyright")} THEN 'true|high|A licence is named.' ELSE '|low|No licence is named.' END AS x FROM d
+  UNION ALL SELECT doc_id, 'contact', CASE WHEN {_HAS("@")} AND regexp_matches(t, '\\+?[0-9][0-9 -]{{6,}}') THEN 'true|high|Mail and number.' WHEN {_HAS("@")} THEN '|medium|Mail alone.' ELSE '|low|No contact.' END FROM d
+  UNION ALL SELECT doc_id, 'long', CASE WHEN n_chars > 4000 THEN 'true|high|Long.' WHEN n_chars < 200 THEN 'false|medium|Short.' ELSE '|low|Between.' END FROM d)
+SELECT doc_id AS dataset_id, criterion, CAST(nullif(split_part(x, '|', 1), '') AS BOOLEAN) AS value, split_part(x, '|', 2) AS confidence, split_part(x, '|', 3) AS text FROM e""")
+def x27_d23_criteria(spark, sf_dir):
+    """Criteria of documents by terms, patterns and columns, with confidence."""
+    return criteria.evidence_items(st._t(spark, sf_dir, "documents"), _RULES, "doc_id", "documents", "text").drop("sources")
+
+
+@query("""WITH p AS (SELECT o_orderkey % 40 AS study, o_custkey AS subject, CAST(month(o_orderdate) AS INTEGER) AS day FROM orders WHERE o_orderkey % 3 = 0),
+o AS (SELECT o_orderkey % 40 AS study, o_custkey AS subject, CAST(day(o_orderdate) AS INTEGER) AS day FROM orders WHERE o_orderkey % 7 = 0),
+e AS (SELECT study, subject, max(p) AS p, max(o) AS o, min(a) AS a, max(b) AS b FROM (SELECT study, subject, 1 AS p, 0 AS o, day AS a, NULL AS b FROM p UNION ALL SELECT study, subject, 0, 1, NULL, day FROM o) GROUP BY ALL),
+t AS (SELECT study, sum(p) AS np, sum(o) AS no, count(*) FILTER (p = 1 AND o = 1) AS nb, min(a) AS a, max(b) AS b FROM e GROUP BY study)
+SELECT study, CASE WHEN nb > 0 THEN true WHEN np > 0 AND no > 0 THEN false END AS linked, CASE WHEN nb > 0 AND nb = no THEN 'high' WHEN nb > 0 THEN 'medium' WHEN np > 0 AND no > 0 THEN 'high' ELSE 'low' END AS linked_confidence,
+  CASE WHEN a < b THEN true WHEN a >= b THEN false END AS timed FROM t""")
+def d23_table_criteria(spark, sf_dir):
+    """Orders as predictor and outcome tables of studies: linkage and timing from
+    totals of their participants."""
+    orders = st._t(spark, sf_dir, "orders").withColumn("study", F.col("o_orderkey") % 40).withColumnRenamed("o_custkey", "subject")
+    predictor = orders.filter("o_orderkey % 3 = 0").withColumn("day", F.month("o_orderdate"))
+    outcome = orders.filter("o_orderkey % 7 = 0").withColumn("day", F.dayofmonth("o_orderdate"))
+    items = criteria.evidence_items(criteria.table_totals(predictor, outcome, "study", "subject", "day"), criteria.TABLE_RULES, "study", "tables")
+    of = lambda c, f: F.max(F.when(F.col("criterion") == c, F.col(f)))
+    return items.groupBy(F.col("dataset_id").alias("study")).agg(of("participant_linkage", "value").alias("linked"), of("participant_linkage", "confidence").alias("linked_confidence"), of("timepoints", "value").alias("timed"))
+
+
+@query("""WITH v AS (SELECT DISTINCT lower(trim(p_brand)) AS term FROM part UNION SELECT DISTINCT lower(trim(w)) FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE trim(w) <> ''),
+m AS (SELECT p_partkey, max(length(term)) AS length FROM (SELECT p_partkey, lower(p_name || ' ' || p_brand) AS t FROM part), v WHERE contains(t, term) GROUP BY p_partkey)
+SELECT p_partkey, length FROM m""")
+def x13_term_vocabulary(spark, sf_dir):
+    """The longest term of a whole vocabulary (all words and brands) in each text."""
+    part = st._t(spark, sf_dir, "part")
+    words = part.select(F.explode(F.split("p_name", " ")).alias("term")).unionByName(part.select(F.col("p_brand").alias("term")))
+    vocabulary = words.select(F.lower(F.trim("term")).alias("term")).filter("term <> ''").distinct().withColumn("ord", F.xxhash64("term"))
+    texts = part.select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("text"))
+    return terms.longest_match(texts, vocabulary, "p_partkey", "text").select("p_partkey", "length")

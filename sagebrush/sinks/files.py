@@ -85,6 +85,15 @@ def wide(cells: DataFrame, row: str, column: str, columns: list[str], value: str
     return cells.groupBy(row).pivot(column, columns).agg(F.first(value))
 
 
+def write_matrix_csv(matrix: DataFrame, folder: str, name: str) -> str:
+    """A wide matrix as CSV under a name in which hyphens are underscores; its column
+    of ids is probe_id.  Returns the path."""
+    first, *samples = matrix.columns
+    path = f"{folder}/{name.replace('-', '_')}"
+    matrix.withColumnRenamed(first, "probe_id").orderBy("probe_id").write.mode("overwrite").csv(path, header=True, emptyValue="")
+    return path
+
+
 def split_ready(df: DataFrame, ready: str, folder: str) -> None:
     """Two lists, by a flag."""
     df.filter(F.col(ready)).drop(ready).write.mode("overwrite").json(f"{folder}/ready")

@@ -6,6 +6,7 @@ Files that can't be split (ZIP, gzip) are read one per task, as streams of rows.
 
 from __future__ import annotations
 
+import csv
 import gzip
 import io
 import zipfile
@@ -84,6 +85,29 @@ def read_zip_tables(files: DataFrame, below: str = "Tab") -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, table string, row_no long, fields map<string,string>, error string")
 
 
+def read_zip_table(files: DataFrame, name: str) -> DataFrame:
+    """(path, row_no, fields) of the first member of each archive with this file name,
+    in any folder; archives without one have no rows.  Lenient: bytes that are no
+    UTF-8 are replaced, short rows have nulls, fields beyond the header are dropped."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                archive = zipfile.ZipFile(io.BytesIO(content))
+                member = next((m for m in archive.namelist() if m.rsplit("/", 1)[-1] == name), None)
+                if member is None:
+                    continue
+                with archive.open(member) as raw:
+                    reader = csv.DictReader(io.TextIOWrapper(raw, "utf-8", errors="replace", newline=""), delimiter="\t")
+                    for k, row in enumerate(reader, 1):
+                        yield path, k, [(c, v) for c, v in row.items() if c is not None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(rows(batches), ["path", "row_no", "fields"], [pa.string(), pa.int64(), pa.map_(pa.string(), pa.string())])
+
+    return files.select("path", "content").mapInArrow(run, "path string, row_no long, fields map<string,string>")
+
+
 def table_of(rows: DataFrame, table: str, required: list[str]) -> DataFrame:
     """One table of read_zip_tables(), with its path and row number."""
     own = rows.filter((F.col("table") == table) & F.col("error").isNull())
@@ -252,6 +276,24 @@ def normalize_results(df: DataFrame) -> DataFrame:
     return out
 
 
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """normalize_results() of a file with tabs or commas, whichever its first line
+    has more of."""
+    first = spark.read.text(path).first()
+    if first is None:
+        raise ContractError(f"{path} is empty")
+    sep = "\t" if first[0].count("\t") >= max(1, first[0].count(",")) else ","
+    return normalize_results(spark.read.csv(path, sep=sep, header=True, inferSchema=False, enforceSchema=False))
+
+
+def series_matrices(files: DataFrame) -> DataFrame:
+    """(accession, path) of the series matrices in folders named by a series: the
+    innermost such folder names the series, and the file must begin with it."""
+    found = F.regexp_extract_all("path", F.lit(r"/(GSE\d+)(?=/)"), F.lit(1))
+    named = files.withColumn("accession", F.try_element_at(found, F.lit(-1))).withColumn("_name", F.element_at(F.split("path", "/"), -1))
+    return named.filter(F.col("_name").startswith(F.col("accession")) & F.regexp_like("_name", F.lit(r"^GSE\d+(?:-GPL\d+)?_series_matrix\.txt(?:\.gz)?$"))).select("accession", "path")
+
+
 def newest_sources(files: DataFrame) -> DataFrame:
     """(accession, release, path, is_zip): the highest release of each study, an
     extracted directory before an archive."""
