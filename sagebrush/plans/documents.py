@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import criteria, decisions, documents
+from ..functions import text as tx
+from ..operators import contracts, criteria, decisions, documents
 from ..sources import terms
 from . import statistics as st
 
@@ -158,3 +159,29 @@ def x13_term_vocabulary(spark, sf_dir):
     vocabulary = words.select(F.lower(F.trim("term")).alias("term")).filter("term <> ''").distinct().withColumn("ord", F.xxhash64("term"))
     texts = part.select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("text"))
     return terms.longest_match(texts, vocabulary, "p_partkey", "text").select("p_partkey", "length")
+
+
+@query("""SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: regexp_matches(x, '[0-9]')))), ' ') AS links,
+  md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped FROM pages""")
+def x24_x26_pages(spark, sf_dir):
+    """Link targets with a digit, and pages escaped as text."""
+    p = st._t(spark, sf_dir, "pages")
+    return p.select("page_id", F.array_join(tx.hrefs(F.col("html"), "[0-9]"), " ").alias("links"), F.md5(tx.html_escape(F.col("html"))).alias("escaped"))
+
+
+@query("""WITH p AS (SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN NULL WHEN 'BUILDING' THEN 'causal' WHEN 'FURNITURE' THEN 'guess' ELSE 'association' END AS relationship_type,
+  CASE WHEN c_acctbal < 0 THEN 'downward' ELSE 'positive' END AS directionality, CASE WHEN c_nationkey = 3 THEN ' ' ELSE c_name END AS predictor, CASE WHEN c_nationkey <> 4 THEN c_mktsegment END AS outcome FROM customer),
+f AS (SELECT c_custkey, concat_ws('; ', 'statement missing', CASE WHEN relationship_type = 'guess' THEN 'unknown relationship_type' END, CASE WHEN directionality = 'downward' THEN 'unknown directionality' END,
+  CASE WHEN coalesce(trim(predictor), '') = '' THEN 'predictor blank' END, CASE WHEN coalesce(trim(outcome), '') = '' THEN 'outcome blank' END) AS reasons FROM p)
+SELECT c_custkey, reasons FROM f""")
+def v10_hypothesis_faults(spark, sf_dir):
+    """Customers as parsed hypotheses, none of which has a statement."""
+    kind = F.when(F.col("c_mktsegment") == "MACHINERY", None).when(F.col("c_mktsegment") == "BUILDING", "causal").when(F.col("c_mktsegment") == "FURNITURE", "guess").otherwise("association")
+    parsed = st._t(spark, sf_dir, "customer").select(
+        "c_custkey",
+        kind.alias("relationship_type"),
+        F.when(F.col("c_acctbal") < 0, "downward").otherwise("positive").alias("directionality"),
+        F.when(F.col("c_nationkey") == 3, " ").otherwise(F.col("c_name")).alias("predictor"),
+        F.when(F.col("c_nationkey") != 4, F.col("c_mktsegment")).alias("outcome"),
+    )
+    return contracts.hypothesis_faults(parsed, ["relationship_type", "directionality", "predictor", "outcome", "statement"]).select("c_custkey", F.array_join("reasons", "; ").alias("reasons"))
