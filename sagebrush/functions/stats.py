@@ -184,9 +184,20 @@ def leave_one_out(df: DataFrame, keys: list[str], subject: str, x: str, y: str,
     square = lambda c: (m * m * m - m - F.col(f"_c{c}")) / 12
     product = F.col("_xy") - F.col("_rx") * F.col("_ry") - F.col("_ax") - F.col("_ay") + F.col("_above") - m * (m + 1) * (m + 1) / 4
     room = square("x") * square("y")
-    each = rows.withColumn("effect", _clamped(F.when((m >= 2) & (room > 1e-9), product / F.sqrt(room)))).withColumn("_p", F.round(p_value(F.col("effect"), m), 9)).filter("_p IS NOT NULL")
-    worst = each.groupBy(*keys).agg(F.min(F.struct((-F.col("_p")).alias("p"), F.col("_s"), F.col("effect"))).alias("w"))
-    return worst.select(*keys, (-F.col("w.p")).alias("worst_p"), F.col("w.effect").alias("worst_r"), F.col("w._s").alias("dropped"), (-F.col("w.p") <= alpha).alias("survives"))
+    each = rows.withColumn("effect", _clamped(F.when((m >= 2) & (room > 1e-9), product / F.sqrt(room)))).withColumn("_m", m)
+    each = each.filter((F.col("_m") >= 3) & (F.abs("effect") < 1)).withColumn("_a", F.abs("effect")).select(*keys, "_s", "_m", "_a", "effect")
+    # p falls as |r| grows and all subjects of a group have one n, so p is asked of the
+    # least |r| alone, and then up to which |r| it is the same to nine digits
+    of = lambda r: F.round(p_value(r, F.col("_m")), 9)
+    half = lambda s: (s["lo"] + s["hi"]) / 2
+    step = lambda s, _: F.when(of(half(s)) >= of(F.col("_a")), F.struct(half(s).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), half(s).alias("hi")))
+    up_to = F.aggregate(F.sequence(F.lit(1), F.lit(45)), F.struct(F.col("_a").alias("lo"), F.lit(1.0).alias("hi")), step, lambda s: s["lo"])
+    least = F.row_number().over(W.partitionBy(*keys).orderBy("_a")) == 1
+    each = each.withColumn("_least", least).withColumns({"_p": F.when(F.col("_least"), of(F.col("_a"))), "_to": F.when(F.col("_least"), up_to)})
+    whole = W.partitionBy(*keys)
+    each = each.withColumns({"_p": F.max("_p").over(whole), "_to": F.max("_to").over(whole)}).filter("_a <= _to")
+    worst = each.groupBy(*keys).agg(F.max("_p").alias("worst_p"), F.min(F.struct("_s", "effect")).alias("w"))
+    return worst.select(*keys, "worst_p", F.col("w.effect").alias("worst_r"), F.col("w._s").alias("dropped"), (F.col("worst_p") <= alpha).alias("survives"))
 
 
 def enrichment(features: DataFrame, members: DataFrame, p: str, feature: str, share: float = 0.05) -> DataFrame:
