@@ -94,6 +94,15 @@ _PASSAGE_ROWS = ", ".join(f"({_quoted(f'{name} {k}')}, {_quoted(name)}, {_quoted
 _N_PASSAGES = sum(map(len, licenses.PASSAGES.values()))
 _TERMS = "list_filter(list_transform(regexp_split_to_array(lower({}), '[^a-z0-9.+-]+'), lambda w: regexp_replace(w, '^[.+-]+|[.-]+$', '', 'g')), lambda w: w <> '')"
 _CUES = _quoted(licenses.CUES)
+
+
+def _holds_sql(text: str, has: tuple[str, ...], lacks: str | None) -> str:
+    held = [f"regexp_matches({text}, {_quoted(p)})" for p in has] + ([f"NOT regexp_matches({text}, {_quoted(lacks)})"] if lacks else [])
+    return " AND ".join(held)
+
+
+_TOLD_APART = "CASE license " + " ".join(f"WHEN {_quoted(k)} THEN {_holds_sql('unit', *rule)}" for k, rule in licenses.IN_UNIT.items()) + " ELSE true END"
+_NOT_BARRED = "CASE license " + " ".join(f"WHEN {_quoted(k)} THEN {_holds_sql('lower(notice)', *rule)}" for k, rule in licenses.IN_NOTICE.items()) + " ELSE true END"
 _SENTENCES = r"string_split(regexp_replace({}, '([.;:!?])[ \t\r\n]+', '\1' || chr(10), 'g'), chr(10))"
 OP3_SQL = f"""
 WITH passages AS (SELECT passage, license, {_TERMS.format("t")} AS w FROM (VALUES {_PASSAGE_ROWS}) AS v(passage, license, t)),
@@ -102,10 +111,13 @@ split AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, 'unknown')
 flagged AS (SELECT *, list_transform(lines, lambda x: regexp_matches(x, {_CUES})) AS flags FROM split),
 files AS (SELECT doc_id, text, dir, list_filter(lines, lambda x: regexp_matches(x, {_CUES})) AS cues, array_to_string(list_filter(lines,
   lambda x, i: coalesce(list_bool_or(flags[greatest(i - {licenses.AFTER}, 1):i + {licenses.BEFORE}]), false)), chr(10)) AS notice FROM flagged),
-h AS (SELECT notice, count(*) AS n, {_TERMS.format("notice")} AS w FROM files WHERE len(cues) > 0 GROUP BY notice),
+h AS (SELECT notice, count(*) AS n, {_TERMS.format("notice")} AS w, regexp_replace(notice, '{licenses.OPENS}', ' ', 'g') AS plain FROM files WHERE len(cues) > 0 GROUP BY notice),
 pieces AS (
-  SELECT notice, array_to_string(w[i:i + {licenses.SPAN - 1}], ' ') AS unit FROM h, unnest(range(1, greatest(1, len(w) - {licenses.STEP}) + 1, {licenses.STEP})) AS u(i)
-  UNION SELECT notice, array_to_string({_TERMS.format("x")}, ' ') FROM (SELECT notice, unnest(list_concat({_SENTENCES.format("notice")}, regexp_extract_all(notice, '{licenses.TAG}'))) AS x FROM h)),
+  SELECT notice, array_to_string(w[i:i + {licenses.SPAN - 1}], ' ') AS unit FROM (SELECT notice, {_TERMS.format("plain")} AS w FROM h), unnest(range(1, greatest(1, len(w) - {licenses.STEP}) + 1, {licenses.STEP})) AS u(i)
+  UNION SELECT notice, array_to_string({_TERMS.format("x")}, ' ') FROM (SELECT notice, unnest({_SENTENCES.format("plain")}) AS x FROM h)),
+stated AS (SELECT notice, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(notice, {_quoted(licenses.EXPRESSION)}, 1),
+  lambda e: regexp_replace(regexp_replace(e, '-only|-or-later|[+]', '', 'g'), '[.-]+$|^[(]([^()]*)[)]$', '\\1', 'g')), lambda e: e NOT IN ('', 'NONE', 'NOASSERTION')))) AS e FROM h),
+tagged AS (SELECT notice, array_to_string(list_transform(e, lambda x: CASE WHEN len(e) > 1 AND contains(x, ' OR ') THEN '(' || x || ')' ELSE x END), ' AND ') AS license FROM stated WHERE len(e) > 0),
 units AS (SELECT * FROM pieces WHERE regexp_matches(unit, {_CUES})),
 seen AS (SELECT unit, term, 1 + ln(count(*)) AS tf FROM (SELECT unit, unnest(string_split(unit, ' ')) AS term FROM (SELECT DISTINCT unit FROM units)) GROUP BY ALL),
 known AS (SELECT passage, term, 1 + ln(count(*)) AS tf FROM (SELECT passage, unnest(w) AS term FROM passages) GROUP BY ALL),
@@ -119,7 +131,8 @@ rn_ AS (SELECT passage, sqrt(sum(w * w)) AS n FROM r GROUP BY passage),
 s AS (SELECT unit, passage, round(sum(l.w * r.w) / any_value(ln_.n) / any_value(rn_.n), 9) AS cosine
   FROM l JOIN r USING (term) JOIN ln_ USING (unit) JOIN rn_ USING (passage) GROUP BY unit, passage),
 best AS (SELECT notice, license, cosine FROM (SELECT notice, license, cosine, row_number() OVER (PARTITION BY notice ORDER BY cosine DESC, license DESC) AS k
-  FROM units JOIN s USING (unit) JOIN passages USING (passage)) WHERE k = 1 AND cosine >= {licenses.THRESHOLD}),
+  FROM units JOIN s USING (unit) JOIN passages USING (passage) WHERE {_TOLD_APART} AND {_NOT_BARRED} AND notice NOT IN (SELECT notice FROM tagged))
+  WHERE k = 1 AND cosine >= {licenses.THRESHOLD} UNION ALL SELECT notice, license, 1.0 FROM tagged),
 own AS (SELECT f.*, license, cosine, len(cues) > 0 AND 2 * length(regexp_replace(array_to_string(list_filter({_SENTENCES.format("array_to_string(cues, chr(10))")}, lambda x: regexp_matches(x, {_CUES})), ''), '[ \t\r\n]', '', 'g'))
   >= length(regexp_replace(f.text, '[ \t\r\n]', '', 'g')) AS is_file FROM files f LEFT JOIN best b ON b.notice = f.notice AND len(cues) > 0),
 holders AS (SELECT dir, license, cosine FROM (SELECT dir, license, cosine, row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, license DESC) AS k FROM own WHERE is_file AND license IS NOT NULL) WHERE k = 1),

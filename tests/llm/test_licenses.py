@@ -138,3 +138,73 @@ def test_cosine_by_hand(spark):
     for r in out:
         cosine, name = best[r["notice"]]
         assert r["license"] == name and abs(r["cosine"] - cosine) < 1e-8
+
+
+BSD_2 = """Copyright (c) 2015, Some One
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+BSD_4 = BSD_2.replace("\nTHIS", "\n3. All advertising materials mentioning features or use of this software must\n   display an acknowledgement.\n\nTHIS", 1)
+AGPL3, LGPL3 = (GPL3.replace("GNU General", f"GNU {kind} General") for kind in ("Affero", "Lesser"))
+LGPL3 = LGPL3.replace("This program", "This library")
+LGPL21 = LGPL3.replace("version 3", "version 2.1")
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted{}
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES.
+"""
+BOOST = """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+
+
+def test_near_licences_told_apart(spark):
+    code = "\n".join(f"x{i} = call_{i}(y{i})" for i in range(40))
+    tag = "// SPDX-License-Identifier: "
+    cases = [
+        (BSD_2, "BSD-2-Clause"), (BSD, "BSD-3-Clause"), (BSD_4, None), (GPL3, "GPL-3.0"), (AGPL3, "AGPL-3.0"), (LGPL3, "LGPL-3.0"), (LGPL21, "LGPL-2.1"),
+        (GPL3.replace("version 3", "version 2"), "GPL-2.0"), (GPL3.replace("version 3", "version 9"), None), (MIT, "MIT"), (BOOST, "BSL-1.0"), (ZLIB, "Zlib"),
+        (ISC.format(",\nprovided that the above copyright notice appear in all copies."), "ISC"), (ISC.format("."), "0BSD"),
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Licensed under CC BY-NC-SA 4.0.", None),
+        (tag + "AGPL-3.0-only", "AGPL-3.0"), (tag + "MIT OR Apache-2.0", "MIT OR Apache-2.0"), (tag + "(MIT AND BSD-3-Clause)", "MIT AND BSD-3-Clause"),
+        (tag + "GPL-2.0-or-later WITH Classpath-exception-2.0", "GPL-2.0 WITH Classpath-exception-2.0"), (tag + "LicenseRef-Own.\n" + MIT, "LicenseRef-Own"),
+        (f"{tag}MIT OR ISC\n{tag}Zlib", "(MIT OR ISC) AND Zlib"), (tag + "NONE", None), (tag + "<id>", None),
+    ]
+    files = spark.createDataFrame([(i, f"{i}/x.c", t + "\n" + code) for i, (t, _) in enumerate(cases)], "id int, path string, text string")
+    out = {r["id"]: r["license"] for r in lc.scan(files).collect()}
+    assert out == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_query_equals_sql_on_standard_texts(spark, tmp_path):
+    import duckdb
+
+    from sagebrush.llm import queries
+
+    tags = "\n".join(["// SPDX-License-Identifier: MIT OR ISC", "// SPDX-License-Identifier: (Zlib)"])
+    texts = [MIT, APACHE, GPL3, GPL3_TEXT, BSD, BSD_2, BSD_4, AGPL3, LGPL3, LGPL21, ISC.format("."), BOOST, ZLIB, tags, "// SPDX-License-Identifier: NONE", "Licensed under CC BY-NC-SA 4.0.", None, "none"]
+    docs = spark.createDataFrame([(i, t, f"s{i % 3}" if i % 4 else None) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op3_license_scan(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({queries.OP3_SQL})").fetchall()
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
