@@ -1,11 +1,11 @@
 """Chat formatting of reply trees.
 
-Messages form trees by (tree, node, parent).  Iterative self-joins enumerate the
-root-to-leaf paths: round k joins the rows found so far with each node's
-2^k-th ancestor, so a path of n turns takes log2(n) rounds and the rows made are
-exactly the turns of all paths.  Branches are ranked by the mean score of their
-nodes (null counts as 0; ties: the smaller leaf), and each chosen path becomes
-one conversation.
+Messages form trees by (tree, node, parent).  Iterative self-joins climb them:
+round k joins each node with its 2^k-th ancestor and adds up the scores between,
+so a path of n turns takes log2(n) rounds of one row for each node.  Branches are
+ranked by the mean score of their nodes (null and NaN count as 0; ties: the smaller
+leaf).  Only the chosen paths are then enumerated, by the same ancestors: the rows
+made are the turns of those paths.  Each becomes one conversation.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn.  Inside a text
 each ``<``, any backslashes, ``|`` gets one more backslash, so no text can hold
@@ -65,44 +65,57 @@ def _single(messages: DataFrame) -> DataFrame:
     return first.select("tree", "node", "m.*")
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up): each node of each root-to-leaf path with its
-    distance from the leaf."""
-    nodes = messages.select("tree", "node", "parent")
-    parents = nodes.select(F.col("tree").alias("pt"), F.col("node").alias("pn"))
-    jump = stored(
-        nodes.join(parents, F.col("tree").eqNullSafe(F.col("pt")) & (F.col("parent") == F.col("pn")), "inner").select("tree", "node", F.col("parent").alias("up_node"))
-    )
-    linked = jump  # child -> parent, parents that exist
-    is_parent = linked.select(F.col("tree").alias("pt"), F.col("up_node").alias("pn")).distinct()
-    leaves = nodes.join(is_parent, F.col("tree").eqNullSafe(F.col("pt")) & (F.col("node") == F.col("pn")), "left_anti")
-    front = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up"))
+def climbs(messages: DataFrame) -> list[DataFrame]:
+    """Per round k (tree, node, up, total, n): the 2^k-th ancestor (null above the
+    root), and the sum of scores and count of nodes from the node to below it."""
+    score = F.nanvl(F.coalesce(F.col("score").cast("double"), F.lit(0.0)), F.lit(0.0))
+    nodes = messages.select("tree", "node", "parent", score.alias("total"), F.lit(1).cast("long").alias("n"))
+    parents = messages.select(F.col("tree").alias("pt"), F.col("node").alias("pn"))
+    linked = nodes.join(parents, F.col("tree").eqNullSafe(F.col("pt")) & (F.col("parent") == F.col("pn")), "left")
+    states = [stored(linked.select("tree", "node", F.col("pn").alias("up"), "total", "n"))]
     largest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
-    for k in range(math.ceil(math.log2(largest)) + 1 if largest > 1 else 0):
-        hop = jump.select(F.col("tree").alias("jt"), F.col("node").alias("jn"), "up_node")
-        further = front.join(hop, F.col("tree").eqNullSafe(F.col("jt")) & (F.col("node") == F.col("jn"))).select("tree", "leaf", F.col("up_node").alias("node"), (F.col("up") + (1 << k)).alias("up"))
-        front = stored(front.unionByName(further))
-        jump = stored(jump.join(hop.withColumnRenamed("up_node", "far"), F.col("tree").eqNullSafe(F.col("jt")) & (F.col("up_node") == F.col("jn"))).select("tree", "node", F.col("far").alias("up_node")))
-        if jump.isEmpty():
+    for _ in range(math.ceil(math.log2(largest)) + 1 if largest > 1 else 0):
+        last = states[-1]
+        going, done = last.filter("up IS NOT NULL"), last.filter("up IS NULL")
+        if going.isEmpty():
             break
-    # a path counts if it reaches a root: a cycle never does
-    child = linked.select(F.col("tree").alias("ct"), F.col("node").alias("cn"))
-    roots = front.join(child, F.col("tree").eqNullSafe(F.col("ct")) & (F.col("node") == F.col("cn")), "left_anti")
-    whole = roots.select(F.col("tree").alias("rt"), F.col("leaf").alias("rl"))
-    return front.join(whole, F.col("tree").eqNullSafe(F.col("rt")) & (F.col("leaf") == F.col("rl")), "left_semi")
+        above = last.select(F.col("tree").alias("jt"), F.col("node").alias("jn"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("n").alias("m"))
+        further = going.join(above, F.col("tree").eqNullSafe(F.col("jt")) & (F.col("up") == F.col("jn")))
+        further = further.select("tree", "node", F.col("far").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("n") + F.col("m")).alias("n"))
+        states.append(stored(further.unionByName(done)))
+    return states
+
+
+def best_leaves(states: list[DataFrame], branches: int) -> DataFrame:
+    """(tree, leaf, rank, path_score) of the best branches; in a cycle nothing ends."""
+    is_parent = states[0].filter("up IS NOT NULL").select(F.col("tree").alias("pt"), F.col("up").alias("pn")).distinct()
+    ended = states[-1].filter("up IS NULL")
+    leaves = ended.join(is_parent, F.col("tree").eqNullSafe(F.col("pt")) & (F.col("node") == F.col("pn")), "left_anti")
+    scored = leaves.select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("n")).alias("path_score"))
+    rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("path_score"), "leaf"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= branches)
+
+
+def paths(states: list[DataFrame], leaves: DataFrame) -> DataFrame:
+    """leaves with node and up: each node of each path to the root with its distance
+    from the leaf."""
+    front = leaves.select("*", F.col("leaf").alias("node"), F.lit(0).alias("up"))
+    for k, state in enumerate(states[:-1] if len(states) > 1 else []):
+        hop = state.filter("up IS NOT NULL").select(F.col("tree").alias("jt"), F.col("node").alias("jn"), F.col("up").alias("far"))
+        further = front.join(hop, F.col("tree").eqNullSafe(F.col("jt")) & (F.col("node") == F.col("jn")))
+        further = further.select(*leaves.columns, F.col("far").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        front = stored(front.unionByName(further))
+    return front
 
 
 def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, leaf, rank, score, formatted, loss_spans) of the ``branches`` best
     paths of each tree."""
-    messages = _single(messages)
-    at = paths(messages)
-    said = messages.select(F.col("tree").alias("mt"), F.col("node").alias("mn"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    same = F.col("tree").eqNullSafe(F.col("mt")) & (F.col("node") == F.col("mn"))
-    ranked = at.join(said.select("mt", "mn", "score"), same).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
-    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf"))).filter(F.col("rank") <= branches)
-    ranked = ranked.select(F.col("tree").alias("kt"), F.col("leaf").alias("kl"), "rank", F.col("score").alias("path_score"))
-    chosen = at.join(ranked, F.col("tree").eqNullSafe(F.col("kt")) & (F.col("leaf") == F.col("kl"))).join(said.drop("score"), same)
+    messages = stored(_single(messages))
+    states = climbs(messages)
+    chosen = paths(states, stored(best_leaves(states, branches)))
+    said = messages.select(F.col("tree").alias("mt"), F.col("node").alias("mn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    chosen = chosen.join(said, F.col("tree").eqNullSafe(F.col("mt")) & (F.col("node") == F.col("mn")))
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     body = escape(F.col("text"))
     turns = chosen.select("tree", "leaf", "rank", "path_score", "up", "role", head.alias("head"), body.alias("body"))
