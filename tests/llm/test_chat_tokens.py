@@ -1,5 +1,8 @@
 """Chat formatting by round trip; token counts against the library."""
 
+import random
+import string
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -50,6 +53,22 @@ def test_long_chain(spark):
     assert [t["text"] for t in out[0]["turns"]] == [str(i) for i in range(70)]
 
 
+def test_only_chosen_branches_are_expanded(spark):
+    """A broom: a handle of 40 turns, 60 leaves; the best leaf's path alone is made.
+    NaN counts as 0."""
+    rows = [(1, i, i - 1 if i else None, "user", str(i), 1.0) for i in range(40)]
+    rows += [(1, 100 + k, 39, "assistant", f"end {k}", float("nan") if k == 5 else k / 100) for k in range(60)]
+    frame = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    states = chat.climbs(frame)
+    assert all(s.count() == 100 for s in states)
+    best = chat.best_leaves(states, 60).orderBy("rank").collect()
+    assert [r["leaf"] for r in best] == [100 + k for k in [*range(59, 5, -1), 4, 3, 2, 1, 0, 5]]
+    assert all(abs(r["path_score"] - (40 + (0 if r["leaf"] == 105 else r["leaf"] - 100) / 100) / 41) < 1e-12 for r in best)
+    assert chat.paths(states, chat.best_leaves(states, 2)).count() == 2 * 41
+    out = chat.read_back(chat.format_trees(frame)).collect()
+    assert [[t["text"] for t in r["turns"]] for r in out] == [[*map(str, range(40)), "end 59"]]
+
+
 def test_counts_equal_library(spark):
     sf = "/root/testdata/sf0.001"
     tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
@@ -80,3 +99,29 @@ def test_splice_equals_whole(parts):
     text = "".join(parts)
     encode = lambda t: _TOK.encode(t, add_special_tokens=False).offsets
     assert token_counts.spliced_count(encode, text, 40, 8) == len(encode(text))
+
+
+def test_text_without_spaces_stays_in_chunks():
+    """Boundaries at signs and digits bound what is encoded at once."""
+    rng = random.Random(5)
+    chinese = "".join("，" if i % 17 == 16 else chr(rng.randrange(0x4E00, 0x9FA0)) for i in range(150_000))
+    base64 = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=300_000))
+    for text in (chinese, base64, "<|endoftext|>".join(base64[i : i + 40] for i in range(0, len(base64), 40))):
+        seen = []
+
+        def encode(part):
+            seen.append(len(part))
+            return _TOK.encode(part, add_special_tokens=False).offsets
+
+        found = token_counts.spliced_count(encode, text)
+        assert max(seen) <= token_counts.CHUNK_CHARS + 2 * token_counts.OVERLAP_CHARS
+        assert found == len(_TOK.encode(text, add_special_tokens=False).ids)
+
+
+@settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.sampled_from(["the", "'", "’s", "'s", "\n", "<|endoftext|>", "<|endof", "text|>", "日本", "12", "，", "x" * 30, "!?", "é", "e\u0301", "_", "+/"]), max_size=120))
+def test_splice_without_spaces(parts):
+    text = "".join(parts)
+    encode = lambda t: _TOK.encode(t, add_special_tokens=False).offsets
+    for overlap, special in ((8, 13), (30, 13)):
+        assert token_counts.spliced_count(encode, text, 60, overlap, special) == len(encode(text))
