@@ -1,12 +1,12 @@
 """The pipeline, stage by stage, against brute force."""
 
-import numpy as np
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from sagebrush.llm import language
 from sagebrush.llm.queries import tokenizer_path
+from tests.llm.test_language_pieces import brute_language
 from tests.llm.test_ngram_join import brute
 from tests.llm.test_winnowing import brute_dedup, brute_hits
 
@@ -23,8 +23,9 @@ def test_stages_against_brute_force(spark):
     docs = docs.unionByName(odd)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     one = spark.createDataFrame(cp.language_id(spark, docs, SF).collect(), docs.schema)
-    known = language.identify(docs, language.train(docs.filter(~language.held_out())))
-    expected = {r["doc_id"] for r in known.collect() if r["lang_pred"] != "und" and r["score"] >= 0.5}
+    model = language.train(docs.filter(~language.held_out()))
+    known = {i: brute_language(t, model, language.PENALTY) for i, t in texts.items()}
+    expected = {i for i, (lang, score) in known.items() if lang != "und" and score >= 0.5}
     kept = {r["doc_id"]: r["text"] for r in one.collect()}
     assert set(kept) == expected and not {9001, 9003} & expected and all(texts[i] == t for i, t in kept.items())
     assert len(expected) > 0.95 * len(texts)
@@ -52,9 +53,22 @@ def test_stages_against_brute_force(spark):
 
 
 def test_run_equals_stages(spark):
+    """run() against plain versions of its stages, each on the rows of the one before."""
     assert [n for n, _ in cp.STAGES] == ["language_id", "line_dedup", "ngram_join", "decontamination", "sentencepiece"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.train(docs.filter("crc32(cast(doc_id AS string)) % 5 <> 0"))
+    of_language = lambda t: brute_language(t, model, language.PENALTY)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    kept = {i: t for i, t in texts.items() if (x := of_language(t))[0] != "und" and x[1] >= 0.5}
+    lines = {i: t for i, t, n in brute_dedup([(i, 0, kept[i]) for i in sorted(kept)], 50) if n == 0 or t.strip()}
+    single = {i: lines[i] for i, (n, c) in brute(list(lines.items())).items() if n == 0 or c == i}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = {i: t for i, t in single.items() if not brute_hits(t, items)[3]}
+    assert len(texts) >= len(kept) >= len(lines) > len(single) > len(clean) > 50
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
     out = cp.run(spark, SF).collect()
-    assert len(out) > 50 and all(r["n_tokens"] == len(np.array(r["ids"])) for r in out)
+    assert {r["doc_id"]: list(r["ids"]) for r in out} == {i: sp.encode(t) for i, t in clean.items()}
+    assert len(out) == len(clean) and all(r["n_tokens"] == len(r["ids"]) and r["round_trip"] for r in out)
 
 
 def test_empty_documents(spark):
