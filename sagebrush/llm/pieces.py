@@ -17,10 +17,11 @@ bytes, turns ▁ into spaces and takes the first space away.
 
 Chunks of more than LONG characters (Chinese, Base64) are cut further between any
 two characters that stand side by side in no piece, which no merge can cross.
-Chunks already encoded are remembered, up to MEMO of them per worker; memory is
-bounded by that, by BATCH characters of text, and by the longest run of characters
-of which each two neighbours occur in some piece (about 300 bytes a character).  No shuffle; each input row
-gives one output row.  Null text counts as empty: no ids, decoded as empty.
+Chunks already encoded are remembered, up to MEMO of them per worker.  Texts of over
+RUN characters are encoded alone, some chunks at a time, so that memory is bounded by
+BATCH characters, the text with its ids, and the longest run of characters of which
+each two neighbours occur in some piece: one of over RUN is indexed window by window,
+its edges kept as lists by position.  No shuffle; each input row gives one output row.  Null text counts as empty: no ids, decoded as empty.
 ``round_trip`` is false where the text cannot come back (it holds a literal ▁).
 """
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -43,6 +45,7 @@ BATCH = 1 << 20
 INDEX = 1 << 18
 MEMO = 1 << 18
 LONG = 48
+RUN = 1 << 17
 _NONE = np.iinfo(np.int32).max
 
 
@@ -205,12 +208,99 @@ class Vocabulary:
             offer(before[a])
         return [a for a in range(n) if alive[a]]
 
+    def edge_lists(self, chunk: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The edges of two and more characters of one long run: where the list of a
+        position begins, and the lengths and pieces of all lists.  The run is indexed
+        in windows that reach over the next one by a piece."""
+        at, sizes, found = np.zeros(len(chunk) + 1, np.int64), [], []
+        for a in range(0, len(chunk), INDEX):
+            window = chunk[a : a + INDEX + self.longest - 1]
+            table = self.edges(np.frombuffer(window.encode("utf-32-le"), np.uint32))[:INDEX, 2:]
+            place, size = np.nonzero(table < len(self.pieces))
+            at[a + 1 : a + 1 + len(table)] = np.bincount(place, minlength=len(table))
+            sizes.append((size + 2).astype(np.uint8))
+            found.append(table[place, size])
+        return np.cumsum(at), np.concatenate(sizes), np.concatenate(found)
+
+    def run_ids(self, chunk: str) -> np.ndarray:
+        """The ids of one long run, by a queue of merges over its lists of edges.
+        Merges are numbers of rank, position and length; those that two characters
+        offer are sorted beforehand, so the queue holds later ones only."""
+        at, sizes, found = self.edge_lists(chunk)
+        n, most = len(chunk), len(self.pieces)
+        pairs = np.flatnonzero(sizes == 2)
+        spot = np.searchsorted(at, pairs, "right") - 1
+        ready = memoryview(np.sort((self.rank[found[pairs]] << 40 | spot) << 6 | 2))
+        del pairs, spot
+        at, sizes, found, rank = (memoryview(x) for x in (at, sizes, found, self.rank))
+        end, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        alive, chosen = bytearray(b"\1") * n, array("i", [most]) * n
+        queue: list[int] = []
+
+        def piece(a: int, size: int) -> int:
+            return next((found[k] for k in range(at[a], at[a + 1]) if sizes[k] == size), most)
+
+        def offer(a: int) -> None:
+            if a >= 0 and end[a] < n:
+                p = piece(a, end[end[a]] - a)
+                if p < most:
+                    heapq.heappush(queue, (rank[p] << 40 | a) << 6 | end[end[a]] - a)
+
+        k, m = 0, len(ready)
+        while k < m or queue:
+            if queue and (k >= m or queue[0] < ready[k]):
+                merge = heapq.heappop(queue)
+            else:
+                merge, k = ready[k], k + 1
+            a, size = merge >> 6 & (1 << 40) - 1, merge & 63
+            if not alive[a] or end[a] >= n or end[end[a]] - a != size:
+                continue
+            b = a + size
+            alive[end[a]] = 0
+            end[a], chosen[a] = b, piece(a, size)
+            if b < n:
+                before[b] = a
+            offer(a)
+            offer(before[a])
+        starts = np.flatnonzero(np.frombuffer(alive, np.uint8))
+        which = np.frombuffer(chosen, np.int32)[starts]
+        ids = self.id_of[which]
+        alone = np.flatnonzero(which == most)
+        codes, form = np.unique(np.frombuffer(chunk.encode("utf-32-le"), np.uint32)[starts[alone]], return_inverse=True)
+        forms = [[self.ids[chr(c)]] if chr(c) in self.ids else [self.byte_ids[b] for b in chr(c).encode()] for c in codes]
+        if not forms:
+            return ids
+        times = np.ones(len(ids), np.int64)
+        times[alone] = np.array([len(f) for f in forms])[form]
+        ids = np.repeat(ids, times)
+        ids[ids < 0] = np.fromiter(chain.from_iterable(forms[f] for f in form), np.int32)
+        return ids
+
     # --- texts
 
-    def cut(self, chunk: str) -> list[str]:
+    def cut(self, chunk: str) -> Iterator[str]:
         """A long chunk, cut where no piece can lie across."""
-        at = [0, *(k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in self.pairs), len(chunk)]
-        return [chunk[a:b] for a, b in zip(at, at[1:], strict=False)]
+        a = 0
+        for k in range(1, len(chunk)):
+            if chunk[k - 1 : k + 1] not in self.pairs:
+                yield chunk[a:k]
+                a = k
+        yield chunk[a:]
+
+    def long_text(self, text: str) -> np.ndarray:
+        """The ids of one long text, by parts, as chunks don't depend on each other."""
+        found, held, size = [np.zeros(0, np.int32)], [], 0
+        for match in self.chunks.finditer(SPACE + text.replace(" ", SPACE)):
+            for c in self.cut(match[0]) if len(match[0]) > LONG else (match[0],):
+                if size + len(c) > BATCH or len(c) > RUN:
+                    found.append(self.chunk_ids([held])[0])
+                    held, size = [], 0
+                if len(c) > RUN:
+                    found.append(self.run_ids(c))
+                else:
+                    held.append(c)
+                    size += len(c)
+        return np.concatenate([*found, self.chunk_ids([held])[0]])
 
     def learn(self, asked: set[str]) -> None:
         """Number new chunks; when there are too many, only those asked for stay."""
@@ -238,10 +328,17 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, and their offsets."""
+        if any(len(t) > RUN for t in texts):
+            ids = [self.long_text(t) if len(t) > RUN else self.encode([t])[0] for t in texts]
+            return np.concatenate(ids), np.concatenate(([0], np.cumsum([len(x) for x in ids])))
         found = [self.chunks.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         for k, chunks in enumerate(found):
             if chunks and max(map(len, chunks)) > LONG:
                 found[k] = list(chain.from_iterable(self.cut(c) if len(c) > LONG else (c,) for c in chunks))
+        return self.chunk_ids(found)
+
+    def chunk_ids(self, found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts given by their chunks, and the offsets of the texts."""
         self.learn(set(chain.from_iterable(found)))
         n = np.array([len(f) for f in found])
         numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(found)), np.int64, int(n.sum()))
@@ -251,8 +348,10 @@ class Vocabulary:
 
     def decoded(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         """UTF-8 of texts given as encode() returns them."""
-        data, count = gathered(self.bytes_flat, self.bytes_at, ids)
-        cuts = np.concatenate(([0], np.cumsum(count)))[at].tolist()
+        parts = [gathered(self.bytes_flat, self.bytes_at, ids[k : k + BATCH]) for k in range(0, len(ids), BATCH)]
+        data = np.concatenate([np.zeros(0, np.uint8), *(p[0] for p in parts)])
+        size = np.concatenate([np.zeros(1, np.int32), *(p[1].astype(np.int32) for p in parts)])
+        cuts = np.cumsum(size, dtype=np.int64)[at].tolist()
         return [data[a:b].tobytes().removeprefix(b" ") for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def decode(self, ids) -> str:
@@ -269,11 +368,14 @@ def _runs(texts: list[str]) -> Iterator[list[str]]:
     held: list[str] = []
     size = 0
     for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= BATCH:
+        if held and (size >= BATCH or len(t) > RUN):
             yield held
             held, size = [], 0
+        if len(t) > RUN:
+            yield [t]
+        else:
+            held.append(t)
+            size += len(t)
     if held:
         yield held
 
@@ -298,7 +400,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep_ids: bool =
                 at += len(texts)
                 ids, cuts = own.encode(texts)
                 count = np.diff(cuts)
-                digest = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)]
+                digest = [hashlib.sha256(np.ascontiguousarray(ids[a:b])).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)]
                 same = [x == t.encode() for x, t in zip(own.decoded(ids, cuts), texts, strict=True)]
                 lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids))] * keep_ids
                 yield pa.RecordBatch.from_arrays(

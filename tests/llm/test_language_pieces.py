@@ -3,9 +3,12 @@ the library and by round trip."""
 
 import hashlib
 import random
+import subprocess
+import sys
 import unicodedata
 
 import numpy as np
+import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -159,6 +162,47 @@ def test_long_chunks_are_cut():
     assert max(map(len, own.cut(base64))) < 200 and max(map(len, own.cut(chinese))) < 200
 
 
+def test_long_texts_go_by_parts(monkeypatch):
+    """Texts of over RUN characters, and runs that nothing cuts, with small bounds."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rnd = random.Random(4)
+    words = ["the", "ing", "a", "er", "st", "tion", "on", "an", "e"]
+    letters = lambda n: "".join(rnd.choice(words) for _ in range(n))
+    texts = ["short one", letters(900), "a" * 1001, "", "ab" * 700 + " end", "日本" * 300 + letters(300) + "🎉" * 90, " ".join(letters(3) for _ in range(400)), "=" * 777, "é\n" * 200, " " * 500]
+    for run, index, batch in ((50, 64, 120), (200, 1000, 300), (100, 37, 5000)):
+        monkeypatch.setattr(pieces, "RUN", run)
+        monkeypatch.setattr(pieces, "INDEX", index)
+        monkeypatch.setattr(pieces, "BATCH", batch)
+        own = pieces.Vocabulary(path)
+        ids, at = own.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == sp.encode(texts)
+        assert [x.decode() for x in own.decoded(ids, at)] == [sp.decode(x) for x in sp.encode(texts)]
+        assert [t for held in pieces._runs(texts) for t in held] == texts
+
+
+GROWTH = """
+import random, resource, sys
+from sagebrush.llm import pieces
+own = pieces.Vocabulary(sys.argv[1])
+rnd = random.Random(3)
+own.encode(["".join(rnd.choices("abcdefghij 0123456789", k=120_000))] * 9)
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+alphabet = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "chinese": "".join(map(chr, range(0x4E00, 0x5200))), "letters": "aeinorst"}[sys.argv[2]]
+text = "".join(rnd.choices(alphabet, k=int(sys.argv[3])))
+ids, at = own.encode([text])
+assert own.decoded(ids, at) == [text.encode()]
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+
+
+@pytest.mark.parametrize(("kind", "most"), [("base64", 150), ("chinese", 150), ("letters", 250)])
+def test_memory_of_long_lines(kind, most):
+    """A line of 2,000,000 characters grows a process by less than ``most`` MB."""
+    out = subprocess.run([sys.executable, "-c", GROWTH, tokenizer_path("piece_bpe_32k.model"), kind, "2000000"], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < most
+
+
 def test_registered_query(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
