@@ -348,11 +348,14 @@ class Vocabulary:
 
     def decoded(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         """UTF-8 of texts given as encode() returns them."""
-        parts = [gathered(self.bytes_flat, self.bytes_at, ids[k : k + BATCH]) for k in range(0, len(ids), BATCH)]
-        data = np.concatenate([np.zeros(0, np.uint8), *(p[0] for p in parts)])
-        size = np.concatenate([np.zeros(1, np.int32), *(p[1].astype(np.int32) for p in parts)])
-        cuts = np.cumsum(size, dtype=np.int64)[at].tolist()
-        return [data[a:b].tobytes().removeprefix(b" ") for a, b in zip(cuts, cuts[1:], strict=False)]
+        data, cuts = bytearray(), np.zeros(len(at), np.int64)
+        for k in range(0, len(ids), BATCH):
+            part, count = gathered(self.bytes_flat, self.bytes_at, ids[k : k + BATCH])
+            a, b = np.searchsorted(at, [k + 1, k + BATCH + 1])
+            cuts[a:b] = len(data) + np.cumsum(count)[at[a:b] - k - 1]
+            data += part.tobytes()
+        ends, data = cuts.tolist(), bytes(data)
+        return [data[a:b].removeprefix(b" ") for a, b in zip(ends, ends[1:], strict=False)]
 
     def decode(self, ids) -> str:
         look = self.raw.__getitem__
