@@ -87,6 +87,13 @@ def whole_word(text: Column, word: str) -> Column:
     return F.regexp_like(text, F.lit(rf"(?i)(?<![A-Za-z0-9_]){re.escape(word)}(?![A-Za-z0-9_])"))
 
 
+def same_name(text: Column, names: list[str]) -> Column:
+    """Whether the trimmed text is one of the names, letters of any case being alike
+    and a sharp s equal to two s."""
+    fold = lambda c: F.replace(F.lower(F.trim(c)), F.lit("ß"), F.lit("ss"))
+    return F.coalesce(fold(text).isin(*[fold(F.lit(n)) for n in names]), F.lit(False))
+
+
 def accessions(text: Column, prefix: str = "GSE") -> Column:
     """Sorted distinct accessions of a prefix in a text, upper case."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(rf"\b({prefix}\d+)\b"), F.lit(1))))

@@ -113,6 +113,30 @@ def in_given_order(df: DataFrame, key: str, ids: list) -> DataFrame:
     return df.join(wanted, key)
 
 
+def requested(df: DataFrame, key: str, wanted: list[str], position: str) -> DataFrame:
+    """Rows whose key is requested, with its position in the request; blanks, names
+    asked for twice and names that no row has are errors."""
+    names = [w.strip() for w in wanted]
+    if not names or not all(names) or len(set(names)) < len(names):
+        raise ContractError(f"{key}: names must be given, not blank, and once each")
+    asked = df.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), f"{key} string, {position} int")
+    missing = sorted(r[0] for r in asked.join(df.select(key).distinct(), key, "left_anti").select(key).limit(10).collect())
+    if missing:
+        raise ContractError(f"{key}: no rows of {missing}")
+    return df.join(asked, key)
+
+
+def requested_metadata(metadata: DataFrame, samples: list[str], attributes: list[str] | None = None) -> DataFrame:
+    """Attribute rows (gsm_accession, attribute, occurrence, attribute_order, value) of
+    the requested samples, in their order, of all attributes or the requested ones;
+    ``position`` numbers the rows."""
+    found = requested(metadata, "gsm_accession", samples, "sample_position")
+    if attributes is not None:
+        found = requested(found, "attribute", attributes, "_asked").drop("_asked")
+    order = W.partitionBy("gsm_accession").orderBy("attribute_order", "occurrence")
+    return found.withColumn("position", F.row_number().over(order))
+
+
 def ranked_hits(hits: DataFrame, require: list[str], min_groups: int, limit: int) -> DataFrame:
     """(term_group, term, accession, score) to accessions: any term of a group
     counts as the group; required groups and a least number of groups; most
@@ -129,10 +153,25 @@ def term_audit(hits: DataFrame, require: list[str]) -> DataFrame:
     return pairs.join(alone, "accession").groupBy("term_group", "term").agg(F.count("*").alias("hits"), F.count_if(F.col("n_terms") == 1).alias("unique_hits")).withColumn("required", F.col("term_group").isin(require) if require else F.lit(False))
 
 
-def status_rollup(df: DataFrame, keys: list[str], status: str) -> DataFrame:
-    """success, cached (all cached), partial or failed of a set of steps."""
-    good = F.col(status).isin("success", "cached")
-    return df.groupBy(*keys).agg(F.when(F.bool_and(F.col(status) == "cached"), "cached").when(F.bool_and(good), "success").when(F.bool_or(good), "partial").otherwise("failed").alias("status"))
+def status_rollup(df: DataFrame, keys: list[str], status: str, kind: str = "steps") -> DataFrame:
+    """One status of a set of steps; NULL (of a left join) is no step.
+
+    ``steps``: cached if all are, success if all are one of the two, failed if none
+    is (source_missing counts as failed), else partial; without steps failed.
+    ``failures``: only failed ones count against success, so source_missing doesn't;
+    without steps success.  ``run``: success though all is cached, failed if all
+    failed, else partial; without steps partial."""
+    step = F.col(status)
+    good, cached, failed = F.bool_and(step.isin("success", "cached")), F.bool_and(step == "cached"), F.bool_and(step == "failed")
+    if kind == "steps":
+        found = F.when(cached, "cached").when(good, "success").when(F.bool_or(step.isin("success", "cached")), "partial").otherwise("failed")
+    elif kind == "failures":
+        found = F.when(cached, "cached").when(~F.coalesce(F.bool_or(step == "failed"), F.lit(False)), "success").when(failed, "failed").otherwise("partial")
+    elif kind == "run":
+        found = F.when(good, "success").when(failed, "failed").otherwise("partial")
+    else:
+        raise ContractError(f"unknown kind of rollup: {kind}")
+    return df.groupBy(*keys).agg(found.alias("status"))
 
 
 def union_same_header(frames: list[DataFrame]) -> DataFrame:

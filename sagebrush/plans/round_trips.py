@@ -283,3 +283,44 @@ def x11_x14_x17_x26_texts(spark, sf_dir):
         "p_partkey", tx.text_of("name", "brand").alias("joined"), tx.whole_word(F.col("p_name"), "ring").alias("has_ring"), tx.slug(F.col("p_brand")).alias("slug"),
         F.array_join(tx.accession_numbers(both), ",").alias("numbers"), tx.repository_of(F.element_at(names, (F.col("p_size") % 4 + 1).cast("int"))).alias("repository"),
     )
+
+
+@query("""SELECT user_id, kind, CASE kind WHEN 'failures' THEN CASE WHEN bool_and(s = 'cached') THEN 'cached' WHEN NOT bool_or(s = 'failed') THEN 'success' WHEN bool_and(s = 'failed') THEN 'failed' ELSE 'partial' END
+  ELSE CASE WHEN bool_and(s IN ('success', 'cached')) THEN 'success' WHEN bool_and(s = 'failed') THEN 'failed' ELSE 'partial' END END AS status
+FROM (SELECT user_id, CASE WHEN event_type = 'error' AND value > 10 THEN 'failed' WHEN event_type = 'view' THEN 'cached' WHEN event_type = 'click' THEN 'source_missing' ELSE 'success' END AS s FROM events), (VALUES ('failures'), ('run')) k(kind) GROUP BY user_id, kind""")
+def a20_other_rollups(spark, sf_dir):
+    """A source that lacks a file is no failure in one rollup, and no success in the other."""
+    step = F.when((F.col("event_type") == "error") & (F.col("value") > 10), "failed").when(F.col("event_type") == "view", "cached").when(F.col("event_type") == "click", "source_missing").otherwise("success")
+    events = _t(spark, sf_dir, "events").select("user_id", step.alias("s"))
+    one = lambda kind: relational.status_rollup(events, ["user_id"], "s", kind).withColumn("kind", F.lit(kind))
+    return one("failures").unionByName(one("run"))
+
+
+@query("SELECT c_custkey, lower(trim(c_mktsegment)) IN ('building', 'machinery') AS chosen FROM customer")
+def f7_same_name(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey", tx.same_name(F.concat(F.lit(" "), F.initcap("c_mktsegment")), ["Building ", "mAchinery"]).alias("chosen"))
+
+
+@query("""SELECT s_suppkey, attribute, CAST(position AS BIGINT) AS position, CASE attribute WHEN 'title' THEN s_name ELSE 'nation: ' || CAST(s_nationkey AS VARCHAR) END AS value
+FROM supplier, (VALUES ('title', 1), ('characteristics_ch1', 2)) a(attribute, position) WHERE s_suppkey IN (3, 1)
+UNION ALL SELECT s_suppkey, 'characteristics_ch1', 3, 'even: false' FROM supplier WHERE s_suppkey IN (3, 1)""")
+def j22_requested_metadata(spark, sf_dir):
+    """Two attributes of the two samples that a caller names."""
+    rows = relational.requested_metadata(repo.sample_metadata(repo.read_series_matrices(_matrices(spark, sf_dir))), ["GSM3", "GSM1"], ["title", "characteristics_ch1"])
+    return rows.select(F.substring("gsm_accession", 4, 20).cast("long").alias("s_suppkey"), "attribute", F.col("position").cast("long"), "value")
+
+
+@query("""WITH g AS (SELECT s_suppkey // 50 AS g, s_suppkey AS k, s_nationkey AS n FROM supplier)
+SELECT 'SDY' || CAST(g AS VARCHAR) AS study_accession, 'GSE' || CAST(x AS VARCHAR) AS gse_accession, 'l' || CAST(k AS VARCHAR) AS link_name, 'success' AS status FROM g, unnest(list_distinct([n, n + 1])) u(x)""")
+def s14_study_links(spark, sf_dir):
+    """Links of studies in archives and folders; one further study has no table."""
+    held = _stretches(_t(spark, sf_dir, "supplier"), "s_suppkey", name=F.concat(F.lit("l"), "s_suppkey"), value=F.concat(F.lit("see gse"), "s_nationkey", F.lit(", GSE"), F.col("s_nationkey") + 1, F.lit(" and GSE"), "s_nationkey"))
+    study = F.concat(F.lit("SDY"), "stretch")
+    lines = F.zip_with("name", "value", lambda n, v: F.concat_ws("\t", n, F.lower(study), v))
+    text = F.concat(F.lit("Name\tStudy_Accession\tvalue\n"), F.array_join(lines, "\n"))
+    packed = F.col("stretch") % 2 == 0
+    tables = held.select(study.alias("accession"), F.lit(3).alias("release"), packed.alias("is_zip"), F.when(packed, F.concat(study, F.lit(".zip"))).otherwise(study).alias("path"), F.when(packed, _zipped(F.lit("x/Tab/study_link.txt"), text)).otherwise(text.cast("binary")).alias("content"))
+    files = tables.select(F.when(F.col("is_zip"), F.col("path")).otherwise(F.concat("path", F.lit("/study_link.txt"))).alias("path"), "content")
+    lone = spark.createDataFrame([("SDYx", 3, False, "SDYx")], "accession string, release int, is_zip boolean, path string")
+    links, status = repo.study_links(tables.drop("content").unionByName(lone), files)
+    return links.join(status, "study_accession").select("study_accession", "gse_accession", "link_name", "status")

@@ -324,6 +324,71 @@ def series_links(links: DataFrame, value: str = "value") -> DataFrame:
     return links.withColumn("gse_accession", F.explode(F.array_sort(F.array_distinct(F.regexp_extract_all(F.upper(value), F.lit(r"\b(GSE\d+)\b"), F.lit(1))))))
 
 
+#: The file of a study's links and the columns it must have.
+LINK_FILE, LINK_COLUMNS = "study_link.txt", ("name", "study_accession", "value")
+
+
+def link_tables(files: DataFrame) -> DataFrame:
+    """(path, row_no, fields, fault) of link tables: files of that name, or archives
+    with one below Tab.  Row 0 is the header; it has the fault of a file that can't be
+    read, of an archive without such a member (``missing``) or with several."""
+
+    def table(content: bytes) -> Iterator[tuple]:
+        raw = io.BytesIO(content)
+        if content[:2] == b"PK":
+            archive = zipfile.ZipFile(raw)
+            members = [m for m in archive.namelist() if m.rsplit("/", 1)[-1] == LINK_FILE and "Tab" in m.split("/")[:-1]]
+            if len(members) != 1:
+                yield 0, None, "several members" if members else "missing"
+                return
+            raw = archive.open(members[0])
+        reader = csv.reader(io.TextIOWrapper(raw, "utf-8", newline=""), delimiter="\t")
+        header = [h.strip().lower() for h in next(reader, [])]
+        faults = header_faults(header, list(LINK_COLUMNS))
+        yield 0, None, "; ".join(faults) or None
+        if not faults:
+            for k, row in enumerate(reader, 1):
+                yield k, list(zip(header, (v.strip() for v in row), strict=False)), None if len(row) == len(header) else "ragged row"
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    for row in table(content):
+                        yield path, *row
+                except (zipfile.BadZipFile, UnicodeError, csv.Error):
+                    yield path, 0, None, "not readable"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(rows(batches), ["path", "row_no", "fields", "fault"], [pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.string()])
+
+    return files.select("path", "content").mapInArrow(run, "path string, row_no long, fields map<string,string>, fault string")
+
+
+def study_links(sources: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Series links of studies whose sources are folders or archives (as of
+    newest_sources()), all in one scan of ``files``: the links (study_accession,
+    gse_accession, link_name, link_value, data_release, input_source), and for each
+    study status (success, missing or failed) and faults.  The table is optional; a
+    row of another study is a fault, and a study with faults has no links."""
+    at = F.when(F.col("is_zip"), F.col("path")).otherwise(F.concat("path", F.lit(f"/{LINK_FILE}")))
+    asked = sources.select(F.col("accession").alias("study_accession"), F.col("release").alias("data_release"), at.alias("input_source"))
+    rows = link_tables(files.filter(F.endswith("path", F.lit(f"/{LINK_FILE}")) | F.lower("path").endswith(".zip"))).withColumnRenamed("path", "input_source")
+    field = lambda c: F.try_element_at("fields", F.lit(c))
+    found = asked.join(rows, "input_source", "left").withColumn("owner", F.upper(field("study_accession")))
+    foreign = F.when(F.coalesce(F.col("row_no") > 0, F.lit(False)) & ~F.col("owner").eqNullSafe(F.upper("study_accession")), F.concat(F.lit("row "), "row_no", F.lit(" of "), F.coalesce("owner", F.lit("no study"))))
+    found = found.withColumn("fault", F.coalesce("fault", foreign))
+    absent = F.bool_and(F.col("row_no").isNull() | F.coalesce(F.col("fault") == "missing", F.lit(False)))
+    status = found.groupBy("study_accession").agg(
+        F.when(absent, "missing").when(F.count("fault") > 0, "failed").otherwise("success").alias("status"),
+        F.count_if(F.col("fault").isNotNull() & (F.col("fault") != "missing")).alias("n_faults"),
+        F.min_by("fault", F.struct(F.col("fault").isNull(), "row_no")).alias("first_fault"),
+    )
+    good = found.filter("row_no > 0").join(status.filter("status = 'success'").select("study_accession"), "study_accession", "left_semi")
+    named = good.select("study_accession", "data_release", "input_source", field("name").alias("link_name"), field("value").alias("link_value"))
+    return series_links(named, "link_value"), status
+
+
 def inventory(spark: SparkSession, root: str, excluded: list[str]) -> DataFrame:
     """(path, name, length) of files below a root but those of excluded patterns."""
     files = binary_files(spark, root).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
