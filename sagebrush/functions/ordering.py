@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 _SAMPLED = 40
 
 
@@ -47,8 +49,10 @@ def _join(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
 
 def numbered(df: DataFrame, order: list[str], keys: list[str] | None = None, out: str = "_rn", total: str = "_m", parts: int | None = None) -> DataFrame:
     """Adds the row number in ``order`` (ascending, without ties) within ``keys``, the
-    number of rows of the key, and _b, the range of the order."""
-    keys = keys or []
+    number of rows of the key, and _b, the range of the order.  Splitters, counts of
+    ranges and rows come from one stored table: computed again, sums of doubles may
+    differ in their last digits, and a row at a splitter would change its range."""
+    keys, df = keys or [], stored(df)
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.withColumn("_b", _range_of(df, order, splitters(df, order, parts)))
     before = lambda ranges, b: F.aggregate(F.filter(ranges, lambda r: r["_b"] < b), F.lit(0).cast("long"), lambda a, r: a + r["x"])

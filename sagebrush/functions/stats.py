@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ordering import least_of_later, numbered, pairs_above
+from .shared import stored
 
 
 def finite(value: Column) -> Column:
@@ -112,7 +113,7 @@ def adjusted_ranks(df: DataFrame, keys: list[str], x: str, y: str, z: str, dof_c
 def bh_adjust(df: DataFrame, p: str, tie: str, keys: list[str] | None = None, out: str = "q_value", parts: int | None = None) -> DataFrame:
     """Benjamini-Hochberg q within ``keys``; rows without p get none.  Windows span
     ranges of p, of which counts and minima are carried on."""
-    keys = keys or []
+    keys, df = keys or [], stored(df)
     tested = numbered(df.filter(F.col(p).isNotNull()), [p, tie], keys, parts=parts).withColumn("_v", F.col(p) * F.col("_m") / F.col("_rn"))
     least = least_of_later(tested, "_v", "_rn", keys).withColumn(out, F.least(F.lit(1.0), "_least"))
     none = df.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double"))

@@ -170,3 +170,11 @@ def test_scan_faults(lines, fault):
 def test_lookup_skips_blanks():
     text = io.StringIO("".join(matrix(2, extra=["p2\tNA\t\t3\n"])))
     assert [r[2] for r in series_scan.scan("m", text, frozenset(["p2"]), whole=False)] == ["GSM3"]
+
+
+def test_values_that_change_when_computed_again(spark):
+    """As sums of doubles do in their last digits, by the order of their parts."""
+    noisy = F.udf(lambda i: i / 100 + random.random() * 1e-13, "double").asNondeterministic()
+    df = spark.range(50).select(F.format_string("f%03d", "id").alias("f"), noisy("id").alias("p"))
+    assert sorted((r["f"], r["_rn"], r["_m"]) for r in numbered(df, ["p", "f"], parts=64).collect()) == [(f"f{i:03}", i + 1, 50) for i in range(50)]
+    assert sorted((r["f"], round(r["q_value"], 9)) for r in stats.bh_adjust(df, "p", "f", parts=64).collect()) == [(f"f{i:03}", round(min(j / 100 * 50 / (j + 1) for j in range(i, 50)), 9)) for i in range(50)]
