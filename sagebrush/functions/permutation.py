@@ -6,9 +6,11 @@ ranked anew, and the members of each set among the first share of the features a
 counted; p is (k + 1) / (n + 1), with k the permutations that have at least as many
 as the true labels.
 
-A feature is one row with its values in the order of the subjects.  Permuted
-outcomes are the columns of a matrix of bounded size, which goes to the tasks; a task
-multiplies its features by it in Arrow batches.  A first pass counts |r| by bins for
+A feature is one row with its ranks in the order of the subjects, stored once.
+Permuted outcomes are the columns of a matrix of bounded size, which goes to the tasks;
+a task multiplies its features by it, BLOCK_BYTES of them at a time.  More subjects mean
+fewer permutations a matrix and more rounds; what a task holds then grows by one
+permutation (24 bytes a subject and its name) and one feature (8 bytes a subject).  A first pass counts |r| by bins for
 each permutation, which tells the bin of the last feature of the first share; the
 second pass returns members of sets above that bin, and all features in it, which
 are ranked exactly.  So no permutation copies the table, and no task or driver ever
@@ -27,9 +29,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.relational import ContractError
+from .shared import stored
 
-#: A cohort, as one row holds a feature of all subjects.
-MOST_SUBJECTS = 100_000
 #: Bytes of the permuted outcomes that a task holds.
 BLOCK_BYTES = 1 << 26
 BINS = 256
@@ -66,6 +67,12 @@ def residuals(rows: np.ndarray, covariate: np.ndarray | None) -> np.ndarray:
     return np.where(good, rows / np.where(good, size, 1), 0.0)
 
 
+def _after(mark, name: str) -> bytes:
+    whole = mark.copy()
+    whole.update(name.encode())
+    return whole.digest()
+
+
 def _permuting(names: list[str], seed: str):
     """(perm, order) of numbers of permutations; 0 is the order as it is.  The place
     of a subject is its place by the MD5 of seed, permutation and subject."""
@@ -75,19 +82,39 @@ def _permuting(names: list[str], seed: str):
             perms = batch.column(0).to_pylist()
             places = []
             for perm in perms:
-                mark = f"{seed}|{perm}|"
-                order = sorted(range(len(names)), key=lambda i: (hashlib.md5((mark + names[i]).encode()).hexdigest(), i)) if perm else range(len(names))
-                places.append(np.fromiter(order, np.int32, len(names)).tobytes())
+                order = np.arange(len(names))
+                if perm:
+                    mark = hashlib.md5(f"{seed}|{perm}|".encode())
+                    halves = np.frombuffer(b"".join([_after(mark, name) for name in names]), ">u8").reshape(-1, 2)
+                    order = np.lexsort((halves[:, 1], halves[:, 0]))  # stable, so equal digests stay in order
+                places.append(order.astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(perms, pa.int64()), pa.array(places, pa.binary())], ["perm", "places"])
 
     return run
 
 
-def _correlations(batch: pa.RecordBatch, covariate: np.ndarray | None, outcomes: np.ndarray) -> np.ndarray:
+def _ranking(width: int, covariate: np.ndarray | None, feature: str):
+    """Rows of a feature as (feature, ranks without the covariate's part, as bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch, width):
+                x = residuals(average_ranks(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)), covariate)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in x], pa.binary())], [feature, "ranks"])
+
+    return run
+
+
+def _parts(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with BLOCK_BYTES of features at most, or one feature."""
+    step = max(1, BLOCK_BYTES // (64 * max(1, width)))  # ranking takes some eight arrays
+    return (batch.slice(k, step) for k in range(0, batch.num_rows, step))
+
+
+def _correlations(batch: pa.RecordBatch, outcomes: np.ndarray) -> np.ndarray:
     """|r| to nine digits of each feature (row) and permutation; -1 for a feature
     without variance."""
-    n = outcomes.shape[1]
-    x = residuals(average_ranks(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)), covariate)
+    x = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, outcomes.shape[1])
     r = np.minimum(np.round(np.abs(x @ outcomes.T), 9), 1.0)
     r[~x.any(axis=1)] = -1
     return r
@@ -106,18 +133,18 @@ def permutation_enrichment(cells: DataFrame, outcome: DataFrame, members: DataFr
     spark = cells.sparkSession
     asked = [y, *([covariate] if covariate else [])]
     people = outcome.dropna(subset=[subject, *asked]).select(subject, *[F.col(c).cast("double").alias(c) for c in asked])
-    if people.count() > MOST_SUBJECTS:
-        raise ContractError(f"more than {MOST_SUBJECTS} subjects")
-    cohort = people.orderBy(subject).collect()  # one row for each subject, of a bounded number
-    names = [str(r[subject]) for r in cohort]
+    cohort = people.orderBy(subject).select(F.col(subject).cast("string").alias("name"), *asked).toArrow()  # two or three values of each subject
+    names = cohort["name"].to_pylist()
     if len(set(names)) < len(names):
         raise ContractError("a subject has several outcomes")
-    ranks = average_ranks(np.array([[r[c] for r in cohort] for c in asked]).reshape(len(asked), len(names)))
+    ranks = average_ranks(np.array([cohort[c].to_numpy() for c in asked]).reshape(len(asked), len(names)))
     z = ranks[1] if covariate else None
     known = cells.dropna(subset=[feature, subject, value]).join(people.select(subject), subject, "left_semi")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(subject), F.col(value).cast("double").alias("v")))), lambda s: s["v"])
-    vectors = known.groupBy(feature).agg(ordered.alias("values"), F.count_distinct(subject).alias("_d")).filter((F.size("values") == len(names)) & (F.col("_d") == len(names)) & (F.array_min("values") < F.array_max("values"))).select(feature, "values")
+    listed = known.groupBy(feature).agg(F.array_sort(F.collect_list(F.struct(F.col(subject).alias("s"), F.col(value).cast("double").alias("v")))).alias("_l")).filter(F.size("_l") == len(names))
+    values, whole = F.transform("_l", lambda s: s["v"]), F.size(F.array_distinct(F.transform("_l", lambda s: s["s"]))) == len(names)
+    vectors = listed.filter(whole).select(feature, values.alias("values")).filter(F.array_min("values") < F.array_max("values"))
     kind = vectors.schema[feature].dataType.simpleString()
+    vectors = stored(vectors.mapInArrow(_ranking(len(names), z, feature), f"`{feature}` {kind}, ranks binary"))
     ranked = members.select("set_name", feature).distinct()
     rounds = []
     step = max(1, BLOCK_BYTES // (8 * max(1, len(names))))
@@ -125,7 +152,7 @@ def permutation_enrichment(cells: DataFrame, outcome: DataFrame, members: DataFr
         perms = range(begin, min(n + 1, begin + step))
         rows = spark.range(perms.start, perms.stop).mapInArrow(_permuting(names, seed), "perm long, places binary").orderBy("perm").collect()  # step rows
         permuted = np.array([ranks[0][np.argsort(np.frombuffer(r["places"], np.int32))] for r in rows]).reshape(len(rows), len(names))
-        rounds.append(_round(vectors, feature, kind, ranked, perms.start, residuals(permuted, z), z, share))
+        rounds.append(_round(vectors, feature, kind, ranked, perms.start, residuals(permuted, z), share))
     counts = rounds[0]
     for other in rounds[1:]:
         counts = counts.unionByName(other)
@@ -139,7 +166,7 @@ def permutation_enrichment(cells: DataFrame, outcome: DataFrame, members: DataFr
     return out.withColumn("p_value", (F.col("n_at_least") + 1) / (F.col("n_perm") + 1)).select("set_name", "n_set", "observed", "n_perm", "n_at_least", "p_value")
 
 
-def _round(vectors: DataFrame, feature: str, kind: str, members: DataFrame, start: int, outcomes: np.ndarray, z: np.ndarray | None, share: float) -> DataFrame:
+def _round(vectors: DataFrame, feature: str, kind: str, members: DataFrame, start: int, outcomes: np.ndarray, share: float) -> DataFrame:
     """(perm, set_name, n_top) of the permutations of one matrix."""
     held = vectors.sparkSession.sparkContext.broadcast(outcomes)  # BLOCK_BYTES at most
 
@@ -147,10 +174,10 @@ def _round(vectors: DataFrame, feature: str, kind: str, members: DataFrame, star
         n_perms = len(held.value)
         total = np.zeros((n_perms, BINS), np.int64)
         for batch in batches:
-            r = _correlations(batch, z, held.value)
-            r = r[r[:, 0] >= 0]
-            for p in range(n_perms):
-                total[p] += np.bincount(_bin(r[:, p]), minlength=BINS)
+            for part in _parts(batch, held.value.shape[1]):
+                r = _correlations(part, held.value)
+                r = r[r[:, 0] >= 0]
+                np.add.at(total, (np.arange(n_perms), _bin(r)), 1)
         chunks = range(0, n_perms, _CHUNK)
         yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), pa.array([total[c : c + _CHUNK].tobytes() for c in chunks], pa.binary())], ["chunk", "counts"])
 
@@ -167,8 +194,8 @@ def _round(vectors: DataFrame, feature: str, kind: str, members: DataFrame, star
     last, room = (np.array([b[c] for b in bounds], np.int64) for c in ("last", "room"))
 
     def choosing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            r = _correlations(batch, z, held.value)
+        for batch in (part for whole in batches for part in _parts(whole, held.value.shape[1])):
+            r = _correlations(batch, held.value)
             near = _bin(np.maximum(r, 0)) >= last
             row, perm = np.nonzero(near & (r >= 0))
             where = _bin(r[row, perm])

@@ -178,3 +178,16 @@ def test_values_that_change_when_computed_again(spark):
     df = spark.range(50).select(F.format_string("f%03d", "id").alias("f"), noisy("id").alias("p"))
     assert sorted((r["f"], r["_rn"], r["_m"]) for r in numbered(df, ["p", "f"], parts=64).collect()) == [(f"f{i:03}", i + 1, 50) for i in range(50)]
     assert sorted((r["f"], round(r["q_value"], 9)) for r in stats.bh_adjust(df, "p", "f", parts=64).collect()) == [(f"f{i:03}", round(min(j / 100 * 50 / (j + 1) for j in range(i, 50)), 9)) for i in range(50)]
+
+
+def test_enrichment_of_a_large_cohort(spark):
+    n = 100_001  # more than one matrix of permutations held before
+    value = lambda k, s: float((s * (k + 7)) % 1009)
+    outcome = {f"{s:06}": (float(s * 31 % 997), s % 50) for s in range(n)}
+    cells = {f"f{k}": {name: value(k, s) for s, name in enumerate(outcome)} for k in range(3)}
+    name = F.format_string("%06d", "id").alias("s")
+    people = spark.range(n).select(name, (F.col("id") * 31 % 997).cast("double").alias("y"), (F.col("id") % 50).cast("int").alias("age"))
+    long = spark.range(n).select(name, F.explode(F.array(*[F.struct(F.lit(f"f{k}").alias("f"), (F.col("id") * (k + 7) % 1009).cast("double").alias("v")) for k in range(3)])).alias("c")).select("s", "c.*")
+    members = spark.createDataFrame([("a", "f0"), ("b", "f1"), ("b", "f2")], "set_name string, f string")
+    got = permutation.permutation_enrichment(long, people, members, "f", "s", "v", "y", "age", n=3, share=0.3).collect()
+    assert {r["set_name"]: (r["n_set"], r["observed"], r["n_at_least"]) for r in got} == enrichment(cells, outcome, {"a": {"f0"}, "b": {"f1", "f2"}}, 3, "s", 0.3)
