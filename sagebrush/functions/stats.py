@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 from .ordering import least_of_later, numbered, pairs_above
 from .shared import stored
 
+#: Rows that a task ranks, whatever the number of shuffle partitions.
+RANKED_ROWS = 1 << 18
+
 
 def finite(value: Column) -> Column:
     """NULL for NaN and infinities."""
@@ -76,14 +79,19 @@ def fisher_interval(r: Column, n: Column, covariates: int = 0) -> tuple[Column,
 
 
 def average_rank(keys: list[str], value: str) -> Column:
-    """Rank with ties at their mean."""
-    lowest = F.rank().over(W.partitionBy(*keys).orderBy(value))
-    return lowest + (F.count("*").over(W.partitionBy(*keys, value)) - 1) / 2.0
+    """Rank with ties at their mean; both windows need one sort."""
+    order = W.partitionBy(*keys).orderBy(value)
+    return F.rank().over(order) + (F.count("*").over(order.rangeBetween(W.currentRow, W.currentRow)) - 1) / 2.0
 
 
 def ranked(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Adds r_<column>: average ranks among the rows that have all columns."""
+    """Adds r_<column>: average ranks among the rows that have all columns.  A task
+    sorts once for each column, so rows are dealt over as many tasks as hold some
+    RANKED_ROWS each; a single key is not split."""
     whole = df.dropna(subset=columns)
+    if keys:
+        parts = -(-whole.count() // RANKED_ROWS)
+        whole = whole.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
     return whole.withColumns({f"r_{c}": average_rank(keys, c) for c in columns})
 
 

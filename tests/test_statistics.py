@@ -91,3 +91,16 @@ def test_compare_results(spark):
     one_, two = (spark.createDataFrame([(f, e) for f, e in rows], "f string, e double") for rows in ([("a", 1.0), ("b", 2.0)], [("a", 1.0 + 1e-7), ("b", 2.0)]))
     assert stats.compare_results(one_, two, "f", ["e"]).first()["reproduced"]
     assert not stats.compare_results(one_, two.filter("f = 'a'"), "f", ["e"]).first()["reproduced"]
+
+
+def test_ranks_need_one_sort_each_and_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(stats, "RANKED_ROWS", 50, raising=False)
+    df = spark.range(2000).select((F.col("id") % 300).alias("k"), (F.col("id") * 7 % 11).cast("double").alias("x"), (F.col("id") * 5 % 13).cast("double").alias("y"))
+    got = stats.ranked(df, ["k"], ["x", "y"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.find("== Initial Plan ==")].count("Sort [") == 2
+    assert got.groupBy(F.spark_partition_id()).count().count() > 30  # 8 shuffle partitions
+    rows = got.collect()
+    for r in rows[::50]:
+        own = [o["x"] for o in rows if o["k"] == r["k"]]
+        assert r["r_x"] == sum(v < r["x"] for v in own) + (own.count(r["x"]) + 1) / 2
