@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 SHARD_TERMS = 1 << 17
 
 
-def _scanning(terms: list[tuple[int, str]], whole_words: bool):
+def _scanning(terms: list[tuple[int, str]], whole_words: bool, longest: bool):
+    """Scans texts for the terms; all that are found, or the longest of each text alone."""
+    sizes = {ord_: len(term) for ord_, term in terms}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
@@ -37,6 +40,9 @@ def _scanning(terms: list[tuple[int, str]], whole_words: bool):
                         continue
                     for ord_, _ in found:
                         first.setdefault(ord_, begin)
+                if longest and first:
+                    best = min(first, key=lambda o: (-sizes[o], o))
+                    first = {best: first[best]}
                 out += [(row, ord_, begin) for ord_, begin in first.items()]
             rows = pa.array([r for r, _, _ in out], pa.int64())
             kept = [batch.column(k).take(rows) for k in range(batch.num_columns - 1)]
@@ -51,10 +57,8 @@ def _joins(text: str, at: int) -> bool:
     return 0 < at < len(text) and word(text[at - 1]) and word(text[at])
 
 
-def term_matches(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, whole_words: bool = False, shard_terms: int = SHARD_TERMS) -> DataFrame:
-    """(id, ord, term, at): each term of (ord, term) that stands in a text, whatever
-    the case, with its first place.  Terms are trimmed, blank ones left out; ``ord``
-    must be unique.  With ``whole_words``, only between bounds of words."""
+def _found(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, whole_words: bool, shard_terms: int, longest: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, ord, at) of each shard's terms in texts, and (ord, term)."""
     named = terms.select(F.col("ord").cast("long").alias("ord"), F.trim("term").alias("term")).filter("term <> ''")
     shards = -(-max(1, named.count()) // shard_terms)
     rows = texts.select(id_col, text_col)
@@ -63,17 +67,27 @@ def term_matches(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str,
     for k in range(shards):  # each brings shard_terms terms to the driver and the tasks
         held = [(r["ord"], r["term"]) for r in named.filter(F.pmod(F.xxhash64("ord"), F.lit(shards)) == k).collect()]
         if held:
-            one = rows.mapInArrow(_scanning(held, whole_words), f"`{id_col}` {kind}, ord long, at long")
+            one = rows.mapInArrow(_scanning(held, whole_words, longest), f"`{id_col}` {kind}, ord long, at long")
             found = one if found is None else found.unionByName(one)
     if found is None:
         found = rows.select(id_col, F.lit(0).cast("long").alias("ord"), F.lit(0).cast("long").alias("at")).limit(0)
+    return found, named
+
+
+def term_matches(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, whole_words: bool = False, shard_terms: int = SHARD_TERMS) -> DataFrame:
+    """(id, ord, term, at): each term of (ord, term) that stands in a text, whatever
+    the case, with its first place.  Terms are trimmed, blank ones left out; ``ord``
+    must be unique.  With ``whole_words``, only between bounds of words."""
+    found, named = _found(texts, terms, id_col, text_col, whole_words, shard_terms, longest=False)
     return found.join(named, "ord").select(id_col, "ord", "term", "at")
 
 
-def longest_match(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
+def longest_match(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, whole_words: bool = False, shard_terms: int = SHARD_TERMS) -> DataFrame:
     """(id, term, length): the longest term in each text, of equal lengths the first
-    by ord; texts without one have length 0 and no term."""
-    best = term_matches(texts, terms, id_col, text_col, **how).groupBy(id_col).agg(F.max(F.struct(F.char_length("term").alias("l"), (-F.col("ord")).alias("o"), F.col("term"))).alias("b"))
+    by ord; texts without one have length 0 and no term.  A scan returns one term of
+    a text for each shard, however many it finds."""
+    found, named = _found(texts, terms, id_col, text_col, whole_words, shard_terms, longest=True)
+    best = found.join(named, "ord").groupBy(id_col).agg(F.max(F.struct(F.char_length("term").alias("l"), (-F.col("ord")).alias("o"), F.col("term"))).alias("b"))
     out = texts.select(id_col).join(best, id_col, "left")
     return out.select(id_col, F.col("b.term").alias("term"), F.coalesce(F.col("b.l").cast("long"), F.lit(0).cast("long")).alias("length"))
 

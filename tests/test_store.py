@@ -106,6 +106,13 @@ def test_terms(spark, shard, whole):
         assert best[i] == ((vocabulary[found[0][1]].strip(), -found[0][0]) if found else (None, 0))
 
 
+def test_longest_match_sends_one_term_of_a_text(spark):
+    vocab = spark.range(40).select(F.col("id").alias("ord"), F.concat(F.lit("t"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("term"))
+    texts = spark.range(20).select("id", F.lit(" ".join(f"t{k:02}" for k in range(40))).alias("text"))
+    assert {(r["term"], r["length"]) for r in terms.longest_match(texts, vocab, "id", "text").collect()} == {("t00", 3)}
+    assert terms._found(texts, vocab, "id", "text", False, 1 << 17, longest=True)[0].count() == 20  # of 800 matches
+
+
 def test_features_by_terms(spark):
     features = spark.createDataFrame([("p1", "interferon regulatory factor 7"), ("p2", "interferon regulatory factor"), ("p3", "IRF7"), ("p4", "none")], "probe string, title string")
     asked = spark.createDataFrame([("IRF7", 1, 0, "IRF7"), ("IRF7", 2, 0, "interferon regulatory factor 7"), ("IRF7", 2, 1, "interferon regulatory factor"), ("Q", 2, 0, "interferon regulatory factor")], "query string, stage int, ord int, term string")
