@@ -19,6 +19,8 @@ from .shared import stored
 
 #: Rows that a task ranks, whatever the number of shuffle partitions.
 RANKED_ROWS = 1 << 18
+#: Rows of subjects and permutations that a task hashes.
+SPREAD_ROWS = 1 << 24
 
 
 def finite(value: Column) -> Column:
@@ -219,14 +221,26 @@ def enrichment(features: DataFrame, members: DataFrame, p: str, feature: str, sh
 def permutation_p(df: DataFrame, subject: str, value: str, flag: str, n: int, seed: str = "s") -> DataFrame:
     """Difference of means under relabelling: each permutation orders subjects by
     a hash of (seed, permutation, subject) and flags the first n1.  p is
-    (k + 1) / (n + 1)."""
-    base = df.dropna(subset=[value, flag]).select(subject, value, flag)
-    shape = base.agg(F.count_if(flag).alias("n1"), (F.avg(F.when(F.col(flag), F.col(value))) - F.avg(F.when(~F.col(flag), F.col(value)))).alias("seen"))
-    spread = base.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    order = F.md5(F.concat_ws("|", F.lit(seed), F.col("perm").cast("string"), F.col(subject).cast("string")))
-    placed = spread.withColumn("_k", F.row_number().over(W.partitionBy("perm").orderBy(order, subject))).join(F.broadcast(shape))
-    on = F.col("_k") <= F.col("n1")
-    each = placed.groupBy("perm").agg((F.avg(F.when(on, F.col(value))) - F.avg(F.when(~on, F.col(value)))).alias("d"), F.first("seen").alias("seen"))
+    (k + 1) / (n + 1).  Counts and sums by the first two digits of the hash, added up
+    before the shuffle, tell where the first n1 end; only subjects with those digits
+    are ordered, one in 256."""
+    base = df.dropna(subset=[value, flag]).select(subject, F.col(value).cast("double").alias("_v"), flag)
+    on = F.col(flag)
+    shape = stored(base.agg(F.count_if(on).alias("n1"), (F.avg(F.when(on, F.col("_v"))) - F.avg(F.when(~on, F.col("_v")))).alias("seen")))  # one row
+    hashed = F.md5(F.concat_ws("|", F.lit(seed), F.col("perm").cast("string"), F.col(subject).cast("string")))
+    parts = max(-(-base.count() * n // SPREAD_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    base = base.repartition(parts, subject)  # a small table may be one file, and each row becomes n
+    spread = base.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_h", hashed).withColumn("_d", F.substring("_h", 1, 2))
+    bins = spread.groupBy("perm", "_d").agg(F.count("*").alias("_c"), F.sum("_v").alias("_s"))
+    upto = F.sum("_c").over(W.partitionBy("perm").orderBy("_d"))
+    bins = stored(bins.withColumn("_to", upto).join(F.broadcast(shape.select("n1"))))  # 256 rows of each permutation at most
+    first, split = F.col("_to") <= F.col("n1"), (F.col("_to") > F.col("n1")) & (F.col("_to") - F.col("_c") < F.col("n1"))
+    ends = bins.filter(split).select("perm", "_d", (F.col("n1") - F.col("_to") + F.col("_c")).alias("_room"))  # one row of each permutation at most
+    own = F.row_number().over(W.partitionBy("perm").orderBy("_h", subject))
+    inside = spread.join(F.broadcast(ends), ["perm", "_d"]).withColumn("_in", own <= F.col("_room"))
+    whole = bins.filter(~split).select("perm", first.alias("_in"), "_c", "_s").unionByName(inside.select("perm", "_in", F.lit(1).cast("long").alias("_c"), F.col("_v").alias("_s")))
+    mean = lambda c: F.try_divide(F.sum(F.when(c, F.col("_s"))), F.sum(F.when(c, F.col("_c"))))
+    each = whole.groupBy("perm").agg((mean(F.col("_in")) - mean(~F.col("_in"))).alias("d")).join(F.broadcast(shape.select("seen")))
     return each.agg(F.count("*").alias("n_perm"), F.count_if(F.round("d", 9) >= F.round("seen", 9)).alias("n_at_least"), F.first("seen").alias("observed")).withColumn("p_value", (F.col("n_at_least") + 1) / (F.col("n_perm") + 1))
 
 

@@ -1,5 +1,6 @@
 """Statistics against published numbers and plain Python."""
 
+import hashlib
 import math
 
 import pytest
@@ -104,3 +105,23 @@ def test_ranks_need_one_sort_each_and_tasks_of_bounded_rows(spark, monkeypatch):
     for r in rows[::50]:
         own = [o["x"] for o in rows if o["k"] == r["k"]]
         assert r["r_x"] == sum(v < r["x"] for v in own) + (own.count(r["x"]) + 1) / 2
+
+
+@pytest.mark.parametrize("n1", [0, 1, 150, 299, 300])
+def test_permutation_p(spark, n1):
+    """Against sorting every permutation; only subjects by the cut are ordered."""
+    rows = [(f"s{i}", (i * 37 % 101) / 7, i < n1) for i in range(300)] + [("gap", None, True), ("none", 1.0, None)]
+    df = spark.createDataFrame(rows, "s string, v double, f boolean")
+    frame = stats.permutation_p(df, "s", "v", "f", 40, "q")
+    got = frame.first()
+    mean = lambda v: sum(v) / len(v) if v else math.nan
+    values = {s: v for s, v, f in rows if v is not None and f is not None}
+    seen = mean(list(values.values())[:n1]) - mean(list(values.values())[n1:])
+    k = 0
+    for perm in range(1, 41):
+        order = sorted(values, key=lambda s: (hashlib.md5(f"q|{perm}|{s}".encode()).hexdigest(), s))
+        d = mean([values[s] for s in order[:n1]]) - mean([values[s] for s in order[n1:]])
+        k += round(d, 9) >= round(seen, 9)
+    assert (got["n_perm"], got["n_at_least"]) == (40, k) and got["p_value"] == (k + 1) / 41
+    assert (got["observed"] is None) if math.isnan(seen) else got["observed"] == pytest.approx(seen)
+    assert "_d" in frame._jdf.queryExecution().analyzed().toString()
