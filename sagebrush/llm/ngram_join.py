@@ -23,10 +23,12 @@ of rarity; so each class sends those to the cells of its shingles.
    and one to the first of its run in the cell, so that blocks are flat.  So m
    members send at most WINDOW * m pairs.  A cell of more than CELL_ROWS members
    is dealt over several tasks: there every member is deferred, with an edge to a
-   node that stands for the cell.
+   node that stands for the cell.  Only those members are met in their block whose
+   shingle can be the rarest common one of a link: the smaller set lacks a ninth of
+   its shingles at most, and the larger needs such a one within its reach.
 3. Each class verifies the pair with the most common cells exactly; the verified
    edges are a forest and give first components.  Other pairs are verified only
-   between different components.
+   between different components, and their links join those.
 4. Deferred members: components joined by the edges of runs form blocks.  In
    blocks that hold several components the points go into an R-tree: runs of LEAF
    points are leaves, runs of FAN leaves are parents, both with the largest count
@@ -121,10 +123,11 @@ def _bits(needed: int, bounds: tuple[int, int]) -> int:
     return min(bounds[1], max(bounds[0], int(needed).bit_length()))
 
 
-def _sketch(docs: DataFrame, shingles: int = 0) -> np.ndarray:
+def _sketch(docs: DataFrame, shingles: int = 0, salts: int = 512) -> np.ndarray:
     """Occurrences of shingles by slot, over all documents that have so many.  Each
-    task sums its own, tasks are summed by part of the sketch, and the driver gets
-    2**20 to 2**24 counts.  It gives an order of rarity, and decides nothing else."""
+    task sums its own, tasks are summed by part of the sketch (more than ``salts`` of
+    them in two steps), and the driver gets 2**20 to 2**24 counts.  It gives an order of
+    rarity, and decides nothing else."""
     size, part = 1 << _bits(shingles >> 8, SKETCH_BITS), 1 << 12
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +136,7 @@ def _sketch(docs: DataFrame, shingles: int = 0) -> np.ndarray:
             for _, _, words in wd.doc_steps(batch.column(0), wd.SOLID):
                 total += np.bincount(_slots(shingle_sets(words)[0], size), minlength=size)
         parts = total.reshape(-1, part)
-        salt = TaskContext.get().partitionId() % 512
+        salt = TaskContext.get().partitionId() % salts
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), salt, np.int32)), pa.array([p.astype(np.uint32).tobytes() for p in parts], pa.binary())], ["part", "salt", "counts"])
 
     def add(rows: pa.Table) -> pa.Table:
@@ -144,16 +147,19 @@ def _sketch(docs: DataFrame, shingles: int = 0) -> np.ndarray:
         return pa.table([rows.column("part").slice(0, 1), rows.column("salt").slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["part", "salt", "counts"])
 
     schema = "part int, salt int, counts binary"
-    sums = docs.mapInArrow(run, schema).groupBy("part", "salt").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
-    found = {r["part"]: bytes(r["counts"]) for r in sums.select("part", "counts").collect()}
+    sums = docs.mapInArrow(run, schema)
+    if docs.rdd.getNumPartitions() > salts:
+        sums = sums.groupBy("part", "salt").applyInArrow(add, schema)
+    found = {r["part"]: bytes(r["counts"]) for r in sums.groupBy("part").applyInArrow(add, schema).select("part", "counts").collect()}
     empty = bytes(4 * part)
     return np.frombuffer(b"".join(found.get(p, empty) for p in range(size // part)), np.uint32)
 
 
 def _tokens(docs: DataFrame, sketch: np.ndarray, cell_rows: int | None = None) -> DataFrame:
-    """(cls, n, token, part): the rarest shingles of each document; a token starts
-    with the sketch count, so its order is the order of rarity.  part is 0, or
-    one of the parts over which a cell of more than ``cell_rows`` is dealt, from 1."""
+    """(cls, n, token, part, rank): the rarest shingles of each document; a token starts
+    with the sketch count, so its order is the order of rarity, and rank is how many
+    of the document's are rarer.  part is 0, or one of the parts over which a cell of
+    more than ``cell_rows`` is dealt, from 1."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     most = np.uint64(cell_rows or CELL_ROWS)
 
@@ -172,12 +178,13 @@ def _tokens(docs: DataFrame, sketch: np.ndarray, cell_rows: int | None = None) -
                 first = np.zeros(len(cls), bool)
                 first[np.unique(cls, return_index=True)[1]] = True
                 keep[~first] = 0
-                out, rows = [], []
+                out, rows, ranks = [], [], []
                 for a, b, k in zip(at, at[1:], keep, strict=False):
                     if k:
                         order = np.argsort(tokens[a:b], kind="stable")[:k]
                         out.append(tokens[a:b][order])
                         rows.append(seen[a:b][order])
+                        ranks.append(np.searchsorted(out[-1], out[-1]))
                 if out:
                     owner, seen = np.repeat(cls, keep), np.concatenate(rows)
                     parts = np.where(seen > most, 1 + owner.view(np.uint64) % (seen // most + np.uint64(1)), 0)
@@ -187,18 +194,19 @@ def _tokens(docs: DataFrame, sketch: np.ndarray, cell_rows: int | None = None) -
                             pa.array(np.repeat(n, keep).astype(np.int32)),
                             pa.array(np.concatenate(out).view(np.int64)),
                             pa.array(parts.astype(np.int32)),
+                            pa.array(np.concatenate(ranks).astype(np.int32)),
                         ],
-                        ["cls", "n", "token", "part"],
+                        ["cls", "n", "token", "part", "rank"],
                     )
 
-    made = docs.mapInArrow(run, "cls long, n int, token long, part int")
+    made = docs.mapInArrow(run, "cls long, n int, token long, part int, rank int")
     if not (sketch > most).any():  # no cell can be so large
         return made
     # a slot counts several shingles, so cells that may be large are counted
     made = written(made)
     large = made.filter("part > 0").groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") > int(most))
     parts = F.when(F.col("k").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("cls"), F.ceil(F.col("k") / int(most))))
-    return shuffled(made, large, "token", "left").select("cls", "n", "token", parts.cast("int").alias("part"))
+    return shuffled(made, large, "token", "left").select("cls", "n", "token", parts.cast("int").alias("part"), "rank")
 
 
 def prefix(n):
@@ -206,6 +214,18 @@ def prefix(n):
     return n + (-PERCENT * n) // 100 + 1
 
 
+def _first_common(n, rank):
+    """Whether a shingle of that rank can be the rarest common one of a set of n and a
+    larger set, or one of its size, that link: all that they share are from it on."""
+    return rank <= n + (-2 * PERCENT * n) // (100 + PERCENT)
+
+
+def _reach(n, rank):
+    """The size of the largest set that a set of n can link with, if the shingle of
+    that rank is the rarest common one."""
+    return ((100 + PERCENT) * (n - rank)) // PERCENT - n
+
+
 def _cell_node(token: np.ndarray) -> np.ndarray:
     """The nodes that stand for whole cells in the graph of runs."""
     return wd.mix(token.view(np.uint64) ^ np.uint64(0x51ED270B0B5E5A2D)).view(np.int64)
@@ -213,26 +233,30 @@ def _cell_node(token: np.ndarray) -> np.ndarray:
 
 def _meet(window: int):
     """Rows sorted by (token, part, n, cls): kind 0, a pair; kind 1, an edge of a
-    deferred member to its pivot; kind 2, an edge of a run around deferred members
-    to its first.  a is behind b in the order of (n, cls).  In cells that are dealt
-    over parts, kind 1 for all members of a part and kind 2 to the cell's node."""
+    deferred member to its pivot, the one with the fewest rarer shingles so far; kind 2,
+    an edge of a run around deferred members to its first.  a is behind b in the order
+    of (n, cls).  In cells that are dealt over parts, kind 1 for all members of a part
+    and kind 2 to the cell's node.  open, with kind 2: a may link with a member that it
+    does not meet here, the cell's shingle being the rarest common one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64) for _ in range(4)]  # the last rows of the cell that is open
-        pivot = None  # (token, part, n, cls)
+        held = [np.zeros(0, np.int64) for _ in range(5)]  # the last rows of the cell that is open
+        pivot = None  # (token, part, n, cls, rank)
+        sizes_of = (None, np.zeros(0, np.int64))  # of the open cell: its sizes that a larger set may link with
         for batch in batches:
             if not batch.num_rows:
                 continue
             old = len(held[0])
-            token, part, n, cls = (np.concatenate((h, np.asarray(batch.column(i)).astype(np.int64))) for i, h in enumerate(held))
+            token, part, n, cls, place = (np.concatenate((h, np.asarray(batch.column(i)).astype(np.int64))) for i, h in enumerate(held))
             again = np.zeros(len(token), bool)  # copies met in different batches
             again[1:] = (token[1:] == token[:-1]) & (cls[1:] == cls[:-1])
             old -= int(again[:old].sum())
-            token, part, n, cls = (x[~again] for x in (token, part, n, cls))
+            token, part, n, cls, place = (x[~again] for x in (token, part, n, cls, place))
             rows = np.arange(len(token))
             same = lambda s: (token[s:] == token[: len(token) - s]) & (part[s:] == part[: len(token) - s])
             fits = lambda s: same(s) & (100 * n[: len(token) - s] >= PERCENT * n[s:])
             dealt = part > 0
+            first = _first_common(n, place)
             deferred = dealt.copy()
             if len(token) > window + 1:
                 deferred[window + 1 :] |= fits(window + 1)
@@ -250,10 +274,10 @@ def _meet(window: int):
             if len(late):
                 names, sizes = np.empty(len(late), np.int64), np.empty(len(late), np.int64)
                 for k, i in enumerate(late.tolist()):
-                    if pivot is None or pivot[:2] != (token[i], part[i]) or 100 * pivot[2] < PERCENT * n[i]:
-                        at = i if dealt[i] else i - window - 1
-                        pivot = (token[i], part[i], n[at], cls[at])
-                    sizes[k], names[k] = pivot[2:]
+                    at = i if dealt[i] else i - window - 1
+                    if pivot is None or pivot[:2] != (token[i], part[i]) or 100 * pivot[2] < PERCENT * n[i] or place[at] < pivot[4]:
+                        pivot = (token[i], part[i], n[at], cls[at], place[at])
+                    sizes[k], names[k] = pivot[2:4]
                 chain = np.zeros(len(token) + window + 2, bool)
                 for s in range(window + 1):
                     chain[late[~dealt[late]] - s] = True
@@ -265,17 +289,29 @@ def _meet(window: int):
                 kind.append(np.full(len(chain), 2, np.int8))
             i, j = np.concatenate(a) if a else rows[:0], np.concatenate(b) if b else rows[:0]
             kind = np.concatenate(kind) if kind else np.zeros(0, np.int8)
-            out = [cls[i], cls[j], n[i], n[j], kind]
+            # of two that link the smaller is first; a larger one that is not needs one within its reach
+            open_ = first | dealt
+            begin = np.flatnonzero(np.append(True, ~same(1)))
+            ends = np.append(begin[1:], len(token))
+            for c in np.unique(np.append(np.searchsorted(begin, late, "right") - 1, len(begin) - 1)):
+                cell = slice(begin[c], ends[c])
+                found = np.unique(n[cell][first[cell]])
+                if sizes_of[0] == (token[cell.start], part[cell.start]):
+                    found = np.union1d(found, sizes_of[1])
+                least = -((-PERCENT * n[cell]) // 100)
+                open_[cell] |= deferred[cell] & (np.searchsorted(found, least) < np.searchsorted(found, np.minimum(n[cell], _reach(n[cell], place[cell])), "right"))
+            sizes_of = ((token[cell.start], part[cell.start]), found)  # the last one is open
+            out = [cls[i], cls[j], n[i], n[j], kind, open_[i] & (kind == 2)]
             if len(late):
-                pivots = (cls[late], names, n[late], sizes, np.ones(len(late), np.int8))
+                pivots = (cls[late], names, n[late], sizes, np.ones(len(late), np.int8), np.zeros(len(late), bool))
                 far = late[dealt[late]]
-                nodes = (cls[far], _cell_node(token[far]), n[far], n[far], np.full(len(far), 2, np.int8))
+                nodes = (cls[far], _cell_node(token[far]), n[far], n[far], np.full(len(far), 2, np.int8), np.ones(len(far), bool))
                 out = [np.concatenate(x) for x in zip(out, pivots, nodes, strict=True)]
             out = [x[out[0] != out[1]] for x in out]
             keep = max(0, len(token) - window - 1)
             tail = (token[keep:] == token[-1]) & (part[keep:] == part[-1])
-            held = [x[keep:][tail] for x in (token, part, n, cls)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b", "na", "nb", "kind"])
+            held = [x[keep:][tail] for x in (token, part, n, cls, place)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b", "na", "nb", "kind", "open"])
 
     return run
 
@@ -291,29 +327,29 @@ def _needed(na: Column, nb: Column) -> Column:
 
 
 def candidates(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(a, b, n, chain, best): pairs and edges to pivots to verify, with their
+    """(a, b, n, chain, open, best): pairs and edges to pivots to verify, with their
     common cells, the best of each a marked; and edges of runs (chain), which make
-    the blocks."""
+    the blocks; open, if a may have a link there that is not a pair."""
     order = ("token", "part", "n", "cls")
-    met = tokens.select("token", "part", F.col("n").cast("long").alias("n"), "cls").repartition("token", "part").sortWithinPartitions(*order)
-    rows = met.mapInArrow(_meet(window), "a long, b long, na long, nb long, kind byte").groupBy("a", "b", "na", "nb", "kind").agg(F.count("*").alias("c"))
+    met = tokens.select("token", "part", F.col("n").cast("long").alias("n"), "cls", "rank").repartition("token", "part").sortWithinPartitions(*order)
+    rows = met.mapInArrow(_meet(window), "a long, b long, na long, nb long, kind byte, open boolean").groupBy("a", "b", "na", "nb", "kind").agg(F.count("*").alias("c"), F.max("open").alias("open"))
     own = W.partitionBy("a")
     rows = rows.withColumn("late", F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("c"))).over(own), F.lit(0)))
     rows = rows.filter((F.col("kind") > 0) | (F.col("c") + F.col("late") >= _needed(F.col("na"), F.col("nb"))))
-    pairs = rows.groupBy("a", "b", (F.col("kind") == 2).alias("chain")).agg(F.sum("c").alias("n"))
+    pairs = rows.groupBy("a", "b", (F.col("kind") == 2).alias("chain")).agg(F.sum("c").alias("n"), F.max("open").alias("open"))
     rank = F.row_number().over(own.orderBy("chain", F.desc("n"), "b"))
     return written(pairs.withColumn("best", (rank == 1) & ~F.col("chain")))
 
 
 def _bitmap(keys: DataFrame, column: str) -> np.ndarray:
     """2**25 to 2**28 flags of the values of a column of hashes, by how many there
-    are: at most 8192 rows of 4 KB reach the driver, one by one.  A fuller bitmap only
+    are: at most 8192 rows of 4 KB reach the driver, in one job.  A fuller bitmap only
     lets more rows pass."""
     size = 1 << _bits(8 * keys.agg(F.approx_count_distinct(column)).first()[0], _BITMAP_BITS)
     slot = F.col(column).bitwiseAND(F.lit(size - 1)) + 1
     rows = keys.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
     bits = np.zeros(size // 8, np.uint8)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return bits
 
@@ -548,11 +584,16 @@ def _in_graph_of_runs(c: str) -> Column:
     return F.xxhash64(F.col(c), F.lit(_BLOCK))
 
 
-def _found_in_blocks(chain: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame | None:
+def _component(df: DataFrame, labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """df with comp, the component of cls by the first links and those between their components."""
+    named = _labelled(df, labels, "cls", "_first").withColumn("_first", F.coalesce("_first", "cls"))
+    return _labelled(named, merged, "_first", "comp").withColumn("comp", F.coalesce("comp", "_first")).drop("_first")
+
+
+def _found_in_blocks(chain: DataFrame, sets: DataFrame, labels: DataFrame, merged: DataFrame) -> DataFrame | None:
     """(a, b): components that links inside blocks join, by the R-tree."""
-    ends = chain.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    members = _labelled(_labelled(ends, labels, _in_graph_of_runs("cls"), "block"), labels, "cls", "comp").withColumn("comp", F.coalesce("comp", "cls"))
-    members = written(members)
+    ends = chain.filter("open").select(F.col("a").alias("cls")).union(chain.select("b")).distinct()
+    members = written(_component(_labelled(ends, labels, _in_graph_of_runs("cls"), "block"), labels, merged))
     several = members.groupBy("block", "comp").agg(F.count("*").alias("k")).groupBy("block").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("k"))
     within, n_within = written_and_counted(shuffled(members, several.filter("k > 1").select("block", "main"), "block"), F.lit(True))
     links = written(tree_links(shuffled(sets, within, "cls"))) if n_within else None
@@ -567,7 +608,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(text_col)
     shingles = rows.agg(F.sum("n")).first()[0] or 0
     met = candidates(_tokens(texts, _sketch(texts, shingles)))
-    pairs, chain = met.filter("NOT chain"), met.filter("chain").select("a", "b")
+    pairs, chain = met.filter("NOT chain"), met.filter("chain").select("a", "b", "open")
     sets = stored(_sets(texts, _bitmap(met.select(F.explode(F.array("a", "b")).alias("cls")), "cls")))
     ends = lambda x, y: (F.col(x).alias("x"), F.col(y).alias("y"))
     # written, as two Python steps in one stage would hold two workers for each task
@@ -577,13 +618,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_ = _labelled(_labelled(pairs.filter("NOT best").select("a", "b"), labels, "a", "x"), labels, "b", "y")
     open_ = open_.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).filter("x <> y")
     found = written(_linked(open_, sets))
-    in_blocks = _found_in_blocks(chain, sets, labels)
-    dropped(met, forest)
-    merged = components(found.union(in_blocks) if in_blocks is not None else found)
-    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("d"))
-    classes = _labelled(classes, labels, "cls", "comp").withColumn("comp", F.coalesce("comp", "cls"))
-    classes = stored(_labelled(classes, merged, "comp", "whole").select("cls", "d", F.coalesce("whole", "comp").alias("group")))
-    dropped(found, labels, merged, *([in_blocks] if in_blocks is not None else []))
+    merged = components(found)
+    # all links of pairs are known by now, so few nodes of a block are left to pair
+    in_blocks = _found_in_blocks(chain, sets, labels, merged)
+    dropped(met, forest, found)
+    classes = _component(rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("d")), labels, merged)
+    last = [] if in_blocks is None else [components(in_blocks)]
+    for more in last:
+        classes = _labelled(classes, more, "comp", "whole").withColumn("comp", F.coalesce("whole", "comp"))
+    classes = stored(classes.select("cls", "d", F.col("comp").alias("group")))
+    dropped(labels, merged, *last, *([] if in_blocks is None else [in_blocks]))
     smallest = classes.groupBy("group").agg(F.min("d").alias("component"))
     final = shuffled(classes.select("cls", "group"), smallest, "group")
     joined = rows.join(final.hint("merge"), "cls", "left")

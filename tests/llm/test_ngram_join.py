@@ -106,6 +106,86 @@ def test_hot_groups(spark, monkeypatch):
         assert got == brute(docs)
 
 
+def cut_and_edited(seed, count):
+    """Copies of one text with edits, of many lengths; some link with nothing."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice(["ta", "ro", "né", "ki", "lu"]) for _ in range(rnd.randint(2, 5)))
+    base = [word() for _ in range(150)]
+    docs = []
+    for _ in range(count):
+        a, b = rnd.choice([0, 0, rnd.randint(0, 15)]), rnd.choice([150, 150, rnd.randint(125, 150)])
+        docs.append(" ".join(edited(rnd, base[a:b], rnd.choice([0, 1, 2, 3, 4, 5, 6, 7]))))
+    return list(enumerate(docs))
+
+
+def test_copies_of_many_sizes(spark, monkeypatch):
+    """Members that can't have a link in their block are left out, and no link is
+    lost, wherever batches end."""
+    docs = cut_and_edited(5, 350)
+    want = brute(docs)
+    assert 1 < len({c for _, c in want.values()}) < 350
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    for window, rows in ((2, 10000), (nj.WINDOW, 10000), (3, 7), (2, 61)):
+        monkeypatch.setattr(nj.candidates, "__defaults__", (window,))
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.similar_groups(frame).collect()}
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert got == want, (window, rows)
+
+
+def test_few_components_reach_the_tree(spark, monkeypatch):
+    """Near copies of one text are joined through a central one, so that the tree has
+    few components to pair; those without a link are not in it."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice(["ta", "ro", "né", "ki", "lu"]) for _ in range(rnd.randint(2, 5)))
+    base = [word() for _ in range(150)]
+    docs = [(i, " ".join(edited(rnd, base, rnd.choice([0, 1, 2, 3, 4, 5, 6])))) for i in range(600)]
+    seen, real = [], nj.tree_links
+    monkeypatch.setattr(nj, "tree_links", lambda points, *more: seen.append(points.agg(F.count("*"), F.countDistinct("comp")).first()) or real(points, *more))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+    # 463 components of 480 members before links of pairs were used
+    assert all(members < 350 and components < 120 for members, components in seen), seen
+
+
+def test_first_common_bounds():
+    """What the rank of the rarest common shingle tells, against the threshold itself."""
+    for larger in range(1, 40):
+        for smaller in range(1, larger + 1):
+            most = [c for c in range(1, smaller + 1) if 100 * c >= 80 * (larger + smaller - c)]
+            for a in range(larger):
+                for b in range(smaller):
+                    if most and most[0] <= min(larger - a, smaller - b):
+                        assert nj._first_common(smaller, b) and smaller <= nj._reach(larger, a)
+
+
+def test_bitmap_takes_few_jobs(spark):
+    """Not one for each partition."""
+    context, conf = spark.sparkContext, {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("bitmap", "")
+        bits = nj._bitmap(spark.range(5000).select(F.xxhash64("id").alias("k")), "k")
+        jobs = context.statusTracker().getJobIdsForGroup("bitmap")
+        keys = np.array([r["k"] for r in spark.range(5000).select(F.xxhash64("id").alias("k")).collect()], np.int64)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert nj._flagged(bits, keys).all() and int(np.unpackbits(bits).sum()) <= 5000
+    assert len(jobs) <= 8
+
+
+def test_sketch_in_one_step_or_two(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").repartition(5)
+    assert (nj._sketch(docs) == nj._sketch(docs, salts=2)).all() and nj._sketch(docs).sum() > 0
+
+
 def test_packed_sets_keep_all_bits():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (1, 700, 3)]
