@@ -6,15 +6,20 @@ ranked anew, and the members of each set among the first share of the features a
 counted; p is (k + 1) / (n + 1), with k the permutations that have at least as many
 as the true labels.
 
-A feature is one row with its ranks in the order of the subjects, stored once.
-Permuted outcomes are the columns of a matrix of bounded size, which goes to the tasks;
-a task multiplies its features by it, BLOCK_BYTES of them at a time.  More subjects mean
-fewer permutations a matrix and more rounds; what a task holds then grows by one
-permutation (24 bytes a subject and its name) and one feature (8 bytes a subject).  A first pass counts |r| by bins for
+Subjects are numbered in their order and cut into blocks, and so are the features'
+ranks and each permuted outcome.  A block of features meets the same subjects of a block
+of permutations in one task (BLOCK_BYTES of each), which sends sums of products; the sums
+of all blocks of subjects give the correlations, one row of a feature and a block of
+permutations, stored once.  Only the order of a permutation is made in one piece: its
+task holds names and outcomes of the subjects in Arrow and some 45 bytes a subject, for
+one permutation after another.  A first pass over the correlations counts |r| by bins for
 each permutation, which tells the bin of the last feature of the first share; the
 second pass returns members of sets above that bin, and all features in it, which
-are ranked exactly.  So no permutation copies the table, and no task or driver ever
-has all features.
+are ranked exactly.  So no permutation copies the table, no task has all features or all
+permutations, and the driver has neither subjects nor features.
+
+Ranks are whole numbers when doubled and centred, and so are their products: sums of a
+block are exact below 2^53 (some 10^6 subjects), and correlations come from exact sums.
 """
 
 from __future__ import annotations
@@ -29,12 +34,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.relational import ContractError
+from .ordering import numbered
 from .shared import stored
-
-#: Bytes of the permuted outcomes that a task holds.
-BLOCK_BYTES = 1 << 26
+from .stats import RANKED_ROWS, average_rank
+
+#: Bytes of features, and of permuted outcomes, that a task multiplies.
+BLOCK_BYTES = 1 << 24
+#: Subjects of a block, at most.
+SUBJECTS = 1 << 13
+#: Permutations that a task orders, one at a time, after it got the names.
+ORDERED = 16
 BINS = 256
-_CHUNK = 64
+_SIDE = 1 << 10
 
 
 def average_ranks(rows: np.ndarray) -> np.ndarray:
@@ -53,111 +64,167 @@ def average_ranks(rows: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def residuals(rows: np.ndarray, covariate: np.ndarray | None) -> np.ndarray:
-    """Rows centred, without their part along the covariate, of length 1; rows of
-    which only rounding errors are left are zero."""
-    rows = rows - rows.mean(axis=-1, keepdims=True)
-    whole = np.sqrt((rows * rows).sum(axis=-1, keepdims=True))
-    if covariate is not None:
-        z = covariate - covariate.mean()
-        if (length := z @ z) > 0:
-            rows = rows - np.outer(rows @ z / length, z)
-    size = np.sqrt((rows * rows).sum(axis=-1, keepdims=True))
-    good = size > 1e-9 * np.maximum(whole, 1e-300)
-    return np.where(good, rows / np.where(good, size, 1), 0.0)
+def _packing(group: pa.Table) -> pa.Table:
+    """A block of subjects in their order, as one Arrow stream of names and ranks."""
+    rows = group.sort_by("_i").drop_columns(["_j", "_i"]).combine_chunks()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return pa.table({"_j": group["_j"].combine_chunks()[:1], "block": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def _places(blocks: list[pa.Table], mark) -> np.ndarray:
+    """The place of each subject by the digest of the mark and its name."""
+    digests = np.empty((sum(b.num_rows for b in blocks), 16), np.uint8)
+    at = 0
+    for block in blocks:
+        found = []
+        for name in block["name"].cast(pa.binary()).to_numpy():
+            whole = mark.copy()
+            whole.update(name)
+            found.append(whole.digest())
+        digests[at : at + len(found)] = np.frombuffer(b"".join(found), np.uint8).reshape(-1, 16)
+        at += len(found)
+    halves = digests.view(">u8")
+    first = halves[:, 0].astype(np.uint64)
+    order = np.argsort(first)
+    ordered = first[order]
+    if (ordered[1:] == ordered[:-1]).any():
+        order = np.lexsort((halves[:, 1], first))  # stable, so equal digests stay in order
+    places = np.empty(at, np.int32)
+    places[order] = np.arange(at, dtype=np.int32)
+    return places
+
+
+def _permuting(seed: str, n: int, each: int):
+    """(perm, _j, outcome) of a group that holds all blocks of subjects and the number
+    of a run of permutations; 0 is the order as it is.  The place of a subject is its
+    place by the MD5 of seed, permutation and subject."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, runs = {}, set()
+        for batch in batches:
+            runs.update(batch.column("_run").to_pylist())
+            held.update((j.as_py(), pa.ipc.open_stream(b.as_buffer()).read_all()) for j, b in zip(batch.column("_j"), batch.column("block"), strict=True))
+        numbers = sorted(held)
+        blocks = [held[j] for j in numbers]
+        outcome = np.concatenate([b["y"].to_numpy() for b in blocks]).astype(np.int32)
+        ends = np.cumsum([b.num_rows for b in blocks])[:-1]
+        (number,) = runs
+        for perm in range(number * each, min(n + 1, (number + 1) * each)):
+            mine = outcome[_places(blocks, hashlib.md5(f"{seed}|{perm}|".encode()))] if perm else outcome
+            parts = [part.tobytes() for part in np.split(mine, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array([perm] * len(parts), pa.int32()), pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())], ["perm", "_j", "outcome"])
 
-def _after(mark, name: str) -> bytes:
-    whole = mark.copy()
-    whole.update(name.encode())
-    return whole.digest()
+    return run
 
 
-def _permuting(names: list[str], seed: str):
-    """(perm, order) of numbers of permutations; 0 is the order as it is.  The place
-    of a subject is its place by the MD5 of seed, permutation and subject."""
+def _building(feature: str, size: int, n_people: int):
+    """(_f, _j, feature, ranks) of features that have each subject of a block once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            perms = batch.column(0).to_pylist()
-            places = []
-            for perm in perms:
-                order = np.arange(len(names))
-                if perm:
-                    mark = hashlib.md5(f"{seed}|{perm}|".encode())
-                    halves = np.frombuffer(b"".join([_after(mark, name) for name in names]), ">u8").reshape(-1, 2)
-                    order = np.lexsort((halves[:, 1], halves[:, 0]))  # stable, so equal digests stay in order
-                places.append(order.astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(perms, pa.int64()), pa.array(places, pa.binary())], ["perm", "places"])
+    def run(group: pa.Table) -> pa.Table:
+        first = {c: group[c][0].as_py() for c in ("_f", "_j")}
+        width = min(size, n_people - first["_j"] * size)
+        coded = group["_feature"].combine_chunks().dictionary_encode()
+        row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * width + group["_at"].to_numpy()
+        names = coded.dictionary
+        once = (np.bincount(row, minlength=len(names) * width).reshape(-1, width) == 1).all(axis=1)
+        ranks = np.zeros(len(names) * width, np.int32)
+        ranks[row] = group["_x"].to_numpy()
+        kept = np.flatnonzero(once)
+        lists = pa.array([ranks[k * width : (k + 1) * width].tobytes() for k in kept], pa.binary())
+        return pa.table({**{c: pa.array([v] * len(kept), pa.int32()) for c, v in first.items()}, feature: names.take(pa.array(kept)), "ranks": lists})
 
     return run
 
 
-def _ranking(width: int, covariate: np.ndarray | None, feature: str):
-    """Rows of a feature as (feature, ranks without the covariate's part, as bytes)."""
+def _matrix(rows: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.to_pylist()), np.int32).reshape(len(rows), -1).astype(float)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _parts(batch, width):
-                x = residuals(average_ranks(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)), covariate)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in x], pa.binary())], [feature, "ranks"])
+
+def _multiplying(feature: str, out: pa.Schema):
+    """Sums of products of one block of subjects: features and, without a feature's
+    name, the covariate with themselves, the covariate and the permuted outcomes."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return out.empty_table()
+        x, y = _matrix(left["ranks"]), _matrix(right.sort_by("perm")["outcome"])
+        of_covariate = left["covariate"].to_numpy().nonzero()[0]
+        xz = x @ x[of_covariate[0]] if len(of_covariate) else np.zeros(len(x))
+        xy = x @ y.T
+        sums = [pa.array(np.full(len(x), x.shape[1])), pa.array((x * x).sum(axis=1)), pa.array(xz), pa.array([v.tobytes() for v in xy], pa.binary())]
+        return pa.Table.from_arrays([left["_f"], left["_p"], left["covariate"], left[feature], *sums], schema=out)
 
     return run
 
 
-def _parts(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with BLOCK_BYTES of features at most, or one feature."""
-    step = max(1, BLOCK_BYTES // (64 * max(1, width)))  # ranking takes some eight arrays
-    return (batch.slice(k, step) for k in range(0, batch.num_rows, step))
+def _adding(feature: str, n_people: int, yy: int, out: pa.Schema):
+    """|r| to nine digits of each feature and permutation of a block, from the sums of all
+    blocks of subjects; -1 for a feature of which the covariate leaves nothing."""
+    kind = np.int64 if n_people**3 < 2**63 else float  # no sum exceeds n^3
+    least = 1e-18 if SUBJECTS * n_people**2 < 2**53 else 1e-14  # what rounding errors leave
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            block = {c: batch.column(c)[0].as_py() for c in ("_f", "_p")}
+            for covariate, name, *more, xy in zip(*[batch.column(c).to_pylist() for c in ("covariate", feature, "subjects", "xx", "xz", "xy")], strict=True):
+                total = sums.setdefault((covariate, name), [0, 0, 0, 0])
+                for k, v in enumerate((*map(int, more), np.frombuffer(xy).astype(kind))):
+                    total[k] = total[k] + v
+        sums = {key: total for key, total in sums.items() if total[0] == n_people and total[1] > 0}  # complete, and varies
+        of_covariate = [total for (covariate, _), total in sums.items() if covariate]
+        for (covariate, name), (_, xx, xz, xy) in sums.items():
+            if covariate:
+                continue
+            if of_covariate:
+                _, zz, _, yz = of_covariate[0]
+                yz = yz.astype(object)
+                rest = np.array([yy * zz - v * v for v in yz], object)
+                left = xx * zz - xz * xz
+                good = rest > least * yy * zz
+                whole = np.abs((xy.astype(object) * zz - xz * yz).astype(float)) / np.sqrt(np.where(good, rest, 1).astype(float)) / np.sqrt(float(max(left, 1)))
+                r = np.where(good, whole, 0.0) if left > least * xx * zz else np.full(len(xy), -1.0)
+            else:
+                r = np.abs(xy.astype(float)) / np.sqrt(float(xx)) / np.sqrt(float(yy)) if yy else np.zeros(len(xy))
+            r = np.minimum(np.round(r, 9), 1.0)
+            yield pa.RecordBatch.from_arrays([pa.array([block["_p"]], pa.int32()), pa.array([name], out.field(feature).type), pa.array([r.tobytes()], pa.binary())], schema=out)
 
-def _correlations(batch: pa.RecordBatch, outcomes: np.ndarray) -> np.ndarray:
-    """|r| to nine digits of each feature (row) and permutation; -1 for a feature
-    without variance."""
-    x = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, outcomes.shape[1])
-    r = np.minimum(np.round(np.abs(x @ outcomes.T), 9), 1.0)
-    r[~x.any(axis=1)] = -1
-    return r
+    return run
 
 
 def _bin(r: np.ndarray) -> np.ndarray:
     return np.minimum((r * BINS).astype(np.int64), BINS - 1)
 
 
+def _numbered(people: DataFrame, subject: str, asked: list[str], n_people: int) -> DataFrame:
+    """(subject, _name, _i, y and z): the number of each subject in their order, and
+    average ranks of what is asked, doubled and less their mean, which are whole."""
+    parts = max(1, -(-n_people // RANKED_ROWS))
+    out = numbered(people, [subject], parts=parts).withColumn("_i", F.col("_rn") - 1).drop("_rn", "_m", "_b")
+    for c, name in zip(asked, ("y", "z"), strict=False):
+        twice = numbered(people.select(F.col(c).alias("_c"), F.col(subject).alias("_s")), ["_c", "_s"], parts=parts)
+        ranks = twice.groupBy("_c").agg((F.min("_rn") + F.max("_rn") - (n_people + 1)).alias(f"_{name}"))
+        out = out.join(ranks, F.col(c) == F.col("_c")).drop("_c")
+    return out.select(subject, F.col(subject).cast("string").alias("_name"), "_i", *[F.col(f"_{name}").alias(name) for _, name in zip(asked, ("y", "z"), strict=False)])
+
+
 def permutation_enrichment(cells: DataFrame, outcome: DataFrame, members: DataFrame, feature: str, subject: str, value: str, y: str, covariate: str | None = None, n: int = 2000, seed: str = "s", share: float = 0.05) -> DataFrame:
     """(set_name, n_set, observed, n_perm, n_at_least, p_value) of (feature, subject,
     value), (subject, y, covariate) and (set_name, feature).  Subjects without y or
     covariate are left out, as are features that lack a value of one of the others
     or don't vary.  Ties of |r| go to the smaller feature.  Sets without a ranked
     member have no row."""
-    spark = cells.sparkSession
     asked = [y, *([covariate] if covariate else [])]
-    people = outcome.dropna(subset=[subject, *asked]).select(subject, *[F.col(c).cast("double").alias(c) for c in asked])
-    cohort = people.orderBy(subject).select(F.col(subject).cast("string").alias("name"), *asked).toArrow()  # two or three values of each subject
-    names = cohort["name"].to_pylist()
-    if len(set(names)) < len(names):
+    people = stored(outcome.dropna(subset=[subject, *asked]).select(F.col(subject).alias("_subject"), *[F.col(c).cast("double").alias(f"_asked{k}") for k, c in enumerate(asked)]))
+    if people.groupBy(F.col("_subject").cast("string").alias("_name")).agg(F.count("*").alias("_c")).filter("_c > 1").head(1):
         raise ContractError("a subject has several outcomes")
-    ranks = average_ranks(np.array([cohort[c].to_numpy() for c in asked]).reshape(len(asked), len(names)))
-    z = ranks[1] if covariate else None
-    known = cells.dropna(subset=[feature, subject, value]).join(people.select(subject), subject, "left_semi")
-    listed = known.groupBy(feature).agg(F.array_sort(F.collect_list(F.struct(F.col(subject).alias("s"), F.col(value).cast("double").alias("v")))).alias("_l")).filter(F.size("_l") == len(names))
-    values, whole = F.transform("_l", lambda s: s["v"]), F.size(F.array_distinct(F.transform("_l", lambda s: s["s"]))) == len(names)
-    vectors = listed.filter(whole).select(feature, values.alias("values")).filter(F.array_min("values") < F.array_max("values"))
-    kind = vectors.schema[feature].dataType.simpleString()
-    vectors = stored(vectors.mapInArrow(_ranking(len(names), z, feature), f"`{feature}` {kind}, ranks binary"))
+    vectors = stored(_correlations(cells, people, len(asked), feature, subject, value, n, seed))
     ranked = members.select("set_name", feature).distinct()
-    rounds = []
-    step = max(1, BLOCK_BYTES // (8 * max(1, len(names))))
-    for begin in range(0, n + 1, step):
-        perms = range(begin, min(n + 1, begin + step))
-        rows = spark.range(perms.start, perms.stop).mapInArrow(_permuting(names, seed), "perm long, places binary").orderBy("perm").collect()  # step rows
-        permuted = np.array([ranks[0][np.argsort(np.frombuffer(r["places"], np.int32))] for r in rows]).reshape(len(rows), len(names))
-        rounds.append(_round(vectors, feature, kind, ranked, perms.start, residuals(permuted, z), share))
-    counts = rounds[0]
-    for other in rounds[1:]:
-        counts = counts.unionByName(other)
+    counts = _counts(vectors, feature, ranked, n, share)
     seen = counts.filter("perm = 0").select("set_name", F.col("n_top").alias("observed"))
-    sizes = ranked.join(vectors.select(feature), feature, "left_semi").groupBy("set_name").agg(F.count("*").alias("n_set"))
+    sizes = ranked.join(vectors.filter("_p = 0").select(feature), feature, "left_semi").groupBy("set_name").agg(F.count("*").alias("n_set"))
     base = sizes.join(seen, "set_name", "left").withColumn("observed", F.coalesce("observed", F.lit(0).cast("long")))
     above = base.join(counts.filter("perm > 0"), "set_name").filter(F.col("n_top") >= F.col("observed")).groupBy("set_name").agg(F.count("*").alias("_k"))
     # a permutation without any member has no row, and counts where none was observed
@@ -166,20 +233,75 @@ def permutation_enrichment(cells: DataFrame, outcome: DataFrame, members: DataFr
     return out.withColumn("p_value", (F.col("n_at_least") + 1) / (F.col("n_perm") + 1)).select("set_name", "n_set", "observed", "n_perm", "n_at_least", "p_value")
 
 
-def _round(vectors: DataFrame, feature: str, kind: str, members: DataFrame, start: int, outcomes: np.ndarray, share: float) -> DataFrame:
-    """(perm, set_name, n_top) of the permutations of one matrix."""
-    held = vectors.sparkSession.sparkContext.broadcast(outcomes)  # BLOCK_BYTES at most
+def _side(n_people: int) -> tuple[int, int]:
+    """Subjects of a block, and features or permutations of one."""
+    size = max(1, min(SUBJECTS, n_people))
+    return size, max(1, min(_SIDE, BLOCK_BYTES // (8 * size)))
+
+
+def _correlations(cells: DataFrame, people: DataFrame, n_asked: int, feature: str, subject: str, value: str, n: int, seed: str) -> DataFrame:
+    """(_p, feature, r): |r| of a feature and of the p-th side of permutations, as doubles."""
+    spark = cells.sparkSession
+    n_people = people.count()
+    size, side = _side(n_people)
+    kind = cells.schema[feature].dataType.simpleString()
+    n_features = cells.select(feature).distinct().count()
+    blocks, chunks = -(-n_people // size), -(-(n + 1) // side)
+    f_blocks = max(1, -(-n_features // side))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    who = stored(_numbered(people, "_subject", [f"_asked{k}" for k in range(n_asked)], n_people))
+    of_block = F.expr(f"cast(_i div {size} as int)").alias("_j")
+
+    # features, ranked and cut
+    known = cells.dropna(subset=[feature, subject, value]).select(F.col(feature).alias("_feature"), F.col(subject).alias("_subject"), F.col(value).cast("double").alias("_v")).join(who.select("_subject", "_i"), "_subject")
+    dealt = known.select("_feature", "_i", "_v").repartition(max(least, n_features * n_people // RANKED_ROWS), "_feature")  # a single feature spills
+    placed = dealt.select("_feature", of_block, F.expr(f"cast(_i % {size} as int)").alias("_at"), (average_rank(["_feature"], "_v") * 2 - (n_people + 1)).cast("int").alias("_x"))
+    cut = placed.withColumn("_f", F.pmod(F.xxhash64("_feature"), F.lit(f_blocks)).cast("int")).repartition(max(least, n_features * n_people // RANKED_ROWS), "_f", "_j")
+    left = cut.groupBy("_f", "_j").applyInArrow(_building(feature, size, n_people), f"_f int, _j int, `{feature}` {kind}, ranks binary").withColumn("covariate", F.lit(False))
+
+    # outcomes, permuted and cut; each run of permutations gets all names
+    columns = ["y", "z"][:n_asked]
+    packed = who.select(of_block, "_i", F.col("_name").alias("name"), *[F.col(c).cast("int").alias(c) for c in columns]).groupBy("_j").applyInArrow(_packing, "_j int, block binary")
+    packed = stored(packed)
+    each = max(ORDERED, (1 << 18) // max(1, n_people))
+    runs = -(-(n + 1) // each)
+    sent = packed.withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).repartitionByRange(runs, "_run")
+    permuted = sent.groupBy("_run").applyInArrow(_permuting(seed, n, each), "perm int, _j int, outcome binary")
+    if n_asked > 1:
+        left = left.unionByName(packed.mapInArrow(_covariate, "_j int, ranks binary").select(F.explode(F.sequence(F.lit(0), F.lit(f_blocks - 1))).alias("_f"), "_j", F.lit(None).cast(kind).alias(feature), "ranks", F.lit(True).alias("covariate")))
+
+    # sums of products of blocks, then of all subjects
+    keys = ["_f", "_j", "_p"]
+    parts = max(least, f_blocks * blocks * chunks // 8)
+    left = left.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(parts, *keys)
+    right = permuted.withColumn("_p", F.expr(f"cast(perm div {side} as int)")).withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(f_blocks - 1)))).repartition(parts, *keys)
+    arrow = left.select(feature).limit(0).toArrow().schema.field(0).type
+    given = pa.schema([("_f", pa.int32()), ("_p", pa.int32()), ("covariate", pa.bool_()), (feature, arrow), ("subjects", pa.int64()), ("xx", pa.float64()), ("xz", pa.float64()), ("xy", pa.binary())])
+    sums = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_multiplying(feature, given), f"_f int, _p int, covariate boolean, `{feature}` {kind}, subjects long, xx double, xz double, xy binary")
+    yy = int(who.agg(F.sum((F.col("y") * F.col("y")).cast("decimal(38,0)"))).head()[0] or 0)
+    out = pa.schema([("_p", pa.int32()), (feature, arrow), ("r", pa.binary())])
+    return sums.groupBy("_f", "_p").applyInArrow(_adding(feature, n_people, yy, out), f"_p int, `{feature}` {kind}, r binary")
+
+
+def _covariate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ranks = [pa.ipc.open_stream(b.as_buffer()).read_all()["z"].to_numpy().astype(np.int32).tobytes() for b in batch.column("block")]
+        yield pa.RecordBatch.from_arrays([batch.column("_j"), pa.array(ranks, pa.binary())], ["_j", "ranks"])
+
+
+def _counts(vectors: DataFrame, feature: str, members: DataFrame, n: int, share: float) -> DataFrame:
+    """(perm, set_name, n_top): members of sets among the first share of the features."""
+    kind = vectors.schema[feature].dataType.simpleString()
 
     def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_perms = len(held.value)
-        total = np.zeros((n_perms, BINS), np.int64)
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part in _parts(batch, held.value.shape[1]):
-                r = _correlations(part, held.value)
-                r = r[r[:, 0] >= 0]
-                np.add.at(total, (np.arange(n_perms), _bin(r)), 1)
-        chunks = range(0, n_perms, _CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), pa.array([total[c : c + _CHUNK].tobytes() for c in chunks], pa.binary())], ["chunk", "counts"])
+            for p, r in zip(batch.column("_p").to_pylist(), batch.column("r"), strict=True):
+                r = np.frombuffer(r.as_buffer())
+                total = totals.setdefault(p, np.zeros((len(r), BINS), np.int64))
+                if r[0] >= 0:
+                    total[np.arange(len(r)), _bin(r)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["_p", "counts"])
 
     def adding(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(c.as_py(), np.int64) for c in group["counts"]).reshape(-1, BINS)
@@ -187,24 +309,26 @@ def _round(vectors: DataFrame, feature: str, kind: str, members: DataFrame, star
         from_above = np.cumsum(total[:, ::-1], axis=1)[:, ::-1]
         last = BINS - 1 - np.argmax((from_above >= np.maximum(top, 1)[:, None])[:, ::-1], axis=1)
         over = np.where(last + 1 < BINS, np.take_along_axis(from_above, np.minimum(last + 1, BINS - 1)[:, None], 1)[:, 0], 0)
-        first = group["chunk"][0].as_py()
-        return pa.table({"k": pa.array(first + np.arange(len(total)), pa.int32()), "last": pa.array(last, pa.int32()), "room": pa.array(top - over, pa.int64())})
+        size = len(total)
+        return pa.table({"_p": pa.array([group["_p"][0].as_py()] * size, pa.int32()), "k": pa.array(np.arange(size), pa.int32()), "last": pa.array(last, pa.int32()), "room": pa.array(top - over, pa.int64())})
 
-    bounds = vectors.mapInArrow(counting, "chunk int, counts binary").groupBy("chunk").applyInArrow(adding, "k int, last int, room long").orderBy("k").collect()
+    bounds = vectors.select("_p", "r").mapInArrow(counting, "_p int, counts binary").groupBy("_p").applyInArrow(adding, "_p int, k int, last int, room long").orderBy("_p", "k").collect()  # a row of each permutation
+    if not bounds:
+        return members.sparkSession.createDataFrame([], "perm long, set_name string, n_top long")
     last, room = (np.array([b[c] for b in bounds], np.int64) for c in ("last", "room"))
+    side = 1 + max(b["k"] for b in bounds)
 
     def choosing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in _parts(whole, held.value.shape[1])):
-            r = _correlations(batch, held.value)
-            near = _bin(np.maximum(r, 0)) >= last
-            row, perm = np.nonzero(near & (r >= 0))
-            where = _bin(r[row, perm])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(perm, pa.int32()), batch.column(0).take(pa.array(row)), pa.array(r[row, perm]), pa.array(where > last[perm]), pa.array(room[perm])], ["k", "feature", "r", "sure", "room"]
-            )
-
-    near = vectors.mapInArrow(choosing, f"k int, feature {kind}, r double, sure boolean, room long") if len(bounds) else vectors.sparkSession.createDataFrame([], f"k int, feature {kind}, r double, sure boolean, room long")
+        for batch in batches:
+            for at, (p, r) in enumerate(zip(batch.column("_p").to_pylist(), batch.column("r"), strict=True)):
+                r = np.frombuffer(r.as_buffer())
+                perm = p * side + np.flatnonzero((r >= 0) & (_bin(np.maximum(r, 0)) >= last[p * side : p * side + len(r)]))
+                mine = r[perm - p * side]
+                names = batch.column(feature).take(pa.array(np.full(len(perm), at)))
+                yield pa.RecordBatch.from_arrays([pa.array(perm, pa.int64()), names, pa.array(mine), pa.array(_bin(mine) > last[perm]), pa.array(room[perm])], ["perm", feature, "r", "sure", "room"])
+
+    near = vectors.mapInArrow(choosing, f"perm long, `{feature}` {kind}, r double, sure boolean, room long")
     # ranked where only some of the bin belong to the first share; members alone matter elsewhere
-    placed = near.filter("NOT sure AND room > 0").withColumn("_n", F.row_number().over(W.partitionBy("k").orderBy(F.desc("r"), "feature"))).filter("_n <= room").select("k", "feature")
-    chosen = near.filter("sure").select("k", "feature").unionByName(placed).withColumnRenamed("feature", feature)
-    return chosen.join(members, feature).groupBy((F.col("k") + start).cast("long").alias("perm"), "set_name").agg(F.count("*").alias("n_top"))
+    placed = near.filter("NOT sure AND room > 0").withColumn("_n", F.row_number().over(W.partitionBy("perm").orderBy(F.desc("r"), feature))).filter("_n <= room").select("perm", feature)
+    chosen = near.filter("sure").select("perm", feature).unionByName(placed)
+    return chosen.join(members, feature).groupBy("perm", "set_name").agg(F.count("*").alias("n_top"))

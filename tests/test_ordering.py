@@ -9,7 +9,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import SparkContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sagebrush.functions import permutation, stats
@@ -191,3 +194,46 @@ def test_enrichment_of_a_large_cohort(spark):
     members = spark.createDataFrame([("a", "f0"), ("b", "f1"), ("b", "f2")], "set_name string, f string")
     got = permutation.permutation_enrichment(long, people, members, "f", "s", "v", "y", "age", n=3, share=0.3).collect()
     assert {r["set_name"]: (r["n_set"], r["observed"], r["n_at_least"]) for r in got} == enrichment(cells, outcome, {"a": {"f0"}, "b": {"f1", "f2"}}, 3, "s", 0.3)
+
+
+@pytest.mark.parametrize("block", [1 << 24, 8 * 7 * 16])
+def test_enrichment_by_blocks(spark, monkeypatch, block):
+    """Blocks of 7 subjects; the driver gets neither subjects nor permuted outcomes."""
+
+    def to_arrow(df, whole=DataFrame.toArrow):
+        table = whole(df)
+        assert not table.num_rows
+        return table
+
+    monkeypatch.setattr(DataFrame, "toArrow", to_arrow)
+    monkeypatch.setattr(SparkContext, "broadcast", lambda *_: pytest.fail("a matrix goes through the driver"))
+    monkeypatch.setattr(permutation, "SUBJECTS", 7, raising=False)
+    monkeypatch.setattr(permutation, "BLOCK_BYTES", block)
+    rng = random.Random(4)
+    outcome = {f"s{i:02}": (float(rng.randrange(6)), rng.randrange(20, 30)) for i in range(40)}
+    cells = {f"f{k:03}": {s: float(rng.randrange(50)) + (8 * outcome[s][0] if k < 9 else 0) for s in outcome} for k in range(70)}
+    sets = {"hit": {f"f{k:03}" for k in range(12)}, "miss": {f"f{k:03}" for k in range(30, 50)}, "mixed": {"f001", "f060", "twice"}}
+    rows = [(f, s, v) for f, d in cells.items() for s, v in d.items()]
+    rows += [("twice", s if i else "s01", float(i)) for i, s in enumerate(outcome)]  # as many rows as subjects, not one of each
+    rows += [("covariate", s, float(v[1])) for s, v in outcome.items()]
+    long = spark.createDataFrame(rows, "f string, s string, v double").repartition(5)
+    people = spark.createDataFrame([(s, *v) for s, v in outcome.items()], "s string, y double, age int")
+    members = spark.createDataFrame([(n, f) for n, m in sets.items() for f in m] + [("same", "covariate")], "set_name string, f string")
+    got = {r["set_name"]: (r["n_set"], r["observed"], r["n_at_least"]) for r in permutation.permutation_enrichment(long, people, members, "f", "s", "v", "y", "age", n=60, seed="q", share=0.1).collect()}
+    assert got.pop("same") == (1, 0, 60)  # the covariate leaves nothing of it
+    assert got == enrichment(cells, outcome, sets, 60, "q", 0.1)
+
+
+def test_equal_halves_of_digests():
+    class Mark:
+        def copy(self):
+            return Mark()
+
+        def update(self, name):
+            self.name = name
+
+        def digest(self):
+            return b"a" * 8 + self.name[-1:] * 8
+
+    blocks = [pa.table({"name": ["x3", "x1"]}), pa.table({"name": ["x2", "y1"]})]
+    assert permutation._places(blocks, Mark()).tolist() == [3, 0, 2, 1]
