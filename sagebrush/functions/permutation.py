@@ -46,6 +46,8 @@ SUBJECTS = 1 << 13
 ORDERED = 16
 BINS = 256
 _SIDE = 1 << 10
+#: Groups that the features of a block are cut in, and least ranges of subjects.
+_CUTS = 16
 
 
 def average_ranks(rows: np.ndarray) -> np.ndarray:
@@ -119,12 +121,12 @@ def _permuting(seed: str, n: int, each: int):
     return run
 
 
-def _building(feature: str, size: int, n_people: int):
+def _building(feature: str, size: int, n_people: int, f_blocks: int):
     """(_f, _j, feature, ranks) of features that have each subject of a block once."""
 
     def run(group: pa.Table) -> pa.Table:
-        first = {c: group[c][0].as_py() for c in ("_f", "_j")}
-        width = min(size, n_people - first["_j"] * size)
+        f, j = group["_g"][0].as_py() % f_blocks, group["_j"][0].as_py()
+        width = min(size, n_people - j * size)
         coded = group["_feature"].combine_chunks().dictionary_encode()
         row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * width + group["_at"].to_numpy()
         names = coded.dictionary
@@ -133,7 +135,7 @@ def _building(feature: str, size: int, n_people: int):
         ranks[row] = group["_x"].to_numpy()
         kept = np.flatnonzero(once)
         lists = pa.array([ranks[k * width : (k + 1) * width].tobytes() for k in kept], pa.binary())
-        return pa.table({**{c: pa.array([v] * len(kept), pa.int32()) for c, v in first.items()}, feature: names.take(pa.array(kept)), "ranks": lists})
+        return pa.table({"_f": pa.array([f] * len(kept), pa.int32()), "_j": pa.array([j] * len(kept), pa.int32()), feature: names.take(pa.array(kept)), "ranks": lists})
 
     return run
 
@@ -201,7 +203,7 @@ def _bin(r: np.ndarray) -> np.ndarray:
 def _numbered(people: DataFrame, subject: str, asked: list[str], n_people: int) -> DataFrame:
     """(subject, _name, _i, y and z): the number of each subject in their order, and
     average ranks of what is asked, doubled and less their mean, which are whole."""
-    parts = max(1, -(-n_people // RANKED_ROWS))
+    parts = max(_CUTS, -(-n_people // RANKED_ROWS))
     out = numbered(people, [subject], parts=parts).withColumn("_i", F.col("_rn") - 1).drop("_rn", "_m", "_b")
     for c, name in zip(asked, ("y", "z"), strict=False):
         twice = numbered(people.select(F.col(c).alias("_c"), F.col(subject).alias("_s")), ["_c", "_s"], parts=parts)
@@ -256,8 +258,8 @@ def _correlations(cells: DataFrame, people: DataFrame, n_asked: int, feature: st
     known = cells.dropna(subset=[feature, subject, value]).select(F.col(feature).alias("_feature"), F.col(subject).alias("_subject"), F.col(value).cast("double").alias("_v")).join(who.select("_subject", "_i"), "_subject")
     dealt = known.select("_feature", "_i", "_v").repartition(max(least, n_features * n_people // RANKED_ROWS), "_feature")  # a single feature spills
     placed = dealt.select("_feature", of_block, F.expr(f"cast(_i % {size} as int)").alias("_at"), (average_rank(["_feature"], "_v") * 2 - (n_people + 1)).cast("int").alias("_x"))
-    cut = placed.withColumn("_f", F.pmod(F.xxhash64("_feature"), F.lit(f_blocks)).cast("int")).repartition(max(least, n_features * n_people // RANKED_ROWS), "_f", "_j")
-    left = cut.groupBy("_f", "_j").applyInArrow(_building(feature, size, n_people), f"_f int, _j int, `{feature}` {kind}, ranks binary").withColumn("covariate", F.lit(False))
+    cut = placed.withColumn("_g", F.pmod(F.xxhash64("_feature"), F.lit(f_blocks * _CUTS)).cast("int")).repartition(max(least, n_features * n_people // RANKED_ROWS), "_g", "_j")
+    left = cut.groupBy("_g", "_j").applyInArrow(_building(feature, size, n_people, f_blocks), f"_f int, _j int, `{feature}` {kind}, ranks binary").withColumn("covariate", F.lit(False))
 
     # outcomes, permuted and cut; each run of permutations gets all names
     columns = ["y", "z"][:n_asked]
